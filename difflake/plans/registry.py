@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff_checks
-from . import diffs
+from . import diffs, runs  # noqa: F401  (runs registers its queries beside those of diffs)
 from .tables import table
 
 QUERIES = {**diffs.QUERIES}
