@@ -194,7 +194,7 @@ class Typer:
         self.table = np.empty((0, len(_CARD) + 1), np.int64)
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        if len(self.of) > 300_000:
+        if len(self.of) > 700_000:
             self.of.clear()
         for t in set(tokens):
             if t not in self.of:
@@ -213,6 +213,10 @@ class Typer:
         return file_features(len(types), int(np.array(self.key)[types].sum()), int(np.array(self.digit)[types].sum()))
 
 
+#: The worker process's types, with the tokens that it has met in earlier tasks.
+_TYPER = Typer()
+
+
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows around tagged tokens, and as many elsewhere."""
     typer, feats, files, tags = Typer(), [], [], []
@@ -253,7 +257,7 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field, typer = shared.value, Typer()
+        field, typer = shared.value, _TYPER
         units = np.empty((0, 4, 3))
         for pdf in batches:
             out = []
