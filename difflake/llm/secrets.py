@@ -217,6 +217,11 @@ class Typer:
 _TYPER = Typer()
 
 
+def worker_typer() -> Typer:
+    """The one of this process: a task's function is sent with its variables, but looks functions up by name."""
+    return _TYPER
+
+
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows around tagged tokens, and as many elsewhere."""
     typer, feats, files, tags = Typer(), [], [], []
@@ -257,7 +262,7 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field, typer = shared.value, _TYPER
+        field, typer = shared.value, worker_typer()
         units = np.empty((0, 4, 3))
         for pdf in batches:
             out = []
