@@ -144,7 +144,7 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
             ids, root, n, asks = (tile[k].to_numpy() for k in ("id", "root", "n", "asks"))
             if not asks.any() or asks.all():
                 return []
-            sk = np.stack(tile["bits"].to_numpy())
+            sk = np.stack(tile["bits"].to_numpy()).view(np.uint64)  # of signed numbers, bitwise_count takes the absolute value
             have = np.flatnonzero(~asks)
             out = []
             for i in np.flatnonzero(asks):
