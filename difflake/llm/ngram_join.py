@@ -62,11 +62,19 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(lower_word_bytes(text)), words))
 
 
-def sketch(shingles: np.ndarray, segments: int) -> np.ndarray:
-    """Each shingle flips one of 64 bits in one segment; so the bits in which two sketches differ are at most the shingles in which the sets do."""
-    at = ((shingles >> np.uint64(8)) % np.uint64(segments)).astype(np.int64) * 64 + (shingles & np.uint64(63)).astype(np.int64)
-    bits = (np.bincount(at, minlength=segments * 64) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(segments, 64), axis=1, bitorder="little").view("<i8").ravel()
+def segments_of(shingles: np.ndarray, segments: int) -> np.ndarray:
+    """Each shingle is XORed into one segment; so the segments in which two sketches differ are at most the shingles in which the sets do."""
+    out = np.zeros(segments, np.uint64)
+    np.bitwise_xor.at(out, ((shingles >> np.uint64(8)) % np.uint64(segments)).astype(np.int64), shingles)
+    return out.view(np.int64)
+
+
+def sketch(shingles: np.ndarray, high: int) -> np.ndarray:
+    """Each shingle flips one bit of two or more for each element of the band's largest set; so the bits in which two sketches differ are at most the shingles in which the sets do."""
+    longs = 1 + 2 * high // 64
+    at = ((shingles >> np.uint64(20)) % np.uint64(64 * longs)).astype(np.int64)
+    bits = (np.bincount(at, minlength=64 * longs) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def _sketched(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -78,10 +86,10 @@ def _sketched(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
                 own = s.view(np.uint64)
                 f1 = int(np.bitwise_xor.reduce(own * np.uint64(0x9E3779B97F4A7C15), initial=np.uint64(len(s))).view(np.int64))
                 f2 = int(np.add.reduce((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), initial=np.uint64(0)).view(np.int64)) if len(s) else 0
-                out.append((i, len(s), f1, f2, [{"band": b.number, "spare": b.spare, "bits": sketch(s, b.segments)} for b in bands_of(len(s), t)] if len(s) else []))
+                out.append((i, len(s), f1, f2, [{"band": b.number, "spare": b.spare, "keys": segments_of(s, b.segments), "bits": sketch(s, b.high)} for b in bands_of(len(s), t)] if len(s) else []))
             yield pd.DataFrame(out, columns=["id", "n", "f1", "f2", "sketches"])
 
-    return docs.mapInPandas(run, "id long, n long, f1 long, f2 long, sketches array<struct<band:int,spare:int,bits:array<long>>>")
+    return docs.mapInPandas(run, "id long, n long, f1 long, f2 long, sketches array<struct<band:int,spare:int,keys:array<long>,bits:array<long>>>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -176,8 +184,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fr
     Two documents link when the Jaccard similarity of their sets of distinct word shingles (A-Z lower-cased, 64-bit
     hashes) is threshold or more. Equal sets are one node. The symmetric difference of linked sets is bounded by
     their size, so in a band of sizes with one segment more than that bound, linked sets agree in a whole segment of
-    their parity sketches: sets are joined on (band, segment, value), filtered by the Hamming distance of the
-    sketches and verified on the texts. With some spare segments, values of more than 64 sets are left out for sets
+    their parity sketches: sets are joined on (band, segment, XOR of the segment's hashes), filtered by the Hamming
+    distance of a sketch of one bit a shingle and verified on the texts. With some spare segments, values of more than 64 sets are left out for sets
     that must agree elsewhere too; nothing is lost. Of the sets with one value, each is first compared with the
     smallest id, then with the largest; where more than one component is left, what is outside the main one meets
     all, in tiles. So connected copies are not expanded into pairs.
@@ -190,8 +198,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fr
     info = stored(_sketched(slim, words, t))
     nodes = cut(info.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("node")))
     own = info.join(nodes.select("f1", "f2", "n", F.col("node").alias("id")), ["id", "f1", "f2", "n"], "left_semi").dropDuplicates(["id", "f1", "f2"])
-    bits = stored(own.select("id", "n", F.inline("sketches")))
-    value = bits.select("id", "band", "spare", F.posexplode("bits").alias("i", "v")).select(F.xxhash64("band", "i", "v").alias("key"), "id", "band", "spare")
+    bits = stored(own.select("id", "n", F.inline("sketches")))  # two narrow arrays; joins read the one that they need
+    value = bits.select("id", "band", "spare", F.posexplode("keys").alias("i", "v")).select(F.xxhash64("band", "i", "v").alias("key"), "id", "band", "spare")
     shared = cut(value.groupBy("key").count().where("count > 1"))
     members = cut(value.join(shared, "key"))
     hot = members.where(F.col("count") > HOT)
