@@ -113,6 +113,37 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ELSE '{{"response":"' || esc || '","done":' || CASE WHEN turn % 2 = 0 THEN 'false' ELSE 'true' END || '}}' END AS raw
         FROM (SELECT *, replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') AS esc FROM {conversations})""",
     ),
+    "gateway_models": (
+        ("part",),
+        """SELECT p_partkey AS pos, '{{"id":"' || lower(replace(p_brand, '#', '-')) || CASE p_partkey % 5 WHEN 0 THEN '-code' WHEN 1 THEN '-chat' ELSE '' END || '-m' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '-2024-' || lpad(CAST(1 + p_partkey % 12 AS STRING), 2, '0') || '-1' || CAST(p_partkey % 10 AS STRING) ELSE '' END
+        || '","context_length":' || CAST(p_size * 1000 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ',"created":' || CAST(1700000000 + p_partkey % 500 * 86400 AS STRING) END || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE ',"pricing":{{"prompt":"0.0000' || CAST(10 + p_size AS STRING) || '","completion":"0.000' || CAST(10 + p_partkey % 90 AS STRING) || '"}}' END || '}}' AS raw FROM {part}""",
+    ),
+    "harness_reports": (
+        ("predictions",),
+        """SELECT run_id, '{{' || string_agg('"' || instance_id || '":{{"resolved":' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END || CASE WHEN doc_id % 3 = 1 THEN ',"error":"tests failed"' ELSE '' END || '}}', ',') || '}}' AS report
+        FROM {predictions} WHERE doc_id % 10 <> 0 GROUP BY run_id, CAST(floor(doc_id / 200) AS BIGINT)""",
+    ),
+    "logs": (
+        ("documents",),
+        f"""SELECT 'logs/' || source || '/' || CAST(doc_id AS STRING) || '.log' AS path, {_ID} AS instance_id, text || chr(10) || CASE doc_id % 3 WHEN 0 THEN '5 ran successfully, 0 failed' WHEN 1 THEN 'All instances run.' ELSE 'stopped' END || chr(10) || 'end' AS content FROM {{documents}}""",
+    ),
+    "customers": (("customer",), "SELECT 'repo' || CAST(c_custkey % 20 AS STRING) || '__pkg-' || CAST(c_custkey AS STRING) AS instance_id FROM {customer}"),
+    "limit_headers": (
+        ("call_log",),
+        """SELECT call_id, provider, ts, CASE call_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"anthropic-ratelimit-requests-remaining":"' || CAST(account AS STRING) || '","anthropic-ratelimit-tokens-limit":"50000","anthropic-ratelimit-tokens-remaining":"x"}}'
+        ELSE '{{"x-ratelimit-limit-requests":"1000","x-ratelimit-remaining-requests":"' || CAST(account % 1000 AS STRING) || '","x-ratelimit-limit-tokens":"40000","x-ratelimit-remaining-tokens":"' || CAST(tokens AS STRING) || '"}}' END AS headers FROM {call_log}""",
+    ),
+    "requests": (("responses",), "SELECT response_id, model, CASE doc_id % 11 WHEN 0 THEN ' ' ELSE content END AS prompt, CAST(doc_id % 25 AS DOUBLE) / 10 AS temperature, doc_id % 4000 - 50 AS max_tokens FROM {responses}"),
+    "raw_responses": (
+        ("responses",),
+        """SELECT response_id, provider, CASE provider WHEN 'anthropic' THEN '{{"content":[{{"type":"text","text":"' || md5(content) || '"}}],"stop_reason":"end_turn","usage":{{"input_tokens":' || CAST(prompt_tokens AS STRING) || ',"output_tokens":' || CAST(completion_tokens AS STRING) || '}}}}'
+        WHEN 'ollama' THEN '{{"response":"' || md5(content) || '","done_reason":"stop","prompt_eval_count":' || CAST(prompt_tokens AS STRING) || '}}'
+        ELSE '{{"choices":[{{"message":{{"content":"' || md5(content) || '"}},"finish_reason":"length"}}],"usage":{{"prompt_tokens":' || CAST(prompt_tokens AS STRING) || ',"completion_tokens":' || CAST(completion_tokens AS STRING) || '}}}}' END AS raw FROM {responses}""",
+    ),
+    "prediction_lines": (
+        ("documents",),
+        f"""SELECT doc_id AS line_no, CASE doc_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN '{{{{"instance_id":"' || {_ID} || '"' WHEN 2 THEN '{{{{"instance_id":"' || {_ID} || '"}}}}' ELSE '{{{{"instance_id":"' || {_ID} || '","patch":"' || md5(text) || chr(92) || 'n"}}}}' END AS value FROM {{documents}}""",
+    ),
 }
 #: Catalogue of models (position, name, context limit, price per million tokens in and out; null: unknown).
 MODELS = [
