@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import diff_checks
 
 #: What a line of a diff may begin with, lines of commit messages, and the shape of file headers.
 ALLOWED = r"^(?:[ +\-@\\]|diff|index|new file|deleted)"
 MESSAGE = r"^(?:Author:|Date:|commit [a-f0-9]+)"
 HEADERS = r"(?m)^--- [^\n]*\n\+\+\+ "
+FILE_BLOCK = r"(?s)<file>([^<]+)</file>.*?<old>(.*?)</old>.*?<new>(.*?)</new>"
+PAIR = r"(?is)(?:SEARCH|<<<old>>>):\s*\n(.*?)\n(?:REPLACE|<<<new>>>):\s*\n(.*?)(?:\n\n|\z)"
+OTHER_PAIR = r"(?s)<<<old>>>\s*\n(.*?)\n<<<new>>>\s*\n(.*?)(?:\n|\z)"
+NAMED = r"(?:file|File|in|In)\s*[:\s]+([a-zA-Z0-9_/.-]+\.py)"
+EDITED = r"(?:in|In|file|File)\s+([a-zA-Z0-9_/.-]+\.py)"
+INSTRUCTIONS = {
+    "changes": r'(?i)change\s+"([^"]+)"\s+to\s+"([^"]+)"',
+    "replacements": r'(?i)replace\s+"([^"]+)"\s+with\s+"([^"]+)"',
+    "additions": r'(?i)add\s+"([^"]+)"\s+after\s+line\s+(\d+)',
+    "deletions": r"(?i)delete\s+lines?\s+(\d+)(?:\s*-\s*(\d+))?",
+}
 #: A candidate of this final confidence wins at once; below the other it is not looked at.
 SURE, LEAST = 0.8, 0.3
 
@@ -71,9 +85,51 @@ def extract_fenced(responses: DataFrame) -> DataFrame:
 
 
 def detect_edit_instructions(responses: DataFrame) -> DataFrame:
-    """Responses that only tell what to change: a Python file and a verb of editing."""
+    """Responses that only tell what to change: a Python file, and counts of each kind of instruction."""
     c = F.col("content")
-    return responses.where(c.rlike(r"[A-Za-z0-9_/.-]+\.py") & F.lower(c).rlike(r"\b(?:change|replace|add|delete)\b")).select("response_id", F.regexp_extract(c, r"([A-Za-z0-9_/.-]+\.py)", 1).alias("path"), F.lit(0.3).alias("confidence"))
+    counts = {k: F.size(F.regexp_extract_all(c, F.lit(p), 0)) for k, p in INSTRUCTIONS.items()}
+    rows = responses.select("response_id", F.regexp_extract(c, EDITED, 1).alias("path"), *(v.alias(k) for k, v in counts.items()), F.lit(0.3).alias("confidence"))
+    return rows.where((F.col("path") != "") & (sum((F.col(k) for k in INSTRUCTIONS), F.lit(0)) > 0))
+
+
+def extract_search_replace(responses: DataFrame) -> DataFrame:
+    """Each pair of a searched and a replacing text as a patch of one hunk at line 1, of the first Python file that is named."""
+    c = F.col("content")
+    pick = lambda p, g: F.regexp_extract_all(c, F.lit(p), g)
+    main = c.rlike(PAIR)
+    old, new = (F.when(main, pick(PAIR, g)).otherwise(pick(OTHER_PAIR, g)) for g in (1, 2))
+    rows = responses.select("response_id", F.regexp_extract(c, NAMED, 1).alias("named"), old.alias("old"), new.alias("new")).where(F.size("old") > 0)
+    own = F.regexp_extract(F.get("old", 0), r"(?m)^#\s*([a-zA-Z0-9_/.-]+\.py)", 1)
+    path = F.when(F.col("named") != "", F.col("named")).when(own != "", own)
+    side = lambda x: F.split(_stripped(x, left=True), "\n", -1)
+    led = lambda mark, lines: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(mark), x)), "\n")
+    text = lambda n: n.cast("string")
+
+    def patch(pair: Column) -> Column:
+        o, n = side(pair["old"]), side(pair["new"])
+        at = F.concat(F.lit("@@ -1,"), text(F.size(o)), F.lit(" +1,"), text(F.size(n)), F.lit(" @@"))
+        return F.concat_ws("\n", F.concat(F.lit("--- a/"), F.col("path")), F.concat(F.lit("+++ b/"), F.col("path")), at, led("-", o), led("+", n))
+
+    rows = rows.select("response_id", "old", "new", path.isNotNull().alias("known"), F.coalesce(path, F.lit("unknown_file.py")).alias("path"))
+    rows = rows.withColumn("patch", F.array_join(F.transform(F.arrays_zip("old", "new"), patch), "\n"))
+    return _candidate(rows, 5, "search_replace", F.when(F.col("known"), 60).otherwise(40))
+
+
+def extract_file_blocks(responses: DataFrame) -> DataFrame:
+    """Triples of a file, its old and its new text as unified diffs with three lines of context; equal texts add none."""
+
+    @F.pandas_udf("string")
+    def diff(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        def one(p: str, a: str, b: str) -> str:
+            return "\n".join(line.rstrip("\n") for line in difflib.unified_diff(a.splitlines(), b.splitlines(), f"a/{p}", f"b/{p}", n=3, lineterm=""))
+
+        return pd.Series([one(*x) for x in zip(path, old, new, strict=True)])
+
+    part = lambda g: F.regexp_extract_all("content", F.lit(FILE_BLOCK), g)
+    blocks = responses.select("response_id", F.posexplode(F.arrays_zip(part(1).alias("path"), part(2).alias("old"), part(3).alias("new"))).alias("pos", "b"))
+    made = blocks.select("response_id", "pos", diff(F.trim("b.path"), _stripped(F.col("b.old"), True), _stripped(F.col("b.new"), True)).alias("diff")).where("diff <> ''")
+    whole = made.groupBy("response_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "diff")))["diff"], "\n").alias("patch"))  # of one response
+    return _candidate(whole, 4, "file_blocks", F.lit(70))
 
 
 def normalize_patches(predictions: DataFrame) -> DataFrame:
@@ -90,7 +146,11 @@ def normalize_patches(predictions: DataFrame) -> DataFrame:
 
 
 def candidates(responses: DataFrame) -> DataFrame:
-    return extract_git_diff(responses).unionByName(extract_fenced(responses)).unionByName(extract_unified_diff(responses))
+    """Candidates of every format that yields a patch."""
+    found = extract_git_diff(responses)
+    for extract in (extract_fenced, extract_unified_diff, extract_file_blocks, extract_search_replace):
+        found = found.unionByName(extract(responses))
+    return found
 
 
 def extract_patches(responses: DataFrame) -> DataFrame:
@@ -99,7 +159,7 @@ def extract_patches(responses: DataFrame) -> DataFrame:
     Checks move the confidence of a format: up by a tenth for a valid diff, down by a tenth for each error, to three
     tenths at least. A response without a candidate has a null patch.
     """
-    c = candidates(responses).where(F.col("confidence") >= LEAST).withColumn("patch_id", F.concat_ws("#", "response_id", "format"))
+    c = cut(candidates(responses).where(F.col("confidence") >= LEAST).withColumn("patch_id", F.concat_ws("#", "response_id", "format")))  # each check reads them
     checked = diff_checks.validate_patches(c.select("patch_id", "patch", F.lit("").alias("run_id"), F.lit("").alias("instance_id"))).select("patch_id", "errors", "is_valid")
     final = F.when(F.col("is_valid"), F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence") * F.greatest(F.lit(0.3), 1 - F.col("errors") / 10))
     c = c.join(checked, "patch_id").withColumn("final", final)
@@ -110,15 +170,11 @@ def extract_patches(responses: DataFrame) -> DataFrame:
 
 
 def extraction_report(responses: DataFrame) -> DataFrame:
-    """Candidates by model and format."""
-    c = candidates(responses).join(responses.select("response_id", "model"), "response_id")
+    """Candidates of the formats that are cut out of the text, by model: how many, and the sum of their confidence."""
+    found = extract_git_diff(responses).unionByName(extract_fenced(responses)).unionByName(extract_unified_diff(responses))
+    c = found.join(responses.select("response_id", "model"), "response_id")
     return c.groupBy("model", "format").agg(F.count("*").alias("n"), F.sum((F.col("confidence") * 100).cast("decimal(10,0)").cast("long")).alias("hundredths"))
 
 
 def emit_valid_patches(responses: DataFrame) -> DataFrame:
     return extract_patches(responses).where("is_valid").select("instance_id", "model", "patch")
-
-
-def first_by_order(found: DataFrame) -> DataFrame:
-    """Of each response the candidate of the earliest format."""
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("response_id").orderBy("order"))).where("n = 1").drop("n")

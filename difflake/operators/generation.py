@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Phases of a build with the words that begin them, in order of rank.
+PHASES = [
+    ("base", "building base image", "from --platform"),
+    ("env", "building environment image", "conda activate"),
+    ("repo", "git clone", "cloning"),
+    ("deps", "pip install", "installing"),
+    ("instance", "building instance", "setup_repo.sh"),
+    ("complete", "successfully built", "successfully tagged"),
+]
 REPORT = "map<string,struct<resolved:boolean,error:string>>"
 
 
@@ -99,3 +108,11 @@ def load_predictions(lines: DataFrame, max_bytes: int = 5 * 1024 * 1024) -> Data
     r = lines.where(F.col("value").rlike(r"[^ \t-\r]")).select("line_no", j.alias("j")).select("line_no", "j.*")
     reason = F.when(F.col("_corrupt").isNotNull(), "bad_json").when(F.col("instance_id").isNull() | F.col("patch").isNull(), "missing_key").when(F.octet_length("patch") > max_bytes, "too_large")
     return r.select("line_no", "instance_id", "patch", reason.alias("reason"))
+
+
+def build_phases(logs: DataFrame) -> DataFrame:
+    """First line and number of lines of each phase of a log; a line without words of a phase belongs to the last one."""
+    lines = logs.select("path", F.posexplode(F.transform(F.split("content", "\n", -1), F.lower)).alias("pos", "l"))
+    begins = F.coalesce(*(F.when(F.col("l").contains(a) | F.col("l").contains(b), p) for p, a, b in PHASES))
+    so_far = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("phase", F.last(begins, ignorenulls=True).over(so_far)).where("phase is not null").groupBy("path", "phase").agg((F.min("pos") + 1).alias("first_line"), F.count("*").alias("n_lines"))

@@ -32,7 +32,17 @@ def f(name: str, sql: str):
 f("extract_git_diff", "SELECT * FROM git")(extraction.extract_git_diff)
 f("extract_unified_diff", "SELECT * FROM unified")(extraction.extract_unified_diff)
 f("extract_fenced", "SELECT * FROM fenced")(extraction.extract_fenced)
-f("detect_edit_instructions", r"SELECT response_id, regexp_extract(content, '([A-Za-z0-9_/.-]+\.py)', 1) AS path, 0.3::DOUBLE AS confidence FROM responses WHERE regexp_matches(content, '[A-Za-z0-9_/.-]+\.py') AND regexp_matches(lower(content), '\b(?:change|replace|add|delete)\b')")(extraction.detect_edit_instructions)
+_KINDS = ", ".join(f"len(regexp_extract_all(content, $${p}$$))::INTEGER AS {k}" for k, p in extraction.INSTRUCTIONS.items())
+f("detect_edit_instructions", f"SELECT * FROM (SELECT response_id, regexp_extract(content, $${extraction.EDITED}$$, 1) AS path, {_KINDS}, 0.3::DOUBLE AS confidence FROM responses) WHERE path <> '' AND changes + replacements + additions + deletions > 0")(extraction.detect_edit_instructions)
+_SIDE = f"string_split(trim(x, {_WS}), chr(10))"
+_LED = "array_to_string(list_transform({side}, lambda y: '{mark}' || y), chr(10))"
+_O, _N = _SIDE.replace("(x,", "(old[i],"), _SIDE.replace("(x,", "(new[i],")
+f(
+    "extract_search_replace",
+    f"""SELECT response_id, 5 AS "order", 'search_replace' AS format, array_to_string(list_transform(range(1, len(old) + 1), lambda i: '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,' || len({_O}) || ' +1,' || len({_N}) || ' @@' || chr(10) || {_LED.format(side=_O, mark="-")} || chr(10) || {_LED.format(side=_N, mark="+")}), chr(10)) AS patch, CASE WHEN path = 'unknown_file.py' THEN 0.4 ELSE 0.6 END::DOUBLE AS confidence
+FROM (SELECT response_id, coalesce(nullif(regexp_extract(content, $${extraction.NAMED}$$, 1), ''), 'unknown_file.py') AS path, regexp_extract_all(content, $${extraction.PAIR}$$, 1) AS old, regexp_extract_all(content, $${extraction.PAIR}$$, 2) AS new FROM responses) WHERE len(old) > 0""",
+)(extraction.extract_search_replace)
+QUERIES["extract_file_blocks"] = lambda spark, sf_dir: extraction.extract_file_blocks(table(spark, sf_dir, "responses"))
 f("extraction_report", "SELECT model, format, count(*) AS n, sum(CAST(round(confidence * 100) AS BIGINT))::BIGINT AS hundredths FROM candidates JOIN responses USING (response_id) GROUP BY ALL")(extraction.extraction_report)
 _LINE = f"""list_transform(list_transform(string_split(patch, chr(10)), lambda x: rtrim(x, {_WS})), lambda x: CASE WHEN starts_with(x, '--- ') THEN '--- ' || CASE WHEN starts_with(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), 'a/') THEN regexp_replace(substr(x, 5), '^"|"$', '', 'g') ELSE 'a/' || ltrim(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), '/') END
 WHEN starts_with(x, '+++ ') THEN '+++ ' || CASE WHEN starts_with(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), 'b/') THEN regexp_replace(substr(x, 5), '^"|"$', '', 'g') ELSE 'b/' || ltrim(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), '/') END ELSE x END)"""
@@ -66,6 +76,13 @@ q("join_harness_results", "SELECT patch_id, passed, CASE WHEN NOT found THEN 'no
 q("evaluation_progress", "SELECT *, (evaluated + missing) * 100 / selected AS share FROM (SELECT run_id, count_if(patch <> '' AND found)::BIGINT AS evaluated, count_if(patch = '')::BIGINT AS missing, count(*) AS selected FROM judged GROUP BY 1)", "predictions", "harness_reports", more=_JUDGED)(generation.evaluation_progress)
 q("load_log_lines", "SELECT path, instance_id, CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT path, instance_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT *, string_split(content, chr(10)) AS l FROM logs))", "logs")(generation.load_log_lines)
 q("log_tail", "SELECT path, array_to_string(l[greatest(1, len(l) - 39):], chr(10)) AS tail FROM (SELECT *, string_split(content, chr(10)) AS l FROM logs)", "logs")(generation.log_tail)
+_PHASE = "CASE " + " ".join(f"WHEN contains(l, '{a}') OR contains(l, '{b}') THEN '{p}'" for p, a, b in generation.PHASES) + " END"
+q(
+    "build_phases",
+    f"""SELECT path, phase, CAST(min(line_no) AS INTEGER) AS first_line, count(*) AS n_lines FROM (SELECT path, line_no, last_value({_PHASE} IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS phase
+FROM (SELECT path, unnest(range(1, len(x) + 1)) AS line_no, lower(unnest(x)) AS l FROM (SELECT path, string_split(content, chr(10)) AS x FROM build_logs))) WHERE phase IS NOT NULL GROUP BY ALL""",
+    "build_logs",
+)(generation.build_phases)
 q("log_success", "SELECT path, contains(tail, 'ran successfully, 0 failed') OR contains(tail, 'all instances run.') AS passed FROM (SELECT path, lower(array_to_string(l[greatest(1, len(l) - 199):], chr(10))) AS tail FROM (SELECT *, string_split(content, chr(10)) AS l FROM logs))", "logs")(generation.log_success)
 q("running_content", "SELECT stream_id, seq, string_agg(delta, '') OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS content FROM parsed", "chunks", more=_PARSED)(lambda x: generation.running_content(ch.parse_chunks(x)))
 _HEAD = "TRY_CAST(coalesce(json_extract_string(headers, '$.\"x-ratelimit-{w}-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-{w}\"')) AS BIGINT) AS {o}_{w}"

@@ -73,9 +73,9 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         WHEN 2 THEN 'Code' || chr(10) || '```' || chr(10) || head || hunk || body || tail || '```'
         WHEN 3 THEN 'I changed it.' || chr(10) || git || head || hunk || body || tail || 'That is all.'
         WHEN 4 THEN 'As asked' || chr(10) || head || hunk || body || tail || 'End of the patch'
-        WHEN 5 THEN '<file path="' || p || '">' || chr(10) || '<old>' || chr(10) || text || chr(10) || '</old>' || chr(10) || '<new>' || chr(10) || text || chr(10) || 'more' || chr(10) || '</new>' || chr(10) || '</file>'
-        WHEN 6 THEN 'In ' || p || chr(10) || 'SEARCH:' || chr(10) || '```' || chr(10) || 'old line' || chr(10) || '```' || chr(10) || 'REPLACE:' || chr(10) || '```' || chr(10) || text || chr(10) || '```'
-        ELSE 'In file ' || p || ', change the return value and add a test.' || chr(10) || text END AS content,
+        WHEN 5 THEN '<file>' || p || '</file>' || chr(10) || '<old>' || chr(10) || text || chr(10) || '</old>' || chr(10) || '<new>' || chr(10) || text || chr(10) || 'more' || chr(10) || '</new>'
+        WHEN 6 THEN 'In ' || p || chr(10) || 'SEARCH:' || chr(10) || 'old line' || chr(10) || 'REPLACE:' || chr(10) || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'SEARCH:' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'REPLACE:' || chr(10) || 'd'
+        ELSE 'In file ' || p || ', change "return 0" to "return 1".' || chr(10) || text END AS content,
         length(text) AS prompt_tokens, CAST(floor(length(text) / 4) AS BIGINT) AS completion_tokens, CAST(doc_id % 5000 AS BIGINT) AS latency_ms, doc_id FROM {{diffs}}""",
     ),
     "usage": (
@@ -127,6 +127,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("documents",),
         f"""SELECT 'logs/' || source || '/' || CAST(doc_id AS STRING) || '.log' AS path, {_ID} AS instance_id, text || chr(10) || CASE doc_id % 3 WHEN 0 THEN '5 ran successfully, 0 failed' WHEN 1 THEN 'All instances run.' ELSE 'stopped' END || chr(10) || 'end' AS content FROM {{documents}}""",
     ),
+    "build_logs": (
+        ("documents",),
+        """SELECT 'logs/' || source || '/' || CAST(doc_id AS STRING) || '.log' AS path, 'building base image' || chr(10) || text || chr(10) || 'Building environment image' || chr(10) || 'git clone x' || chr(10) || 'pip install y' || chr(10) || 'ok' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'error' ELSE 'Successfully built z' END AS content FROM {documents}""",
+    ),
     "customers": (("customer",), "SELECT 'repo' || CAST(c_custkey % 20 AS STRING) || '__pkg-' || CAST(c_custkey AS STRING) AS instance_id FROM {customer}"),
     "limit_headers": (
         ("call_log",),
