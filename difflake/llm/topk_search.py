@@ -11,41 +11,37 @@ from pyspark.sql import functions as F
 
 from .common import cut, take
 
-#: Rows of a block of candidates, and of queries.
-BLOCK, QUERY_BLOCK = 2048, 1024
+#: Components of a block of candidates, its rows at most; queries of a block, and of a batch that reads the lists together.
+BLOCK_COMPONENTS, BLOCK, QUERY_BLOCK, BATCH = 1 << 19, 8192, 1024, 256
 
 
-def nra(lists: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Rows of vectors that hold every row whose inner product with the query is among the k highest, ties included.
+def nra(lists: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its number, rows that hold every one of the k highest inner products, ties included, and their scores.
 
-    lists: for each dimension the rows by falling component. A negative weight reads its list from the other end. The
-    lists are read to growing depth; what has been read of a row, with the best and worst that the rest of each list
-    can add, bounds its score from above and below. Reading stops when few rows beyond the k can still qualify.
+    lists: for each dimension the components in rising order. A positive weight reads its list from the high end, a
+    negative one from the low end, all queries of the batch to the same depth. A component that has been read counts as
+    it is; one that has not lies between the last component read and the far end of the list, which bounds a row's score
+    from above and below. A query stops reading when few rows besides the k can still qualify; their final scores are
+    worked out then. Components are whole numbers, so sums are exact.
     """
-    n, d = vectors.shape
-    w = query.astype(np.float64)
-    order = np.where(w[None, :] >= 0, lists, lists[::-1])
-    worst = w * vectors[order[-1], np.arange(d)]
-    partial, seen, depth, step = np.zeros(n), np.zeros((n, d), np.float32), 0, max(32, 4 * k)
-    while True:
-        upto = min(n, depth + step)
-        rows = order[depth:upto]
-        part = vectors[rows, np.arange(d)[None, :]] * w
-        partial += np.bincount(rows.ravel(), part.ravel(), n)
-        seen[rows, np.arange(d)[None, :]] = 1
-        depth, step = upto, step * 2
+    n = len(vectors)
+    weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).T
+    reading, depth = np.arange(len(queries)), max(1, n // 8)
+    while len(reading):
+        depth = min(n, 2 * depth)
+        high, low = lists[n - depth], lists[depth - 1]
+        ceiling = np.hstack([np.maximum(vectors, high), np.minimum(vectors, low)]) @ weights[:, reading]
         if depth == n:
-            floor = partial
-            ceiling = partial
+            floor = ceiling
         else:
-            front = w * vectors[order[depth - 1], np.arange(d)]
-            floor = partial + worst.sum() - seen @ worst
-            ceiling = partial + front.sum() - seen @ front
-        kth = np.partition(floor, n - k)[n - k] if n > k else floor.min()
-        slack = 1e-3 * (1 + abs(kth))
-        alive = np.flatnonzero(ceiling >= kth - slack)
-        if depth == n or len(alive) <= max(8 * k, 64):
-            return alive
+            floor = np.hstack([np.where(vectors >= high, vectors, lists[0]), np.where(vectors <= low, vectors, lists[-1])]) @ weights[:, reading]
+        kth = np.partition(floor, n - k, axis=0)[n - k] if n > k else floor.min(0)
+        alive = ceiling >= kth
+        stops = (alive.sum(0) <= max(8 * k, 64)) | (depth == n)
+        for i in np.flatnonzero(stops):
+            rows = np.flatnonzero(alive[:, i])
+            yield int(reading[i]), rows, ceiling[rows, i] if depth == n else vectors[rows] @ queries[reading[i]]
+        reading = reading[~stops]
 
 
 def _search_block(queries: tuple, rows: tuple, k: int) -> Iterator[tuple]:
@@ -57,14 +53,16 @@ def _search_block(queries: tuple, rows: tuple, k: int) -> Iterator[tuple]:
     of = of.ravel()
     members = np.argsort(of, kind="stable")  # by class, then by id
     starts = np.searchsorted(of[members], np.arange(len(classes) + 1))
-    lists = np.argsort(-classes, axis=0, kind="stable")
-    floats = classes.astype(np.float64)
-    for qid, q in zip(q_ids, q_vecs, strict=True):
-        alive = nra(lists, floats, q, k + 1)
-        scores = classes[alive] @ q  # integers: the final scores
-        own = [(int(-s), int(ids[m])) for s, c in zip(scores, alive, strict=True) for m in members[starts[c] : min(starts[c] + k + 1, starts[c + 1])]]
-        for s, i in sorted(x for x in own if x[1] != qid)[:k]:
-            yield int(qid), i, -s
+    first = ids[members[starts[:-1]]]
+    more = k + int(np.unique(ids, return_counts=True)[1].max())  # a query's own rows are not among its k
+    lists = np.sort(classes, axis=0)
+    for at in range(0, len(q_ids), BATCH):
+        for i, alive, scores in nra(lists, classes, q_vecs[at : at + BATCH], more):
+            qid = q_ids[at + i]
+            top = np.lexsort((first[alive], -scores))[:more]
+            own = [(-int(scores[j]), int(ids[m])) for j in top for m in members[starts[alive[j]] : min(starts[alive[j]] + more, starts[alive[j] + 1])]]
+            for s, c in sorted(x for x in own if x[1] != qid)[:k]:
+                yield int(qid), c, -s
 
 
 def top_k_search(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -81,8 +79,9 @@ def top_k_search(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: i
     rows = take(vectors, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & ok)
     rows = cut(rows.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")).distinct())
     queries = rows.where(F.col("id") % query_every == 0)
-    n_rows, n_queries = rows.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    n_rows, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    in_block = max(1, min(BLOCK, BLOCK_COMPONENTS // (width or 1)))
+    blocks, query_blocks = max(1, -(-n_rows // in_block)), max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(query_blocks)).cast("int")
     cand = rows.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "id", "v", F.lit(False).alias("asks"))
@@ -93,7 +92,7 @@ def top_k_search(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: i
         out = []
         if len(q) and len(c):
             d = max(map(len, pdf["v"]))
-            dense = lambda s: np.stack([np.pad(np.asarray(x, np.int64), (0, d - len(x))) for x in s])
+            dense = lambda s: np.stack([np.pad(np.asarray(x, np.float64), (0, d - len(x))) for x in s])
             q = q.sort_values("id", kind="stable")
             out = list(_search_block((q["id"].to_numpy(), dense(q["v"])), (c["id"].to_numpy(), dense(c["v"])), k))
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
