@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -34,12 +37,29 @@ def unpack_row(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame
     return df.select(*((replaced[n] if n in replaced else F.col(f"row_.c{i}_")).alias(n) for i, n in enumerate(names)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the cluster names; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+#: A written table needs none of the shuffles that led to it: Spark deletes their files as soon as it is written.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shared_folder(df: DataFrame) -> Iterator[tuple[DataFrame, str]]:
+    """df, so planned that its shuffles go when it is written, and the checkpoint folder that the cluster names; a temporary one only where none is set, as in tests."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield df.select("*"), sc.getCheckpointDir()
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder."""
+    with _shared_folder(df) as (fresh, _):
+        return fresh.checkpoint(eager=True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -102,11 +122,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written as a compressed columnar table to the checkpoint folder: for wide rows that are read more than once."""
-    import uuid
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shared_folder(df) as (fresh, folder):
+        path = f"{folder}/{uuid.uuid4().hex}.parquet"
+        fresh.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that nothing reads any more; what was cut or stored from them stays."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

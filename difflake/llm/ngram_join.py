@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_word_bytes, shingle_hashes, stored, take, unpack_row, with_row, word_hashes
+from .common import components, cut, discard, lower_word_bytes, shingle_hashes, stored, take, unpack_row, with_row, word_hashes
 
-#: Sizes of a band grow by this factor. A segment value of more sets than HOT is left out where the others suffice. Rows of a tile in the last step.
+#: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Rows of a tile in the last step.
 GROWTH, HOT, TILE = 1.25, 64, 128
 
 
@@ -112,8 +112,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> Da
 
 
 def _leaders(kept: DataFrame, leader) -> DataFrame:
-    lead = cut(kept.groupBy("key").agg(leader("id").alias("a")))
-    return kept.join(lead, "key").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "band").distinct()
+    """Each member of a segment value with its leader: a, b, band, the follower and the number of values that they share."""
+    lead = cut(kept.groupBy("key").agg(leader("id").alias("lead")))
+    pairs = kept.join(lead, "key").where("lead <> id").groupBy("lead", "id", "band").agg(F.count("*").alias("shared"))
+    return cut(pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"), "band", F.col("id").alias("follower"), "shared"))
+
+
+def _best(leads: DataFrame) -> DataFrame:
+    """Each follower with the one leader that it shares most values with: this connects most copies."""
+    best = leads.groupBy("follower").agg(F.max_by(F.struct("a", "b", "band"), F.struct("shared", F.negate("a"), F.negate("b"), "band")).alias("p"))
+    return best.select("p.*").distinct()
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs that the labels do not connect yet."""
+    x = pairs.join(label.toDF("a", "ra"), "a", "left")
+    return x.join(label.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "band")
 
 
 def _close(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
@@ -127,9 +141,18 @@ def _close(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
 
 def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
     """Members of the segment values whose sets are not all of one component yet: key, id, band, root, main (that of the smallest id)."""
-    rooted = cut(kept.join(label.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rooted = stored(kept.join(label.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = cut(rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count("*").alias("cnt")).where("main < other").select("key", "main", "cnt"))
-    return cut(rooted.join(mixed, "key"))
+    cross = cut(rooted.join(mixed, "key"))
+    discard(rooted)
+    return cross
+
+
+def _pairs(cross: DataFrame) -> DataFrame:
+    """Pairs of different components that share a segment value of few sets, each once however many values it shares."""
+    out = cross.where("root <> main").select("key", "band", F.col("id").alias("x"), F.col("root").alias("rx"))
+    met = out.join(cross.select("key", F.col("id").alias("y"), F.col("root").alias("ry")), "key").where("rx <> ry")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "band").distinct()
 
 
 def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
@@ -185,39 +208,52 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fr
     hashes) is threshold or more. Equal sets are one node. The symmetric difference of linked sets is bounded by
     their size, so in a band of sizes with one segment more than that bound, linked sets agree in a whole segment of
     their parity sketches: sets are joined on (band, segment, XOR of the segment's hashes), filtered by the Hamming
-    distance of a sketch of one bit a shingle and verified on the texts. With some spare segments, values of more than 64 sets are left out for sets
-    that must agree elsewhere too; nothing is lost. Of the sets with one value, each is first compared with the
-    smallest id, then with the largest; where more than one component is left, what is outside the main one meets
-    all, in tiles. So connected copies are not expanded into pairs.
+    distance of a sketch of one bit a shingle and verified on the texts. With some spare segments, values of more than
+    64 sets and those of segments without a shingle are left out for sets that must agree elsewhere too; nothing is lost. Of the sets with one value, each is first compared with the
+    smallest id, the leader, then with the largest; where more than one component is left, what is outside the main one meets
+    all: as distinct pairs for values of at most 64 sets, else in tiles. The leaders that share most values with a set come first; other pairs are compared only where their
+    components still differ. So connected copies are not expanded into pairs.
     A null, empty or blank text has no shingles and is linked with nothing; one of fewer words is one shingle. A row
     without an id has component_id null and links nothing. Rows that repeat an id are one node with the links of all
     their texts. An empty table gives an empty result; other columns do not matter.
     """
     t = threshold
     slim = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    info = stored(_sketched(slim, words, t))
+    sketched = stored(_sketched(slim, words, t))
+    info = cut(sketched.select("id", "n", "f1", "f2"))
     nodes = cut(info.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("node")))
-    own = info.join(nodes.select("f1", "f2", "n", F.col("node").alias("id")), ["id", "f1", "f2", "n"], "left_semi").dropDuplicates(["id", "f1", "f2"])
+    own = sketched.join(nodes.select("f1", "f2", "n", F.col("node").alias("id")), ["id", "f1", "f2", "n"], "left_semi").dropDuplicates(["id", "f1", "f2", "n"])
     bits = stored(own.select("id", "n", F.inline("sketches")))  # two narrow arrays; joins read the one that they need
-    value = bits.select("id", "band", "spare", F.posexplode("keys").alias("i", "v")).select(F.xxhash64("band", "i", "v").alias("key"), "id", "band", "spare")
-    shared = cut(value.groupBy("key").count().where("count > 1"))
-    members = cut(value.join(shared, "key"))
-    hot = members.where(F.col("count") > HOT)
+    discard(sketched)
+    value = bits.select("id", "band", "spare", F.posexplode("keys").alias("i", "v")).select(F.xxhash64("band", "i", "v").alias("key"), "id", "band", "spare", (F.col("v") == 0).alias("blank"))
+    shared = stored(value.groupBy("key").count().where("count > 1"))
+    members = stored(value.join(shared, "key"))
+    often = F.col("blank") | (F.col("count") > HOT)
+    hot = members.where(often)
     unsafe = cut(hot.groupBy("id", "band").agg(F.count("*").alias("left_out"), F.max("spare").alias("spare")).where("left_out >= spare").select("id", "band"))
-    kept = members.where(F.col("count") <= HOT).select("key", "id", "band").union(hot.join(unsafe, ["id", "band"], "left_semi").select("key", "id", "band"))
-    kept = cut(kept)
+    kept = members.where(~often).select("key", "id", "band").union(hot.join(unsafe, ["id", "band"], "left_semi").select("key", "id", "band"))
+    kept = stored(kept)
+    discard(shared, members)
     ids = kept.select("id").distinct()
     texts = stored(slim.join(ids, "id", "left_semi"))
-    links = cut(_verified(cut(_close(_leaders(kept, F.min), bits, t)), texts, words, t))
+    leads = _leaders(kept, F.min)
+    links = cut(_verified(cut(_close(_best(leads), bits, t)), texts, words, t))
     label = components(links)
+    apart = cut(_apart(leads.select("a", "b", "band").distinct(), label))
+    if not apart.isEmpty():
+        links = cut(links.union(_verified(cut(_close(apart, bits, t)), texts, words, t)).distinct())
+        label = components(links)
     cross = _crossing(kept, label)
     if not cross.isEmpty():
-        more = _leaders(cross.where("root <> main").select("key", "id", "band"), F.max)
+        more = _leaders(cross.where("root <> main").select("key", "id", "band"), F.max).select("a", "b", "band").distinct()
         links = cut(links.union(_verified(cut(_close(more, bits, t)), texts, words, t)).distinct())
         label = components(links)
         cross = _crossing(kept, label)
     if not cross.isEmpty():
-        links = cut(links.union(_verified(cut(_tiles(cross, bits, t)), texts, words, t)).distinct())
+        few, many = cross.where(F.col("cnt") <= HOT), cross.where(F.col("cnt") > HOT)
+        met = _pairs(few).join(apart.union(more), ["a", "b", "band"], "left_anti")
+        found = _close(met, bits, t) if many.isEmpty() else _close(met, bits, t).union(_tiles(many, bits, t)).distinct()
+        links = cut(links.union(_verified(cut(found), texts, words, t)).distinct())
         label = components(links)
     rooted = nodes.join(label, "node", "left").select("f1", "f2", "n", F.coalesce("root", "node").alias("component"))
     rooted = cut(rooted)
