@@ -1,4 +1,4 @@
-"""Substring deduplication: paragraph MinHash banding, exact Jaccard verification, components."""
+"""Substring deduplication: exact runs of words by winnowing, and paragraph MinHash banding, exact Jaccard verification, components."""
 
 from __future__ import annotations
 
@@ -19,6 +19,9 @@ from .common import components, cut, lower_word_bytes, mix, shingle_hashes, stor
 BANDS, ROWS, SHINGLE = 5, 2, 5
 #: Words of a paragraph, and of a reported passage of neighbouring repeated paragraphs, at least.
 MIN_WORDS, MIN_RUN = 10, 25
+#: Of so many runs of MIN_RUN words that follow each other, one at least is looked up.
+WINDOW = 12
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|\Z)")
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -51,13 +54,72 @@ def _cut_up(text: str | None) -> list[tuple[int, int, int, list[bytes]]]:
     return found
 
 
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (code points) of the text's words, as lower_word_bytes cuts them."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], (cp != 32) & ((cp < 9) | (cp > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
+    """op over all windows of n values, where op need not mind that its two parts overlap."""
+    span = 1
+    while span * 2 <= n:
+        x, span = op(x[:-span], x[span:]), span * 2
+    return op(x[: -(n - span)], x[n - span :]) if n > span else x
+
+
+def winnow(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the chosen runs of MIN_RUN words: those that are the least of WINDOW neighbours.
+
+    The choice depends on the words nearby only. So two texts with MIN_RUN + WINDOW - 1 words in common share a chosen
+    run, and chosen runs cover the common words but for WINDOW - 1 at either end at most.
+    """
+    if len(hashes) < MIN_RUN:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    runs = _sliding(hashes, MIN_RUN, lambda a, b: mix(a * _PAIR + b))
+    n = min(WINDOW, len(runs))
+    least, edge = _sliding(runs, n, np.minimum), np.zeros(n - 1, np.uint64)
+    at = np.flatnonzero(runs == _sliding(np.concatenate([edge, least, edge]), n, np.maximum))
+    return _thinned(at, runs[at])
+
+
+def _thinned(at: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without equal runs that overlap, as in a text of one word, where the others cover the same words."""
+    if len(np.unique(runs)) == len(runs):
+        return at, runs
+    kept, last, waits = [], {}, {}
+    for i, (p, x) in enumerate(zip(at.tolist(), runs.tolist(), strict=True)):
+        if x in waits and p > last[x] + MIN_RUN:
+            kept.append(waits.pop(x))
+            last[x] = int(at[kept[-1]])
+        if x in last and p <= last[x] + MIN_RUN:
+            waits[x] = i
+        else:
+            kept.append(i)
+            last[x] = p
+    kept = np.sort(np.array([*kept, *waits.values()]))
+    return at[kept], runs[kept]
+
+
 def _paragraph_rows(docs: DataFrame) -> DataFrame:
-    """id, k, pos, start, end, n_words, node (hash of the words), bands (hashes of minima; shingle hashes are mixed, so a product orders them anew)."""
+    """id, k, pos, start, end, n_words, node, bands, of every paragraph and every chosen run of words.
+
+    pos counts the words before it, node is a hash of its words. bands are hashes of minima (shingle hashes are mixed,
+    so a product orders them anew), null for runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, spans, nodes, sizes_, bands_ = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            doc, spans, nodes, bands_ = [], [], [], [np.empty(0, np.int64)]
+            run_doc, run_spans, run_nodes = [np.empty(0, np.int64)], [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
             for n, text in enumerate(batch.column(2).to_pylist()):
+                starts, ends_ = word_spans(text)
+                at, hashes = winnow(word_hashes(lower_word_bytes(text)))
+                run_doc.append(np.full(len(at), n))
+                run_spans.append(np.stack([at, starts[at], ends_[at + MIN_RUN - 1], np.full(len(at), MIN_RUN)], 1))
+                run_nodes.append(hashes.view(np.int64))
                 parts = _cut_up(text)
                 if not parts:
                     continue
@@ -72,16 +134,19 @@ def _paragraph_rows(docs: DataFrame) -> DataFrame:
                 minima = np.stack([np.minimum.reduceat(sh * s, at) for s in _SEEDS])
                 bands = mix(minima[::ROWS] * np.uint64(3) + mix(minima[1::ROWS] + np.arange(BANDS, dtype=np.uint64)[:, None]))
                 bands_.append(bands.T.ravel().view(np.int64))
-                sizes_.append(sizes)
                 doc += [n] * len(parts)
-                spans += [p[:3] for p in parts]
+                span = np.array([p[1:3] for p in parts], np.int64)
+                first, last = np.searchsorted(starts, span).T
+                spans.append(np.stack([first, *span.T, last - first], 1))
                 nodes += [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) for *_, w in parts]
-            of, at = pa.array(np.array(doc, np.int64)), np.array(spans, np.int64).reshape(-1, 3)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands_)))
-            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(np.concatenate(sizes_).astype(np.int32)), pa.array(np.array(nodes, np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "k", "pos", "start", "end", "n_words", "node", "bands"])
+            of = pa.array(np.concatenate([np.array(doc, np.int64), *run_doc]))
+            at = np.concatenate([*spans, *run_spans])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands_)))
+            bands = pa.concat_arrays([bands, pa.nulls(len(of) - len(doc), bands.type)])
+            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(at[:, 3].astype(np.int32)), pa.array(np.concatenate([np.array(nodes, np.int64), *run_nodes])), bands, pa.array(np.arange(len(of)) >= len(doc))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "k", "pos", "start", "end", "n_words", "node", "bands", "run"])
 
-    return docs.select("id", "k", "text").mapInArrow(run, "id long, k long, pos int, start long, end long, n_words int, node long, bands array<long>")
+    return docs.select("id", "k", "text").mapInArrow(run, "id long, k long, pos int, start long, end long, n_words int, node long, bands array<long>, run boolean")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -109,22 +174,85 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: Fraction) -> DataFr
     return left.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
+def _passages(hits: list[tuple]) -> Iterator[tuple]:
+    """start, end, n_words, clusters, first_ids, removed of a document's passages, of its hits (pos, stop, start, end, later, cluster, first_id).
+
+    Hits that touch are one passage; what later hits cover is removed, the rest of it stays.
+    """
+    hits = sorted(hits, key=lambda h: h[:5])
+    i = 0
+    while i < len(hits):
+        j, stop, end = i, hits[i][1], hits[i][3]
+        while j < len(hits) and hits[j][0] <= stop:
+            stop, end, j = max(stop, hits[j][1]), max(end, hits[j][3]), j + 1
+        group, first = hits[i:j], hits[i]
+        i = j
+        if stop - first[0] < MIN_RUN:
+            continue
+        gone: list[list[int]] = []
+        for pos, s, a, b, later, *_ in group:
+            if later and gone and pos <= gone[-1][1]:
+                gone[-1][1], gone[-1][3] = max(gone[-1][1], s), max(gone[-1][3], b)
+            elif later:
+                gone.append([pos, s, a, b])
+        pieces, pos, at = [], first[0], first[2]
+        for p, s, a, b in gone:
+            if p > pos:
+                pieces.append((pos, p, at, a, False))
+            pieces.append((p, s, a, b, True))
+            pos, at = s, b
+        if stop > pos:
+            pieces.append((pos, stop, at, end, False))
+        low = 0
+        for p, s, a, b, removed in pieces:
+            while low < len(group) and group[low][1] <= p:
+                low += 1
+            of = []
+            for h in group[low:]:
+                if h[0] >= s:
+                    break
+                if h[1] > p and h[4] == removed:
+                    of.append(h)
+            yield a, b, s - p, [h[5] for h in of], list(dict.fromkeys(h[6] for h in of)), removed
+
+
+def _passage_rows(hits: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(1)
+            offsets, fields = parts.offsets.to_numpy() - parts.offsets[0].as_py(), [c.to_pylist() for c in parts.flatten().flatten()]
+            of, rows = [], []
+            for n, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                found = list(_passages(list(zip(*(f[a:b] for f in fields), strict=True))))
+                of += [n] * len(found)
+                rows += found
+            start, end, n_words, clusters, first_ids, removed = zip(*rows, strict=True) if rows else ((),) * 6
+            columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n_words, pa.int64()), pa.array(clusters, pa.list_(pa.int64())), pa.array(first_ids, pa.list_(pa.int64())), pa.array(removed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "end", "n_words", "clusters", "first_ids", "removed"])
+
+    parts = hits.groupBy("id", "k").agg(F.collect_list(F.struct("pos", F.expr("pos + n_words").alias("stop"), "start", "end", "later", "cluster", "first_id")).alias("parts"))  # a document's own
+    return parts.select("id", "parts").mapInArrow(run, "id long, start long, end long, n_words long, clusters array<long>, first_ids array<long>, removed boolean")
+
+
 def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage that repeats: id, start, end (code points), n_words, clusters, first_ids, removed.
 
-    Texts are cut into paragraphs (see paragraphs). MinHash bands bring similar paragraphs together; each is compared
+    Runs of 25 words that winnow() chooses are looked up by their hash, so exact repeats of 36 words or more are found
+    wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see
+    paragraphs). MinHash bands bring similar paragraphs together; each is compared
     with the smallest and the largest of its band, exactly, by the Jaccard similarity of its 5-word shingles, which
-    is to be threshold or more; components are clusters, and equal paragraphs are one node from the start. In each
-    cluster the paragraph of the smallest (id, position) stays. Neighbouring paragraphs that repeat are one passage,
-    reported with 25 words or more: removed is true unless all of its paragraphs stay. clusters lists its paragraphs'
-    cluster numbers and first_ids the documents of those that stay.
+    is to be threshold or more; components are clusters, and equal paragraphs are one node from the start. Of each
+    cluster and each run that of the smallest (id, position) stays. Runs and paragraphs that repeat and touch are one
+    passage, reported with 25 words or more in all, in one row for each part that stays or goes: removed is true for
+    what later copies cover, other than a run that overlaps its own first copy. clusters lists the numbers of the
+    part's runs and paragraphs and first_ids the documents of those that stay.
     A null or empty text has no paragraphs. A null id comes last. Rows that repeat id and text are one document. An
     empty table gives an empty result; other columns do not matter.
     """
     slim = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     slim = slim.withColumn("k", F.xxhash64("id", "text"))
     every = stored(_paragraph_rows(slim))
-    plain = every.drop("bands")
+    plain, runs = every.where("not run").drop("bands"), every.where("run").drop("bands")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k", "pos")
     band = every.select("node", F.explode("bands").alias("band"))
     shared = cut(band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
@@ -135,18 +263,13 @@ def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_
     words = stored(_texts(slim).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     label = components(_verified(pairs, words, threshold))
     rooted = plain.join(label, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root", "node")
-    rooted = stored(rooted)
+    again = cut(runs.groupBy("node").count().where("count > 1").select("node"))
+    rooted = stored(rooted.unionByName(runs.join(again, "node").withColumnRenamed("node", "cluster")))
     first = cut(rooted.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").drop("final"))
     hits = rooted.join(first, "cluster").distinct()
-    hits = hits.select("id", "k", "pos", "start", "end", "n_words", "cluster", (place > F.col("first")).alias("later"), F.col("first.id").alias("first_id"))
-    runs = hits.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "n_words", "cluster", "later", "first_id"))).alias("parts"))  # a document's own paragraphs
-    starts = F.filter(F.transform("parts", lambda p, i: F.when((i == 0) | (F.get("parts", i - 1)["pos"] + 1 < p["pos"]) | (F.get("parts", i - 1)["later"] != p["later"]), i)), lambda i: i.isNotNull())
-    runs = runs.withColumn("starts", F.concat(starts, F.array(F.size("parts"))))
-    passage = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda j: F.slice("parts", F.get("starts", j - 1) + 1, F.get("starts", j) - F.get("starts", j - 1)))
-    rows = runs.select("id", F.explode(passage).alias("p"))
-    total = F.aggregate("p", F.lit(0), lambda acc, x: acc + x["n_words"])
-    rows = rows.select(F.col("id").alias(id_col), F.get("p", F.lit(0))["start"].alias("start"), F.element_at("p", -1)["end"].alias("end"), total.cast("long").alias("n_words"), F.col("p.cluster").alias("clusters"), F.array_distinct("p.first_id").alias("first_ids"), F.get("p", F.lit(0))["later"].alias("removed"))
-    return rows.where(F.col("n_words") >= MIN_RUN)
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k")) & F.col("run") & (F.col("pos") < F.col("first.pos") + MIN_RUN)
+    hits = hits.select("id", "k", "pos", "start", "end", "n_words", "cluster", ((place > F.col("first")) & ~own).alias("later"), F.col("first.id").alias("first_id"))
+    return _passage_rows(hits).withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -205,6 +205,26 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_repeated_passages_without_sentence_ends(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    planted = [words(n) for n in (50, 55, 65, 80)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 7]) for i in range(0, len(w), 7))
+    texts = [" ".join([*words(70), *p, *words(70)]) for p in planted] + ["\n".join([" ".join(words(9)), lines(p), " ".join(words(9))]) for p in planted]
+    docs = spark.createDataFrame([*enumerate(texts), (99, " ".join(planted[0][:1] * 200))], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    for i in range(8):
+        (r,) = (r for r in rows if r["doc_id"] == i)
+        got = texts[i][r["start"] : r["end"]].split()
+        assert set(got) <= set(planted[i % 4]) and len(got) == r["n_words"] >= len(planted[i % 4]) - 22
+        assert (r["removed"], r["first_ids"]) == (i > 3, [i % 4])
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert left[0] == texts[0] and len(left[7].split()) <= len(texts[7].split()) - 58
+    assert 25 <= len(left[99].split()) < 75
+    at, hashes = substring_dedup.winnow(np.full(1000, 7, np.uint64))
+    assert at[0] == 0 and at[-1] == 975 and max(np.diff(at)) <= 25 and len(at) <= 41 and len(set(hashes)) == 1
+
+
 def test_quality_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
