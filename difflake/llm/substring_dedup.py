@@ -21,6 +21,8 @@ BANDS, ROWS, SHINGLE = 5, 2, 5
 MIN_WORDS, MIN_RUN = 10, 25
 #: Of so many runs of MIN_RUN words that follow each other, one at least is looked up.
 WINDOW = 12
+#: Members of a band whose pairs are joined as such, at most, and rows and columns of a tile of larger bands.
+HOT, TILE = 64, 512
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|\Z)")
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -174,6 +176,71 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: Fraction) -> DataFr
     return left.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
+def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the bands whose paragraphs are not all of one component yet: band, node, root, main (the root of most), cnt."""
+    rooted = stored(kept.select("band", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = cut(sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("cnt")).where("roots > 1").select("band", "main", "cnt"))
+    return stored(rooted.join(mixed, "band"))
+
+
+def _pairs(cross: DataFrame) -> DataFrame:
+    """Pairs of different components in small bands, each once however many bands it shares."""
+    out = cross.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
+    met = out.join(cross.select("band", F.col("node").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _tiles(cross: DataFrame, words: DataFrame, threshold: Fraction) -> DataFrame:
+    """The links between different components in large bands.
+
+    Members outside a band's main component meet all its members. Both are dealt to tiles of bounded size, so a large
+    band is many tasks' work, and only links are returned.
+    """
+    n_out = cross.where("root <> main").groupBy("band").agg(F.count("*").alias("outs"))
+    cross = cut(cross.join(cut(n_out), "band"))
+    rows, cols = F.ceil(F.col("outs") / TILE).cast("int"), F.ceil(F.col("cnt") / TILE).cast("int")
+    asks = cross.where("root <> main").select("band", F.pmod(F.xxhash64("node"), rows).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("c"), "node", "root", F.lit(True).alias("asks"))
+    has = cross.select("band", F.explode(F.sequence(F.lit(0), rows - 1)).alias("r"), F.pmod(F.xxhash64("node"), cols).cast("int").alias("c"), "node", "root", F.lit(False).alias("asks"))
+    dealt = asks.unionByName(has).join(words, "node")
+    p, q = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(tile: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if tile["asks"].any() and not tile["asks"].all():
+                has_ = tile[~tile["asks"]]
+                ids, root = has_["node"].to_numpy(), has_["root"].to_numpy()
+                sets = [np.unique(shingle_hashes(word_hashes(lower_word_bytes(x)), SHINGLE)) for x in has_["words"]]
+                size = np.array([len(x) for x in sets])
+                value, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(value)
+                value, of = value[order], of[order]
+                for x, rx, text in tile[tile["asks"]][["node", "root", "words"]].itertuples(index=False):
+                    mine = np.unique(shingle_hashes(word_hashes(lower_word_bytes(text)), SHINGLE))
+                    lo, hi = np.searchsorted(value, mine), np.searchsorted(value, mine, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    both = np.bincount(of[at], minlength=len(sets))
+                    ok = (root != rx) & (q * both >= p * (len(mine) + size - both))
+                    out += [(min(x, y), max(x, y)) for y in ids[ok].tolist()]
+            return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+        held: list[pd.DataFrame] = []
+        last = None
+        for pdf in batches:
+            for tile_id, tile in pdf.groupby(["band", "r", "c"], sort=False):
+                if tile_id != last and held:
+                    yield solve(pd.concat(held))
+                    held = []
+                last = tile_id
+                held.append(tile)
+        if held:
+            yield solve(pd.concat(held))
+
+    return dealt.repartition("band", "r", "c").sortWithinPartitions("band", "r", "c").mapInPandas(run, "a long, b long").distinct()
+
+
 def _passages(hits: list[tuple]) -> Iterator[tuple]:
     """start, end, n_words, clusters, first_ids, removed of a document's passages, of its hits (pos, stop, start, end, later, cluster, first_id).
 
@@ -234,14 +301,35 @@ def _passage_rows(hits: DataFrame) -> DataFrame:
     return parts.select("id", "parts").mapInArrow(run, "id long, start long, end long, n_words long, clusters array<long>, first_ids array<long>, removed boolean")
 
 
+def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """node and root, the smallest node that it reaches over links, of the paragraphs among rows that link with others."""
+    band = rows.select("node", F.explode("bands").alias("band"))
+    shared = cut(band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
+    kept = stored(band.join(shared, "band").select("band", "node", "lo", "hi").distinct())
+    pairs = kept.select(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")).union(kept.select(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))
+    pairs = cut(pairs.where("a < b").distinct())
+    nodes = cut(kept.select("node").distinct())
+    words = stored(_texts(docs).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    links = cut(_verified(pairs, words, threshold))
+    label = components(links)
+    cross = _crossing(kept, label)
+    if not cross.isEmpty():
+        few, many = cross.where(F.col("cnt") <= HOT), cross.where(F.col("cnt") > HOT)
+        found = _verified(cut(_pairs(few).join(pairs, ["a", "b"], "left_anti")), words, threshold)
+        found = found if many.isEmpty() else found.union(_tiles(many, words, threshold))
+        label = components(cut(links.union(found).distinct()))
+    return label
+
+
 def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage that repeats: id, start, end (code points), n_words, clusters, first_ids, removed.
 
     Runs of 25 words that winnow() chooses are looked up by their hash, so exact repeats of 36 words or more are found
     wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see
-    paragraphs). MinHash bands bring similar paragraphs together; each is compared
-    with the smallest and the largest of its band, exactly, by the Jaccard similarity of its 5-word shingles, which
-    is to be threshold or more; components are clusters, and equal paragraphs are one node from the start. Of each
+    paragraphs). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the
+    largest of its band, exactly, by the Jaccard similarity of its 5-word shingles, which is to be threshold or more.
+    Where a band's paragraphs are not of one component then, those outside the main one meet all: as distinct pairs in
+    bands of at most 64, else in tiles. Components are clusters, and equal paragraphs are one node from the start. Of each
     cluster and each run that of the smallest (id, position) stays. Runs and paragraphs that repeat and touch are one
     passage, reported with 25 words or more in all, in one row for each part that stays or goes: removed is true for
     what later copies cover, other than a run that overlaps its own first copy. clusters lists the numbers of the
@@ -254,14 +342,7 @@ def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_
     every = stored(_paragraph_rows(slim))
     plain, runs = every.where("not run").drop("bands"), every.where("run").drop("bands")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k", "pos")
-    band = every.select("node", F.explode("bands").alias("band"))
-    shared = cut(band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
-    member = cut(band.join(shared, "band").select("node", "lo", "hi").distinct())
-    pairs = member.select(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")).union(member.select(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))
-    pairs = cut(pairs.where("a < b").distinct())
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    words = stored(_texts(slim).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    label = components(_verified(pairs, words, threshold))
+    label = paragraph_clusters(slim, every, threshold)
     rooted = plain.join(label, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root", "node")
     again = cut(runs.groupBy("node").count().where("count > 1").select("node"))
     rooted = stored(rooted.unionByName(runs.join(again, "node").withColumnRenamed("node", "cluster")))

@@ -225,6 +225,41 @@ def test_repeated_passages_without_sentence_ends(spark):
     assert at[0] == 0 and at[-1] == 975 and max(np.diff(at)) <= 25 and len(at) <= 41 and len(set(hashes)) == 1
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_paragraph_clusters_equal_all_pairs_of_each_band(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "TILE", 3)
+    rng = np.random.default_rng(9)
+    base = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(90)]
+    texts = []
+    for i in range(40):  # variants of one text that share bands: some similar, others not
+        w, far = list(base), int(rng.integers(1, 4))
+        for j in rng.integers(0, 90, far):
+            w[j] = f"v{i}x{j}"
+        texts.append(" ".join(w[int(rng.integers(0, 9)) : 90 - int(rng.integers(0, 9))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "text", "xxhash64(id, text) k")
+    rows = [r for r in substring_dedup._paragraph_rows(docs).collect() if r["bands"] is not None]
+    words = {r["node"]: shingles(texts[r["id"]], 5) for r in rows}
+    members = defaultdict(set)
+    for r in rows:
+        for band in r["bands"]:
+            members[band].add(r["node"])
+    root = {n: n for n in words}
+    for x, y in ((x, y) for m in members.values() for x in m for y in m if 5 * len(words[x] & words[y]) >= 4 * len(words[x] | words[y])):
+        root = {n: root[x] if r == root[y] else r for n, r in root.items()}
+    want = defaultdict(set)
+    for r in rows:
+        want[root[r["node"]]].add(r["id"])
+    node = {r["id"]: r["node"] for r in rows}
+    clusters = substring_dedup.paragraph_clusters(docs, substring_dedup._paragraph_rows(docs), Fraction(4, 5))
+    got = defaultdict(set)
+    label = dict(clusters.collect())
+    for i, n in node.items():
+        got[label.get(n, n)].add(i)
+    assert max(map(len, want.values())) > 2 and len(want) > 1
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_quality_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
