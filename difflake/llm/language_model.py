@@ -49,9 +49,27 @@ class _Logs(dict):
         return -1.0
 
 
+def passes(counts: np.ndarray, steps: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Batches of rows, their weights and the number of batches, of whole passes over all counts, in steps batches or more.
+
+    In each pass a row's weights add up to its count over the mean of a batch's place. Counts above that mean are
+    dealt in equal parts to several places, so that no batch is one row's.
+    """
+    parts = np.ceil(counts * (len(counts) / counts.sum())).astype(np.int64)
+    rows = np.repeat(np.arange(len(counts), dtype=np.int32), parts)
+    per = -(-len(rows) // BATCH)
+    times = -(-steps // per)
+    share = counts / parts * (len(rows) / counts.sum())
+    for _ in range(times):
+        rng.shuffle(rows)
+        for at in np.array_split(rows, per):
+            yield at, share[at], per * times
+
+
 def train_nce(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Trains on all (class two back, class one back, class) counts and returns log10 P(class | two classes), normalised.
 
+    Every count is learnt from, by its weight, in each of the whole passes that make up steps batches or more.
     The context's vector is the sum of its classes' vectors, each through its position's matrix; a class's score is
     its product with the class's own vector, and a bias. Noise is the classes' own distribution.
     """
@@ -63,23 +81,23 @@ def train_nce(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.n
     par = [ctx, out, pos, bias]
     m, v = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
     if total:
-        ladder, noise_ladder = np.cumsum(counts) / total, np.cumsum(noise)
+        noise_ladder = np.cumsum(noise)
         eye, log_kn = np.eye(CLASSES), np.log(NOISE * noise)
-        for t in range(1, steps + 1):
-            picked = codes[np.minimum(np.searchsorted(ladder, rng.random(BATCH)), len(codes) - 1)]
+        for t, (at, weight, steps_) in enumerate(passes(counts, steps, rng), 1):
+            picked, n = codes[at], len(at)
             c2, c1, w = picked // CLASSES**2, picked // CLASSES % CLASSES, picked % CLASSES
             r = ctx[c1] @ pos[0] + ctx[c2] @ pos[1]
-            words = np.concatenate([w[:, None], np.minimum(np.searchsorted(noise_ladder, rng.random((BATCH, NOISE))), CLASSES - 1)], 1)
+            words = np.concatenate([w[:, None], np.minimum(np.searchsorted(noise_ladder, rng.random((n, NOISE))), CLASSES - 1)], 1)
             s = r @ out.T + bias
             delta = np.take_along_axis(s, words, 1) - log_kn[words]
             g = 1 / (1 + np.exp(-delta))
             g[:, 0] -= 1
-            g /= BATCH
-            gs = np.bincount((np.arange(BATCH)[:, None] * CLASSES + words).ravel(), g.ravel(), BATCH * CLASSES).reshape(BATCH, CLASSES)
+            g *= weight[:, None] / n
+            gs = np.bincount((np.arange(n)[:, None] * CLASSES + words).ravel(), g.ravel(), n * CLASSES).reshape(n, CLASSES)
             gr = gs @ out
             e1, e2 = eye[c1], eye[c2]
             grads = [e1.T @ (gr @ pos[0].T) + e2.T @ (gr @ pos[1].T), gs.T @ r, np.stack([ctx[c1].T @ gr, ctx[c2].T @ gr]), gs.sum(0)]
-            rate = 0.02 * (1 - 0.95 * t / steps)
+            rate = 0.02 * (1 - 0.95 * t / steps_)
             for p, gp, mp, vp in zip(par, grads, m, v, strict=True):
                 mp += 0.1 * (gp - mp)
                 vp += 0.005 * (gp * gp - vp)

@@ -181,6 +181,24 @@ def test_language_model(spark):
     assert language_model.score_texts(empty(spark)).count() == 0
 
 
+def test_language_model_learns_from_every_count():
+    rng = np.random.default_rng(5)
+    counts = np.concatenate([np.ones(9000), [400.0, 70000.0]])
+    got, n = np.zeros(len(counts)), 0
+    for at, weight, steps in language_model.passes(counts, 30, rng):
+        assert len(at) <= language_model.BATCH
+        np.add.at(got, at, weight)
+        n += 1
+    assert n == steps >= 30 and np.allclose(got / got.sum(), counts / counts.sum())
+    c = language_model.CLASSES  # the class follows from the one before: one batch cannot show it, a pass over all counts can
+    codes = np.sort(rng.choice(c**2, 12000, replace=False)).astype(np.int64)
+    codes = codes * c + codes % c % 8
+    counts = rng.integers(1, 9, len(codes)).astype(float)
+    table_ = language_model.train_nce(np.repeat(codes, 10), np.repeat(counts, 10), 1).ravel()
+    unigram = np.log10(np.bincount(codes % c, counts, c)[codes % c] / counts.sum())
+    assert np.average(table_[codes], weights=counts) > np.average(unigram, weights=counts) + 0.1
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vecs = rng.normal(0, 0.2, (400, 12)).round(2)
