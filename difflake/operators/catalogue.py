@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prompts import estimate_instance_tokens
+
 #: Dollars per million tokens in and out by provider and model; the default of each provider; words of code models.
 PRICES = [
     ("openai", "gpt-4o", 5.0, 20.0),
@@ -39,6 +41,13 @@ def estimate_batch_cost(instances: DataFrame, models: DataFrame, model: str = "g
     return n.join(F.broadcast(price)).select("repo", "n", (F.col("n") * tokens * F.col("p")).alias("least_e8"), (F.col("n") * tokens * F.col("p") * 2).alias("most_e8"))  # one row of the fixed catalogue
 
 
+def estimate_batch_cost_by_row(instances: DataFrame, models: DataFrame, model: str = "gpt-4o", max_tokens: int = 1000) -> DataFrame:
+    """Number, tokens and cost of all instances: each one's own token estimate in, max_tokens out."""
+    prices = models.where(F.col("model") == model).select((F.col("input_per_m") * 100).cast("long").alias("i"), (F.col("output_per_m") * 100).cast("long").alias("o"))
+    t = estimate_instance_tokens(instances).agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+    return t.join(F.broadcast(prices)).select("n", "tokens", (F.col("tokens") * F.col("i") + F.col("n") * max_tokens * F.col("o")).alias("cost_e8"))  # one row each
+
+
 def estimate_batch_time(instances: DataFrame, seconds: int = 30, concurrency: int = 5) -> DataFrame:
     return instances.groupBy("repo").agg((F.count("*") * seconds / concurrency).alias("seconds"))
 

@@ -54,6 +54,7 @@ _PRICES = ", ".join(f"('{p}', '{m}', {round(i * 100)}, {round(o * 100)})" for p,
 _BASE = ", ".join(f"('{p}', {round(i * 100)}, {round(o * 100)})" for p, (i, o) in catalogue.DEFAULTS.items())
 q("provider_cost", "SELECT call_id, provider, model, CAST(prompt_tokens * coalesce(p.i, b.i) + completion_tokens * coalesce(p.o, b.o) AS BIGINT) AS cost_e8 FROM usage LEFT JOIN prices p USING (provider, model) LEFT JOIN base b USING (provider)", "usage", more=f"prices(provider, model, i, o) AS (VALUES {_PRICES}), base(provider, i, o) AS (VALUES {_BASE})")(catalogue.provider_cost)
 q("estimate_batch_cost", "SELECT repo, count(*) AS n, count(*) * 2000000 AS least_e8, count(*) * 4000000 AS most_e8 FROM instances GROUP BY 1", "instances", "models")(catalogue.estimate_batch_cost)
+q("estimate_batch_cost_by_row", r"SELECT count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(t * 500 + 1000 * 1500) AS BIGINT) AS cost_e8 FROM (SELECT CAST(floor(len(regexp_extract_all(problem_statement, '[^\x20\x09-\x0D]+')) * 13 / 10) + floor(len(regexp_extract_all(test_patch, '[^\x20\x09-\x0D]+')) * 13 / 10) + 200 AS BIGINT) AS t FROM instances)", "instances", "models")(catalogue.estimate_batch_cost_by_row)
 q("estimate_batch_time", "SELECT repo, count(*) * 30 / 5 AS seconds FROM instances GROUP BY 1", "instances")(catalogue.estimate_batch_time)
 
 _LISTED = """listed AS (SELECT * FROM (SELECT pos, json_extract_string(raw, '$.id') AS id, CAST(json_extract(raw, '$.context_length') AS BIGINT) AS context_length, CAST(json_extract(raw, '$.created') AS BIGINT) AS created, TRY_CAST(json_extract_string(raw, '$.pricing.prompt') AS DOUBLE) AS i, TRY_CAST(json_extract_string(raw, '$.pricing.completion') AS DOUBLE) AS o FROM gateway_models) WHERE i IS NOT NULL),
