@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, discard, lower_word_bytes, shingle_hashes, stored, take, unpack_row, with_row, word_hashes
 
-#: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Rows of a tile in the last step.
-GROWTH, HOT, TILE = 1.25, 64, 128
+#: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Rows of a tile, and of a bucket of smaller values, in the last step.
+GROWTH, HOT, TILE, BUCKET = 1.25, 64, 128, 8192
 
 
 @dataclass(frozen=True)
@@ -92,23 +92,30 @@ def _sketched(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, f1 long, f2 long, sketches array<struct<band:int,spare:int,keys:array<long>,bits:array<long>>>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of t or more, by their texts."""
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """id and the sorted shingle hashes of each text, eight bytes each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(text, words).tobytes() for text in pdf["text"]]})
+
+    return docs.mapInPandas(run, "id long, set binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of t or more."""
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        last: tuple = (None, None)
         out = []
         for p, q in zip(x, y, strict=True):
-            if last[0] != p:
-                last = (p, shingle_set(p, words))
-            a, b = last[1], shingle_set(q, words)
+            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(t.denominator * both >= t.numerator * (len(a) + len(b) - both))
-        return pd.Series(out)
+        return pd.Series(out, dtype=bool)
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").where(linked("x", "y")).select("a", "b").distinct()
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
 def _leaders(kept: DataFrame, leader) -> DataFrame:
@@ -148,11 +155,51 @@ def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
     return cross
 
 
-def _pairs(cross: DataFrame) -> DataFrame:
-    """Pairs of different components that share a segment value of few sets, each once however many values it shares."""
-    out = cross.where("root <> main").select("key", "band", F.col("id").alias("x"), F.col("root").alias("rx"))
-    met = out.join(cross.select("key", F.col("id").alias("y"), F.col("root").alias("ry")), "key").where("rx <> ry")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "band").distinct()
+def _within(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which of the pairs (i, j) of rows have sketches and sizes that do not rule out a link."""
+    p, q = t.numerator, t.denominator
+    far = np.bitwise_count(sk[i] ^ sk[j]).sum(1, dtype=np.int64)  # of unsigned numbers: of signed ones, bitwise_count takes the absolute value
+    return (far * (p + q) <= (n[i] + n[j]) * (q - p)) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
+
+
+def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """Candidate pairs of different components that share a segment value of few sets, by Hamming distance.
+
+    Values with one main component are dealt to few buckets, of bounded size as a component of many values is cut up
+    by value. There each pair is compared once, however many values it shares, and a set's sketch comes once; only
+    pairs that the sketches do not rule out are returned.
+    """
+    of_main = cut(cross.groupBy("main").agg(F.count("*").alias("rows")))
+    buckets = max(1, -(-cross.count() // BUCKET))
+    dealt = cross.join(of_main, "main").withColumn("bucket", F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / BUCKET))), F.lit(buckets)))
+    dealt = cut(dealt.select("bucket", "key", "band", "id", "root", "main"))
+    sketches = dealt.select("bucket", "id", "band").distinct().join(bits.select("id", "band", "n", "bits"), ["id", "band"])
+    both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({c: F.lit(None).cast("long") for c in ("key", "root", "main")}))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        has = pdf["bits"].notna()
+        own, out = pdf[has], []
+        for number, part in pdf[~has].groupby("band", sort=False):
+            mine = own[own["band"] == number].sort_values("id")
+            ids, n, sk = mine["id"].to_numpy(), mine["n"].to_numpy(), np.stack(mine["bits"].to_numpy()).view(np.uint64)
+            part = part.sort_values("key")
+            at, root, outside = np.searchsorted(ids, part["id"].to_numpy()), part["root"].to_numpy().astype(np.int64), (part["root"] != part["main"]).to_numpy()
+            edges = np.flatnonzero(np.diff(part["key"].to_numpy().astype(np.int64), prepend=0, append=0) != 0) if len(part) else []
+            codes = []
+            for lo, hi in zip([0, *edges], [*edges, len(part)], strict=True):
+                x, y = np.triu_indices(hi - lo, 1)
+                x, y = x + lo, y + lo
+                ok = (root[x] != root[y]) & (outside[x] | outside[y])
+                i, j = at[x[ok]], at[y[ok]]
+                codes.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+            code = np.unique(np.concatenate(codes))
+            for some in np.array_split(code, -(-len(code) // 65536) or 1):
+                i, j = some // len(ids), some % len(ids)
+                ok = _within(sk, n, i, j, t)
+                out.append(pd.DataFrame({"a": ids[i[ok]], "b": ids[j[ok]]}))
+        return pd.concat(out).astype("int64") if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return both.groupBy("bucket").applyInPandas(solve, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
@@ -168,19 +215,17 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     asks = cross.where("root <> main").select("key", F.pmod(F.xxhash64("id"), rows).cast("int").alias("r"), F.explode(every).alias("c"), "id", "band", "root", F.lit(True).alias("asks"))
     has = cross.select("key", F.explode(F.sequence(F.lit(0), rows - 1)).alias("r"), F.pmod(F.xxhash64("id"), cols).cast("int").alias("c"), "id", "band", "root", F.lit(False).alias("asks"))
     dealt = asks.unionByName(has).join(bits, ["id", "band"])
-    p, q = t.numerator, t.denominator
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(tile: pd.DataFrame) -> list[tuple[int, int]]:
             ids, root, n, asks = (tile[k].to_numpy() for k in ("id", "root", "n", "asks"))
             if not asks.any() or asks.all():
                 return []
-            sk = np.stack(tile["bits"].to_numpy()).view(np.uint64)  # of signed numbers, bitwise_count takes the absolute value
+            sk = np.stack(tile["bits"].to_numpy()).view(np.uint64)
             have = np.flatnonzero(~asks)
             out = []
             for i in np.flatnonzero(asks):
-                far = np.bitwise_count(sk[have] ^ sk[i]).sum(1, dtype=np.int64)
-                ok = (root[have] != root[i]) & (far * (p + q) <= (n[have] + n[i]) * (q - p)) & (np.minimum(n[have], n[i]) * q >= np.maximum(n[have], n[i]) * p)
+                ok = (root[have] != root[i]) & _within(sk, n, have, np.full(len(have), i), t)
                 out += [(min(ids[i], j), max(ids[i], j)) for j in ids[have[ok]]]
             return out
 
@@ -208,10 +253,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fr
     hashes) is threshold or more. Equal sets are one node. The symmetric difference of linked sets is bounded by
     their size, so in a band of sizes with one segment more than that bound, linked sets agree in a whole segment of
     their parity sketches: sets are joined on (band, segment, XOR of the segment's hashes), filtered by the Hamming
-    distance of a sketch of one bit a shingle and verified on the texts. With some spare segments, values of more than
+    distance of a sketch of one bit a shingle and verified on the sets. With some spare segments, values of more than
     64 sets and those of segments without a shingle are left out for sets that must agree elsewhere too; nothing is lost. Of the sets with one value, each is first compared with the
     smallest id, the leader, then with the largest; where more than one component is left, what is outside the main one meets
-    all: as distinct pairs for values of at most 64 sets, else in tiles. The leaders that share most values with a set come first; other pairs are compared only where their
+    all: each pair once in buckets for values of at most 64 sets, else in tiles. The leaders that share most values with a set come first; other pairs are compared only where their
     components still differ. So connected copies are not expanded into pairs.
     A null, empty or blank text has no shingles and is linked with nothing; one of fewer words is one shingle. A row
     without an id has component_id null and links nothing. Rows that repeat an id are one node with the links of all
@@ -235,26 +280,32 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fr
     kept = stored(kept)
     discard(shared, members)
     ids = kept.select("id").distinct()
-    texts = stored(slim.join(ids, "id", "left_semi"))
+    sets = stored(_sets(slim.join(ids, "id", "left_semi"), words))
     leads = _leaders(kept, F.min)
-    links = cut(_verified(cut(_close(_best(leads), bits, t)), texts, words, t))
+    tried = cut(_close(_best(leads), bits, t))
+    links = cut(_verified(tried, sets, t))
     label = components(links)
-    apart = cut(_apart(leads.select("a", "b", "band").distinct(), label))
-    if not apart.isEmpty():
-        links = cut(links.union(_verified(cut(_close(apart, bits, t)), texts, words, t)).distinct())
+    apart = _apart(leads.select("a", "b", "band").distinct(), label)
+    close = cut(_close(apart, bits, t))
+    if not close.isEmpty():
+        tried = cut(tried.union(close))
+        links = cut(links.union(_verified(close, sets, t)).distinct())
         label = components(links)
     cross = _crossing(kept, label)
     if not cross.isEmpty():
         more = _leaders(cross.where("root <> main").select("key", "id", "band"), F.max).select("a", "b", "band").distinct()
-        links = cut(links.union(_verified(cut(_close(more, bits, t)), texts, words, t)).distinct())
+        close = cut(_close(more, bits, t))
+        tried = cut(tried.union(close))
+        links = cut(links.union(_verified(close, sets, t)).distinct())
         label = components(links)
         cross = _crossing(kept, label)
     if not cross.isEmpty():
         few, many = cross.where(F.col("cnt") <= HOT), cross.where(F.col("cnt") > HOT)
-        met = _pairs(few).join(apart.union(more), ["a", "b", "band"], "left_anti")
-        found = _close(met, bits, t) if many.isEmpty() else _close(met, bits, t).union(_tiles(many, bits, t)).distinct()
-        links = cut(links.union(_verified(cut(found), texts, words, t)).distinct())
+        found = _near(few, bits, t) if many.isEmpty() else _near(few, bits, t).union(_tiles(many, bits, t))
+        found = cut(found.distinct().join(tried.distinct(), ["a", "b"], "left_anti"))
+        links = cut(links.union(_verified(found, sets, t)).distinct())
         label = components(links)
+    discard(kept, sets, bits)
     rooted = nodes.join(label, "node", "left").select("f1", "f2", "n", F.coalesce("root", "node").alias("component"))
     rooted = cut(rooted)
     every = info.where("id is not null").select("id", "n", "f1", "f2").join(rooted, ["f1", "f2", "n"], "left")
