@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, discard, lower_word_bytes, shingle_hashes, stored, take, unpack_row, with_row, word_hashes
 
-#: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Rows of a tile, and of a bucket of smaller values, in the last step.
-GROWTH, HOT, TILE, BUCKET = 1.25, 64, 128, 8192
+#: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Members on a side of a tile, and rows of a bucket of smaller values, in the last step.
+GROWTH, HOT, TILE, BUCKET = 1.25, 64, 2048, 8192
 
 
 @dataclass(frozen=True)
@@ -147,9 +147,10 @@ def _close(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of the segment values whose sets are not all of one component yet: key, id, band, root, main (that of the smallest id)."""
+    """Members of the segment values whose sets are not all of one component yet: key, id, band, root; main (that of the smallest id) and cnt of the value; of all values with that main, how many members and how many at most."""
     rooted = stored(kept.join(label.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = cut(rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count("*").alias("cnt")).where("main < other").select("key", "main", "cnt"))
+    mixed = mixed.join(mixed.groupBy("main").agg(F.sum("cnt").alias("rows"), F.max("cnt").alias("most")), "main")
     cross = cut(rooted.join(mixed, "key"))
     discard(rooted)
     return cross
@@ -169,9 +170,8 @@ def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     by value. There each pair is compared once, however many values it shares, and a set's sketch comes once; only
     pairs that the sketches do not rule out are returned.
     """
-    of_main = cut(cross.groupBy("main").agg(F.count("*").alias("rows")))
     buckets = max(1, -(-cross.count() // BUCKET))
-    dealt = cross.join(of_main, "main").withColumn("bucket", F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / BUCKET))), F.lit(buckets)))
+    dealt = cross.withColumn("bucket", F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / BUCKET))), F.lit(buckets)))
     dealt = cut(dealt.select("bucket", "key", "band", "id", "root", "main"))
     sketches = dealt.select("bucket", "id", "band").distinct().join(bits.select("id", "band", "n", "bits"), ["id", "band"])
     both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({c: F.lit(None).cast("long") for c in ("key", "root", "main")}))
@@ -205,45 +205,46 @@ def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
 def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     """Candidate pairs of different components that share a segment value, by Hamming distance.
 
-    Members outside a value's main component meet all its members. Both are dealt to tiles of bounded size, so a hot
-    value is many tasks' work, and only pairs that the sketches do not rule out are returned.
+    Members outside a value's main component meet all its members. Both are dealt to tiles of bounded size, by their
+    own hashes, so a hot value is many tasks' work. Values with one main component share tiles, some at a time: there
+    a sketch comes once and a pair is compared once, and only pairs that the sketches do not rule out are returned.
     """
-    n_out = cross.where("root <> main").groupBy("key").agg(F.count("*").alias("outs"))
-    cross = cut(cross.join(cut(n_out), "key"))
-    rows, cols = F.ceil(F.col("outs") / TILE).cast("int"), F.ceil(F.col("cnt") / TILE).cast("int")
-    every = F.sequence(F.lit(0), cols - 1)
-    asks = cross.where("root <> main").select("key", F.pmod(F.xxhash64("id"), rows).cast("int").alias("r"), F.explode(every).alias("c"), "id", "band", "root", F.lit(True).alias("asks"))
-    has = cross.select("key", F.explode(F.sequence(F.lit(0), rows - 1)).alias("r"), F.pmod(F.xxhash64("id"), cols).cast("int").alias("c"), "id", "band", "root", F.lit(False).alias("asks"))
-    dealt = asks.unionByName(has).join(bits, ["id", "band"])
+    side = F.ceil(F.col("most") / TILE).cast("int")
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / (32 * TILE))).alias("salt")
+    every = F.sequence(F.lit(0), side - 1)
+    own = F.pmod(F.xxhash64("id"), side).cast("int")
+    asks = cross.where("root <> main").select("main", salt, own.alias("r"), F.explode(every).alias("c"), "key", "band", "id", "root", F.lit(True).alias("asks"))
+    has = cross.select("main", salt, F.explode(every).alias("r"), own.alias("c"), "key", "band", "id", "root", F.lit(False).alias("asks"))
+    dealt = cut(asks.unionByName(has))
+    place = ["main", "salt", "r", "c"]
+    sketches = dealt.select(*place, "id", "band").distinct().join(bits.select("id", "band", "n", "bits"), ["band", "id"])
+    both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({"key": F.lit(None).cast("long"), "root": F.lit(None).cast("long"), "asks": F.lit(False)}))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(tile: pd.DataFrame) -> list[tuple[int, int]]:
-            ids, root, n, asks = (tile[k].to_numpy() for k in ("id", "root", "n", "asks"))
-            if not asks.any() or asks.all():
-                return []
-            sk = np.stack(tile["bits"].to_numpy()).view(np.uint64)
-            have = np.flatnonzero(~asks)
-            out = []
-            for i in np.flatnonzero(asks):
-                ok = (root[have] != root[i]) & _within(sk, n, have, np.full(len(have), i), t)
-                out += [(min(ids[i], j), max(ids[i], j)) for j in ids[have[ok]]]
-            return out
-
-        held: list[pd.DataFrame] = []
-        last = None
-        for pdf in batches:
-            found = []
-            for tile_id, tile in pdf.groupby(["key", "r", "c"], sort=False):
-                if tile_id != last and held:
-                    found += solve(pd.concat(held))
-                    held = []
-                last = tile_id
-                held.append(tile)
-            yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-        if held:
-            yield pd.DataFrame(sorted(set(solve(pd.concat(held)))), columns=["a", "b"], dtype="int64")
-
-    return dealt.repartition("key", "r", "c").sortWithinPartitions("key", "r", "c").mapInPandas(run, "a long, b long").distinct()
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        has = pdf["bits"].notna()
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for number, part in pdf[~has].groupby("band", sort=False):
+            mine = pdf[has & (pdf["band"] == number)].sort_values("id")
+            ids, n, sk = mine["id"].to_numpy(), mine["n"].to_numpy(), np.stack(mine["bits"].to_numpy()).view(np.uint64)
+            at, root = np.searchsorted(ids, part["id"].to_numpy()), np.zeros(len(ids), np.int64)
+            root[at] = part["root"].to_numpy().astype(np.int64)
+            asked = part["asks"].to_numpy(bool)
+            outs = np.unique(at[asked])
+            keys = [(np.searchsorted(outs, at[i][asked[i]]), at[i][~asked[i]]) for i in part.groupby("key", sort=False).indices.values()]
+            for lo in range(0, len(outs), 256):
+                some = outs[lo : lo + 256]
+                meet = np.zeros((len(some), len(ids)), bool)
+                for x, y in keys:
+                    meet[np.ix_(x[(x >= lo) & (x < lo + 256)] - lo, y)] = True
+                i, j = np.nonzero(meet & (root[some][:, None] != root[None, :]))
+                i = some[i]
+                for at_ in range(0, len(i), 65536):
+                    x, y = i[at_ : at_ + 65536], j[at_ : at_ + 65536]
+                    ok = _within(sk, n, x, y, t)
+                    out.append(pd.DataFrame({"a": np.minimum(ids[x[ok]], ids[y[ok]]), "b": np.maximum(ids[x[ok]], ids[y[ok]])}))
+        return pd.concat(out).astype("int64").drop_duplicates()
+
+    return both.groupBy(*place).applyInPandas(solve, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
