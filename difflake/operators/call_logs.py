@@ -30,13 +30,19 @@ def context_overrun(log: DataFrame) -> DataFrame:
     return rows.withColumn("suggested", F.when((F.col("requested") > 0) & (F.col("maximum") > 0), F.greatest(F.lit(100), F.col("maximum") - F.col("requested") - 100)))
 
 
-def retry_plan(log: DataFrame, base: float = 1.0) -> DataFrame:
-    """Delays of three tries by class, without the random part."""
-    kind = error_class()
-    rows = log.where("status >= 400").select("call_id", kind.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("attempt"))
-    a = F.col("attempt")
-    delay = F.when(F.col("c").startswith("rate_limit"), F.least(F.lit(60.0), base * F.pow(F.lit(3.0), a))).when(F.col("c") == "server", F.least(F.lit(30.0), base * F.pow(F.lit(2.0), a)))
-    return rows.select("call_id", "attempt", F.col("c").alias("error_class"), delay.isNotNull().alias("retryable"), delay.alias("delay"))
+def retry_plan(log: DataFrame, base: float = 1.0, tries: int = 6) -> DataFrame:
+    """Delays of so many tries by class, without the random part: what a rate limit asks for, else a power of two or three with a limit by class.
+
+    The second provider has one rule for all that it retries, and a limit on what a rate limit asks for.
+    """
+    rows = log.where("status >= 400").select("call_id", "api", "retry_after", error_class().alias("c"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
+    c, second, asked = F.col("c"), F.col("api") == "anthropic", F.col("retry_after")
+    power = lambda x, most: F.least(F.lit(most), base * F.pow(F.lit(x), F.col("attempt")))
+    limited, given = c.startswith("rate_limit"), asked > 0
+    retryable = F.when(second, ~c.isin("auth", "billing", "organization", "permission", "context_length")).otherwise(limited | c.isin("server", "http"))
+    one = F.when(limited & given, F.least(asked, F.lit(60.0))).otherwise(power(2.0, 60.0))
+    other = F.when(limited, F.when(given, asked).otherwise(power(3.0, 60.0))).when(c == "server", power(2.0, 30.0)).otherwise(power(2.0, 16.0))
+    return rows.select("call_id", "attempt", c.alias("error_class"), retryable.alias("retryable"), F.when(retryable, F.when(second, one).otherwise(other)).alias("delay"))
 
 
 def normalize_finish_reason(responses: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def calls_per_minute(log: DataFrame, requests: int = 1000, tokens: int = 40_000)
     return w.select("provider", F.col("w.start").alias("start"), "requests", "tokens", (F.col("requests") / requests).alias("request_share"), (F.col("tokens") / tokens).alias("token_share"))
 
 
-def rolling_rate(log: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFrame:
+def rolling_rate(log: DataFrame, limit: int = 1000, seconds: int = 60) -> DataFrame:
     """Calls of the account in the time before each call, and whether one more exceeds the limit."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("account").orderBy("at").rangeBetween(-seconds * 1_000_000, -1)
@@ -70,12 +76,12 @@ def rolling_rate(log: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFra
     return rows.select("call_id", "before", (F.col("before") >= limit).alias("exceeds"), F.when(F.col("before") >= limit, seconds * 1_000_000 - (F.col("at") - F.col("oldest"))).alias("wait_us"))
 
 
-def peak_concurrency(log: DataFrame) -> DataFrame:
-    """Most calls of an account at once: a call lasts value minutes."""
+def peak_concurrency(log: DataFrame, limit: int = 3) -> DataFrame:
+    """Most calls of an account at once, and whether they were over the limit: a call lasts value minutes."""
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     events = log.select("account", start.alias("at"), F.lit(1).alias("d")).union(log.select("account", start + (F.col("value") * 60_000_000).cast("long"), F.lit(-1)))
     active = F.sum("d").over(Window.partitionBy("account").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("active", active).groupBy("account").agg(F.max("active").alias("peak"))
+    return events.withColumn("active", active).groupBy("account").agg(F.max("active").alias("peak"), (F.max("active") > limit).alias("over"))
 
 
 def failure_streaks(log: DataFrame) -> DataFrame:
@@ -103,8 +109,13 @@ def resolve_fallback(attempts: DataFrame) -> DataFrame:
 
 
 def batch_stats(attempts: DataFrame) -> DataFrame:
-    ok = F.count_if(F.col("outcome") == "ok")
-    return attempts.groupBy("run_id").agg(ok.alias("completed"), F.count_if(F.col("outcome") != "ok").alias("failed"), F.sum("micro_usd").alias("micro_usd"), (ok / F.count("*")).alias("success_rate"))
+    """Completed, failed and skipped attempts of each run, cost and time, and means over the completed ones."""
+    o = F.col("outcome")
+    us = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    s = attempts.groupBy("run_id").agg(F.count_if(o == "ok").alias("completed"), F.count_if(~o.isin("ok", "skipped")).alias("failed"), F.count_if(o == "skipped").alias("skipped"), F.sum("micro_usd").alias("micro_usd"), F.floor(us / 1_000_000).alias("seconds"))
+    one = lambda c: F.greatest(F.lit(1), c)
+    done = F.col("completed")
+    return s.select("*", (done / one(done + F.col("failed"))).alias("success_rate"), (F.col("micro_usd") / one(done)).alias("mean_micro_usd"), (F.col("seconds") / one(done)).alias("mean_seconds"))
 
 
 def classify_generation_errors(attempts: DataFrame) -> DataFrame:
@@ -119,9 +130,10 @@ def top_failure_reasons(attempts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def failed_sample(attempts: DataFrame, k: int = 10) -> DataFrame:
-    w = Window.partitionBy("run_id")
-    f = attempts.where("outcome <> 'ok'").withColumns({"rank": F.row_number().over(w.orderBy("ts", "seq")), "total": F.count("*").over(w)})
-    return f.where(F.col("rank") <= k).select("run_id", "rank", "instance_id", F.substring("error", 1, 100).alias("error"), F.greatest(F.lit(0), F.col("total") - k).alias("more"))
+    """The first k failures of each run and how many more there are. Ranks are cut to k before the shuffle; counts are sums."""
+    f = attempts.where("outcome not in ('ok', 'skipped')")
+    first = f.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "seq"))).where(F.col("rank") <= k)
+    return first.join(f.groupBy("run_id").agg(F.count("*").alias("total")), "run_id").select("run_id", "rank", "instance_id", F.substring("error", 1, 100).alias("error"), F.greatest(F.lit(0), F.col("total") - k).alias("more"))
 
 
 def progress_eta(attempts: DataFrame) -> DataFrame:

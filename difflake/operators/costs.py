@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Fixed value: the limit of a model that no rule knows.
 DEFAULT_LIMIT = 4096
 
@@ -34,9 +36,18 @@ def cost_rollup(usage: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def budget_cutoff(usage: DataFrame, models: DataFrame, budget_e8: int) -> DataFrame:
-    """Calls of each run, in time order, while the cost so far is within the budget."""
-    so_far = F.sum("cost_e8").over(Window.partitionBy("run_id").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0))
-    return usage_cost(usage, models).withColumn("spent_e8", so_far).where(F.col("spent_e8") <= budget_e8).select("run_id", "call_id", "spent_e8")
+    """Calls of each run, in time order, while the cost so far is within the budget.
+
+    A run is cut into ranges of time; sums of the ranges before are added, so a large run is many tasks' work.
+    """
+    order = ["run_id", "ts", "call_id"]
+    parts = cut(usage_cost(usage, models).select(*order, "cost_e8").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # ranges are drawn once
+    sums = parts.groupBy("run_id", "part").agg(F.sum("cost_e8").alias("sum"))
+    earlier = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("run_id", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset")).where(F.col("offset") <= budget_e8)  # a row for each run and partition
+    so_far = F.sum("cost_e8").over(Window.partitionBy("run_id", "part").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.join(offsets, ["run_id", "part"]).withColumn("spent_e8", so_far + F.col("offset"))
+    return rows.where(F.col("spent_e8") <= budget_e8).select("run_id", "call_id", "spent_e8")
 
 
 def cost_warnings(usage: DataFrame, models: DataFrame) -> DataFrame:

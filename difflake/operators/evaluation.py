@@ -12,14 +12,20 @@ def latest_results(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id", "instance_id").agg(F.max_by("passed", last).alias("passed"), F.max_by("error", last).alias("error"), F.max_by("seconds", last).alias("seconds"), F.max_by("model", last).alias("model"), F.count("*").alias("records"))
 
 
-def evaluation_stats(results: DataFrame) -> DataFrame:
-    passed = F.count_if("passed")
-    return latest_results(results).groupBy("run_id").agg(F.count("*").alias("selected"), passed.alias("passed"), F.count_if(~F.col("passed")).alias("failed"), (passed / F.count("*") * 100).alias("score"), F.sum("seconds").alias("seconds"))
+def evaluation_stats(results: DataFrame, selected: DataFrame) -> DataFrame:
+    """Selected, evaluated, missing, passed and failed instances of each run; the score counts missing ones. A result of an instance that is not selected does not count."""
+    latest = latest_results(results).join(selected.select("instance_id").distinct(), "instance_id", "left_semi")
+    n = selected.select("instance_id").distinct().agg(F.count("*").alias("selected"))
+    runs = results.select("run_id").distinct().join(F.broadcast(n))  # one row
+    found = latest.groupBy("run_id").agg(F.count("passed").alias("evaluated"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.sum("seconds").alias("seconds"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = runs.join(found, "run_id", "left").select("run_id", "selected", zero("evaluated").alias("evaluated"), zero("passed").alias("passed"), zero("failed").alias("failed"), "seconds")
+    return out.select("*", (F.col("selected") - F.col("evaluated")).alias("missing"), F.when(F.col("selected") > 0, F.col("passed") / F.col("selected") * 100).otherwise(0.0).alias("score"))
 
 
 def json_summary(results: DataFrame) -> DataFrame:
     s = latest_results(results).groupBy("run_id").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
-    return s.select("run_id", "total", "passed", (F.col("total") - F.col("passed")).alias("failed"), F.floor(F.col("passed") * 1000 / F.col("total")).alias("rate_per_mille"))
+    return s.select("run_id", "total", "passed", (F.col("total") - F.col("passed")).alias("failed"), F.format_string("%.1f%%", F.bround(F.col("passed") / F.col("total") * 100, 1)).alias("success_rate"))
 
 
 def failed_for_rerun(results: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import diff_checks
+from . import repair
 
-#: What a line of a diff may begin with, lines of commit messages, and the shape of file headers.
+#: What a line of a diff may begin with, lines of commit messages, the shape of file headers, and the forms in which responses give files, pairs of texts, names of files and instructions.
 ALLOWED = r"^(?:[ +\-@\\]|diff|index|new file|deleted)"
 MESSAGE = r"^(?:Author:|Date:|commit [a-f0-9]+)"
 HEADERS = r"(?m)^--- [^\n]*\n\+\+\+ "
@@ -20,6 +20,7 @@ FILE_BLOCK = r"(?s)<file>([^<]+)</file>.*?<old>(.*?)</old>.*?<new>(.*?)</new>"
 PAIR = r"(?is)(?:SEARCH|<<<old>>>):\s*\n(.*?)\n(?:REPLACE|<<<new>>>):\s*\n(.*?)(?:\n\n|\z)"
 OTHER_PAIR = r"(?s)<<<old>>>\s*\n(.*?)\n<<<new>>>\s*\n(.*?)(?:\n|\z)"
 NAMED = r"(?:file|File|in|In)\s*[:\s]+([a-zA-Z0-9_/.-]+\.py)"
+OWN_NAME = r"(?m)^#\s*([a-zA-Z0-9_/.-]+\.py)"
 EDITED = r"(?:in|In|file|File)\s+([a-zA-Z0-9_/.-]+\.py)"
 INSTRUCTIONS = {
     "changes": r'(?i)change\s+"([^"]+)"\s+to\s+"([^"]+)"',
@@ -99,7 +100,7 @@ def extract_search_replace(responses: DataFrame) -> DataFrame:
     main = c.rlike(PAIR)
     old, new = (F.when(main, pick(PAIR, g)).otherwise(pick(OTHER_PAIR, g)) for g in (1, 2))
     rows = responses.select("response_id", F.regexp_extract(c, NAMED, 1).alias("named"), old.alias("old"), new.alias("new")).where(F.size("old") > 0)
-    own = F.regexp_extract(F.get("old", 0), r"(?m)^#\s*([a-zA-Z0-9_/.-]+\.py)", 1)
+    own = F.regexp_extract(F.get("old", 0), OWN_NAME, 1)
     path = F.when(F.col("named") != "", F.col("named")).when(own != "", own)
     side = lambda x: F.split(_stripped(x, left=True), "\n", -1)
     led = lambda mark, lines: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(mark), x)), "\n")
@@ -156,17 +157,30 @@ def candidates(responses: DataFrame) -> DataFrame:
 def extract_patches(responses: DataFrame) -> DataFrame:
     """The patch of each response: the first candidate that is valid and sure, else the one of highest confidence, the earlier on ties.
 
-    Checks move the confidence of a format: up by a tenth for a valid diff, down by a tenth for each error, to three
-    tenths at least. A response without a candidate has a null patch.
+    A candidate with issues or warnings is mended once (see repair.fix_hunk_counts) and looked at again; one that then
+    still has warnings is out of the running. Valid ones are normalised. Confidence is repair.confidence, at most 0.95
+    where anything said that the patch may be cut off, and at most 0.7 for one that ends in a change without a line
+    feed. issues are those that the candidate had at first. A response without a candidate has a null patch.
     """
     c = cut(candidates(responses).where(F.col("confidence") >= LEAST).withColumn("patch_id", F.concat_ws("#", "response_id", "format")))  # each check reads them
-    checked = diff_checks.validate_patches(c.select("patch_id", "patch", F.lit("").alias("run_id"), F.lit("").alias("instance_id"))).select("patch_id", "errors", "is_valid")
-    final = F.when(F.col("is_valid"), F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence") * F.greatest(F.lit(0.3), 1 - F.col("errors") / 10))
-    c = c.join(checked, "patch_id").withColumn("final", final)
+    before = repair.validate_extracted(c).select("patch_id", F.concat_ws(",", F.nullif("issues", F.lit("")), F.nullif("warnings", F.lit(""))).alias("issues"), F.col("warnings").contains("cut_off").alias("cut_off"), (~F.col("is_valid") | (F.col("n_warnings") > 0)).alias("odd"))
+    c = cut(c.join(before, "patch_id"))
+    mended = repair.fix_hunk_counts(c.where("odd"))
+    tried = cut(c.where("not odd").select("patch_id", "patch").unionByName(mended))
+    after = repair.validate_extracted(tried).where("n_warnings = 0").select("patch_id", "is_valid", "n_issues")
+    normal = normalize_patches(tried).withColumnRenamed("patch", "normal")
+    j = c.drop("patch").join(tried, "patch_id").join(after, "patch_id").join(normal, "patch_id")
+    j = j.withColumn("patch", F.when(F.col("is_valid"), F.col("normal")).otherwise(F.col("patch")))
+    kind = F.when(F.col("format") == "fenced", F.when(F.abs(F.col("confidence") - 0.75) < 0.001, "fenced_patch").otherwise("fenced_diff")).otherwise(F.col("format"))
+    base = F.coalesce(F.create_map(*(F.lit(x) for kv in repair.BASE.items() for x in kv))[kind], F.lit(0.5))
+    final = repair.confidence(F.col("patch"), base, F.col("is_valid"), F.col("n_issues"))
+    final = F.when(F.col("cut_off"), F.least(final, F.lit(0.95))).otherwise(final)
+    open_end = ~F.col("patch").endswith("\n") & F.element_at(F.split("patch", "\n", -1), -1).rlike("^[+ -]")
+    j = j.withColumn("final", F.when(open_end, F.least(final, F.lit(0.7))).otherwise(final))
     early = F.col("is_valid") & (F.col("final") >= SURE)
     rank = F.struct((~early).alias("late"), F.when(early, F.lit(0.0)).otherwise(-F.col("final")).alias("least"), "order")
-    best = c.groupBy("response_id").agg(F.min_by(F.struct("format", "patch", "final", "is_valid"), rank).alias("b"))
-    return responses.select("response_id", "instance_id", "model").join(best, "response_id", "left").select("response_id", "instance_id", "model", "b.format", "b.patch", F.col("b.final").alias("confidence"), F.coalesce("b.is_valid", F.lit(False)).alias("is_valid"))
+    best = j.where(early | (F.col("final") >= LEAST)).groupBy("response_id").agg(F.min_by(F.struct("format", "patch", "final", "is_valid", "issues"), rank).alias("b"))
+    return responses.select("response_id", "instance_id", "model").join(best, "response_id", "left").select("response_id", "instance_id", "model", "b.format", "b.patch", F.col("b.final").alias("confidence"), F.coalesce("b.is_valid", F.lit(False)).alias("is_valid"), F.coalesce("b.issues", F.lit("no_patch")).alias("issues"))
 
 
 def extraction_report(responses: DataFrame) -> DataFrame:
@@ -177,4 +191,6 @@ def extraction_report(responses: DataFrame) -> DataFrame:
 
 
 def emit_valid_patches(responses: DataFrame) -> DataFrame:
-    return extract_patches(responses).where("is_valid").select("instance_id", "model", "patch")
+    """instance_id, model, patch and reason of every response: a patch that is valid has no reason, another its issues and no patch."""
+    e = extract_patches(responses)
+    return e.select("instance_id", "model", F.when(F.col("is_valid"), F.col("patch")).alias("patch"), F.when(~F.col("is_valid"), F.col("issues")).alias("reason"))

@@ -24,8 +24,8 @@ def resume_batch(instances: DataFrame, attempts: DataFrame, max_tries: int = 2)
 
 
 def update_checkpoint(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One state for each (run, instance): completed once it ever was, else the last failure."""
-    both = old.unionByName(new).withColumn("ok", F.col("outcome") == "ok")
+    """One state for each (run, instance): completed once it ever was, else the last failure; skipped attempts are none."""
+    both = old.unionByName(new).where("outcome <> 'skipped'").withColumn("ok", F.col("outcome") == "ok")
     last = F.max_by(F.struct("error", "ts"), F.struct("ts", "seq"))
     s = both.groupBy("run_id", "instance_id").agg(F.bool_or("ok").alias("ok"), last.alias("last"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("done"))
     return s.select("run_id", "instance_id", F.when(F.col("ok"), "completed").otherwise("failed").alias("state"), F.when(~F.col("ok"), F.col("last.error")).alias("error"), F.when(F.col("ok"), F.col("done")).otherwise(F.col("last.ts")).alias("ts"))
@@ -69,13 +69,16 @@ def running_content(parsed: DataFrame) -> DataFrame:
 
 
 def rate_limit_headers(calls: DataFrame) -> DataFrame:
-    """Limits and what is left of them, by either family of header names; numbers that are not whole are null."""
+    """Limits, what is left of them and when they are full again, by either family of header names; numbers that are not whole are null."""
     h = calls.select("call_id", "provider", "ts", F.from_json("headers", "map<string,string>").alias("h"))
 
     def number(of: str, what: str) -> F.Column:
         return F.coalesce(F.try_element_at("h", F.lit(f"x-ratelimit-{what}-{of}")), F.try_element_at("h", F.lit(f"anthropic-ratelimit-{of}-{what}"))).try_cast("long")
 
-    return h.select("call_id", "provider", *(number(of, what).alias(f"{of}_{what}") for of in ("requests", "tokens") for what in ("limit", "remaining")))
+    def reset(of: str) -> F.Column:
+        return F.coalesce(F.try_element_at("h", F.lit(f"x-ratelimit-reset-{of}")), F.try_element_at("h", F.lit(f"anthropic-ratelimit-{of}-reset")))
+
+    return h.select("call_id", "provider", *(reset(of).alias(f"{of}_reset") for of in ("requests", "tokens")), *(number(of, what).alias(f"{of}_{what}") for of in ("requests", "tokens") for what in ("limit", "remaining")))
 
 
 def validate_requests(requests: DataFrame, models: DataFrame) -> DataFrame:

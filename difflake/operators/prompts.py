@@ -16,6 +16,12 @@ def estimate_tokens(instances: DataFrame) -> DataFrame:
     return instances.select("instance_id", F.floor((F.length(t) * PER_CHAR + marks * PER_MARK) / 40).alias("tokens"), F.greatest(F.lit(1), F.floor(F.length(t) / 4)).alias("simple"))
 
 
+def estimate_tokens_simple(rows: DataFrame, text: str, system: str) -> DataFrame:
+    """A quarter of the characters of text and system prompt, one at least."""
+    n = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return rows.select("instance_id", F.greatest(F.lit(1), F.floor((n(text) + n(system)) / 4)).cast("long").alias("tokens"))
+
+
 def estimate_instance_tokens(instances: DataFrame) -> DataFrame:
     words = lambda c: F.size(F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     return instances.select("instance_id", (F.floor(words("problem_statement") * 13 / 10) + F.floor(words("test_patch") * 13 / 10) + 200).alias("tokens"))

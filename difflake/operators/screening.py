@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of binary files; the default limit in bytes; markers of conflicts.
@@ -11,15 +11,18 @@ MAX_MB = 5
 CONFLICTS = ("invalid hunk", "@@@", "<<<<<<<", ">>>>>>>")
 
 
-def validate_predictions(predictions: DataFrame, max_mb: int = MAX_MB) -> DataFrame:
-    """The first rule that each prediction fails, null if none."""
+def first_failure(max_bytes: int = MAX_MB * 1024 * 1024) -> Column:
+    """The first rule that a prediction fails, null if none."""
     patch = F.col("patch")
     binary = F.exists(F.split(patch, "\n", -1), lambda x: x.startswith("GIT binary patch") | (x.contains("Binary files") & x.contains("differ")) | ((x.startswith("+++") | x.startswith("---")) & F.lower(x).rlike(BINARY_NAMES)))
-    reason = (
+    return (
         F.when(F.col("instance_id").isNull() | (F.col("instance_id") == ""), "empty_id").when(patch.isNull() | (patch == ""), "empty_patch").when(~F.col("instance_id").rlike(r"^[a-zA-Z0-9_\-\.]+$"), "bad_id")
-        .when(~patch.rlike(r"(?U)^\s*(diff --git|--- |\+\+\+ )"), "not_a_diff").when(F.octet_length(patch) > max_mb * 1024 * 1024, "too_large").when(binary, "binary")
+        .when(~patch.rlike(r"(?U)^\s*(diff --git|--- |\+\+\+ )"), "not_a_diff").when(F.octet_length(patch) > max_bytes, "too_large").when(binary, "binary")
     )
-    return predictions.select("patch_id", reason.alias("reason"))
+
+
+def validate_predictions(predictions: DataFrame, max_mb: int = MAX_MB) -> DataFrame:
+    return predictions.select("patch_id", first_failure(max_mb * 1024 * 1024).alias("reason"))
 
 
 def screen_predictions(predictions: DataFrame, max_mb: int = MAX_MB, note_kb: int = 500) -> DataFrame:

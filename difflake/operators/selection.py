@@ -7,8 +7,22 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Limits of patterns and ids.
 MAX_PATTERN, MAX_ID, MAX_SAMPLE = 1000, 200, 10_000
+#: Shapes of patterns that may take exponential time.
+COSTLY = (
+    r"\(\?\=.*\)\+",
+    r"\(\?\!.*\)\+",
+    r".*\*.*\*",
+    r"\(.*\)\+.*\(.*\)\+",
+    r"\[.*\]\*.*\[.*\]\*",
+    r"\(.*\+.*\)\+",
+    r"\(.*\*.*\)\*",
+    r".{500,}",
+    r"[a-zA-Z0-9_]\{[0-9]{3,},\}",
+)
 
 
 def select_by_ids(instances: DataFrame, ids: DataFrame) -> DataFrame:
@@ -41,8 +55,8 @@ def select_by_glob(instances: DataFrame, pattern: str) -> DataFrame:
 
 
 def select_by_regex(instances: DataFrame, pattern: str) -> DataFrame:
-    """Anchored at the start only. Empty, over-long, doubtful (two stars) or broken patterns are refused."""
-    if not pattern or len(pattern) > MAX_PATTERN or pattern.count("*") > 1:
+    """Anchored at the start only. Empty, over-long, costly or broken patterns are refused."""
+    if not pattern or len(pattern) > MAX_PATTERN or any(re.search(shape, pattern) for shape in COSTLY):
         raise ValueError("the pattern is empty, too long or too costly")
     re.compile(pattern)
     return instances.where(F.col("instance_id").rlike(f"^(?:{pattern})"))
@@ -60,7 +74,18 @@ def sample_percent(instances: DataFrame, percent: float, seed: int = 0) -> DataF
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
     n = max(1, int(instances.count() * percent / 100))
-    return instances.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "instance_id")), "instance_id").limit(n)
+    hashed = instances.withColumn("h_", F.md5(F.concat(F.lit(f"{seed}:"), "instance_id")))
+    # rows are not sorted: counts by the first digits of the hash tell where the n-th lies; only that range is ranked
+    counts = hashed.groupBy(F.substring("h_", 1, 3).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # 4096 rows at most
+    before = 0
+    for r in counts:
+        if before + r["n"] >= n:
+            break
+        before += r["n"]
+    else:
+        return instances
+    rest = hashed.where(F.substring("h_", 1, 3) == r["p"]).orderBy("h_", "instance_id").limit(n - before)
+    return hashed.where(F.substring("h_", 1, 3) < r["p"]).unionByName(rest).drop("h_")
 
 
 def validate_instance_ids(instances: DataFrame) -> DataFrame:
@@ -71,7 +96,7 @@ def validate_instance_ids(instances: DataFrame) -> DataFrame:
 
 def batch_instances(instances: DataFrame, size: int = 100) -> DataFrame:
     """Consecutive batches by id. Rows are numbered in range partitions; only the partitions' sizes are summed."""
-    parts = instances.select("instance_id").repartitionByRange("instance_id").sortWithinPartitions("instance_id").select(F.spark_partition_id().alias("part"), "instance_id")
+    parts = cut(instances.select("instance_id").repartitionByRange("instance_id").select(F.spark_partition_id().alias("part"), "instance_id"))  # ranges are drawn once
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = parts.join(before, "part").withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("instance_id")) - 1 + F.col("before"))

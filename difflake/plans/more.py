@@ -71,7 +71,7 @@ g("cheapest_model", "SELECT coalesce(arg_min(id, (i + o, pos)), 'none') AS id FR
 g("rank_models_by_recency", r"SELECT pos, id, coalesce(created // 86400, epoch(TRY_CAST(nullif(regexp_extract(id, '(?:^|-)(\d{4}-\d{2}-\d{2})(?:-|$)', 1), '') AS DATE)) // 86400)::BIGINT AS day FROM listed")(catalogue.rank_models_by_recency)
 
 q("resume_batch", "SELECT instance_id FROM customers WHERE instance_id NOT IN (SELECT instance_id FROM attempts GROUP BY 1 HAVING bool_or(outcome = 'ok') OR count(*) >= 2)", "customers", "attempts")(generation.resume_batch)
-q("update_checkpoint", "SELECT run_id, instance_id, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS state, CASE WHEN NOT ok THEN error END AS error, CASE WHEN ok THEN done ELSE last END AS ts FROM (SELECT run_id, instance_id, bool_or(outcome = 'ok') AS ok, arg_max(error, (ts, seq)) AS error, max(ts) AS last, max(CASE WHEN outcome = 'ok' THEN ts END) AS done FROM attempts GROUP BY ALL)", "attempts")(lambda a: generation.update_checkpoint(a.where("seq % 2 = 0"), a.where("seq % 2 = 1")))
+q("update_checkpoint", "SELECT run_id, instance_id, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS state, CASE WHEN NOT ok THEN error END AS error, CASE WHEN ok THEN done ELSE last END AS ts FROM (SELECT run_id, instance_id, bool_or(outcome = 'ok') AS ok, arg_max(error, (ts, seq)) AS error, max(ts) AS last, max(CASE WHEN outcome = 'ok' THEN ts END) AS done FROM attempts WHERE outcome <> 'skipped' GROUP BY ALL)", "attempts")(lambda a: generation.update_checkpoint(a.where("seq % 2 = 0"), a.where("seq % 2 = 1")))
 _JUDGED = "judged AS (SELECT *, doc_id % 10 <> 0 AS found, doc_id % 10 <> 0 AND doc_id % 3 = 0 AS passed FROM predictions)"
 q("join_harness_results", "SELECT patch_id, passed, CASE WHEN NOT found THEN 'not found in results' WHEN NOT passed AND doc_id % 3 = 1 THEN 'tests failed' END AS error FROM judged", "predictions", "harness_reports", more=_JUDGED)(generation.join_harness_results)
 q("evaluation_progress", "SELECT *, (evaluated + missing) * 100 / selected AS share FROM (SELECT run_id, count_if(patch <> '' AND found)::BIGINT AS evaluated, count_if(patch = '')::BIGINT AS missing, count(*) AS selected FROM judged GROUP BY 1)", "predictions", "harness_reports", more=_JUDGED)(generation.evaluation_progress)
@@ -87,7 +87,8 @@ FROM (SELECT path, unnest(range(1, len(x) + 1)) AS line_no, lower(unnest(x)) AS
 q("log_success", "SELECT path, contains(tail, 'ran successfully, 0 failed') OR contains(tail, 'all instances run.') AS passed FROM (SELECT path, lower(array_to_string(l[greatest(1, len(l) - 199):], chr(10))) AS tail FROM (SELECT *, string_split(content, chr(10)) AS l FROM logs))", "logs")(generation.log_success)
 q("running_content", "SELECT stream_id, seq, string_agg(delta, '') OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS content FROM parsed", "chunks", more=_PARSED)(lambda x: generation.running_content(ch.parse_chunks(x)))
 _HEAD = "TRY_CAST(coalesce(json_extract_string(headers, '$.\"x-ratelimit-{w}-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-{w}\"')) AS BIGINT) AS {o}_{w}"
-q("rate_limit_headers", "SELECT call_id, provider, " + ", ".join(_HEAD.format(o=o, w=w) for o in ("requests", "tokens") for w in ("limit", "remaining")) + " FROM limit_headers", "limit_headers")(generation.rate_limit_headers)
+_RESET = "coalesce(json_extract_string(headers, '$.\"x-ratelimit-reset-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-reset\"')) AS {o}_reset"
+q("rate_limit_headers", "SELECT call_id, provider, " + ", ".join(_RESET.format(o=o) for o in ("requests", "tokens")) + ", " + ", ".join(_HEAD.format(o=o, w=w) for o in ("requests", "tokens") for w in ("limit", "remaining")) + " FROM limit_headers", "limit_headers")(generation.rate_limit_headers)
 q(
     "validate_requests",
     r"SELECT response_id, CASE WHEN NOT regexp_matches(prompt, '[^ \t-\r]') THEN 'empty_prompt' WHEN temperature < 0 OR temperature > 2 THEN 'temperature' WHEN max_tokens < 1 THEN 'max_tokens' WHEN context_limit IS NULL THEN 'unknown_model' WHEN floor(length(prompt) / 4) + max_tokens > context_limit THEN 'over_limit' END AS reason FROM requests LEFT JOIN models USING (model)",

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff_checks
-from . import diffs, more, runs  # noqa: F401  (more and runs register their queries beside those of diffs)
+from . import contexts, diffs, more, repairs, runs  # noqa: F401  (these register their queries beside those of diffs)
 from .tables import table
 
 QUERIES = {**diffs.QUERIES}

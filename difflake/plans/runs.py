@@ -39,8 +39,15 @@ def r(name: str, sql: str):
 
 
 r("latest_results", "SELECT run_id, instance_id, passed, error, seconds, model, records FROM latest")(evaluation.latest_results)
-r("evaluation_stats", "SELECT run_id, count(*) AS selected, count_if(passed)::BIGINT AS passed, count_if(NOT passed)::BIGINT AS failed, count_if(passed) / count(*) * 100 AS score, sum(seconds)::BIGINT AS seconds FROM latest GROUP BY 1")(evaluation.evaluation_stats)
-r("json_summary", "SELECT run_id, count(*) AS total, count_if(passed)::BIGINT AS passed, (count(*) - count_if(passed))::BIGINT AS failed, CAST(floor(count_if(passed) * 1000 / count(*)) AS BIGINT) AS rate_per_mille FROM latest GROUP BY 1")(evaluation.json_summary)
+q(
+    "evaluation_stats",
+    """, sel AS (SELECT run_id, instance_id FROM (SELECT DISTINCT run_id FROM results), customers)
+SELECT run_id, count(*) AS selected, count(passed) AS evaluated, count_if(passed IS NULL)::BIGINT AS missing, count_if(passed)::BIGINT AS passed, count_if(NOT passed)::BIGINT AS failed, count_if(coalesce(passed, false)) / count(*) * 100 AS score, sum(seconds)::BIGINT AS seconds FROM sel LEFT JOIN latest USING (run_id, instance_id) GROUP BY 1""",
+    "results",
+    "customers",
+    more=_LATEST,
+)(lambda results, customers: evaluation.evaluation_stats(results, customers))
+r("json_summary", "SELECT run_id, count(*) AS total, count_if(passed)::BIGINT AS passed, (count(*) - count_if(passed))::BIGINT AS failed, printf('%.1f%%', round_even(count_if(passed) / count(*) * 100, 1)) AS success_rate FROM latest GROUP BY 1")(evaluation.json_summary)
 r("failed_for_rerun", "SELECT run_id, instance_id FROM latest WHERE NOT passed")(evaluation.failed_for_rerun)
 r("format_duration", "SELECT seq, CASE WHEN seconds IS NULL OR seconds = 0 THEN 'N/A' WHEN seconds < 60 THEN seconds || 's' WHEN seconds < 3600 THEN (seconds // 60) || 'm ' || (seconds % 60) || 's' ELSE (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm ' || (seconds % 60) || 's' END AS duration FROM results")(evaluation.format_duration)
 r("status_breakdown", "SELECT run_id, status, n, n / sum(n) OVER (PARTITION BY run_id) AS share FROM (SELECT run_id, status, count(*) AS n FROM (SELECT *, CASE WHEN passed THEN 'resolved' WHEN contains(lower(error), 'patch does not apply') THEN 'patch_failed' WHEN contains(lower(error), 'timed out') THEN 'timeout' WHEN contains(lower(error), 'docker') THEN 'error' ELSE 'failed' END AS status FROM latest) GROUP BY ALL)")(evaluation.status_breakdown)
@@ -88,10 +95,15 @@ def c(name: str, sql: str):
 
 c("classify_api_errors", r"SELECT call_id, error_class, CASE WHEN status = 404 THEN regexp_extract(message, 'Model\s+''([^'']+)''', 1) END AS model FROM c")(cl.classify_api_errors)
 c("context_overrun", r"SELECT call_id, requested, maximum, CASE WHEN requested > 0 AND maximum > 0 THEN greatest(100, maximum - requested - 100) END AS suggested FROM (SELECT call_id, TRY_CAST(regexp_extract(message, 'requested (\d+) tokens', 1) AS BIGINT) AS requested, TRY_CAST(regexp_extract(message, 'maximum.*?(\d+)', 1) AS BIGINT) AS maximum FROM e WHERE contains(m, 'context length'))")(cl.context_overrun)
-c("retry_plan", "SELECT *, delay IS NOT NULL AS retryable FROM (SELECT call_id, CAST(a AS INTEGER) AS attempt, error_class, CASE WHEN starts_with(error_class, 'rate_limit') THEN least(60.0::DOUBLE, pow(3.0, a)) WHEN error_class = 'server' THEN least(30.0::DOUBLE, pow(2.0, a)) END AS delay FROM c, range(3) t(a))")(cl.retry_plan)
+c(
+    "retry_plan",
+    """SELECT call_id, attempt, error_class, retryable, CASE WHEN retryable THEN CASE WHEN api = 'anthropic' THEN CASE WHEN limited AND retry_after > 0 THEN least(retry_after, 60.0::DOUBLE) ELSE least(pow(2.0, attempt), 60.0::DOUBLE) END
+WHEN limited THEN CASE WHEN retry_after > 0 THEN retry_after ELSE least(60.0::DOUBLE, pow(3.0, attempt)) END WHEN error_class = 'server' THEN least(30.0::DOUBLE, pow(2.0, attempt)) ELSE least(16.0::DOUBLE, pow(2.0, attempt)) END END AS delay
+FROM (SELECT *, starts_with(error_class, 'rate_limit') AS limited, CASE WHEN api = 'anthropic' THEN error_class NOT IN ('auth', 'billing', 'organization', 'permission', 'context_length') ELSE error_class IN ('rate_limit_tokens', 'rate_limit_requests', 'server', 'http') END AS retryable, CAST(a AS INTEGER) AS attempt FROM c, range(6) t(a))""",
+)(cl.retry_plan)
 c("calls_per_minute", "SELECT provider, time_bucket(INTERVAL '60 seconds', ts) AS start, count(*) AS requests, sum(tokens)::BIGINT AS tokens, count(*) / 1000 AS request_share, sum(tokens) / 40000 AS token_share FROM call_log GROUP BY ALL")(cl.calls_per_minute)
-c("rolling_rate", "SELECT call_id, n AS before, n >= 3 AS exceeds, CASE WHEN n >= 3 THEN 3600000000 - (us - oldest) END AS wait_us FROM (SELECT *, count(*) OVER w AS n, min(us) OVER w AS oldest FROM (SELECT *, epoch_us(ts) AS us FROM call_log) WINDOW w AS (PARTITION BY account ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING))")(cl.rolling_rate)
-c("peak_concurrency", "SELECT account, max(active)::BIGINT AS peak FROM (SELECT account, sum(d) OVER (PARTITION BY account ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS active FROM (SELECT account, epoch_us(ts) AS us, 1 AS d FROM call_log UNION ALL SELECT account, epoch_us(ts) + CAST(trunc(value * 60000000) AS BIGINT), -1 FROM call_log)) GROUP BY 1")(cl.peak_concurrency)
+c("rolling_rate", "SELECT call_id, n AS before, n >= 3 AS exceeds, CASE WHEN n >= 3 THEN 3600000000 - (us - oldest) END AS wait_us FROM (SELECT *, count(*) OVER w AS n, min(us) OVER w AS oldest FROM (SELECT *, epoch_us(ts) AS us FROM call_log) WINDOW w AS (PARTITION BY account ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING))")(lambda x: cl.rolling_rate(x, 3, 3600))
+c("peak_concurrency", "SELECT account, max(active)::BIGINT AS peak, max(active) > 3 AS over FROM (SELECT account, sum(d) OVER (PARTITION BY account ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS active FROM (SELECT account, epoch_us(ts) AS us, 1 AS d FROM call_log UNION ALL SELECT account, epoch_us(ts) + CAST(trunc(value * 60000000) AS BIGINT), -1 FROM call_log)) GROUP BY 1")(cl.peak_concurrency)
 c("failure_streaks", "SELECT account, max(n) AS longest FROM (SELECT account, island, count(*) AS n FROM (SELECT *, count_if(NOT failed) OVER (PARTITION BY account ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS island FROM call_log) WHERE failed GROUP BY ALL) GROUP BY 1")(cl.failure_streaks)
 q("normalize_finish_reason", "SELECT response_id, CASE provider || '/' || reason WHEN 'openai/length' THEN 'length' WHEN 'openai/tool_calls' THEN 'tool_calls' WHEN 'anthropic/max_tokens' THEN 'length' WHEN 'anthropic/tool_use' THEN 'tool_calls' WHEN 'ollama/length' THEN 'length' ELSE 'stop' END AS finish_reason FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' WHEN 3 THEN 'tool_calls' ELSE 'end_turn' END AS reason FROM responses)", "responses")(
     lambda x: cl.normalize_finish_reason(x.withColumn("reason", F.expr("CASE doc_id % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' WHEN 3 THEN 'tool_calls' ELSE 'end_turn' END")))
@@ -108,15 +120,19 @@ def a(name: str, sql: str):
 
 a("resolve_attempts", "SELECT run_id, instance_id, arg_max(outcome, attempt) AS outcome, last(error ORDER BY attempt) AS error, max(attempt)::INTEGER AS attempts, sum(micro_usd)::BIGINT AS micro_usd, min(CASE WHEN outcome = 'token_limit' THEN attempt END) < max(attempt) AS truncated, least(10, count_if(outcome = 'parse_failure'))::BIGINT AS warmer FROM t WHERE stop IS NULL OR attempt <= stop GROUP BY ALL")(cl.resolve_attempts)
 a("resolve_fallback", "SELECT run_id, instance_id, (min((o, ts, seq, provider)) FILTER (outcome = 'ok'))[4] AS provider, (max((o, ts, seq, error)) FILTER (outcome <> 'ok'))[4] AS last_error FROM (SELECT *, CASE provider WHEN 'openai' THEN 0 WHEN 'anthropic' THEN 1 WHEN 'openrouter' THEN 2 ELSE 3 END AS o FROM attempts) GROUP BY ALL")(cl.resolve_fallback)
-a("batch_stats", "SELECT run_id, count_if(outcome = 'ok')::BIGINT AS completed, count_if(outcome <> 'ok')::BIGINT AS failed, sum(micro_usd)::BIGINT AS micro_usd, count_if(outcome = 'ok') / count(*) AS success_rate FROM attempts GROUP BY 1")(cl.batch_stats)
+a("batch_stats", "SELECT *, completed / greatest(1, completed + failed) AS success_rate, micro_usd / greatest(1, completed) AS mean_micro_usd, seconds / greatest(1, completed) AS mean_seconds FROM (SELECT run_id, count_if(outcome = 'ok')::BIGINT AS completed, count_if(outcome NOT IN ('ok', 'skipped'))::BIGINT AS failed, count_if(outcome = 'skipped')::BIGINT AS skipped, sum(micro_usd)::BIGINT AS micro_usd, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds FROM attempts GROUP BY 1)")(cl.batch_stats)
 a("classify_generation_errors", "SELECT run_id, CASE WHEN contains(lower(error), 'rate limit') THEN 'rate_limit' WHEN contains(lower(error), 'token limit') THEN 'token_limit' WHEN outcome = 'unexpected' THEN 'unexpected_error' ELSE 'provider_error' END AS kind, count(*) AS n FROM attempts WHERE error IS NOT NULL GROUP BY ALL")(cl.classify_generation_errors)
 a("top_failure_reasons", "SELECT * FROM (SELECT run_id, error, n, CAST(row_number() OVER (PARTITION BY run_id ORDER BY n DESC, error) AS INTEGER) AS rank FROM (SELECT run_id, error, count(*) AS n FROM attempts WHERE error IS NOT NULL GROUP BY ALL)) WHERE rank <= 5")(cl.top_failure_reasons)
-a("failed_sample", "SELECT run_id, CAST(rank AS INTEGER) AS rank, instance_id, substr(error, 1, 100) AS error, greatest(0, total - 10)::BIGINT AS more FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, seq) AS rank, count(*) OVER (PARTITION BY run_id) AS total FROM attempts WHERE outcome <> 'ok') WHERE rank <= 10")(cl.failed_sample)
+a("failed_sample", "SELECT run_id, CAST(rank AS INTEGER) AS rank, instance_id, substr(error, 1, 100) AS error, greatest(0, total - 10)::BIGINT AS more FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, seq) AS rank, count(*) OVER (PARTITION BY run_id) AS total FROM attempts WHERE outcome NOT IN ('ok', 'skipped')) WHERE rank <= 10")(cl.failed_sample)
 a("progress_eta", "SELECT run_id, completed, total, CASE WHEN completed > 0 THEN CAST(floor((total - completed) * (us / 1000000) / completed) AS BIGINT) END AS eta_seconds FROM (SELECT run_id, count_if(outcome = 'ok')::BIGINT AS completed, count(*) AS total, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM attempts GROUP BY 1)")(cl.progress_eta)
 
 _PARSED = """line AS (SELECT *, CASE WHEN starts_with(raw, 'data: ') THEN substr(raw, 7) WHEN provider = 'ollama' AND raw <> '' AND NOT starts_with(raw, ':') THEN raw END AS body FROM chunks),
-parsed AS (SELECT stream_id, seq, provider, body = '[DONE]' OR coalesce(CASE WHEN provider = 'ollama' AND json_valid(body) THEN json_extract_string(body, '$.done') = 'true' END, false) AS done,
-  CASE WHEN json_valid(body) THEN coalesce(CASE provider WHEN 'openai' THEN json_extract_string(body, '$.choices[0].delta.content') WHEN 'anthropic' THEN json_extract_string(body, '$.delta.text') ELSE json_extract_string(body, '$.response') END, '') ELSE '' END AS delta FROM line WHERE body IS NOT NULL)"""
+js AS (SELECT *, body = '[DONE]' AS fin, CASE WHEN json_valid(body) THEN body END AS j FROM line WHERE body IS NOT NULL),
+told AS (SELECT * FROM js WHERE fin OR CASE provider WHEN 'openai' THEN json_extract(j, '$.choices[0]') IS NOT NULL WHEN 'anthropic' THEN coalesce(json_extract_string(j, '$.type'), '') IN ('content_block_delta', 'message_stop') ELSE j IS NOT NULL END),
+parsed AS (SELECT stream_id, seq, provider, fin OR CASE provider WHEN 'openai' THEN json_extract_string(j, '$.choices[0].finish_reason') IS NOT NULL WHEN 'anthropic' THEN coalesce(json_extract_string(j, '$.type'), '') = 'message_stop' WHEN 'ollama' THEN coalesce(json_extract_string(j, '$.done') = 'true', false)
+    ELSE coalesce(json_extract_string(j, '$.done') = 'true', false) OR (json_extract_string(j, '$.done') IS NULL AND coalesce(json_extract_string(j, '$.finished') = 'true', false)) END AS done,
+  CASE WHEN fin THEN '' ELSE coalesce(CASE provider WHEN 'openai' THEN json_extract_string(j, '$.choices[0].delta.content') WHEN 'anthropic' THEN CASE WHEN json_extract_string(j, '$.type') = 'content_block_delta' THEN json_extract_string(j, '$.delta.text') END WHEN 'ollama' THEN json_extract_string(j, '$.response')
+    ELSE coalesce(json_extract_string(j, '$.content'), json_extract_string(j, '$.text'), json_extract_string(j, '$.message'), json_extract_string(j, '$.response')) END, '') END AS delta FROM told)"""
 
 
 def k(name: str, sql: str):

@@ -33,6 +33,16 @@ def _provider(x: str) -> str:
     return _PROVIDER.replace("{x}", x)
 
 
+
+
+def _flat_files(n: int, modulus: int, name: str, contents: list[str]) -> str:
+    """SQL of up to n files as one text: records end with chr(30), chr(31) stands between name and content."""
+    return " || ".join(f"CASE WHEN doc_id % {modulus} > {i} THEN '{name.format(i=i)}' || chr(31) || {contents[i % len(contents)].format(i=i)} || chr(30) ELSE '' END" for i in range(n))
+
+
+_LINE1 = "replace(substr(text, 1 + {i} * 7, 90), chr(10), ' ')"
+_CODE = ["'import os' || chr(10) || 'class C{i}(Base):' || chr(10) || '    def run(self):' || chr(10) || '        return ' || chr(39) || " + _LINE1 + " || chr(39) || chr(10) || 'def a{i}(x):' || chr(10) || '    pass' || chr(10) || 'def b{i}(x):'", _LINE1 + " || chr(10) || 'x = {i}'", "''", "'# ' || " + _LINE1 + " || chr(10) || '  def only{i}(a, b):' || chr(10) || '    pass'"]
+_TESTS = ["'def test_{i}():' || chr(10) || '    assert run() == ' || " + _LINE1, _LINE1 + " || chr(10) || 'ok'", "'Traceback' || chr(10) || '  AssertionError: ' || " + _LINE1 + " || chr(10) || '3 FAILED' || chr(10) || 'an exception'", "''"]
 #: name -> (tables of the driver or of this module that it reads, SQL)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "diffs": (("documents",), _DIFF),
@@ -43,6 +53,22 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'def test_' || lang || '():' || chr(10) || '    assert run() == 0' END AS test_patch,
         lang FROM {{documents}}""",
     ),
+    "flat_instances": (
+        ("instances",),
+        f"""SELECT i.*, CASE WHEN doc_id % 5 > 1 THEN 'look at ' || lang || chr(30) ELSE '' END || CASE WHEN doc_id % 5 > 2 THEN 'see the log.' || chr(30) || 'and, the rest' || chr(30) ELSE '' END AS hints_flat,
+        {_flat_files(7, 9, "tests/test_{i}.py", _TESTS)} AS tests_flat, {_flat_files(14, 15, "pkg/m{i}.py", _CODE)} AS code_flat FROM (SELECT *, problem_statement AS text FROM {{instances}}) i""",
+    ),
+    "outputs": (
+        ("documents",),
+        """SELECT CAST(doc_id AS STRING) AS text_id, CASE doc_id % 5 WHEN 0 THEN text
+        WHEN 1 THEN text || chr(10) || '  Traceback (most recent call last):' || chr(10) || '    File "a.py", line 3, in f' || chr(10) || chr(10) || '    x = 1' || chr(10) || 'KeyError: x' || chr(10) || 'after'
+        WHEN 2 THEN 'Traceback (most recent call last):' || chr(10) || '  File "b.py", line 12' || chr(10) || '    y' || chr(10) || text
+        WHEN 3 THEN text || chr(10) || '>  E  assert 1' || chr(10) || 'Expected: 3' || chr(10) || 'Actual: 4' || chr(10) || '2 FAILED' ELSE '' END AS text FROM {documents}""",
+    ),
+    "failures": (
+        ("responses",),
+        "SELECT response_id, CASE doc_id % 3 WHEN 0 THEN 'parse_failure' WHEN 1 THEN 'no_changes' ELSE 'hunk ' || provider END AS reason, 'Fix ' || instance_id AS prompt, content FROM {responses}",
+    ),
     "predictions": (
         ("diffs",),
         f"""SELECT 'run' || CAST(doc_id % 4 AS STRING) AS run_id, 'p' || CAST(doc_id AS STRING) AS patch_id, {_ID} AS instance_id, {_model("doc_id")} AS model,
@@ -92,13 +118,13 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "attempts": (
         ("orders",),
         f"""SELECT o_orderpriority AS run_id, 'repo' || CAST(o_custkey % 20 AS STRING) || '__pkg-' || CAST(o_custkey AS STRING) AS instance_id, {_provider("o_orderkey")} AS provider, o_orderkey AS seq,
-        CASE o_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'parse_failure' WHEN 3 THEN 'token_limit' WHEN 4 THEN 'provider_error' ELSE 'unexpected' END AS outcome,
+        CASE o_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN CASE WHEN o_orderkey % 4 = 1 THEN 'skipped' ELSE 'ok' END WHEN 2 THEN 'parse_failure' WHEN 3 THEN 'token_limit' WHEN 4 THEN 'provider_error' ELSE 'unexpected' END AS outcome,
         CASE o_orderkey % 6 WHEN 2 THEN 'No patch found in response' WHEN 3 THEN 'Token limit exceeded' WHEN 4 THEN 'Rate limit reached, retry later' WHEN 5 THEN 'KeyError: ' || o_orderstatus END AS error,
         CAST(round(o_totalprice) AS BIGINT) AS micro_usd, o_orderdate AS ts FROM {{orders}}""",
     ),
     "call_log": (
         ("events",),
-        """SELECT event_id AS call_id, event_type AS provider, user_id AS account, ts, value, event_type = 'error' OR event_id % 11 = 0 AS failed,
+        """SELECT event_id AS call_id, event_type AS provider, user_id AS account, ts, value, event_type = 'error' OR event_id % 11 = 0 AS failed, CASE WHEN event_id % 4 = 0 THEN 'anthropic' ELSE 'openai' END AS api, CASE WHEN event_id % 18 = 5 THEN CAST(event_id % 90 AS DOUBLE) END AS retry_after,
         CAST(floor(value * 100) AS BIGINT) AS tokens, props,
         CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 400 WHEN 4 THEN 400 WHEN 5 THEN 429 WHEN 6 THEN 503 WHEN 7 THEN 422 ELSE 200 END AS status,
         CASE event_id % 9 WHEN 1 THEN 'You exceeded your billing quota' WHEN 2 THEN 'Model ''m' || CAST(user_id AS STRING) || ''' not found' WHEN 3 THEN 'maximum context length is ' || CAST(4096 + user_id AS STRING) || ' but you requested ' || CAST(user_id * 7 AS STRING) || ' tokens'
@@ -106,12 +132,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "chunks": (
         ("conversations",),
-        """SELECT conv_id AS stream_id, turn AS seq, CASE role WHEN 'user' THEN 'openai' WHEN 'assistant' THEN 'anthropic' ELSE 'ollama' END AS provider,
-        CASE WHEN turn % 5 = 4 THEN 'data: [DONE]' WHEN turn % 7 = 6 THEN ': keep-alive'
-        WHEN role = 'user' THEN 'data: {{"choices":[{{"delta":{{"content":"' || esc || '"}},"finish_reason":null}}]}}'
-        WHEN role = 'assistant' THEN 'data: {{"type":"content_block_delta","delta":{{"text":"' || esc || '"}}}}'
-        ELSE '{{"response":"' || esc || '","done":' || CASE WHEN turn % 2 = 0 THEN 'false' ELSE 'true' END || '}}' END AS raw
-        FROM (SELECT *, replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') AS esc FROM {conversations})""",
+        """SELECT conv_id AS stream_id, turn AS seq, provider, CASE WHEN turn % 5 = 4 AND conv_id % 3 = 0 THEN 'data: [DONE]' WHEN turn % 7 = 6 THEN ': keep-alive' WHEN (conv_id + turn) % 13 = 12 THEN 'data: {{"choices":[' WHEN (conv_id + turn) % 17 = 16 THEN '' WHEN (conv_id + turn) % 19 = 18 THEN 'event: x'
+        WHEN provider = 'openai' THEN 'data: {{"choices":[' || CASE WHEN turn % 11 = 10 THEN '' ELSE '{{"delta":{{"content":"' || esc || '"}},"finish_reason":' || CASE WHEN turn % 6 = 4 THEN '"stop"' ELSE 'null' END || '}}' END || ']}}'
+        WHEN provider = 'anthropic' THEN 'data: {{"type":"' || CASE (conv_id + turn) % 8 WHEN 0 THEN 'ping' WHEN 1 THEN 'message_stop' WHEN 2 THEN 'message_start' ELSE 'content_block_delta' END || '","delta":{{"text":"' || esc || '"}}}}'
+        WHEN provider = 'ollama' THEN '{{"response":"' || esc || '","done":' || CASE WHEN turn % 2 = 0 THEN 'false' ELSE 'true' END || '}}'
+        ELSE 'data: {{"' || CASE turn % 4 WHEN 0 THEN 'content' WHEN 1 THEN 'text' WHEN 2 THEN 'message' ELSE 'response' END || '":"' || esc || '"' || CASE WHEN turn % 6 = 5 THEN ',"finished":true' WHEN turn % 6 = 3 THEN ',"done":true' ELSE '' END || '}}' END AS raw
+        FROM (SELECT *, CASE WHEN conv_id % 4 = 3 THEN 'other' WHEN role = 'user' THEN 'openai' WHEN role = 'assistant' THEN 'anthropic' ELSE 'ollama' END AS provider, replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') AS esc FROM {conversations})""",
     ),
     "gateway_models": (
         ("part",),
@@ -134,10 +160,15 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "customers": (("customer",), "SELECT 'repo' || CAST(c_custkey % 20 AS STRING) || '__pkg-' || CAST(c_custkey AS STRING) AS instance_id FROM {customer}"),
     "limit_headers": (
         ("call_log",),
-        """SELECT call_id, provider, ts, CASE call_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"anthropic-ratelimit-requests-remaining":"' || CAST(account AS STRING) || '","anthropic-ratelimit-tokens-limit":"50000","anthropic-ratelimit-tokens-remaining":"x"}}'
-        ELSE '{{"x-ratelimit-limit-requests":"1000","x-ratelimit-remaining-requests":"' || CAST(account % 1000 AS STRING) || '","x-ratelimit-limit-tokens":"40000","x-ratelimit-remaining-tokens":"' || CAST(tokens AS STRING) || '"}}' END AS headers FROM {call_log}""",
+        """SELECT call_id, provider, ts, CASE call_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"anthropic-ratelimit-requests-remaining":"' || CAST(account AS STRING) || '","anthropic-ratelimit-tokens-limit":"50000","anthropic-ratelimit-tokens-remaining":"x","anthropic-ratelimit-tokens-reset":"2024-01-01T00:00:' || CAST(10 + account % 50 AS STRING) || 'Z"}}'
+        ELSE '{{"x-ratelimit-limit-requests":"1000","x-ratelimit-remaining-requests":"' || CAST(account % 1000 AS STRING) || '","x-ratelimit-reset-requests":"' || CAST(account % 60 AS STRING) || 's","x-ratelimit-limit-tokens":"40000","x-ratelimit-remaining-tokens":"' || CAST(tokens AS STRING) || '"}}' END AS headers FROM {call_log}""",
     ),
     "requests": (("responses",), "SELECT response_id, model, CASE doc_id % 11 WHEN 0 THEN ' ' ELSE content END AS prompt, CAST(doc_id % 25 AS DOUBLE) / 10 AS temperature, doc_id % 4000 - 50 AS max_tokens FROM {responses}"),
+    "full_requests": (
+        ("responses",),
+        "SELECT response_id, provider, CASE WHEN doc_id % 9 = 0 THEN 'gpt-5-mini' ELSE model END AS model, 'Mend ' || instance_id AS prompt, CASE WHEN doc_id % 2 = 0 THEN 'You mend code.' ELSE '' END AS system, CAST(doc_id % 25 AS DOUBLE) / 10 AS temperature, doc_id % 4000 - 50 AS max_tokens, false AS stream FROM {responses}",
+    ),
+    "harness_days": (("results",), "SELECT run_id, day, count(*) AS total, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS done FROM (SELECT *, CAST(floor(seq / 100) AS BIGINT) AS day FROM {results}) GROUP BY run_id, day"),
     "raw_responses": (
         ("responses",),
         """SELECT response_id, provider, CASE provider WHEN 'anthropic' THEN '{{"content":[{{"type":"text","text":"' || md5(content) || '"}}],"stop_reason":"end_turn","usage":{{"input_tokens":' || CAST(prompt_tokens AS STRING) || ',"output_tokens":' || CAST(completion_tokens AS STRING) || '}}}}'

@@ -5,15 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import screening
+
+
+#: What events hold that matters: of all providers' shapes.
+EVENT = "choices array<struct<delta:struct<content:string>,finish_reason:string>>, type string, delta struct<text:string>, response string, done string, finished string, content string, text string, message string, bad string"
+
 
 def parse_chunks(chunks: DataFrame) -> DataFrame:
-    """stream_id, seq, provider, done, delta. Blank lines and comments are left out; a line that is not JSON adds nothing."""
-    raw = F.col("raw")
-    body = F.when(raw.startswith("data: "), F.substr(raw, F.lit(7))).when((F.col("provider") == "ollama") & (raw != "") & ~raw.startswith(":"), raw)
-    text = lambda path: F.get_json_object("body", path)
-    delta = F.when(F.col("provider") == "openai", text("$.choices[0].delta.content")).when(F.col("provider") == "anthropic", text("$.delta.text")).otherwise(text("$.response"))
-    done = (F.col("body") == "[DONE]") | F.coalesce((F.col("provider") == "ollama") & (text("$.done") == "true"), F.lit(False))
-    return chunks.withColumn("body", body).where("body is not null").select("stream_id", "seq", "provider", done.alias("done"), F.coalesce(delta, F.lit("")).alias("delta"))
+    """stream_id, seq, provider, done, delta.
+
+    Lines of event streams count when they begin with data: and ollama's lines as they are; blank lines, comments,
+    lines that are not JSON and events that carry no text are left out. A stream is done at [DONE], at a finish reason
+    (openai), at message_stop (anthropic), at done (ollama), and at done or finished for providers of no known shape,
+    whose text is the first of content, text, message and response that there is.
+    """
+    raw, provider = F.col("raw"), F.col("provider")
+    body = F.when(raw.startswith("data: "), F.substr(raw, F.lit(7))).when((provider == "ollama") & (raw != "") & ~raw.startswith(":"), raw)
+    rows = chunks.select("stream_id", "seq", "provider", body.alias("body")).where("body is not null")
+    j = F.from_json("body", EVENT, {"columnNameOfCorruptRecord": "bad"})
+    rows = rows.select("stream_id", "seq", "provider", (F.col("body") == "[DONE]").alias("end"), j.alias("j"))  # each line is parsed once
+    first, kind = F.get("j.choices", F.lit(0)), F.coalesce("j.type", F.lit(""))
+    is_true = lambda c: F.coalesce(F.col(c) == "true", F.lit(False))
+    told = F.col("j").isNotNull() & F.col("j.bad").isNull() & F.when(provider == "openai", first.isNotNull()).when(provider == "anthropic", kind.isin("content_block_delta", "message_stop")).otherwise(True)
+    delta = F.when(provider == "openai", first["delta"]["content"]).when(provider == "anthropic", F.when(kind == "content_block_delta", F.col("j.delta.text"))).when(provider == "ollama", F.col("j.response")).otherwise(F.coalesce(*(f"j.{k}" for k in ("content", "text", "message", "response"))))
+    done = F.when(provider == "openai", first["finish_reason"].isNotNull()).when(provider == "anthropic", kind == "message_stop").when(provider == "ollama", is_true("j.done")).otherwise(is_true("j.done") | (F.col("j.done").isNull() & is_true("j.finished")))
+    return rows.where(F.col("end") | told).select("stream_id", "seq", "provider", (F.col("end") | done).alias("done"), F.when(F.col("end"), "").otherwise(F.coalesce(delta, F.lit(""))).alias("delta"))
 
 
 def assemble_streams(parsed: DataFrame) -> DataFrame:
@@ -33,3 +50,25 @@ def stream_calls_per_minute(calls: DataFrame, late: str = "10 minutes") -> DataF
 def distinct_predictions(predictions: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream of predictions without repeats within the watermark; each (run, instance) is kept once."""
     return predictions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "instance_id"])
+
+
+def stream_predictions(predictions: DataFrame, good: str, bad: str, checkpoint: str, late: str = "1 hour", max_bytes: int = 5 * 1024 * 1024):
+    """Starts a stream that validates arriving predictions and appends them as Parquet: good ones to good, each (run, instance) once within the watermark, others to bad with their reason.
+
+    A batch that is run again after a failure overwrites what it had written.
+    """
+    reason = screening.first_failure(max_bytes)
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("reason", reason).persist()
+        rows.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        rows.where("reason is not null").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        rows.unpersist()
+
+    return distinct_predictions(predictions, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_progress(results: DataFrame, late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
+    """Passed and failed results of each run in windows, on a stream or a table."""
+    w = results.withWatermark("ts", late).groupBy("run_id", F.window("ts", every).alias("w")).agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    return w.select("run_id", F.col("w.start").alias("start"), "passed", "failed", (F.col("passed") * 100 / (F.col("passed") + F.col("failed"))).alias("share"))
