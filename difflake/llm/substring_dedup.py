@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,44 +22,47 @@ WINDOW = 12
 #: Members of a band whose pairs are joined as such, at most, and rows and columns of a tile of larger bands.
 HOT, TILE = 64, 512
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|\Z)")
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Spans of the text's paragraphs: sentences up to a line end, or to a sentence whose own hash is a multiple of three.
+class Cut:
+    """A text's words, by hash and place, and its paragraphs as ranges of words.
 
-    So the ends depend on the words nearby only, and a passage is cut alike wherever it stands.
+    A paragraph ends with a line, or with a sentence whose own hash is a multiple of three. So the ends depend on the
+    words nearby only, and a passage is cut alike wherever it stands.
     """
-    out, start = [], 0
-    for m in _SENTENCE.finditer(text):
-        if m.end() == m.start():
-            continue
-        words = m.group().lower().split()
-        if "\n" in m.group() or m.end() == len(text) or xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) % 3 == 0:
-            out.append((start, m.end()))
-            start = m.end()
-    if start < len(text):
-        out.append((start, len(text)))
-    return out
-
-
-def _cut_up(text: str | None) -> list[tuple[int, int, int, list[bytes]]]:
-    """(position, start, end, words) of the paragraphs with words enough."""
-    found = []
-    for i, (a, b) in enumerate(paragraphs(text or "")):
-        words = lower_word_bytes(text[a:b])
-        if len(words) >= MIN_WORDS:
-            found.append((i, a, b, words))
-    return found
 
-
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (code points) of the text's words, as lower_word_bytes cuts them."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.concatenate([[False], (cp != 32) & ((cp < 9) | (cp > 13)), [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
+    def __init__(self, text: str):
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate([[False], (cp != 32) & ((cp < 9) | (cp > 13)), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.hashes = word_hashes(lower_word_bytes(text))
+        n = len(self.hashes)
+        last = cp[self.ends - 1]
+        line = np.zeros(n, bool)
+        if n:
+            line[np.searchsorted(self.starts, np.flatnonzero(cp == 10)) - 1] = True  # of a line end before the first word, this marks the last word, which ends a paragraph anyway
+        stops = np.flatnonzero((last == 46) | (last == 33) | (last == 63) | line | (np.arange(n) == n - 1))
+        if n:
+            own = mix(np.add.reduceat(self.hashes, np.concatenate([[0], stops[:-1] + 1])))
+            stops = stops[(own % np.uint64(3) == 0) | line[stops] | (stops == n - 1)]
+        self.first, self.stop = np.concatenate([[0], stops[:-1] + 1]).astype(np.int64)[: len(stops)], stops + 1
+        long = self.stop - self.first >= MIN_WORDS
+        self.first, self.stop = self.first[long], self.stop[long]
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of SHINGLE words inside paragraphs of words enough, and where each paragraph's begin."""
+        sh, size = shingle_hashes(self.hashes, SHINGLE), self.stop - self.first - SHINGLE + 1
+        at = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
+        return sh[np.repeat(self.first - at, size) + np.arange(size.sum())], at
+
+    def nodes(self) -> np.ndarray:
+        """A hash of each paragraph's words in order."""
+        size = self.stop - self.first
+        at = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
+        place = np.arange(size.sum()) - np.repeat(at, size)
+        return np.add.reduceat(mix(self.hashes[np.repeat(self.first, size) + place] + place.astype(np.uint64) * _PAIR), at).view(np.int64)
 
 
 def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -114,66 +115,66 @@ def _paragraph_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, spans, nodes, bands_ = [], [], [], [np.empty(0, np.int64)]
+            doc, spans, nodes, bands_ = [np.empty(0, np.int64)], [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             run_doc, run_spans, run_nodes = [np.empty(0, np.int64)], [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
             for n, text in enumerate(batch.column(2).to_pylist()):
-                starts, ends_ = word_spans(text)
-                at, hashes = winnow(word_hashes(lower_word_bytes(text)))
+                t = Cut(text)
+                at, hashes = winnow(t.hashes)
                 run_doc.append(np.full(len(at), n))
-                run_spans.append(np.stack([at, starts[at], ends_[at + MIN_RUN - 1], np.full(len(at), MIN_RUN)], 1))
+                run_spans.append(np.stack([at, t.starts[at], t.ends[at + MIN_RUN - 1], np.full(len(at), MIN_RUN)], 1))
                 run_nodes.append(hashes.view(np.int64))
-                parts = _cut_up(text)
-                if not parts:
+                if not len(t.first):
                     continue
-                sizes = np.array([len(w) for *_, w in parts])
-                sh = shingle_hashes(word_hashes([x for *_, w in parts for x in w]), SHINGLE)
-                ends = np.cumsum(sizes)
-                keep = np.ones(len(sh), bool)
-                for back in range(1, SHINGLE):
-                    keep[(ends[:-1] - back)[ends[:-1] - back < len(sh)]] = False  # those that reach into the next paragraph
-                sh = sh[keep]
-                at = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+                sh, at = t.shingles()
                 minima = np.stack([np.minimum.reduceat(sh * s, at) for s in _SEEDS])
                 bands = mix(minima[::ROWS] * np.uint64(3) + mix(minima[1::ROWS] + np.arange(BANDS, dtype=np.uint64)[:, None]))
                 bands_.append(bands.T.ravel().view(np.int64))
-                doc += [n] * len(parts)
-                span = np.array([p[1:3] for p in parts], np.int64)
-                first, last = np.searchsorted(starts, span).T
-                spans.append(np.stack([first, *span.T, last - first], 1))
-                nodes += [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) for *_, w in parts]
-            of = pa.array(np.concatenate([np.array(doc, np.int64), *run_doc]))
+                doc.append(np.full(len(at), n))
+                spans.append(np.stack([t.first, t.starts[t.first], t.ends[t.stop - 1], t.stop - t.first], 1))
+                nodes.append(t.nodes())
+            n_parts = sum(map(len, doc))
+            of = pa.array(np.concatenate([*doc, *run_doc]))
             at = np.concatenate([*spans, *run_spans])
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands_)))
-            bands = pa.concat_arrays([bands, pa.nulls(len(of) - len(doc), bands.type)])
-            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(at[:, 3].astype(np.int32)), pa.array(np.concatenate([np.array(nodes, np.int64), *run_nodes])), bands, pa.array(np.arange(len(of)) >= len(doc))]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n_parts + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands_)))
+            bands = pa.concat_arrays([bands, pa.nulls(len(of) - n_parts, bands.type)])
+            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(at[:, 3].astype(np.int32)), pa.array(np.concatenate([*nodes, *run_nodes])), bands, pa.array(np.arange(len(of)) >= n_parts)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "k", "pos", "start", "end", "n_words", "node", "bands", "run"])
 
     return docs.select("id", "k", "text").mapInArrow(run, "id long, k long, pos int, start long, end long, n_words int, node long, bands array<long>, run boolean")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """node and the paragraph's words, for every paragraph of docs."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and its sorted distinct shingle hashes, of the paragraphs named by wanted: k and nodes, each node once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = Cut(text)
+                sh, at = t.shingles()
+                stop, asked = [*at[1:].tolist(), len(sh)], set(asked)
+                for i, node in enumerate(t.nodes().tolist()):
+                    if node in asked:
+                        asked.discard(node)
+                        nodes.append(node)
+                        sets.append(np.unique(sh[at[i] : stop[i]]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return docs.select("k", "text").join(wanted, "k").select("text", "nodes").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            joined = {b" ".join(w) for text in pdf["text"] for *_, w in _cut_up(text)}
-            yield pd.DataFrame([(xxhash.xxh3_64_intdigest(j) - (1 << 63), j.decode("utf-8", "surrogatepass")) for j in joined], columns=["node", "words"])
 
-    return docs.mapInPandas(run, "node long, words string")
+def _alike(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return threshold.denominator * both >= threshold.numerator * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, words: DataFrame, threshold: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            a, b = (np.unique(shingle_hashes(word_hashes(lower_word_bytes(s)), SHINGLE)) for s in (p, q))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(threshold.denominator * both >= threshold.numerator * (len(a) + len(b) - both))
-        return pd.Series(out)
+        return pd.Series([_alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), threshold) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    left = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-    return left.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").where(linked("x", "y")).select("a", "b").distinct()
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    return left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
 def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def _pairs(cross: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _tiles(cross: DataFrame, words: DataFrame, threshold: Fraction) -> DataFrame:
+def _tiles(cross: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The links between different components in large bands.
 
     Members outside a band's main component meet all its members. Both are dealt to tiles of bounded size, so a large
@@ -202,7 +203,7 @@ def _tiles(cross: DataFrame, words: DataFrame, threshold: Fraction) -> DataFrame
     rows, cols = F.ceil(F.col("outs") / TILE).cast("int"), F.ceil(F.col("cnt") / TILE).cast("int")
     asks = cross.where("root <> main").select("band", F.pmod(F.xxhash64("node"), rows).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("c"), "node", "root", F.lit(True).alias("asks"))
     has = cross.select("band", F.explode(F.sequence(F.lit(0), rows - 1)).alias("r"), F.pmod(F.xxhash64("node"), cols).cast("int").alias("c"), "node", "root", F.lit(False).alias("asks"))
-    dealt = asks.unionByName(has).join(words, "node")
+    dealt = asks.unionByName(has).join(sets, "node")
     p, q = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,13 +212,13 @@ def _tiles(cross: DataFrame, words: DataFrame, threshold: Fraction) -> DataFrame
             if tile["asks"].any() and not tile["asks"].all():
                 has_ = tile[~tile["asks"]]
                 ids, root = has_["node"].to_numpy(), has_["root"].to_numpy()
-                sets = [np.unique(shingle_hashes(word_hashes(lower_word_bytes(x)), SHINGLE)) for x in has_["words"]]
+                sets = [np.frombuffer(x, np.uint64) for x in has_["set"]]
                 size = np.array([len(x) for x in sets])
                 value, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
                 order = np.argsort(value)
                 value, of = value[order], of[order]
-                for x, rx, text in tile[tile["asks"]][["node", "root", "words"]].itertuples(index=False):
-                    mine = np.unique(shingle_hashes(word_hashes(lower_word_bytes(text)), SHINGLE))
+                for x, rx, own in tile[tile["asks"]][["node", "root", "set"]].itertuples(index=False):
+                    mine = np.frombuffer(own, np.uint64)
                     lo, hi = np.searchsorted(value, mine), np.searchsorted(value, mine, "right")
                     n = hi - lo
                     at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -308,15 +309,16 @@ def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction) ->
     kept = stored(band.join(shared, "band").select("band", "node", "lo", "hi").distinct())
     pairs = kept.select(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")).union(kept.select(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))
     pairs = cut(pairs.where("a < b").distinct())
-    nodes = cut(kept.select("node").distinct())
-    words = stored(_texts(docs).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    links = cut(_verified(pairs, words, threshold))
+    nodes = kept.select("node").distinct()
+    wanted = rows.where("not run").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("node").alias("nodes"))  # a document's own
+    sets = stored(_sets(docs, wanted))
+    links = cut(_verified(pairs, sets, threshold))
     label = components(links)
     cross = _crossing(kept, label)
     if not cross.isEmpty():
         few, many = cross.where(F.col("cnt") <= HOT), cross.where(F.col("cnt") > HOT)
-        found = _verified(cut(_pairs(few).join(pairs, ["a", "b"], "left_anti")), words, threshold)
-        found = found if many.isEmpty() else found.union(_tiles(many, words, threshold))
+        found = _verified(cut(_pairs(few).join(pairs, ["a", "b"], "left_anti")), sets, threshold)
+        found = found if many.isEmpty() else found.union(_tiles(many, sets, threshold))
         label = components(cut(links.union(found).distinct()))
     return label
 
@@ -325,8 +327,7 @@ def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_
     """One row per passage that repeats: id, start, end (code points), n_words, clusters, first_ids, removed.
 
     Runs of 25 words that winnow() chooses are looked up by their hash, so exact repeats of 36 words or more are found
-    wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see
-    paragraphs). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the
+    wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see Cut). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the
     largest of its band, exactly, by the Jaccard similarity of its 5-word shingles, which is to be threshold or more.
     Where a band's paragraphs are not of one component then, those outside the main one meet all: as distinct pairs in
     bands of at most 64, else in tiles. Components are clusters, and equal paragraphs are one node from the start. Of each
