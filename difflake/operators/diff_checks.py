@@ -130,10 +130,79 @@ _SYNTAX = ("headers", "hunk_headers", "hunk_counts", "line_prefix")
 _COMMON = ("line_endings", "truncation", "empty_hunks", "newline_marker")
 
 
+def _entry(when: Column, check: str, level: str, code: str, line: Column | None = None, detail: Column | str = "") -> Column:
+    number = F.lit(None).cast("int") if line is None else line.cast("int")
+    return F.when(when, F.struct(F.lit(check).alias("check"), F.lit(level).alias("level"), F.lit(code).alias("code"), number.alias("line_number"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail")))
+
+
 def patch_issues(predictions: DataFrame) -> DataFrame:
-    """All issues of patches that are neither empty nor over-long; those are left out before their lines are made."""
+    """All issues of patches that are neither empty nor over-long; those are left out before their lines are made.
+
+    The same as the union of all CHECKS, in one pass: lines are exploded and laid out by patch once, every check's
+    columns are windows over that layout, and one aggregate per patch gathers what lines and the whole patch report.
+    """
     lines = ds.patch_lines(predictions.where((F.col("patch") != "") & (F.length("patch") <= MAX_CHARS)).repartition("patch_id"))
-    return reduce(DataFrame.unionByName, [check(lines) for check in CHECKS.values()])
+    line, kind, no, patch = F.col("line"), F.col("kind"), F.col("line_no"), Window.partitionBy("patch_id")
+    hunk, good = kind == "hunk", F.col("good_hunk")
+    earlier, later = ds.in_order().rowsBetween(Window.unboundedPreceding, -1), ds.in_order().rowsBetween(1, Window.unboundedFollowing)
+    change = F.col("added") | F.col("removed")
+    h = ds.carried(lines).withColumns({
+        "next": F.lead("line").over(ds.in_order()), "before": F.lag("line").over(ds.in_order()), "final": F.max("line_no").over(patch), "gits": F.count("git_from").over(ds.so_far()),
+        "state": F.last(F.when(hunk, "in").when(ds.starts(line, "---", "diff"), "out"), ignorenulls=True).over(earlier), "good_no": F.count_if(good).over(ds.so_far()), "next_good": F.min(F.when(good, no)).over(later),
+    })
+    of_hunk, of_good = Window.partitionBy("patch_id", "hunk_no"), Window.partitionBy("patch_id", "good_no").orderBy("line_no")
+    foreign = ds.starts(line, "---", "+++") | kind.isin("git_header", "other", "index")
+    least = lambda when: F.min(F.when(~hunk & when, no)).over(of_hunk)
+    h = h.withColumns({"stop": least(foreign), "stop_change": least(ds.starts(line, "---", "diff"))})
+    within = lambda stop: ~hunk & (F.col(stop).isNull() | (no < F.col(stop)))
+    body = F.when(ds.starts(line, "+", "-", " "), 1).otherwise(0)
+    h = h.withColumns({
+        "old_found": F.count_if(within("stop") & kind.isin("context", "blank", "del")).over(of_hunk), "new_found": F.count_if(within("stop") & kind.isin("context", "blank", "add")).over(of_hunk), "changes": F.count_if(within("stop_change") & change).over(of_hunk),
+        "found": F.sum(body).over(of_good.rowsBetween(Window.unboundedPreceding, -1)), "all_found": F.sum(body).over(Window.partitionBy("patch_id", "good_no")), "want": F.first(F.greatest("old_count", "new_count")).over(of_good),
+        "nth": F.row_number().over(Window.partitionBy("patch_id", "own").orderBy("line_no")), "nth_of_file": F.row_number().over(Window.partitionBy("patch_id", "file").orderBy("line_no")), "of_file": F.count_if(change).over(Window.partitionBy("patch_id", "file")),
+    })
+    old, paired = kind == "old_header", F.coalesce(F.col("next").startswith("+++ "), F.lit(False))
+    odd = (line != "") & ~ds.starts(line, "@@", "---", "+++", "diff", "index") & ~ds.starts(line, " ", "+", "-", "\\")
+    first_of_file = F.col("file").isNotNull() & (F.col("nth_of_file") == 1)
+    short, share = F.col("want") > F.col("all_found"), lambda a, b: F.concat_ws("/", a, b)
+    own = [
+        _entry((kind == "git_header") & F.col("git_from").isNull(), "headers", "error", "bad_git_header", no),
+        _entry((kind == "index") & (F.col("gits") > 0) & ~line.rlike(ds.INDEX), "headers", "warning", "bad_index", no),
+        _entry(old & F.col("next").isNull(), "headers", "error", "no_new_header_at_end", no),
+        _entry(old & F.col("next").isNotNull() & ~paired, "headers", "error", "no_new_header", no + 1),
+        _entry(hunk & ~good, "hunk_headers", "error", "bad_hunk_header", no),
+        *(_entry(good & (F.col(f"{x}_count") != F.col(f"{x}_found")), "hunk_counts", "warning", f"{x}_count", no, share(f"{x}_count", f"{x}_found")) for x in ("old", "new")),
+        _entry(odd & (F.col("state") == "in"), "line_prefix", "error", "bad_prefix", no, F.substring("line", 1, 1)),
+        _entry(F.col("own").isNotNull() & (F.col("nth") > 1), "duplicate_files", "error", "duplicate_file", no, F.col("path")),
+        _entry(first_of_file & (F.col("of_file") > MANY_CHANGES), "change_size", "warning", "many_changes", None, F.col("file")),
+        _entry(first_of_file & (F.col("of_file") > TOO_MANY_CHANGES), "change_size", "error", "too_many_changes", None, F.col("file")),
+        _entry(hunk & ~good & (F.col("good_no") > 0) & (F.col("found") < F.col("want")), "truncation", "error", "short_hunk", no, share("want", "found")),
+        _entry(good & short & F.col("next_good").isNotNull(), "truncation", "error", "short_hunk", F.col("next_good"), share("want", "all_found")),
+        _entry(good & short & F.col("next_good").isNull(), "truncation", "error", "short_last_hunk", None, share("want", "all_found")),
+        _entry(hunk & (F.col("changes") == 0), "empty_hunks", "warning", "empty_hunk", no),
+        _entry((line == NO_NEWLINE) & (F.col("before").isNull() | ~ds.starts(F.col("before"), "+", "-", " ")), "newline_marker", "warning", "misplaced_marker", no),
+    ]
+    in_file = lambda c: F.count_if(F.col("file").isNotNull() & F.col(c))
+    s = h.withColumn("own_issues", F.array_compact(F.array(*own))).groupBy("patch_id").agg(
+        F.flatten(F.collect_list(F.when(F.size("own_issues") > 0, F.col("own_issues")))).alias("issues"), F.max("final").alias("final"),
+        F.max(F.when(F.col("git_from").isNotNull(), no)).alias("git"), F.max(F.when(old & paired, no)).alias("pair"), F.count_if(hunk).alias("hunks"), F.count_if(old).alias("olds"),
+        F.min(F.when(line.rlike(BINARY), no)).alias("binary"), F.count_if(change).alias("n"), in_file("added").alias("plus"), in_file("removed").alias("minus"), F.count_if(first_of_file).alias("files"),
+        F.count_if(line.endswith("\r") & (no < F.col("final"))).alias("crlf"), F.max(F.when(no == F.col("final"), F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))).alias("last"), F.count_if((no > F.col("final") - 3) & line.startswith("\\ No newline")).alias("marks"),
+    )
+    c, ends = F.col, F.col("final") - 1
+    whole = [
+        _entry(c("git").isNotNull() & (F.coalesce("pair", F.lit(0)) < c("git")), "headers", "error", "no_file_headers_after_git"),
+        _entry(c("hunks") == 0, "headers", "error", "no_hunks"),
+        _entry((c("olds") == 0) & (c("hunks") > 0), "headers", "error", "no_file_headers"),
+        *[_entry(c("binary").isNotNull(), "binary", "error", "binary", c("binary"))] * 2,
+        _entry(c("n") == 0, "empty_patch", "error", "no_changes"),
+        _entry((c("minus") > 0) & (c("plus") == 0), "empty_patch", "warning", "only_deletions"),
+        _entry(c("files") > MAX_FILES, "empty_patch", "error", "too_many_files"),
+        _entry((c("crlf") > 0) & (ends > c("crlf")), "line_endings", "warning", "mixed_line_endings", None, F.concat_ws("/", "crlf", ends - c("crlf"))),
+        _entry((c("crlf") > 0) & (ends == c("crlf")), "line_endings", "warning", "crlf", None, c("crlf").cast("string")),
+        _entry((c("marks") == 0) & ds.starts(c("last"), "+", "-"), "truncation", "warning", "ends_with_change"),
+    ]
+    return s.select("patch_id", F.inline(F.concat("issues", F.array_compact(F.array(*whole)))))
 
 
 def validate_patches(predictions: DataFrame, issues: DataFrame | None = None) -> DataFrame:

@@ -33,6 +33,17 @@ def test_empty_and_over_long_patches_are_refused(spark):
         assert not found and verdict["errors"] == 1 and verdict["score"] == 0
 
 
+def test_one_pass_equals_the_union_of_checks(spark):
+    from difflake.plans.tables import table
+
+    rows = table(spark, "/root/testdata/sf0.001", "predictions").where("patch <> ''")
+    lines = diff_structure.patch_lines(rows.where(f"length(patch) <= {diff_checks.MAX_CHARS}"))
+    names = ["patch_id", "check", "level", "code", "line_number", "detail"]
+    rows_of = lambda df: sorted(map(repr, df.select(*names).collect()))
+    union = [r for check in diff_checks.CHECKS.values() for r in rows_of(check(lines))]
+    assert rows_of(diff_checks.patch_issues(rows)) == sorted(union) and len(union) > 100
+
+
 def test_fix_writes_real_counts(spark):
     df = spark.createDataFrame([("p", "--- a/x\n@@ -1,9 +1,9 @@ f\n a\n-b\n+c")], "patch_id string, patch string")
     assert diff_checks.autofix_patches(df).first()["patch"] == "--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@ f\n a\n-b\n+c"
