@@ -17,8 +17,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of three lines or more that occur earlier; n_chars follows the text."""
     names = docs.columns
-    done = line_dedup.line_dedup(docs).select(*names)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else done
+    done = line_dedup.line_dedup(docs)
+    flat = done.toDF(*(f"c{i}" for i in range(len(done.columns))))  # by position: names may differ in case only
+    length = F.length(f"c{names.index('text')}").cast("long")
+    return flat.select(*((length if n == "n_chars" else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", classify), ("line_dedup", drop_lines), ("ngram_join", drop_near), ("source_mix", mix), ("packing", pack)]
-#: The classifier is trained, the mix is drawn and pieces are tokens: not SQL. Tests hold the stages against brute force.
+#: The classifier is trained, the mix is drawn and pieces are tokens: not SQL. tests/llm holds the stages against brute force on small tables.
 ORACLE_SQL = None
 
 
