@@ -97,11 +97,20 @@ def validate_requests(requests: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def unify_responses(raw: DataFrame) -> DataFrame:
-    """Three shapes of raw responses in one: content, finish reason, tokens; a total of 0 is the sum."""
+    """Three shapes of raw responses in one: content, finish reason, tokens, latency and model.
+
+    Latency is never negative; a local provider's own duration in nanoseconds goes before what was measured. Rows of a
+    gateway keep the model that the response names, by which they are priced.
+    """
     at = lambda path: F.get_json_object("raw", path)
     pick = lambda first, second, third: F.when(F.col("provider") == "anthropic", at(second)).when(F.col("provider") == "ollama", at(third)).otherwise(at(first))
     number = lambda *p: F.coalesce(pick(*p).try_cast("long"), F.lit(0))
-    r = raw.select("response_id", "provider", F.coalesce(pick("$.choices[0].message.content", "$.content[0].text", "$.response"), F.lit("")).alias("content"), pick("$.choices[0].finish_reason", "$.stop_reason", "$.done_reason").alias("reason"), number("$.usage.prompt_tokens", "$.usage.input_tokens", "$.prompt_eval_count").alias("prompt_tokens"), number("$.usage.completion_tokens", "$.usage.output_tokens", "$.eval_count").alias("completion_tokens"))
+    own = F.floor(F.when(F.col("provider") == "ollama", at("$.total_duration").try_cast("long")) / 1_000_000)
+    latency = F.when(own > 0, own).otherwise(F.greatest(F.lit(0), F.coalesce("latency_ms", F.lit(0))))
+    model = F.when(F.col("provider") == "openrouter", F.coalesce(at("$.model"), "model")).otherwise(F.col("model"))
+    r = raw.select(
+        "response_id", "provider", model.alias("model"), latency.cast("long").alias("latency_ms"), F.coalesce(pick("$.choices[0].message.content", "$.content[0].text", "$.response"), F.lit("")).alias("content"), pick("$.choices[0].finish_reason", "$.stop_reason", "$.done_reason").alias("reason"),
+        number("$.usage.prompt_tokens", "$.usage.input_tokens", "$.prompt_eval_count").alias("prompt_tokens"), number("$.usage.completion_tokens", "$.usage.output_tokens", "$.eval_count").alias("completion_tokens"))
     return r.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 

@@ -95,7 +95,7 @@ q(
     "requests",
     "models",
 )(generation.validate_requests)
-q("unify_responses", "SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM (SELECT response_id, provider, md5(content) AS content, CASE provider WHEN 'anthropic' THEN 'end_turn' WHEN 'ollama' THEN 'stop' ELSE 'length' END AS reason, prompt_tokens::BIGINT AS prompt_tokens, CASE WHEN provider = 'ollama' THEN 0 ELSE completion_tokens END::BIGINT AS completion_tokens FROM responses)", "responses", "raw_responses")(lambda _, raw: generation.unify_responses(raw))
+q("unify_responses", "SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM (SELECT response_id, provider, CASE WHEN provider = 'openrouter' AND doc_id % 3 = 0 THEN 'vendor/m' || doc_id % 10 ELSE model END AS model, CASE WHEN provider = 'ollama' AND doc_id % 8 = 2 AND doc_id * 1000999 // 1000 // 1000 > 0 THEN (doc_id * 1000000 + 999) // 1000000 ELSE greatest(0, latency_ms - 7) END::BIGINT AS latency_ms, md5(content) AS content, CASE provider WHEN 'anthropic' THEN 'end_turn' WHEN 'ollama' THEN 'stop' ELSE 'length' END AS reason, prompt_tokens::BIGINT AS prompt_tokens, CASE WHEN provider = 'ollama' THEN 0 ELSE completion_tokens END::BIGINT AS completion_tokens FROM responses)", "responses", "raw_responses")(lambda _, raw: generation.unify_responses(raw))
 q("load_predictions", "SELECT line_no, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.instance_id') END AS instance_id, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.patch') END AS patch, CASE WHEN NOT json_valid(value) THEN 'bad_json' WHEN line_no % 7 = 2 THEN 'missing_key' END AS reason FROM prediction_lines WHERE value <> ' '", "prediction_lines")(generation.load_predictions)
 
 for _name in ("admit_sliding_window", "admit_token_bucket", "admit_composite", "breaker_states"):

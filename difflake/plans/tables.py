@@ -171,9 +171,9 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "harness_days": (("results",), "SELECT run_id, day, count(*) AS total, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS done FROM (SELECT *, CAST(floor(seq / 100) AS BIGINT) AS day FROM {results}) GROUP BY run_id, day"),
     "raw_responses": (
         ("responses",),
-        """SELECT response_id, provider, CASE provider WHEN 'anthropic' THEN '{{"content":[{{"type":"text","text":"' || md5(content) || '"}}],"stop_reason":"end_turn","usage":{{"input_tokens":' || CAST(prompt_tokens AS STRING) || ',"output_tokens":' || CAST(completion_tokens AS STRING) || '}}}}'
-        WHEN 'ollama' THEN '{{"response":"' || md5(content) || '","done_reason":"stop","prompt_eval_count":' || CAST(prompt_tokens AS STRING) || '}}'
-        ELSE '{{"choices":[{{"message":{{"content":"' || md5(content) || '"}},"finish_reason":"length"}}],"usage":{{"prompt_tokens":' || CAST(prompt_tokens AS STRING) || ',"completion_tokens":' || CAST(completion_tokens AS STRING) || '}}}}' END AS raw FROM {responses}""",
+        """SELECT response_id, provider, model, latency_ms - 7 AS latency_ms, CASE provider WHEN 'anthropic' THEN '{{"content":[{{"type":"text","text":"' || md5(content) || '"}}],"stop_reason":"end_turn","usage":{{"input_tokens":' || CAST(prompt_tokens AS STRING) || ',"output_tokens":' || CAST(completion_tokens AS STRING) || '}}}}'
+        WHEN 'ollama' THEN '{{"response":"' || md5(content) || '","done_reason":"stop","prompt_eval_count":' || CAST(prompt_tokens AS STRING) || CASE WHEN doc_id % 8 = 2 THEN ',"total_duration":' || CAST(doc_id * 1000 AS STRING) || '999' ELSE '' END || '}}'
+        ELSE '{{"choices":[{{"message":{{"content":"' || md5(content) || '"}},"finish_reason":"length"}}]' || CASE WHEN provider = 'openrouter' AND doc_id % 3 = 0 THEN ',"model":"vendor/m' || CAST(doc_id % 10 AS STRING) || '"' ELSE '' END || ',"usage":{{"prompt_tokens":' || CAST(prompt_tokens AS STRING) || ',"completion_tokens":' || CAST(completion_tokens AS STRING) || '}}}}' END AS raw, doc_id FROM {responses}""",
     ),
     "prediction_lines": (
         ("documents",),

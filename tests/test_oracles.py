@@ -7,7 +7,6 @@ from difflake.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"issue_histogram", "suggest_fixes"}  # the same issues as validate_patches
 
 
 def plain(v):
@@ -22,7 +21,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, con, name):
     ours = registry.QUERIES[name](spark, SF).toArrow()
     theirs = con.sql(registry.ORACLE_SQL[name]).to_arrow_table()
