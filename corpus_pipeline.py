@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from difflake.llm import line_dedup, ngram_join, packing, quality, source_mix
-from difflake.llm.common import stored
+from difflake.llm.common import discard, stored
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what goes between them is written, as between jobs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs)
+            done = stored(done)
+            if i:
+                discard(docs)
+        docs = done
     return docs
