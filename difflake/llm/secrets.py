@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, take
+from .common import WORDS, cut, take
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
-#: Documents that the field is fitted on at most, and tokens on each side of what it learns from.
-SAMPLE, AROUND = 1200, 12
+#: Documents that the field is fitted on at most, windows of tokens that it is fitted on at most, and tokens on each side of a window's middle.
+SAMPLE, WINDOWS, AROUND = 1200, 6000, 12
+#: Characters of a span that the field adds, at least.
+ADDED = 8
 O, B, I = 0, 1, 2  # noqa: E741
 _KEYWORD = re.compile(r"pass(?:word|wd)|secret|token|api_?key|credential|bearer|private_?key|auth", re.I | re.A)
 _CORE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.=-]*")
@@ -171,14 +177,13 @@ def decode(e: np.ndarray, step: np.ndarray) -> dict[int, int]:
     return tags
 
 
-def _tags(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
+def _tags(values: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Tags of the base matches' values: the first token of a value begins, later ones are inside."""
-    values = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, k, b in base_spans(text) if k]
-    tags = np.zeros(len(tokens), np.int64)
-    for i, (a, b) in enumerate(tokens):
-        for lo, hi in values:
-            if a < hi and lo < b:
-                tags[i] = B if lo >= a or i == 0 or not tags[i - 1] else I
+    tags = np.zeros(len(starts), np.int64)
+    for lo, hi in values:
+        i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi)
+        tags[i:j] = I
+        tags[i : min(i + 1, j)] = B
     return tags
 
 
@@ -193,21 +198,24 @@ class Typer:
         self.digit: list[bool] = []
         self.table = np.empty((0, len(_CARD) + 1), np.int64)
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
         if len(self.of) > 700_000:
             self.of.clear()
-        for t in set(tokens):
+        out = np.fromiter(map(self.of.get, tokens, repeat(-1)), np.int64, len(tokens))
+        for i in np.flatnonzero(out < 0).tolist():
+            t = tokens[i]
             if t not in self.of:
-                kind = token_type(t)
+                kind = token_type(t.decode("utf-8", "surrogatepass"))
                 if kind not in self.number:
                     self.number[kind] = len(self.feats)
                     self.feats.append(type_features(kind))
                     self.key.append(kind[6] > 0)
                     self.digit.append(kind[0] & 1 > 0)
                 self.of[t] = self.number[kind]
+            out[i] = self.of[t]
         if len(self.table) != len(self.feats):
             self.table = np.stack(self.feats)
-        return np.fromiter(map(self.of.__getitem__, tokens), np.int64, len(tokens))
+        return out
 
     def file(self, types: np.ndarray) -> np.ndarray:
         return file_features(len(types), int(np.array(self.key)[types].sum()), int(np.array(self.digit)[types].sum()))
@@ -222,41 +230,75 @@ def worker_typer() -> Typer:
     return _TYPER
 
 
-def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows around tagged tokens, and as many elsewhere."""
-    typer, feats, files, tags = Typer(), [], [], []
-    length = 2 * AROUND + 1
-    for text in texts:
-        spans = [m.span() for m in WORDS.finditer(text)]
-        if len(spans) < length:
-            continue
-        types = typer([text[a:b] for a, b in spans])
-        y, file = _tags(text, spans), typer.file(types)
-        hits = [int(i) for i in np.flatnonzero(y == B)]
-        for c in {*hits[:4], AROUND, len(spans) // 2}:
-            lo = min(max(0, c - AROUND), len(spans) - length)
-            feats.append(typer.table[types[lo : lo + length]])
-            files.append(file)
-            tags.append(y[lo : lo + length])
-    return (np.array(feats), np.array(files), np.array(tags)) if feats else (np.empty((0, length, len(_CARD) + 1), int),) * 3
-
-
-def fit_secrets(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fits the field on at most sample documents that hold a base match and a third as many that need not, first by a hash of the id."""
-    texts = take(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+def training_windows(text: str, typer: Typer) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whether it holds a secret, features, file features and tags of windows: around every base match's value, and of two places elsewhere.
+
+    A window around a value comes as it is and masked: key words become plain words and of a value's first token only
+    the value stays. So the field also learns what secrets look like where no base pattern names them. Beyond the
+    text's ends stand empty tokens.
+    """
+    spans = [m.span() for m in WORDS.finditer(text)]
+    if not spans:
+        return
+    starts, ends = np.array(spans).T
+    values = sorted([(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, k, b in base_spans(text) if k])
+    tags = _tags(values, starts, ends)
+    tokens = [text[a:b].encode("utf-8", "surrogatepass") for a, b in spans]
+    file = typer.file(typer(tokens))
+    first = {int(np.searchsorted(ends, lo, "right")): (lo, hi) for lo, hi in reversed(values)}
+
+    def masked(i: int) -> bytes:
+        if i in first:
+            lo, hi = first[i]
+            return text[max(lo, spans[i][0]) : min(hi, spans[i][1])].encode("utf-8", "surrogatepass")
+        return b"word" if _KEYWORD.search(text, *spans[i]) else tokens[i]
+
+    outside = {len(tokens) // 3, 2 * len(tokens) // 3}
+    for c in [*np.flatnonzero(tags == B).tolist(), *sorted(outside)]:
+        at = range(c - AROUND, c + AROUND + 1)
+        y = np.array([tags[i] if 0 <= i < len(tokens) else O for i in at])
+        ways = [lambda i: tokens[i]] + ([masked] if tags[c] == B else [])
+        for way in ways:
+            types = typer([way(i) if 0 <= i < len(tokens) else b"" for i in at])
+            yield bool(tags[c] == B), typer.table[types], file, y
+
+
+def fit_secrets(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Fits the field on windows of at most sample documents, three fourths of which hold a base match, first by a hash of the id.
+
+    Texts are cut into windows where they are stored, whole and of any length; at most windows of them, three fourths
+    with a secret, first by a hash of what they hold, come to the driver.
+    """
+    texts = take(docs, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     some = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    first = lambda df, n: df.orderBy(F.xxhash64("id", F.lit(5)), "id", "text").limit(n)
-    short = texts.where(F.length("text") <= 10_000)
-    rows = [r["text"] for r in first(short.where(F.col("text").rlike(some)), sample - sample // 4).union(first(short, sample // 4)).collect()]  # bounded by sample and length
-    return fit_field(*training_windows(rows))
+    keyed = texts.withColumn("h", F.xxhash64("id", "text", F.lit(5)))
+    first = lambda df, n: df.select("h").orderBy("h").limit(n)
+    chosen = first(keyed.where(F.col("text").rlike(some)), sample - sample // 4).union(first(keyed, sample // 4)).distinct()
+    kind = np.dtype("<i2")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        typer = Typer()
+        for batch in batches:
+            rows = [(hit, *(x.astype(kind).tobytes() for x in arrays)) for text in batch.column(0).to_pylist() for hit, *arrays in training_windows(text, typer)]
+            hashes = [xxhash.xxh64_intdigest(b"".join(r[1:])) - (1 << 63) for r in rows]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(columns[0], pa.bool_()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["h", "hit", "feats", "file", "tags"])
+
+    cuts = keyed.join(F.broadcast(chosen), "h").select("text").mapInArrow(cut_up, "h long, hit boolean, feats binary, file binary, tags binary")  # sample rows at most
+    cuts = cut(cuts)
+    take_ = lambda hit, n: cuts.where(F.col("hit") == hit).orderBy("h", "feats", "tags").limit(n)
+    rows = take_(True, windows - windows // 4).union(take_(False, windows // 4)).toArrow().sort_by([("h", "ascending"), ("feats", "ascending"), ("tags", "ascending")])  # bounded by windows
+    array = lambda name: np.frombuffer(b"".join(rows[name].to_pylist()), kind).astype(np.int64).reshape(rows.num_rows, -1)
+    length = 2 * AROUND + 1
+    return fit_field(array("feats").reshape(rows.num_rows, length, len(_CARD) + 1) if rows.num_rows else np.empty((0, length, len(_CARD) + 1), np.int64), array("file"), array("tags"))
 
 
 def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and spans, an array of (kind, start, end) by start and kind, in code points, end exclusive.
 
     kind is assign, access or hex for base matches of the whole text, and crf for what the field adds: the tokens
-    that Viterbi tags, without surrounding signs, where they do not touch a base match and have eight characters or
-    more. A null text is empty; an empty one has no spans. Rows are scanned one by one, so nulls in other columns,
+    that Viterbi tags, less those that touch a base match, without surrounding signs, where eight characters or
+    more are left. An id that is no number is an error in ANSI mode, else null. A null text is empty; an empty one has no spans. Rows are scanned one by one, so nulls in other columns,
     repeated rows and very long texts need nothing else; an empty table gives an empty result. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -269,7 +311,7 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
             for text in pdf["text"]:
                 text = text or ""
                 base = base_spans(text)
-                tokens = WORDS.findall(text)
+                tokens = text.encode("utf-8", "surrogatepass").split()
                 found = base
                 if tokens:
                     types = typer(tokens)
@@ -288,25 +330,41 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     return rows.mapInPandas(scan, "id long, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
+#: Signs around a secret that are not of it.
+_AROUND_TOKEN = "\"'`()[]{}<>,;:!?."
+
+
 def added(text: str, tags: dict[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of tagged tokens that touch no base match."""
-    runs: list[list[int]] = []
-    for i, s in tags.items():
-        if s == I and runs and runs[-1][-1] == i - 1:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-    last, where = runs[-1][-1], []
+    """Spans of runs of tagged tokens, without those tokens that touch a base match."""
+    where, last = {}, max(tags)
     for n, m in enumerate(WORDS.finditer(text)):
-        where.append(m.span())
+        if n in tags:
+            where[n] = m.span()
         if n == last:
             break
+    taken = sorted((x, y) for x, _, y in base)
+    reach = np.maximum.accumulate([y for _, y in taken]).tolist() if taken else []
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(taken, (b,))  # of the matches that begin before b, one ends after a
+        return not i or reach[i - 1] <= a
+
+    runs: list[list[int]] = []
+    for i, s in sorted(tags.items()):
+        if free(*where[i]):
+            if s == I and runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
     out = []
     for run in runs:
         a, b = where[run[0]][0], where[run[-1]][1]
-        cores = [m.span() for m in _CORE.finditer(text, a, b) if m.end() - m.start() >= 8]
-        if cores and not any(x < cores[-1][1] and cores[0][0] < y for x, _, y in base):
-            out.append((cores[0][0], 3, cores[-1][1]))
+        while a < b and text[a] in _AROUND_TOKEN:
+            a += 1
+        while a < b and text[b - 1] in _AROUND_TOKEN:
+            b -= 1
+        if b - a >= ADDED:
+            out.append((a, 3, b))
     return out
 
 
