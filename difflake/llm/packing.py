@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from bisect import insort
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from .common import take
 
 #: Tokens of a window; tokens of a piece of what is left of a document after its whole windows; pieces packed at a time.
 WINDOW, GRAIN, CHUNK = 1024, 256, 8192
-#: The letters of the plain characters; a text with other characters is left to the tokenizer's own pattern.
+#: The letters of the plain characters; a text with other characters is left to the tokenizer itself.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ]")
 _PIECES = re.compile(rf" ?[{_LETTER}]+|'[sdmt]|'ll|'ve|'re| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
@@ -44,13 +45,21 @@ class _Codes(dict):
 
 
 class Encoder:
-    """Token ids of whole texts. The tokenizer works on pieces of text one by one, so each piece is encoded once and looked up later."""
+    """Token ids of whole texts.
+
+    A byte-level BPE tokenizer that changes no text beforehand works on pieces of text one by one, so each piece is
+    encoded once and looked up later. Texts that hold a token added to the vocabulary, and all texts of any other
+    kind of tokenizer, are left to the tokenizer.
+    """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        told = json.loads(self.tokenizer.to_str())
+        before, model = told.get("pre_tokenizer") or {}, told["model"]
+        self.by_pieces = told.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        self.marks = [t["content"] for t in told.get("added_tokens") or []]
         self.alphabet = _printable()
         self._clear()
 
@@ -72,7 +81,7 @@ class Encoder:
         if len(self.code) > _CACHE:
             self._clear()
         find, number = _PIECES.findall, self.code.__getitem__
-        codes = [None if _OTHER.search(t) else np.fromiter(map(number, find(t)), np.int64) for t in texts]
+        codes = [None if not self.by_pieces or any(m in t for m in self.marks) or _OTHER.search(t) else np.fromiter(map(number, find(t)), np.int64) for t in texts]
         if self.code.new:
             self._learn()
         for text, c in zip(texts, codes, strict=True):
@@ -136,13 +145,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     A document is its token ids and end_id. Whole windows are cut off first and are sequences of their own; what is
     left is cut into pieces of at most grain tokens. Pieces of one input partition are packed by differencing, some
     thousand at a time, so memory is bounded and nothing is shuffled; sequence ids hold the partition's number.
-    A null text is empty and has end_id alone. Null ids and repeated rows are documents like others. An empty table
+    A null text is empty and has end_id alone. An id that is no number is an error in ANSI mode, else null. Null ids and repeated rows are documents like others. An empty table
     gives an empty result. The same partitions give the same sequences, so lost tasks can be run again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer_path).batch, TaskContext.get().partitionId()
-        sequence, rows, kept, kept_bytes = part << 40, [], [], 0
+        sequence, rows, kept = part << 40, [], []
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
         def emit() -> pa.RecordBatch:
