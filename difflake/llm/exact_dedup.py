@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, take
@@ -11,6 +11,10 @@ from .common import ascii_lower, cut, take
 CHUNK = r"(?s).{256,2047}?[.!?\n]|.{1,2048}"
 
 
+def chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text_sha256, recipe (identifiers of its chunks, in order).
 
@@ -20,14 +24,14 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     norm = ascii_lower(F.coalesce(text_col, F.lit("")))
     chunks = take(docs, id_col, text_col).select(F.col(id_col).alias("id_"), F.sha2(norm, 256).alias("text_sha256"), F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0)).alias("chunks"))
-    distinct = chunks.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk").distinct()
+    distinct = chunks.select(F.explode("chunks").alias("chunk")).select(chunk_hash(F.col("chunk")).alias("h"), "chunk").distinct()
     shared = cut(distinct.select("h").groupBy("h").count().where("count > 1").select("h"))
-    hashed = chunks.select("id_", "text_sha256", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"))
+    hashed = chunks.select("id_", "text_sha256", F.transform("chunks", chunk_hash).alias("recipe"))
     if shared.isEmpty():
         return cut(hashed.select("id_", "text_sha256", F.transform("recipe", lambda h: F.struct(h.alias("h"), F.lit(0).alias("rank"))).alias("recipe")))
     rank = distinct.join(shared, "h", "left_semi").select("h", "chunk", F.row_number().over(_by_content()).alias("rank"))
     parts = chunks.select(F.monotonically_increasing_id().alias("n"), "*").select("n", "id_", "text_sha256", F.posexplode_outer("chunks").alias("pos", "chunk"))
-    parts = parts.select("n", "id_", "text_sha256", "pos", F.xxhash64("chunk").alias("h"), "chunk").join(rank, ["h", "chunk"], "left")
+    parts = parts.select("n", "id_", "text_sha256", "pos", chunk_hash(F.col("chunk")).alias("h"), "chunk").join(rank, ["h", "chunk"], "left")
     part = F.struct("pos", F.struct("h", F.coalesce("rank", F.lit(0)).alias("rank")).alias("c"))
     lists = parts.groupBy("n", "id_", "text_sha256").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), part))).alias("parts"))
     return cut(lists.select("id_", "text_sha256", F.transform("parts", lambda p: p["c"]).alias("recipe")))
