@@ -1,222 +1,363 @@
-"""Language-model scoring: a log-bilinear model over word classes, trained with noise-contrastive estimation."""
+"""Language-model scoring: a log-bilinear model over words and word classes, trained with noise-contrastive estimation."""
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, lower_words, take
+from .common import cut, discard, stored, take
 
-#: Classes: the most frequent words have one each, then the end of a text, then 32 of other words, by their last two letters.
-OWN, END, CLASSES = 95, 95, 128
-#: Words whose counts go to every task; the counts of all others are joined.
-HEAD = 131_072
-DIM, NOISE, STEPS, BATCH = 24, 12, 1200, 2048
+#: Words with a class of their own at most, and how often they must occur; classes of other words, by their last two bytes.
+OWN, OWN_COUNT, OTHER = 1023, 50, 512
+#: Words whose counts go to every task, and their length at most; the counts of all others are joined.
+HEAD, HEAD_BYTES = 131_072, 64
+#: Size of vectors, tokens of a batch, noise classes of a batch.
+DIM, BATCH, NOISE = 24, 4096, 32
+#: Rounds in which the training texts are dealt to tasks and the tasks' weights averaged; tokens of a task; batches of a task at least.
+ROUNDS, TASK_TOKENS, LEAST = 2, 3_000_000, 200
+#: Words that a task counts before it hands counts on.
+COUNTED = 400_000
 
 
-def word_class(word: str) -> int:
-    return END + 1 + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % (CLASSES - END - 1)
+def word_class(word: bytes, end: int) -> int:
+    return end + 1 + zlib.crc32(word[-2:]) % OTHER
 
 
-class _Classes(dict):
-    """Classes of words, the frequent ones' given."""
-
-    def __init__(self, own: dict[str, int]):
-        super().__init__(own)
-        self.own = own
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.own)
-        self[word] = c = word_class(word)
-        return c
-
-
-class _Logs(dict):
-    """Logarithms of the head's counts; -1 for other words."""
-
-    def __missing__(self, word: str) -> float:
-        return -1.0
-
-
-def passes(counts: np.ndarray, steps: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Batches of rows, their weights and the number of batches, of whole passes over all counts, in steps batches or more.
-
-    In each pass a row's weights add up to its count over the mean of a batch's place. Counts above that mean are
-    dealt in equal parts to several places, so that no batch is one row's.
-    """
-    parts = np.ceil(counts * (len(counts) / counts.sum())).astype(np.int64)
-    rows = np.repeat(np.arange(len(counts), dtype=np.int32), parts)
-    per = -(-len(rows) // BATCH)
-    times = -(-steps // per)
-    share = counts / parts * (len(rows) / counts.sum())
-    for _ in range(times):
-        rng.shuffle(rows)
-        for at in np.array_split(rows, per):
-            yield at, share[at], per * times
-
-
-def train_nce(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Trains on all (class two back, class one back, class) counts and returns log10 P(class | two classes), normalised.
-
-    Every count is learnt from, by its weight, in each of the whole passes that make up steps batches or more.
-    The context's vector is the sum of its classes' vectors, each through its position's matrix; a class's score is
-    its product with the class's own vector, and a bias. Noise is the classes' own distribution.
+@dataclass
+class Bilinear:
+    """P(class | two classes before) is softmax over classes of r . out + bias, where r is the sum of the context's vectors, each through its position's matrix."""
+
+    vectors: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+
+    @staticmethod
+    def start(noise: np.ndarray, dim: int = DIM) -> Bilinear:
+        rng = np.random.default_rng(11)
+        draw = lambda: rng.normal(0, 0.1, (len(noise), dim)).astype(np.float32)
+        return Bilinear(draw(), draw(), np.log(noise).astype(np.float32), np.eye(dim, dtype=np.float32) * 0.5, np.eye(dim, dtype=np.float32) * 0.5)
+
+    def rows(self) -> np.ndarray:
+        """All weights as rows of one width."""
+        side = lambda x: np.hstack([x, np.zeros((len(x), 1), np.float32)])
+        return np.vstack([side(self.vectors), np.hstack([self.out, self.bias[:, None]]), side(self.near), side(self.far)])
+
+    @staticmethod
+    def of_rows(rows: np.ndarray, classes: int) -> Bilinear:
+        v, o, n, f = np.split(rows.astype(np.float32), [classes, 2 * classes, 2 * classes + rows.shape[1] - 1])
+        return Bilinear(v[:, :-1].copy(), o[:, :-1].copy(), o[:, -1].copy(), n[:, :-1].copy(), f[:, :-1].copy())
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of (class before, class) with the bias, and of (class two before, class): a context's score is their sum."""
+        return self.vectors @ self.near @ self.out.T + self.bias, self.vectors @ self.far @ self.out.T
+
+    def log_norms(self, c2: int) -> np.ndarray:
+        """log of the sum over classes of exp(score), for each class before, after c2."""
+        one, two = self.vectors @ self.near, self.vectors @ self.far
+        s = (one + two[c2]) @ self.out.T + self.bias
+        top = s.max(1)
+        return top + np.log(np.exp(s - top[:, None]).sum(1))
+
+
+def triples(flat: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes two before, one before and at each place of texts that follow each other, each closed by its end: a text starts after two ends."""
+    one = np.concatenate([[end], flat[:-1]])
+    two = np.concatenate([[end, end], flat[:-2]])[: len(flat)]
+    two[starts] = end
+    return two, one, flat
+
+
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, where places may repeat."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # by digits, as classes are few
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    to[at[first]] += np.add.reduceat(rows[order], first)
+
+
+def nce_gradients(model: Bilinear, c2: np.ndarray, c1: np.ndarray, w: np.ndarray, noise: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean noise-contrastive loss of a batch, whose places share the drawn noise classes."""
+    k, n = len(drawn), len(w)
+    near, far = model.vectors @ model.near, model.vectors @ model.far
+    r = near[c1] + far[c2]
+    log_kn = np.log(k * noise)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    own = np.einsum("nd,nd->n", r, model.out[w]) + model.bias[w] - log_kn[w]
+    g_own = (sig(own) - 1) / n
+    g_noise = sig(r @ model.out[drawn].T + (model.bias - log_kn)[drawn]) / n
+    gr = g_own[:, None] * model.out[w] + g_noise @ model.out[drawn]
+    d_out, d_bias = np.zeros_like(model.out), np.bincount(w, g_own, len(noise))
+    _add_rows(d_out, w, g_own[:, None] * r)
+    np.add.at(d_out, drawn, g_noise.T @ r)
+    d_bias += np.bincount(drawn, g_noise.sum(0), len(noise))
+    d_near, d_far = np.zeros_like(near), np.zeros_like(far)
+    _add_rows(d_near, c1, gr)
+    _add_rows(d_far, c2, gr)
+    return [d_near @ model.near.T + d_far @ model.far.T, d_out, d_bias.astype(np.float32), model.vectors.T @ d_near, model.vectors.T @ d_far]
+
+
+def train_nce(model: Bilinear, chunks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], noise: np.ndarray, expected: int, rate: float, least: int = LEAST, seed: int = 5) -> int:
+    """Trains the model in place on all triples of the chunks, in batches by Adam; returns their number.
+
+    Fewer triples than least batches hold are gone through again. expected: triples to come, for the falling rate.
     """
-    rng = np.random.default_rng(11)
-    total = counts.sum()
-    noise = (np.bincount(codes % CLASSES, counts, CLASSES) + 0.5) / (total + 0.5 * CLASSES)
-    ctx, out = rng.normal(0, 0.1, (CLASSES, DIM)), rng.normal(0, 0.1, (CLASSES, DIM))
-    pos, bias = np.stack([np.eye(DIM), np.eye(DIM)]) * 0.5, np.log(noise)
-    par = [ctx, out, pos, bias]
+    rng = np.random.default_rng(seed)
+    noise = noise.astype(np.float32)
+    ladder = np.cumsum(noise, dtype=np.float64)
+    par = [model.vectors, model.out, model.bias, model.near, model.far]
     m, v = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
-    if total:
-        noise_ladder = np.cumsum(noise)
-        eye, log_kn = np.eye(CLASSES), np.log(NOISE * noise)
-        for t, (at, weight, steps_) in enumerate(passes(counts, steps, rng), 1):
-            picked, n = codes[at], len(at)
-            c2, c1, w = picked // CLASSES**2, picked // CLASSES % CLASSES, picked % CLASSES
-            r = ctx[c1] @ pos[0] + ctx[c2] @ pos[1]
-            words = np.concatenate([w[:, None], np.minimum(np.searchsorted(noise_ladder, rng.random((n, NOISE))), CLASSES - 1)], 1)
-            s = r @ out.T + bias
-            delta = np.take_along_axis(s, words, 1) - log_kn[words]
-            g = 1 / (1 + np.exp(-delta))
-            g[:, 0] -= 1
-            g *= weight[:, None] / n
-            gs = np.bincount((np.arange(n)[:, None] * CLASSES + words).ravel(), g.ravel(), n * CLASSES).reshape(n, CLASSES)
-            gr = gs @ out
-            e1, e2 = eye[c1], eye[c2]
-            grads = [e1.T @ (gr @ pos[0].T) + e2.T @ (gr @ pos[1].T), gs.T @ r, np.stack([ctx[c1].T @ gr, ctx[c2].T @ gr]), gs.sum(0)]
-            rate = 0.02 * (1 - 0.95 * t / steps_)
-            for p, gp, mp, vp in zip(par, grads, m, v, strict=True):
-                mp += 0.1 * (gp - mp)
-                vp += 0.005 * (gp * gp - vp)
-                p -= rate * (mp / (1 - 0.9**t)) / (np.sqrt(vp / (1 - 0.995**t)) + 1e-8)
-    one, two = ctx @ pos[0], ctx @ pos[1]
-    table = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
-    for c2 in range(CLASSES):
-        s = (one + two[c2]) @ out.T + bias
-        s -= s.max(1, keepdims=True)
-        table[c2] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-    return table
+    steps = max(least, -(-expected // BATCH))
+    t = seen = 0
+
+    def learn(chunk: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        nonlocal t
+        order = rng.permutation(len(chunk[2]))
+        for at in np.array_split(order, max(1, round(len(order) / BATCH))):
+            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1]), len(noise) - 1)
+            t += 1
+            now = rate * max(0.05, 1 - 0.95 * t / steps)
+            for p, g, mp, vp in zip(par, nce_gradients(model, *(x[at] for x in chunk), noise, drawn), m, v, strict=True):
+                mp += 0.1 * (g - mp)
+                vp += 0.01 * (g * g - vp)
+                p -= np.float32(now / (1 - 0.9**t)) * mp / (np.sqrt(vp / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+
+    kept = []
+    for chunk in chunks:
+        if not len(chunk[2]):
+            continue
+        seen += len(chunk[2])
+        if seen <= least * BATCH:
+            kept.append(chunk)
+        learn(chunk)
+    while seen and t < least:
+        for chunk in kept:
+            learn(chunk)
+    return seen
 
 
 @dataclass
 class WordCounts:
-    table: DataFrame  # w, c: every training word and its count, the end as ''
+    table: DataFrame  # w, c: every training word and its count, the end as an empty word
     total: int
     distinct: int
-    head: dict[str, int]
-    own: dict[str, int]
-    class_mass: np.ndarray  # of each class of other words: the sum of count + 1, and 1 for words not seen
+    ends: int
+    head: dict[bytes, int]  # the most frequent words, numbered; the first own ones have their number as class
+    counts: np.ndarray
+    own: int
+    class_mass: np.ndarray  # of each class: the count of its words; of classes of other words: the sum of count + 1, and 1 for words not seen
+    class_count: np.ndarray
 
 
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(~F.col("held_out"))
+def _counted(texts: DataFrame) -> DataFrame:
+    """w, c: words of texts and how often a task has met them; the end as an empty word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        handed = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                counts.update(text.lower().split())
+                if len(counts) > COUNTED:
+                    yield handed()
+                    counts.clear()
+            counts[b""] += batch.num_rows
+        yield handed()
+
+    return texts.select("text").mapInArrow(run, "w binary, c long").where("c > 0")
 
 
 def count_words(docs: DataFrame) -> WordCounts:
     """Counts over all training texts; the head, of fixed size, comes to the driver."""
-    words = _training(docs).select(F.explode(F.concat(F.split(F.trim(F.regexp_replace(ascii_lower("text"), r"[\x20\x09-\x0D]+", " ")), " "), F.array(F.lit("\n")))).alias("w")).where("w <> ''")
-    table = cut(words.groupBy("w").agg(F.count("*").alias("c")).select(F.when(F.col("w") == "\n", "").otherwise(F.col("w")).alias("w"), "c"))
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    most = table.where("w <> ''").orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
-    head = dict(zip(most["w"].to_pylist(), most["c"].to_pylist(), strict=True))
-    own = {w: i for i, w in enumerate(list(head)[:OWN])}
-    kind = F.crc32(F.encode(F.substring("w", -2, 2), "UTF-8")) % (CLASSES - END - 1)
-    mass = np.ones(CLASSES)
-    for r in table.where((F.col("w") != "") & ~F.col("w").isin(list(own))).groupBy(kind.alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():  # 32 rows at most
-        mass[END + 1 + r["k"]] += r["s"]
-    return WordCounts(table, total, distinct, head, own, mass)
+    table = cut(_counted(docs.where("not held_out")).groupBy("w").agg(F.sum("c").alias("c")))
+    word = F.octet_length("w") > 0
+    total, distinct, ends = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(~word, F.col("c"))), F.lit(0))).first()
+    most = table.where(word & (F.octet_length("w") <= HEAD_BYTES)).orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
+    counts = most["c"].to_numpy()
+    words = most["w"].to_pylist()
+    own = int((counts[:OWN] >= OWN_COUNT).sum())
+    classes = own + 1 + OTHER
+    kind = F.crc32(F.substring("w", -2, 2)) % OTHER
+    of_kind = table.where(word).groupBy(kind.alias("k")).agg(F.sum(F.col("c") + 1).alias("s"), F.sum("c").alias("c")).collect()  # OTHER rows at most
+    mass, count = np.ones(classes), np.zeros(classes)
+    count[:own], count[own] = counts[:own], ends
+    for r in of_kind:
+        mass[own + 1 + r["k"]] += r["s"]
+        count[own + 1 + r["k"]] += r["c"]
+    for w, c in zip(words[:own], counts[:own].tolist(), strict=True):
+        mass[word_class(w, own)] -= c + 1
+        count[word_class(w, own)] -= c
+    return WordCounts(table, total, distinct, ends, {w: i for i, w in enumerate(words)}, counts, own, mass, count)
+
+
+def _encoded(docs: DataFrame, known: WordCounts) -> DataFrame:
+    """One row per text: its classes in order, sums over the words of the head, and its other words with their number."""
+    shared = docs.sparkSession.sparkContext.broadcast((known.head, known.counts, known.own, known.class_mass))
+    end_log, end_known = float(np.log10(known.ends + 1)), int(known.ends > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, counts, own, mass = shared.value
+        log_c = np.append(np.log10(counts + 1.0), 0.0)  # the last is for words that are not of the head
+        of = np.arange(len(head) + 1)
+        of[own:] = 0
+        for w, i in head.items():
+            if i >= own:
+                of[i] = word_class(w, own)
+        inner = log_c - np.log10(mass)[of]
+        inner[:own] = 0
+        log_mass = np.log10(mass)
+        for batch in batches:
+            sizes, n_rest, rest_words, rest_n, ids, sums = [], [], [], [], [], []
+            for text in batch.column(2).cast(pa.binary()):
+                words = text.as_py().lower().split()
+                sizes.append(len(words) + 1)
+                at = np.fromiter(map(head.get, words, repeat(-1)), np.int64, len(words))
+                c, within = of[at], inner[at]
+                missing = np.flatnonzero(at < 0)
+                if len(missing):
+                    others = [words[i] for i in missing]
+                    c[missing] = kinds = [word_class(w, own) for w in others]
+                    within[missing] = -log_mass[kinds]
+                    rest = Counter(others)
+                    n_rest.append(len(rest) + 1)
+                    rest_words += rest.keys()
+                    rest_n += rest.values()
+                else:
+                    n_rest.append(1)
+                rest_words.append(None)
+                rest_n.append(1)
+                ids.append(np.append(c, own).astype(np.uint16).tobytes())
+                sums.append((len(words) - len(missing) + end_known, log_c[at].sum() + end_log, within.sum()))
+            known_, base, within = (np.array(x) for x in zip(*sums, strict=True)) if sums else (np.empty(0),) * 3
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_rest)]), pa.int32())
+            rest = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int64())], ["w", "tf"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(sizes, pa.int64()), pa.array(known_.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(within.astype(np.float64)), pa.array(ids, pa.binary()), rest], ["id", "held_out", "k1", "k2", "n_tokens", "n_known", "base", "within", "classes", "rest"])
+
+    return docs.select("id", "held_out", "text", "k1", "k2").mapInArrow(run, "id long, held_out boolean, k1 long, k2 long, n_tokens long, n_known long, base double, within double, classes binary, rest array<struct<w:binary,tf:long>>")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts of a batch, and where each text starts."""
+    texts = column.to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])])[:-1].astype(np.int64)
+    return np.frombuffer(b"".join(texts), np.uint16).astype(np.int64), starts
+
+
+def train_model(encoded: DataFrame, known: WordCounts) -> Bilinear:
+    """Trains in rounds over all training texts, each text in one round; every task starts from the round's weights, and those it ends with are averaged by its tokens.
+
+    What is collected is the averaged weights, of fixed size.
+    """
+    spark: SparkSession = encoded.sparkSession
+    noise = known.class_count + 0.5
+    noise /= noise.sum()
+    model, classes, end = Bilinear.start(noise), len(noise), known.own
+    if not known.total:
+        return model
+    tasks = max(1, round(known.total / TASK_TOKENS))
+    expected = known.total // (tasks * ROUNDS)
+    for number in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((model.rows(), noise))
+        rate = 0.004 / (1 + number)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            rows, noise = shared.value
+            own = Bilinear.of_rows(rows, classes)
+
+            def chunks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for batch in batches:
+                    yield triples(*_flat(batch.column(0)), end)
+
+            n = train_nce(own, chunks(), noise, expected, rate)
+            if n:
+                got = own.rows().astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got))), pa.array(np.full(len(got), float(n))), *(pa.array(c) for c in got.T)], ["r", "n", *(f"p{i}" for i in range(DIM + 1))])
+
+        some = encoded.where(~F.col("held_out") & (F.pmod("k1", F.lit(ROUNDS)) == number)).select("classes").coalesce(tasks)
+        trained = some.mapInArrow(run, "r long, n double, " + ", ".join(f"p{i} double" for i in range(DIM + 1)))
+        mean = trained.groupBy("r").agg(*((F.sum(f"p{i}") / F.sum("n")).alias(f"p{i}") for i in range(DIM + 1))).toPandas().sort_values("r")
+        if len(mean):
+            model = Bilinear.of_rows(mean.drop(columns="r").to_numpy(), classes)
+    return model
+
+
+def log_norms(spark: SparkSession, model: Bilinear) -> np.ndarray:
+    """log of the normaliser of every context (class two before, class before), worked out in tasks."""
+    shared = spark.sparkContext.broadcast(model)
+    classes = len(model.bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.log_norms(c).astype("<f4").tobytes() for c in numbers], pa.binary())], ["id", "z"])
+
+    rows = spark.range(classes, numPartitions=min(classes, 64)).mapInArrow(run, "id long, z binary").toArrow().sort_by("id")  # classes rows, at most OWN + 1 + OTHER
+    return np.frombuffer(b"".join(rows["z"].to_pylist()), "<f4").reshape(classes, classes)
 
 
-def class_counts(docs: DataFrame, own: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of class triples over all training texts: at most 128 cubed of them."""
+def log_probabilities(model: Bilinear, norms: np.ndarray, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 P(w | c2 c1): two tables' entries and the context's normaliser."""
+    near, far = model.tables()
+    return _looked_up(near.ravel(), far.ravel(), norms.ravel(), len(norms), c2, c1, w)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = _Classes(own)
-        for pdf in batches:
-            seqs = [np.fromiter(map(classes.__getitem__, ws := lower_words(t)), np.int64, len(ws)) for t in pdf["text"]]
-            codes = [_codes(s) for s in seqs]
-            code, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
-            yield pd.DataFrame({"code": code, "n": n})
 
-    rows = _training(docs).select("text").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
-    return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+def _looked_up(near: np.ndarray, far: np.ndarray, norms: np.ndarray, classes: int, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (near[c1 * classes + w].astype(np.float64) + far[c2 * classes + w] - norms[c2 * classes + c1]) / np.log(10)
 
 
-def _codes(classes: np.ndarray) -> np.ndarray:
-    """The class triples of a text: it starts after two ends and closes with one."""
-    s = np.concatenate([[END, END], classes, [END]])
-    return (s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:]
+def _scored(encoded: DataFrame, model: Bilinear, norms: np.ndarray, end: int) -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast((*model.tables(), norms))
+    classes = len(norms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, far, z = (x.ravel() for x in shared.value)
+        for batch in batches:
+            flat, starts = _flat(batch.column(8))
+            logs = _looked_up(near, far, z, classes, *triples(flat, starts, end)) if len(flat) else flat
+            sums = np.add.reduceat(logs, starts) if len(starts) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), pa.array(sums + batch.column(7).to_numpy())], ["id", "held_out", "k1", "k2", "n_tokens", "n_known", "base", "score"])
+
+    return encoded.select("id", "held_out", "k1", "k2", "n_tokens", "n_known", "base", "within", "classes").mapInArrow(run, "id long, held_out boolean, k1 long, k2 long, n_tokens long, n_known long, base double, score double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Texts whose crc32(id as text) mod folds is not fold are learnt from. A word's log10 probability is that of its
-    class after the two classes before it, by the model, plus that of the word in its class: 1 for frequent words,
-    else (count + 1) over the class's sum of count + 1 and 1 for all words not seen. The base is add-one smoothing.
-    Counts cover all training texts: those of the most frequent words go to every task, the others are joined by word.
-    A null or empty text has the end only. A null id is learnt from. Rows that repeat id and text get equal scores
-    and count as often as they come. With no training rows counts are zero. An empty table gives an empty result.
+    Texts whose crc32(id as text) mod folds is not fold are learnt from. Words seen 50 times or more, at most the 1,023
+    most frequent, are classes of their own, as is the end; other words are of one of 512 classes, by their last two
+    bytes. A word's log10 probability is that of its class after the two classes before it, by the model, plus, in
+    classes of other words, that of the word in its class: (count + 1) over the class's sum of count + 1 and 1 for all
+    words not seen. The base is add-one smoothing. Counts cover all training texts: those of the most frequent words
+    go to every task, the others are joined by word. Every training text is learnt from, in tasks whose weights are averaged.
+    A null or empty text has the end only. A null id, and an id that is no number, counts as null and is learnt from.
+    Rows that repeat id and text get equal scores and count as often as they come. With no training rows counts are
+    zero. An empty table gives an empty result. Texts of any length are one row's work.
     """
-    slim = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    slim = slim.withColumn("held_out", held)
+    slim = take(docs, id_col, text_col).select(F.col(id_col).try_cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    slim = slim.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == fold, F.lit(False)))
     known = count_words(slim)
-    model = slim.sparkSession.sparkContext.broadcast((train_nce(*class_counts(slim, known.own)), known.head, known.own, np.log10(known.class_mass)))
-    end_count = known.table.where("w = ''").select("c").first()
-    end_log, end_known = float(np.log10((end_count["c"] if end_count else 0) + 1)), int(end_count is not None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, head, own, log_mass = model.value
-        flat, classes = table.ravel(), _Classes(own)
-        logs = _Logs({w: float(np.log10(c + 1)) for w, c in head.items()})
-        for batch in batches:
-            whole, n_rest, rest_words, rest_n = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words = lower_words(text)
-                c = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
-                found = np.fromiter(map(logs.__getitem__, words), np.float64, len(words))
-                inside, seen = c > END, found >= 0
-                model_log = float(flat[_codes(c)].sum(dtype=np.float64)) - float(log_mass[c[inside]].sum())
-                whole.append((len(words) + 1, int(seen.sum()) + end_known, float(found[seen].sum()) + end_log, model_log + float(found[seen & inside].sum())))
-                rest = Counter(compress(words, (~seen).tolist()))
-                n_rest.append(len(rest))
-                rest_words += rest.keys()
-                rest_n += rest.values()
-            n_tokens, n_known, base, score = (np.array(x) for x in zip(*whole, strict=True)) if whole else (np.empty(0),) * 4
-            of = np.concatenate([np.arange(len(whole)), np.repeat(np.arange(len(whole)), n_rest)]).astype(np.int64)
-            longer = lambda x, kind: pa.array(np.concatenate([x, np.zeros(len(rest_words))]).astype(kind))  # noqa: E731, B023
-            w, tf = pa.array(["\n"] * len(whole) + rest_words, pa.string()), pa.array(np.array([1] * len(whole) + rest_n, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), w, tf, longer(n_tokens, np.int64), longer(n_known, np.int64), longer(base, np.float64), longer(score, np.float64)], ["k1", "k2", "w", "tf", "n_tokens", "n_known", "base", "score"])
-
-    keyed = slim.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", "id", F.lit(1))})
-    parts = keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, w string, tf long, n_tokens long, n_known long, base double, score double")
-    # a text's own row has a key that no word has, and that no other text has
-    parts = parts.withColumn("w", F.when(F.col("w") == "\n", F.concat(F.lit("\n"), F.col("k1").cast("string"))).otherwise(F.col("w")))
-    joined = parts.join(known.table, "w", "left")
-    log = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    word = F.col("n_tokens") == 0
-    sums = joined.groupBy("k1", "k2").agg(
-        F.sum((~word).cast("long")).alias("m"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(word & F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(word, log).otherwise(0.0)).alias("base"), F.sum(F.col("score") + F.when(word, log).otherwise(0.0)).alias("score"))
-    sums = cut(sums)
-    ids = keyed.select("id", "held_out", "k1", "k2")
-    per = lambda c: F.col(c) / F.col("m")  # noqa: E731  equal rows have been summed together
-    out = ids.join(sums, ["k1", "k2"])
-    return out.select(F.col("id").alias(id_col), "held_out", per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"), F.lit(int(known.total)).cast("long").alias("train_tokens"), (per("base") - per("n_tokens") * float(np.log10(known.total + known.distinct + 1))).alias("base_score"), per("score").alias("score"))
+    encoded = stored(_encoded(slim.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", "id", F.lit(1))}), known))
+    model = train_model(encoded, known)
+    scored = cut(_scored(encoded, model, log_norms(docs.sparkSession, model), known.own))
+    rest = encoded.select("k1", "k2", F.inline("rest"))
+    own_row = F.col("w").isNull()  # each text has one such row; its key is one that no word has, and that no other text has
+    rest = rest.select("k1", "k2", "tf", own_row.alias("own_row"), F.coalesce("w", F.concat(F.lit(b"\n"), F.col("k1").cast("string").cast("binary"))).alias("w"))
+    n, log = F.when(~F.col("own_row") & F.col("c").isNotNull(), F.col("tf")).otherwise(0), F.when(~F.col("own_row"), F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0)
+    sums = rest.join(known.table, "w", "left").groupBy("k1", "k2").agg(F.sum(F.col("own_row").cast("long")).alias("m"), F.sum(n).alias("more"), F.sum(log).alias("log"))
+    sums = cut(sums.select("k1", "k2", (F.col("more") / F.col("m")).cast("long").alias("more"), (F.col("log") / F.col("m")).alias("log")))  # equal rows have been summed together
+    discard(encoded)
+    out = scored.join(sums, ["k1", "k2"])
+    smooth = float(np.log10(known.total + known.distinct + 1))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(int(known.total)).cast("long").alias("train_tokens"), (F.col("base") + F.col("log") - F.col("n_tokens") * smooth).alias("base_score"), (F.col("score") + F.col("log")).alias("score"))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
