@@ -43,11 +43,14 @@ FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def _shared_folder(df: DataFrame) -> Iterator[tuple[DataFrame, str]]:
-    """df, so planned that its shuffles go when it is written, and the checkpoint folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """df, so planned that its shuffles go when it is written, and the checkpoint folder that the cluster names; a temporary one only where none is set in a local session, as in tests."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     before = spark.conf.get(FREE_SHUFFLES)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_word_bytes, mix, shingle_hashes, stored, take, word_hashes
+from .common import components, cut, discard, lower_word_bytes, mix, shingle_hashes, stored, take, word_hashes
 
 #: 5 bands of 2 minima: paragraphs of similarity 0.8 collide with probability 0.994, of 0.9 with 0.9998.
 BANDS, ROWS, SHINGLE = 5, 2, 5
@@ -182,7 +182,9 @@ def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
     rooted = stored(kept.select("band", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = cut(sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("cnt")).where("roots > 1").select("band", "main", "cnt"))
-    return stored(rooted.join(mixed, "band"))
+    cross = stored(rooted.join(mixed, "band"))
+    discard(rooted)
+    return cross
 
 
 def _pairs(cross: DataFrame) -> DataFrame:
@@ -320,6 +322,7 @@ def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction) ->
         found = _verified(cut(_pairs(few).join(pairs, ["a", "b"], "left_anti")), sets, threshold)
         found = found if many.isEmpty() else found.union(_tiles(many, sets, threshold))
         label = components(cut(links.union(found).distinct()))
+    discard(kept, sets, cross)
     return label
 
 
@@ -347,6 +350,7 @@ def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_
     rooted = plain.join(label, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root", "node")
     again = cut(runs.groupBy("node").count().where("count > 1").select("node"))
     rooted = stored(rooted.unionByName(runs.join(again, "node").withColumnRenamed("node", "cluster")))
+    discard(every)
     first = cut(rooted.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").drop("final"))
     hits = rooted.join(first, "cluster").distinct()
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k")) & F.col("run") & (F.col("pos") < F.col("first.pos") + MIN_RUN)
