@@ -16,6 +16,8 @@ from .common import components, cut, discard, lower_word_bytes, shingle_hashes,
 
 #: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Members on a side of a tile, and rows of a bucket of smaller values, in the last step.
 GROWTH, HOT, TILE, BUCKET = 1.25, 64, 2048, 8192
+#: Longs of the sketches that are compared at once.
+LAID_OUT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -157,9 +159,12 @@ def _crossing(kept: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _within(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
-    """Which of the pairs (i, j) of rows have sketches and sizes that do not rule out a link."""
+    """Which of the pairs (i, j) of rows have sketches and sizes that do not rule out a link. Sketches of long texts are long, so only some pairs are laid out at once."""
     p, q = t.numerator, t.denominator
-    far = np.bitwise_count(sk[i] ^ sk[j]).sum(1, dtype=np.int64)  # of unsigned numbers: of signed ones, bitwise_count takes the absolute value
+    far = np.empty(len(i), np.int64)
+    some = max(1, LAID_OUT // sk.shape[1])
+    for lo in range(0, len(i), some):
+        far[lo : lo + some] = np.bitwise_count(sk[i[lo : lo + some]] ^ sk[j[lo : lo + some]]).sum(1, dtype=np.int64)  # of unsigned numbers: of signed ones, bitwise_count takes the absolute value
     return (far * (p + q) <= (n[i] + n[j]) * (q - p)) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
 
 
@@ -174,7 +179,7 @@ def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     dealt = cross.withColumn("bucket", F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / BUCKET))), F.lit(buckets)))
     dealt = cut(dealt.select("bucket", "key", "band", "id", "root", "main"))
     sketches = dealt.select("bucket", "id", "band").distinct().join(bits.select("id", "band", "n", "bits"), ["id", "band"])
-    both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({c: F.lit(None).cast("long") for c in ("key", "root", "main")}))
+    both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({c: F.lit(0).cast("long") for c in ("key", "root", "main")}))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         has = pdf["bits"].notna()
@@ -182,9 +187,9 @@ def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
         for number, part in pdf[~has].groupby("band", sort=False):
             mine = own[own["band"] == number].sort_values("id")
             ids, n, sk = mine["id"].to_numpy(), mine["n"].to_numpy(), np.stack(mine["bits"].to_numpy()).view(np.uint64)
-            part = part.sort_values("key")
-            at, root, outside = np.searchsorted(ids, part["id"].to_numpy()), part["root"].to_numpy().astype(np.int64), (part["root"] != part["main"]).to_numpy()
-            edges = np.flatnonzero(np.diff(part["key"].to_numpy().astype(np.int64), prepend=0, append=0) != 0) if len(part) else []
+            part = part[["key", "id", "root", "main"]].merge(pd.DataFrame({"id": ids, "at": np.arange(len(ids))}), on="id").sort_values("key")  # an id may have several sets
+            at, root, outside = part["at"].to_numpy(), part["root"].to_numpy(), (part["root"] != part["main"]).to_numpy()
+            edges = np.flatnonzero(np.diff(part["key"].to_numpy()) != 0) + 1
             codes = []
             for lo, hi in zip([0, *edges], [*edges, len(part)], strict=True):
                 x, y = np.triu_indices(hi - lo, 1)
@@ -193,10 +198,9 @@ def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
                 i, j = at[x[ok]], at[y[ok]]
                 codes.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
             code = np.unique(np.concatenate(codes))
-            for some in np.array_split(code, -(-len(code) // 65536) or 1):
-                i, j = some // len(ids), some % len(ids)
-                ok = _within(sk, n, i, j, t)
-                out.append(pd.DataFrame({"a": ids[i[ok]], "b": ids[j[ok]]}))
+            i, j = code // len(ids), code % len(ids)
+            ok = _within(sk, n, i, j, t)
+            out.append(pd.DataFrame({"a": ids[i[ok]], "b": ids[j[ok]]}))
         return pd.concat(out).astype("int64") if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return both.groupBy("bucket").applyInPandas(solve, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -210,7 +214,7 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     a sketch comes once and a pair is compared once, and only pairs that the sketches do not rule out are returned.
     """
     side = F.ceil(F.col("most") / TILE).cast("int")
-    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / (32 * TILE))).alias("salt")
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / (8 * TILE))).alias("salt")
     every = F.sequence(F.lit(0), side - 1)
     own = F.pmod(F.xxhash64("id"), side).cast("int")
     asks = cross.where("root <> main").select("main", salt, own.alias("r"), F.explode(every).alias("c"), "key", "band", "id", "root", F.lit(True).alias("asks"))
@@ -218,7 +222,7 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     dealt = cut(asks.unionByName(has))
     place = ["main", "salt", "r", "c"]
     sketches = dealt.select(*place, "id", "band").distinct().join(bits.select("id", "band", "n", "bits"), ["band", "id"])
-    both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({"key": F.lit(None).cast("long"), "root": F.lit(None).cast("long"), "asks": F.lit(False)}))
+    both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({"key": F.lit(0).cast("long"), "root": F.lit(0).cast("long"), "asks": F.lit(False)}))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         has = pdf["bits"].notna()
@@ -226,8 +230,9 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
         for number, part in pdf[~has].groupby("band", sort=False):
             mine = pdf[has & (pdf["band"] == number)].sort_values("id")
             ids, n, sk = mine["id"].to_numpy(), mine["n"].to_numpy(), np.stack(mine["bits"].to_numpy()).view(np.uint64)
-            at, root = np.searchsorted(ids, part["id"].to_numpy()), np.zeros(len(ids), np.int64)
-            root[at] = part["root"].to_numpy().astype(np.int64)
+            part = part[["key", "id", "root", "asks"]].merge(pd.DataFrame({"id": ids, "at": np.arange(len(ids))}), on="id")  # an id may have several sets
+            at, root = part["at"].to_numpy(), np.zeros(len(ids), np.int64)
+            root[at] = part["root"].to_numpy()
             asked = part["asks"].to_numpy(bool)
             outs = np.unique(at[asked])
             keys = [(np.searchsorted(outs, at[i][asked[i]]), at[i][~asked[i]]) for i in part.groupby("key", sort=False).indices.values()]
@@ -238,10 +243,8 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
                     meet[np.ix_(x[(x >= lo) & (x < lo + 256)] - lo, y)] = True
                 i, j = np.nonzero(meet & (root[some][:, None] != root[None, :]))
                 i = some[i]
-                for at_ in range(0, len(i), 65536):
-                    x, y = i[at_ : at_ + 65536], j[at_ : at_ + 65536]
-                    ok = _within(sk, n, x, y, t)
-                    out.append(pd.DataFrame({"a": np.minimum(ids[x[ok]], ids[y[ok]]), "b": np.maximum(ids[x[ok]], ids[y[ok]])}))
+                ok = _within(sk, n, i, j, t)
+                out.append(pd.DataFrame({"a": np.minimum(ids[i[ok]], ids[j[ok]]), "b": np.maximum(ids[i[ok]], ids[j[ok]])}))
         return pd.concat(out).astype("int64").drop_duplicates()
 
     return both.groupBy(*place).applyInPandas(solve, "a long, b long").distinct()

@@ -103,6 +103,32 @@ def test_jaccard_components(spark, monkeypatch, n, t, hot):
     assert ngram_join.jaccard_components(empty(spark), n, t).count() == 0
 
 
+@pytest.mark.parametrize("tiles", [False, True])
+def test_crossing_pairs_are_all_compared_whatever_they_share(spark, tiles):
+    """Buckets and tiles against a loop: every pair of different roots, one of them outside the main one, that shares a value and is near enough; ids may have several sketches."""
+    t, rng = Fraction(4, 5), np.random.default_rng(21)
+    big = 1 << 60  # ids that a float would round
+    cross, bits = [], []
+    for i in range(60):
+        for _ in range(1 + i % 7 // 6):
+            bits.append((big + i, 0, 40, [int(rng.integers(0, 8)), int(rng.integers(0, 8))]))
+    for key in range(25):
+        own = rng.choice(60, int(rng.integers(2, 12)), replace=False)
+        roots = {int(i): big + int(i) // 2 * 2 for i in own}
+        main = min(roots.values())
+        cross += [(key * 3 + (1 << 62), 0, big + i, r, main, len(own), 100, 12) for i, r in roots.items()]
+    near = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) * 9 <= 80 * 1
+    want = set()
+    for k, _, x, rx, main, *_ in cross:
+        for k2, _, y, ry, *_ in cross:
+            if k == k2 and rx != ry and rx != main and any(near(p[3], q[3]) for p in bits if p[0] == x for q in bits if q[0] == y):
+                want.add((min(x, y), max(x, y)))
+    c = spark.createDataFrame(cross, "key long, band int, id long, root long, main long, cnt long, rows long, most long")
+    b = spark.createDataFrame(bits, "id long, band int, n long, bits array<long>")
+    got = [tuple(r) for r in (ngram_join._tiles if tiles else ngram_join._near)(c, b, t).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
 def test_packing_round_trip(spark):
     path = packing.default_tokenizer()
     import tokenizers
