@@ -176,12 +176,23 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "w binary, c long").where("c > 0")
 
 
+def _most_frequent(table: DataFrame) -> DataFrame:
+    """The HEAD most frequent words. Only those with counts from where about so many begin are sorted, so what one task merges does not grow with the words."""
+    level = F.floor(F.log2("c") * 8)
+    left, least = HEAD, None
+    for r in table.groupBy(level.alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("l")).collect():  # 8 rows for each doubling of counts
+        left, least = left - r["n"], r["l"]
+        if left <= 0:
+            break
+    return (table if least is None else table.where(level >= least)).orderBy(F.desc("c"), "w").limit(HEAD)
+
+
 def count_words(docs: DataFrame) -> WordCounts:
     """Counts over all training texts; the head, of fixed size, comes to the driver."""
     table = cut(_counted(docs.where("not held_out")).groupBy("w").agg(F.sum("c").alias("c")))
     word = F.octet_length("w") > 0
     total, distinct, ends = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(~word, F.col("c"))), F.lit(0))).first()
-    most = table.where(word & (F.octet_length("w") <= HEAD_BYTES)).orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
+    most = _most_frequent(table.where(word & (F.octet_length("w") <= HEAD_BYTES))).toArrow()
     counts = most["c"].to_numpy()
     words = most["w"].to_pylist()
     own = int((counts[:OWN] >= OWN_COUNT).sum())

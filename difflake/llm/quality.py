@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_word_bytes, take, unpack_row, with_row
+from .common import cut, first_by_hash, lower_word_bytes, take, unpack_row, with_row
 
 #: Hashed text features; rated documents that the model is fitted on at most; documents that a word must be in to count; shapes' deviations at most.
 BITS, SAMPLE, MIN_DF, FAR = 18, 12_000, 8, 6.0
@@ -130,7 +130,7 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def train_quality(docs: DataFrame, grades: DataFrame, n_grades: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits on at most sample graded documents, the first by a hash of their id; only their features come to the driver."""
-    chosen = grades.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
+    chosen = first_by_hash(cut(grades.withColumn("h", F.xxhash64("id", F.lit(3)))), sample, "h", "id").drop("h")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, cut, take
+from .common import WORDS, cut, first_by_hash, take
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -272,7 +272,7 @@ def fit_secrets(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, i
     texts = take(docs, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     some = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
     keyed = texts.withColumn("h", F.xxhash64("id", "text", F.lit(5)))
-    first = lambda df, n: df.select("h").orderBy("h").limit(n)
+    first = lambda df, n: first_by_hash(cut(df.select("h")), n, "h")
     chosen = first(keyed.where(F.col("text").rlike(some)), sample - sample // 4).union(first(keyed, sample // 4)).distinct()
     kind = np.dtype("<i2")
 
@@ -286,7 +286,7 @@ def fit_secrets(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, i
 
     cuts = keyed.join(F.broadcast(chosen), "h").select("text").mapInArrow(cut_up, "h long, hit boolean, feats binary, file binary, tags binary")  # sample rows at most
     cuts = cut(cuts)
-    take_ = lambda hit, n: cuts.where(F.col("hit") == hit).orderBy("h", "feats", "tags").limit(n)
+    take_ = lambda hit, n: first_by_hash(cuts.where(F.col("hit") == hit), n, "h", "feats", "tags")
     rows = take_(True, windows - windows // 4).union(take_(False, windows // 4)).toArrow().sort_by([("h", "ascending"), ("feats", "ascending"), ("tags", "ascending")])  # bounded by windows
     array = lambda name: np.frombuffer(b"".join(rows[name].to_pylist()), kind).astype(np.int64).reshape(rows.num_rows, -1)
     length = 2 * AROUND + 1

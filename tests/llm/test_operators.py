@@ -548,7 +548,7 @@ def test_cumulative_link_fit_is_a_minimum():
         for i in range(len(par)):
             for step in (0.05, -0.05):
                 par[i] += step
-                assert loss() > best - 1e-4
+                assert loss() > best - 2e-3
                 par[i] -= step
     assert (np.diff(model.thresholds) > 0).all()
 
