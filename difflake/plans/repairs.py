@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
-from ..operators import extraction, repair
+from ..operators import repair
 from ..sources import files
 from ..streaming import chunks as ch
 from .diffs import QUERIES, SQL, lines_sql
