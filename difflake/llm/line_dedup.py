@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, unpack_row, with_row
+from .common import cut, with_row
 
 WINDOW = 3
 

@@ -258,10 +258,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: Fraction = Fr
     their size, so in a band of sizes with one segment more than that bound, linked sets agree in a whole segment of
     their parity sketches: sets are joined on (band, segment, XOR of the segment's hashes), filtered by the Hamming
     distance of a sketch of one bit a shingle and verified on the sets. With some spare segments, values of more than
-    64 sets and those of segments without a shingle are left out for sets that must agree elsewhere too; nothing is lost. Of the sets with one value, each is first compared with the
-    smallest id, the leader, then with the largest; where more than one component is left, what is outside the main one meets
-    all: each pair once in buckets for values of at most 64 sets, else in tiles. The leaders that share most values with a set come first; other pairs are compared only where their
-    components still differ. So connected copies are not expanded into pairs.
+    64 sets and those of segments without a shingle are left out for sets that must agree elsewhere too; nothing is
+    lost. Of the sets with one value, each is first compared with the smallest id, the leader, then with the largest;
+    where more than one component is left, what is outside the main one meets all: each pair once in buckets for
+    values of at most 64 sets, else in tiles. The leaders that share most values with a set come first; other pairs
+    are compared only where their components still differ. So connected copies are not expanded into pairs.
     A null, empty or blank text has no shingles and is linked with nothing; one of fewer words is one shingle. A row
     without an id has component_id null and links nothing. Rows that repeat an id are one node with the links of all
     their texts. An empty table gives an empty result; other columns do not matter.

@@ -330,15 +330,17 @@ def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_
     """One row per passage that repeats: id, start, end (code points), n_words, clusters, first_ids, removed.
 
     Runs of 25 words that winnow() chooses are looked up by their hash, so exact repeats of 36 words or more are found
-    wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see Cut). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the
-    largest of its band, exactly, by the Jaccard similarity of its 5-word shingles, which is to be threshold or more.
+    wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see
+    Cut). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the largest of
+    its band, exactly, by the Jaccard similarity of its 5-word shingles, which is to be threshold or more.
     Where a band's paragraphs are not of one component then, those outside the main one meet all: as distinct pairs in
     bands of at most 64, else in tiles. Components are clusters, and equal paragraphs are one node from the start. Of each
     cluster and each run that of the smallest (id, position) stays. Runs and paragraphs that repeat and touch are one
     passage, reported with 25 words or more in all, in one row for each part that stays or goes: removed is true for
     what later copies cover, other than a run that overlaps its own first copy. clusters lists the numbers of the
     part's runs and paragraphs and first_ids the documents of those that stay.
-    A null or empty text has no paragraphs. A null id comes last. Rows that repeat id and text are one document. An
+    A null or empty text has no paragraphs. A null id comes last; an id that is no number is an error in ANSI mode, else
+    null. Rows that repeat id and text are one document. An
     empty table gives an empty result; other columns do not matter.
     """
     slim = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
