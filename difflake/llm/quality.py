@@ -61,7 +61,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     model.mean, model.scale = shapes.mean(0), shapes.std(0) + 1e-3
     shapes = np.clip((shapes - model.mean) / model.scale, -FAR, FAR)
     df = np.bincount(np.concatenate([h for h, _ in rows]), minlength=d)
-    index, place = np.full(d, -1), np.flatnonzero(df >= MIN_DF)
+    index, place = np.full(d, -1, np.int32), np.flatnonzero(df >= MIN_DF)
     index[place] = np.arange(len(place))
     kept = [index[h][index[h] >= 0] for h, _ in rows]
     flat, n = np.concatenate(kept), np.array([len(k) for k in kept])
@@ -141,7 +141,9 @@ def train_quality(docs: DataFrame, grades: DataFrame, n_grades: int = 3, sample:
     rows = texts.join(F.broadcast(chosen), "id").mapInPandas(features, "id long, grade int, hashed binary, shape binary").toPandas()  # the sample is bounded
     rows = rows.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in rows["id"]]).sort_values(["order", "hashed"], kind="stable")
     parsed = [(np.frombuffer(h, "<i4"), np.frombuffer(s, "<f4")) for h, s in zip(rows["hashed"], rows["shape"], strict=True)]
-    return fit_validated(parsed, rows["grade"].to_numpy(np.int64), n_grades)
+    grade = rows["grade"].to_numpy(np.int64)
+    del rows
+    return fit_validated(parsed, grade, n_grades)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
