@@ -22,7 +22,8 @@ WINDOW, GRAIN, CHUNK = 1024, 256, 8192
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ]")
 _PIECES = re.compile(rf" ?[{_LETTER}]+|'[sdmt]|'ll|'ve|'re| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_CACHE = 1_200_000
+#: Pieces that a worker remembers: some 200 bytes each, which it keeps between stages.
+_CACHE = 300_000
 
 
 def _printable() -> dict[int, str]:
