@@ -231,7 +231,7 @@ _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _TOLD = " || ".join(_FIELD.format(f) for f in FIELDS[:-1])
 SQL = f"""
 WITH RECURSIVE crc AS (
-  SELECT doc_id, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), x -> [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  SELECT doc_id, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
     lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) AS c
   FROM documents
 ), leaves AS (

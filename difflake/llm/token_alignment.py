@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -12,79 +13,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, take
-from .packing import Encoder, _Codes, _printable
+from .packing import _Codes, _printable
 
-#: Characters of texts that are aligned at a time; characters of chunks that an encoder remembers.
-_SLICE, _REMEMBER = 1_000_000, 8_000_000
-#: Chunks of a text that starts with a space: no piece of the vocabulary reaches over a line end or from a letter to a space.
-_CHUNKS = re.compile(r" +[^ \n]*|\n[^ \n]*")
+#: Characters of texts that are aligned at a time; characters of chunks that a worker remembers, some 40 bytes for each.
+_SLICE, _REMEMBER = 1_000_000, 3_000_000
+#: Chunks of a text that starts with a space: white space and what follows up to the next.
+_CHUNKS = re.compile(r"[ \t\n]+[^ \t\n]*")
+#: Other white space, which may stand beside a chunk's own in one token, and the sign that B writes for a space.
+_WHOLE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581]")
 
 
 class BytePieces:
     """Token ids of byte-level BPE, strings of special tokens taken as plain text, and the bytes of each id."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path)
-        self.encoder.tokenizer.encode_special_tokens = True
+        import tokenizers
+
+        self.tokenizer = t = tokenizers.Tokenizer.from_file(path)
+        t.encode_special_tokens = True
         back = {c: b for b, c in _printable().items()}
-        vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
+        vocabulary = t.get_vocab(with_added_tokens=True)
         self.bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            known = all(c in back for c in token)
-            self.bytes[i] = bytes(back[c] for c in token) if known else token.encode()
+            self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.by_chunks = t.normalizer is None and type(t.pre_tokenizer).__name__ == "ByteLevel" and t.pre_tokenizer.use_regex and not t.pre_tokenizer.add_prefix_space
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids.astype(np.int64) for ids in self.encoder.batch([" " + t for t in texts])]
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 class SentencePieces:
-    """Token ids of a sentencepiece model, which puts a space in front, and the bytes of each id.
-
-    A BPE model whose pieces hold spaces only in front and no line ends works on chunks of a text one by one, so each
-    is encoded once and looked up later; any other model gets whole texts.
-    """
+    """Token ids of a sentencepiece model, which puts a space in front of texts, and the bytes of each id."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = m.get_piece_size()
-        pieces = [m.id_to_piece(i) for i in range(n)]
+        pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = m.piece_to_id("▁")
-        self.by_chunks = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and m.encode("\n a")[:1] == [self.space]
-        self._clear()
+        self.by_chunks = not any("▁" in p.lstrip("▁") or re.search(r"[\t\n]", p) for p in pieces) and m.encode("\n a")[:1] == [m.piece_to_id("▁")]
 
-    def _clear(self) -> None:
-        self.code, self.size = _Codes(), 0
-        self.flat, self.ends, self.count = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _chunk(self, chunk: str) -> list[int]:
-        return self.model.encode(chunk[1:]) if chunk[0] == " " else self.model.encode(chunk)[1:]  # without the space put in front
-
-    def _learn(self) -> None:
-        ids = [self._chunk(c) for c in self.code.new]
-        self.size += sum(map(len, self.code.new))
-        self.code.new.clear()
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(count)])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.int64)])
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_chunks:
-            return [np.asarray(self.model.encode(t), np.int64) for t in texts]
-        if self.size > _REMEMBER:
-            self._clear()
-        number = self.code.__getitem__
-        codes = [np.fromiter(map(number, _CHUNKS.findall(" " + t)), np.int64) for t in texts]
-        if self.code.new:
-            self._learn()
-        out = []
-        for c in codes:
-            n = self.count[c]
-            out.append(self.flat[np.repeat(self.ends[c] - np.cumsum(n), n) + np.arange(n.sum())])
-        return out
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """Of texts that start with white space; the space that the model puts in front is the first one's, or is taken away."""
+        return [self.model.encode(t[1:]) if t[0] == " " else self.model.encode(t)[1:] for t in texts]
 
 
 class Pair:
@@ -96,7 +67,6 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = BytePieces(path_a), SentencePieces(path_b)
-        self.bytes_a, self.bytes_b = (np.array(x.bytes, object) for x in (self.a, self.b))
         self.len_a, self.len_b = (np.fromiter(map(len, x.bytes), np.int64) for x in (self.a, self.b))
         by_a, by_b = {}, {}
         for table, x in ((by_a, self.a), (by_b, self.b)):
@@ -110,9 +80,25 @@ class Pair:
         self.labels = np.array([f"{i}{s}" for v, signs in ((va, ",|"), (vb, ",;")) for s in signs for i in range(v)], object)
         self.label_a, self.label_b = (0, va), (2 * va, 2 * va + vb)
 
+        self.by_chunks = self.a.by_chunks and self.b.by_chunks
+        self.clear()
+
     def number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.keys, a << 32 | b)
 
+    def clear(self) -> None:
+        self.code, self.size, self.labels_of = _Codes(), 0, []
+        self.counts, self.links, self.stops = np.empty((0, 5), np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def learn(self) -> None:
+        """Aligns the chunks that were met for the first time."""
+        counts, labels, links = _aligned(self, self.code.new)
+        self.size += sum(map(len, self.code.new))
+        self.code.new.clear()
+        self.counts, self.links = np.concatenate([self.counts, counts]), np.concatenate([self.links, links])
+        self.stops = np.cumsum(self.counts[:, 3])
+        self.labels_of += labels
+
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
@@ -145,48 +131,74 @@ def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def _valid(pair: Pair, texts: list[str], a: list[np.ndarray], b: list[np.ndarray]) -> list[bool]:
-    """Whether the joined bytes of both sides are those of each text; all texts at once, one by one only where they differ."""
-    raw = [(" " + t).encode() for t in texts]
-    join = lambda table, ids: b"".join(table[ids].tolist())
-    if join(pair.bytes_a, np.concatenate(a)) == join(pair.bytes_b, np.concatenate(b)) == b"".join(raw) and all(pair.len_a[x].sum() == pair.len_b[y].sum() == len(r) for x, y, r in zip(a, b, raw, strict=True)):
-        return [True] * len(texts)
-    return [join(pair.bytes_a, x) == join(pair.bytes_b, y) == r for x, y, r in zip(a, b, raw, strict=True)]
+def _valid(pair: Pair, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+    """Whether the joined bytes of both sides are those of each text."""
+    bytes_a, bytes_b = pair.a.bytes, pair.b.bytes
+    return [b"".join([bytes_a[i] for i in x]) == r == b"".join([bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
 
 
-def _aligned(pair: Pair, texts: list[str]) -> list[tuple[int, int, int, int, str, bytes]]:
-    """Of each text: n_a, n_b, n_groups, n_links, groups_sha256, numbers of its linked pairs (little-endian 32-bit)."""
+def _aligned(pair: Pair, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of each text, which starts with a space or is a chunk: (n_a, n_b, n_groups, n_links, 1 if valid) as a matrix, its groups as text, and the numbers of all linked pairs in order."""
     a, b = pair.a.batch(texts), pair.b.batch(texts)
-    valid = _valid(pair, texts, a, b)
-    none = np.empty(0, np.int64)
-    a, b = ([x if v else none for x, v in zip(side, valid, strict=True)] for side in (a, b))
+    valid = _valid(pair, [t.encode() for t in texts], a, b)
+    a, b = ([x if v else [] for x, v in zip(side, valid, strict=True)] for side in (a, b))
     stop_a, stop_b = (np.cumsum([0, *map(len, side)]) for side in (a, b))
-    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
+    counts = np.zeros((len(texts), 5), np.int64)
+    counts[:, 4] = valid
     if not len(a):
-        return [(0, 0, 0, 0, "", b"")] * len(texts)
+        return counts, [""] * len(texts), np.empty(0, np.int32)
     end_a, end_b = np.cumsum(pair.len_a[a]), np.cumsum(pair.len_b[b])  # texts follow each other; their ends are ends on both sides
     start_a, start_b = end_a - pair.len_a[a], end_b - pair.len_b[b]
     group_a, group_b = coalesce(start_a, end_a, start_b, end_b)
     i, j = overlaps(start_a, end_a, start_b, end_b)
     together = end_a[i] == end_b[j]
     i, j = i[together], j[together]
-    links = pair.number(a[i], b[j]).astype("<i4")
-    stop_links = np.searchsorted(i, stop_a)
-
     last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+    for k, x in enumerate((stop_a, stop_b, np.append(0, np.cumsum(last_a))[stop_a], np.searchsorted(i, stop_a))):
+        counts[:, k] = np.diff(x)
+
     size_a, size_b = (np.bincount(g) for g in (group_a, group_b))
     told = np.empty(len(a) + len(b), np.int64)  # A ids of a group, then its B ids
     told[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]] = a + np.where(last_a, pair.label_a[1], pair.label_a[0])
     told[np.arange(len(b)) + np.cumsum(size_a)[group_b]] = b + np.where(last_b, pair.label_b[1], pair.label_b[0])
-    words = pair.labels[told].tolist()
+    words, stops = pair.labels[told].tolist(), (stop_a + stop_b).tolist()
+    labels = ["".join(words[lo:hi]) for lo, hi in zip(stops, stops[1:], strict=False)]
+    return counts, labels, pair.number(a[i], b[j]).astype(np.int32)
+
+
+def _documents(pair: Pair, texts: list[str]) -> list[tuple[int, int, int, int, str, bytes]]:
+    """Of each text: n_a, n_b, n_groups, n_links, groups_sha256, numbers of its linked pairs (little-endian 32-bit).
+
+    White space opens a token on both sides unless more of it comes before, so no token reaches from one chunk into
+    the next: each distinct chunk is encoded and aligned once. Whole texts are, where that does not hold.
+    """
+    spaced = [" " + t for t in texts]
+    if pair.size > _REMEMBER:
+        pair.clear()
+    number = pair.code.__getitem__
+    codes = [list(map(number, _CHUNKS.findall(t))) if pair.by_chunks and not _WHOLE.search(t) else None for t in spaced]
+    if pair.code.new:
+        pair.learn()
     out = []
-    for k, ok in enumerate(valid):
-        a0, a1, b0, b1, l0, l1 = (int(s[k + d]) for s in (stop_a, stop_b, stop_links) for d in (0, 1))
-        if not ok or a0 == a1:
-            out.append((0, 0, 0, 0, "", b""))
-            continue
-        digest = sha256("".join(words[a0 + b0 : a1 + b1])[:-1].encode()).hexdigest()
-        out.append((a1 - a0, b1 - b0, int(group_a[a1 - 1] - group_a[a0]) + 1, l1 - l0, digest, links[l0:l1].tobytes()))
+    for text, c in zip(spaced, codes, strict=True):
+        if c is not None:
+            at = np.array(c)
+            counts = pair.counts[at]
+            n_a, n_b, groups, n_links = counts[:, :4].sum(0).tolist()
+            if counts[:, 4].all():
+                n = counts[:, 3]
+                links = pair.links[np.repeat(pair.stops[at] - np.cumsum(n), n) + np.arange(n_links)]
+                told = "".join([pair.labels_of[k] for k in c])
+            else:
+                c = None
+        if c is None:
+            counts, (told,), links = _aligned(pair, [text])
+            n_a, n_b, groups, n_links, ok = counts[0].tolist()
+            if not ok:
+                out.append((0, 0, 0, 0, "", b""))
+                continue
+        out.append((n_a, n_b, groups, n_links, sha256(told[:-1].encode()).hexdigest(), links.astype("<i4").tobytes()))
     return out
 
 
@@ -211,13 +223,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         pair = pair_of(path_a, path_b)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in _slices([t or "" for t in texts]):
                 full = [k for k in range(lo, hi) if texts[k]]
                 rows = [(0, 0, 0, 0, "", b"")] * (hi - lo)
-                for k, row in zip(full, _aligned(pair, [texts[k] for k in full]) if full else (), strict=True):
+                for k, row in zip(full, _documents(pair, [texts[k] for k in full]), strict=True):
                     rows[k - lo] = row
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
