@@ -16,7 +16,7 @@ from .common import stored, take
 from .packing import _Codes, _printable
 
 #: Characters of texts that are aligned at a time; characters of chunks that a worker remembers, some 40 bytes for each.
-_SLICE, _REMEMBER = 1_000_000, 3_000_000
+_SLICE, _REMEMBER = 1_000_000, 5_000_000
 #: Chunks of a text that starts with a space: white space and what follows up to the next.
 _CHUNKS = re.compile(r"[ \t\n]+[^ \t\n]*")
 #: Other white space, which may stand beside a chunk's own in one token, and the sign that B writes for a space.
@@ -39,7 +39,7 @@ class BytePieces:
         self.by_chunks = t.normalizer is None and type(t.pre_tokenizer).__name__ == "ByteLevel" and t.pre_tokenizer.use_regex and not t.pre_tokenizer.add_prefix_space
 
     def batch(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class SentencePieces:
@@ -55,7 +55,8 @@ class SentencePieces:
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         """Of texts that start with white space; the space that the model puts in front is the first one's, or is taken away."""
-        return [self.model.encode(t[1:]) if t[0] == " " else self.model.encode(t)[1:] for t in texts]
+        ids = self.model.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return [x if t[0] == " " else x[1:] for t, x in zip(texts, ids, strict=True)]
 
 
 class Pair:
@@ -87,17 +88,35 @@ class Pair:
         return np.searchsorted(self.keys, a << 32 | b)
 
     def clear(self) -> None:
-        self.code, self.size, self.labels_of = _Codes(), 0, []
+        self.code, self.size, self.labels_of, self.uses = _Codes(), 0, [], np.zeros(0, np.int64)
         self.counts, self.links, self.stops = np.empty((0, 5), np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
 
+    def forget(self) -> None:
+        """Forgets the chunks that were not met again, or all if that leaves too many."""
+        keep, chunks = np.flatnonzero(self.uses > 1), list(self.code)
+        if sum(len(chunks[k]) for k in keep) > _REMEMBER // 2:
+            keep = keep[:0]
+        counts, labels, links = self.counts[keep], [self.labels_of[k] for k in keep], self.linked(keep)
+        self.clear()
+        for k in keep:
+            self.code[chunks[k]] = len(self.code)
+        self._add(counts, labels, links, sum(map(len, self.code)))
+
+    def linked(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the linked pairs of the chunks with these numbers, in order."""
+        n = self.counts[at, 3]
+        return self.links[np.repeat(self.stops[at] - np.cumsum(n), n) + np.arange(n.sum())]
+
+    def _add(self, counts: np.ndarray, labels: list[str], links: np.ndarray, chars: int) -> None:
+        self.counts, self.links = np.concatenate([self.counts, counts]), np.concatenate([self.links, links])
+        self.stops, self.uses = np.cumsum(self.counts[:, 3]), np.append(self.uses, np.zeros(len(counts), np.int64))
+        self.labels_of += labels
+        self.size += chars
+
     def learn(self) -> None:
         """Aligns the chunks that were met for the first time."""
-        counts, labels, links = _aligned(self, self.code.new)
-        self.size += sum(map(len, self.code.new))
+        self._add(*_aligned(self, self.code.new), sum(map(len, self.code.new)))
         self.code.new.clear()
-        self.counts, self.links = np.concatenate([self.counts, counts]), np.concatenate([self.links, links])
-        self.stops = np.cumsum(self.counts[:, 3])
-        self.labels_of += labels
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -175,11 +194,13 @@ def _documents(pair: Pair, texts: list[str]) -> list[tuple[int, int, int, int, s
     """
     spaced = [" " + t for t in texts]
     if pair.size > _REMEMBER:
-        pair.clear()
+        pair.forget()
     number = pair.code.__getitem__
     codes = [list(map(number, _CHUNKS.findall(t))) if pair.by_chunks and not _WHOLE.search(t) else None for t in spaced]
     if pair.code.new:
         pair.learn()
+    used = np.bincount(np.fromiter((k for c in codes if c for k in c), np.int64))
+    pair.uses[: len(used)] += used
     out = []
     for text, c in zip(spaced, codes, strict=True):
         if c is not None:
@@ -187,8 +208,7 @@ def _documents(pair: Pair, texts: list[str]) -> list[tuple[int, int, int, int, s
             counts = pair.counts[at]
             n_a, n_b, groups, n_links = counts[:, :4].sum(0).tolist()
             if counts[:, 4].all():
-                n = counts[:, 3]
-                links = pair.links[np.repeat(pair.stops[at] - np.cumsum(n), n) + np.arange(n_links)]
+                links = pair.linked(at)
                 told = "".join([pair.labels_of[k] for k in c])
             else:
                 c = None
