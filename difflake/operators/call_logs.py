@@ -1,4 +1,4 @@
-"""Logs of calls and attempts: classes of errors, retries, rates, streaks."""
+"""Logs of calls and attempts: classes of errors, retries, outcomes."""
 
 from __future__ import annotations
 
@@ -68,28 +68,6 @@ def calls_per_minute(log: DataFrame, requests: int = 1000, tokens: int = 40_000)
     return w.select("provider", F.col("w.start").alias("start"), "requests", "tokens", (F.col("requests") / requests).alias("request_share"), (F.col("tokens") / tokens).alias("token_share"))
 
 
-def rolling_rate(log: DataFrame, limit: int = 1000, seconds: int = 60) -> DataFrame:
-    """Calls of the account in the time before each call, and whether one more exceeds the limit."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("account").orderBy("at").rangeBetween(-seconds * 1_000_000, -1)
-    rows = log.withColumn("at", at).withColumns({"before": F.count("*").over(w), "oldest": F.min("at").over(w)})
-    return rows.select("call_id", "before", (F.col("before") >= limit).alias("exceeds"), F.when(F.col("before") >= limit, seconds * 1_000_000 - (F.col("at") - F.col("oldest"))).alias("wait_us"))
-
-
-def peak_concurrency(log: DataFrame, limit: int = 3) -> DataFrame:
-    """Most calls of an account at once, and whether they were over the limit: a call lasts value minutes."""
-    start = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = log.select("account", start.alias("at"), F.lit(1).alias("d")).union(log.select("account", start + (F.col("value") * 60_000_000).cast("long"), F.lit(-1)))
-    active = F.sum("d").over(Window.partitionBy("account").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("active", active).groupBy("account").agg(F.max("active").alias("peak"), (F.max("active") > limit).alias("over"))
-
-
-def failure_streaks(log: DataFrame) -> DataFrame:
-    w = Window.partitionBy("account").orderBy("ts", "call_id")
-    rows = log.withColumn("island", F.count_if(~F.col("failed")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("failed")
-    return rows.groupBy("account", "island").agg(F.count("*").alias("n")).groupBy("account").agg(F.max("n").alias("longest"))
-
-
 def resolve_attempts(attempts: DataFrame, tries: int = 3) -> DataFrame:
     """The final attempt of each (run, instance): the first success or unexpected error, else the last of so many tries."""
     nth = F.row_number().over(Window.partitionBy("run_id", "instance_id").orderBy("ts", "seq"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import before, ranged
+
 #: Phases of a build with the words that begin them, in order of rank.
 PHASES = [
     ("base", "building base image", "from --platform"),
@@ -63,14 +65,25 @@ def log_success(logs: DataFrame, n: int = 200) -> DataFrame:
 
 
 def running_content(parsed: DataFrame) -> DataFrame:
-    """Content of a stream so far at each chunk; its text grows with the square of the chunks, so for short streams."""
-    w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return parsed.select("stream_id", "seq", F.array_join(F.collect_list("delta").over(w), "").alias("content"))
+    """Where the content of a stream ends at each chunk: stream_id, seq, content_end (characters so far); no text is copied.
+
+    Chunks are dealt to ranges of (stream, seq) whose lengths are summed up, so a long stream is many tasks' work.
+    """
+    parts = ranged(parsed.select("stream_id", "seq", F.length("delta").cast("long").alias("n")), "stream_id", "seq")
+    sums = parts.groupBy("stream_id", "part").agg(F.sum("n").alias("sum"))
+    offsets = sums.select("stream_id", "part", before(sums, ["stream_id"], F.col("sum")).alias("offset"))
+    so_far = F.sum("n").over(Window.partitionBy("stream_id", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(offsets, ["stream_id", "part"]).select("stream_id", "seq", (F.col("offset") + so_far).alias("content_end"))
+
+
+def content_so_far(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of each stream up to each of the given ends (stream_id, seq, content_end), from one row of text (stream_id, content) for each stream."""
+    return ends.join(texts, "stream_id").select("stream_id", "seq", F.substr("content", F.lit(1), F.col("content_end").cast("int")).alias("content"))
 
 
-def rate_limit_headers(calls: DataFrame) -> DataFrame:
-    """Limits, what is left of them and when they are full again, by either family of header names; numbers that are not whole are null."""
-    h = calls.select("call_id", "provider", "ts", F.from_json("headers", "map<string,string>").alias("h"))
+def rate_limit_headers(calls: DataFrame, *more: str) -> DataFrame:
+    """Limits, what is left of them and when they are full again, by either family of header names; numbers that are not whole are null. Further columns of the calls may be kept."""
+    h = calls.select("call_id", "provider", *more, F.from_json("headers", "map<string,string>").alias("h"))
 
     def number(of: str, what: str) -> F.Column:
         return F.coalesce(F.try_element_at("h", F.lit(f"x-ratelimit-{what}-{of}")), F.try_element_at("h", F.lit(f"anthropic-ratelimit-{of}-{what}"))).try_cast("long")
@@ -78,7 +91,7 @@ def rate_limit_headers(calls: DataFrame) -> DataFrame:
     def reset(of: str) -> F.Column:
         return F.coalesce(F.try_element_at("h", F.lit(f"x-ratelimit-reset-{of}")), F.try_element_at("h", F.lit(f"anthropic-ratelimit-{of}-reset")))
 
-    return h.select("call_id", "provider", *(reset(of).alias(f"{of}_reset") for of in ("requests", "tokens")), *(number(of, what).alias(f"{of}_{what}") for of in ("requests", "tokens") for what in ("limit", "remaining")))
+    return h.select("call_id", "provider", *more, *(reset(of).alias(f"{of}_reset") for of in ("requests", "tokens")), *(number(of, what).alias(f"{of}_{what}") for of in ("requests", "tokens") for what in ("limit", "remaining")))
 
 
 def validate_requests(requests: DataFrame, models: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import catalogue, extraction, generation
+from ..operators import catalogue, extraction, generation, timelines
 from ..streaming import chunks as ch
 from ..streaming import replay
 from .diffs import QUERIES
@@ -85,10 +85,23 @@ FROM (SELECT path, unnest(range(1, len(x) + 1)) AS line_no, lower(unnest(x)) AS
     "build_logs",
 )(generation.build_phases)
 q("log_success", "SELECT path, contains(tail, 'ran successfully, 0 failed') OR contains(tail, 'all instances run.') AS passed FROM (SELECT path, lower(array_to_string(l[greatest(1, len(l) - 199):], chr(10))) AS tail FROM (SELECT *, string_split(content, chr(10)) AS l FROM logs))", "logs")(generation.log_success)
-q("running_content", "SELECT stream_id, seq, string_agg(delta, '') OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS content FROM parsed", "chunks", more=_PARSED)(lambda x: generation.running_content(ch.parse_chunks(x)))
+q("running_content", "SELECT stream_id, seq, (sum(length(delta)) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS content_end FROM parsed", "chunks", more=_PARSED)(lambda x: generation.running_content(ch.parse_chunks(x)))
 _HEAD = "TRY_CAST(coalesce(json_extract_string(headers, '$.\"x-ratelimit-{w}-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-{w}\"')) AS BIGINT) AS {o}_{w}"
 _RESET = "coalesce(json_extract_string(headers, '$.\"x-ratelimit-reset-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-reset\"')) AS {o}_reset"
 q("rate_limit_headers", "SELECT call_id, provider, " + ", ".join(_RESET.format(o=o) for o in ("requests", "tokens")) + ", " + ", ".join(_HEAD.format(o=o, w=w) for o in ("requests", "tokens") for w in ("limit", "remaining")) + " FROM limit_headers", "limit_headers")(generation.rate_limit_headers)
+_STEPS = """steps AS (SELECT *, epoch_us(ts) // 86400000000 AS day, least(1000000, greatest(0, rest * 1000000 // most)) AS left_over FROM (
+  SELECT provider, call_id, ts, 'requests' AS kind, 1000 * (1 + call_id % 2) AS most, account % 1000 AS rest FROM limit_readings WHERE call_id % 5 <> 0
+  UNION ALL SELECT provider, call_id, ts, 'tokens', 40000, least(tokens, 50000) FROM limit_readings WHERE call_id % 5 <> 0)),
+days AS (SELECT provider, kind, day, lag(arg_max(left_over, (ts, call_id))) OVER (PARTITION BY provider, kind ORDER BY day) AS carried FROM steps GROUP BY provider, kind, day),
+held AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY provider, kind, day ORDER BY us, call_id NULLS FIRST), (day + 1) * 86400000000) - us AS stood FROM (
+  SELECT provider, kind, day, call_id, ts, epoch_us(ts) AS us, left_over FROM steps UNION ALL SELECT provider, kind, day, NULL, NULL, day * 86400000000, carried FROM days WHERE carried IS NOT NULL))"""
+q(
+    "limit_usage",
+    """SELECT provider, kind, DATE '1970-01-01' + day::INTEGER AS day, CASE WHEN sum(stood) > 0 THEN sum(stood * (1000000 - left_over))::BIGINT / sum(stood)::BIGINT / 1000000 END AS mean_used, min(CASE WHEN call_id IS NOT NULL THEN left_over END) AS lowest_left,
+(min((left_over, us, call_id)) FILTER (call_id IS NOT NULL))[3] AS lowest_call, arg_min(ts, (left_over, us, call_id)) FILTER (call_id IS NOT NULL) AS lowest_at, count(call_id) AS readings FROM held GROUP BY ALL""",
+    "limit_readings",
+    more=_STEPS,
+)(lambda x: timelines.limit_usage(generation.rate_limit_headers(x, "ts")))
 q(
     "validate_requests",
     r"SELECT response_id, CASE WHEN NOT regexp_matches(prompt, '[^ \t-\r]') THEN 'empty_prompt' WHEN temperature < 0 OR temperature > 2 THEN 'temperature' WHEN max_tokens < 1 THEN 'max_tokens' WHEN context_limit IS NULL THEN 'unknown_model' WHEN floor(length(prompt) / 4) + max_tokens > context_limit THEN 'over_limit' END AS reason FROM requests LEFT JOIN models USING (model)",

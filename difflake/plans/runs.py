@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import call_logs as cl
-from ..operators import costs, evaluation, prompts, selection
+from ..operators import costs, evaluation, prompts, selection, timelines
 from ..streaming import chunks as ch
 from .diffs import prediction_query as q
 
@@ -60,7 +60,11 @@ r("head_to_head", "SELECT x.model AS a, y.model AS b, count_if(x.passed AND NOT
 r("ensemble_agreement", 'SELECT instance_id, count_if(passed)::BIGINT AS solved_by, count_if(passed) > 0 AS "any", count_if(passed) = count(*) AS "all", count_if(passed) = 1 AS one FROM bm GROUP BY 1')(evaluation.ensemble_agreement)
 r("instance_sets", """, x AS (SELECT instance_id FROM bm WHERE passed AND model = 'model0'), y AS (SELECT instance_id FROM bm WHERE passed AND model = 'model1')
 SELECT 'both' AS "set", instance_id FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION ALL SELECT 'either', instance_id FROM (SELECT * FROM x UNION SELECT * FROM y) UNION ALL SELECT 'first_only', instance_id FROM (SELECT * FROM x EXCEPT SELECT * FROM y)""")(lambda x: evaluation.instance_sets(x, "model0", "model1"))
-r("duration_stats", "SELECT run_id, avg(seconds) AS mean, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95, max(seconds) AS longest FROM results GROUP BY 1")(evaluation.duration_stats)
+_SETS = "CASE seq % 3 WHEN 0 THEN 'lite' WHEN 1 THEN 'verified' ELSE 'custom' END"
+r("duration_stats", f"SELECT run_id, {_SETS} AS test_set, avg(seconds) AS mean, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95, max(seconds) AS longest FROM results GROUP BY ALL")(lambda x: evaluation.duration_stats(x.withColumn("test_set", F.expr(_SETS)), "run_id", "test_set"))
+r("duration_rollup", f"SELECT run_id, {_SETS} AS test_set, count(*) AS n, avg(seconds) AS mean, quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.95) AS p95, max(seconds) AS longest FROM results GROUP BY ALL")(
+    lambda x: evaluation.duration_rollup(evaluation.duration_sketches(x.withColumns({"test_set": F.expr(_SETS), "day": F.to_date("ts")}), "run_id", "test_set", "day"), "run_id", "test_set")
+)
 
 _MATCH = """names AS (SELECT DISTINCT model FROM usage),
 m AS (SELECT * FROM (SELECT n.model, k.* EXCLUDE (model), row_number() OVER (PARTITION BY n.model ORDER BY CASE WHEN n.model = k.model THEN 0 ELSE 1 END, pos) AS rn FROM names n LEFT JOIN models k ON contains(n.model, k.model) OR contains(k.model, n.model)) WHERE rn = 1),
@@ -102,9 +106,9 @@ WHEN limited THEN CASE WHEN retry_after > 0 THEN retry_after ELSE least(60.0::DO
 FROM (SELECT *, starts_with(error_class, 'rate_limit') AS limited, CASE WHEN api = 'anthropic' THEN error_class NOT IN ('auth', 'billing', 'organization', 'permission', 'context_length') ELSE error_class IN ('rate_limit_tokens', 'rate_limit_requests', 'server', 'http') END AS retryable, CAST(a AS INTEGER) AS attempt FROM c, range(6) t(a))""",
 )(cl.retry_plan)
 c("calls_per_minute", "SELECT provider, time_bucket(INTERVAL '60 seconds', ts) AS start, count(*) AS requests, sum(tokens)::BIGINT AS tokens, count(*) / 1000 AS request_share, sum(tokens) / 40000 AS token_share FROM call_log GROUP BY ALL")(cl.calls_per_minute)
-c("rolling_rate", "SELECT call_id, n AS before, n >= 3 AS exceeds, CASE WHEN n >= 3 THEN 3600000000 - (us - oldest) END AS wait_us FROM (SELECT *, count(*) OVER w AS n, min(us) OVER w AS oldest FROM (SELECT *, epoch_us(ts) AS us FROM call_log) WINDOW w AS (PARTITION BY account ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING))")(lambda x: cl.rolling_rate(x, 3, 3600))
-c("peak_concurrency", "SELECT account, max(active)::BIGINT AS peak, max(active) > 3 AS over FROM (SELECT account, sum(d) OVER (PARTITION BY account ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS active FROM (SELECT account, epoch_us(ts) AS us, 1 AS d FROM call_log UNION ALL SELECT account, epoch_us(ts) + CAST(trunc(value * 60000000) AS BIGINT), -1 FROM call_log)) GROUP BY 1")(cl.peak_concurrency)
-c("failure_streaks", "SELECT account, max(n) AS longest FROM (SELECT account, island, count(*) AS n FROM (SELECT *, count_if(NOT failed) OVER (PARTITION BY account ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS island FROM call_log) WHERE failed GROUP BY ALL) GROUP BY 1")(cl.failure_streaks)
+c("rolling_rate", "SELECT call_id, n AS before, n >= 3 AS exceeds, CASE WHEN n >= 3 THEN 3600000000 - (us - oldest) END AS wait_us FROM (SELECT *, count(*) OVER w AS n, min(us) OVER w AS oldest FROM (SELECT *, epoch_us(ts) AS us FROM call_log) WINDOW w AS (PARTITION BY account ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING))")(lambda x: timelines.rolling_rate(x, 3, 3600))
+c("peak_concurrency", "SELECT account, max(active)::BIGINT AS peak, max(active) > 3 AS over FROM (SELECT account, sum(d) OVER (PARTITION BY account ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS active FROM (SELECT account, epoch_us(ts) AS us, 1 AS d FROM call_log UNION ALL SELECT account, epoch_us(ts) + CAST(trunc(value * 60000000) AS BIGINT), -1 FROM call_log)) GROUP BY 1")(timelines.peak_concurrency)
+c("failure_streaks", "SELECT account, max(n) AS longest FROM (SELECT account, island, count(*) AS n FROM (SELECT *, count_if(NOT failed) OVER (PARTITION BY account ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS island FROM call_log) WHERE failed GROUP BY ALL) GROUP BY 1")(timelines.failure_streaks)
 q("normalize_finish_reason", "SELECT response_id, CASE provider || '/' || reason WHEN 'openai/length' THEN 'length' WHEN 'openai/tool_calls' THEN 'tool_calls' WHEN 'anthropic/max_tokens' THEN 'length' WHEN 'anthropic/tool_use' THEN 'tool_calls' WHEN 'ollama/length' THEN 'length' ELSE 'stop' END AS finish_reason FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' WHEN 3 THEN 'tool_calls' ELSE 'end_turn' END AS reason FROM responses)", "responses")(
     lambda x: cl.normalize_finish_reason(x.withColumn("reason", F.expr("CASE doc_id % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' WHEN 3 THEN 'tool_calls' ELSE 'end_turn' END")))
 )

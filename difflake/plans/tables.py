@@ -163,6 +163,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT call_id, provider, ts, CASE call_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"anthropic-ratelimit-requests-remaining":"' || CAST(account AS STRING) || '","anthropic-ratelimit-tokens-limit":"50000","anthropic-ratelimit-tokens-remaining":"x","anthropic-ratelimit-tokens-reset":"2024-01-01T00:00:' || CAST(10 + account % 50 AS STRING) || 'Z"}}'
         ELSE '{{"x-ratelimit-limit-requests":"1000","x-ratelimit-remaining-requests":"' || CAST(account % 1000 AS STRING) || '","x-ratelimit-reset-requests":"' || CAST(account % 60 AS STRING) || 's","x-ratelimit-limit-tokens":"40000","x-ratelimit-remaining-tokens":"' || CAST(tokens AS STRING) || '"}}' END AS headers FROM {call_log}""",
     ),
+    "limit_readings": (
+        ("call_log",),
+        """SELECT call_id, provider, ts, account, tokens, CASE WHEN call_id % 5 = 0 THEN '{{}}'
+        WHEN call_id % 2 = 1 THEN '{{"anthropic-ratelimit-requests-limit":"2000","anthropic-ratelimit-requests-remaining":"' || CAST(account % 1000 AS STRING) || '","anthropic-ratelimit-tokens-limit":"40000","anthropic-ratelimit-tokens-remaining":"' || CAST(least(tokens, 50000) AS STRING) || '"}}'
+        ELSE '{{"x-ratelimit-limit-requests":"1000","x-ratelimit-remaining-requests":"' || CAST(account % 1000 AS STRING) || '","x-ratelimit-limit-tokens":"40000","x-ratelimit-remaining-tokens":"' || CAST(least(tokens, 50000) AS STRING) || '"}}' END AS headers FROM {call_log}""",
+    ),
     "requests": (("responses",), "SELECT response_id, model, CASE doc_id % 11 WHEN 0 THEN ' ' ELSE content END AS prompt, CAST(doc_id % 25 AS DOUBLE) / 10 AS temperature, doc_id % 4000 - 50 AS max_tokens FROM {responses}"),
     "full_requests": (
         ("responses",),
