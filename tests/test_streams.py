@@ -40,6 +40,57 @@ def test_stream_predictions_keep_one_of_repeats_and_set_bad_ones_apart(spark, tm
     assert {r["reason"] for r in spark.read.parquet(bad).collect()} == {"empty_id", "not_a_diff"}
 
 
+def test_a_refused_prediction_does_not_hide_a_good_one(spark, tmp_path):
+    schema = "run_id string, instance_id string, patch string, ts timestamp"
+    source, good, bad, mark = (str(tmp_path / x) for x in ("in", "good", "bad", "mark"))
+    for k, patch in enumerate(["rubbish", "rubbish", DIFF, "rubbish", DIFF]):
+        spark.sql("select 'r' as run_id, 'a' as instance_id, :p as patch, timestamp_seconds(1700000000 + :k) as ts", args={"p": patch, "k": k}).write.mode("append").parquet(source)
+        chunks.stream_predictions(spark.readStream.schema(schema).parquet(source), good, bad, mark).awaitTermination()
+    assert spark.read.parquet(good).count() == 1 and spark.read.parquet(bad).count() == 3
+
+
+def test_stream_assembly_equals_batch(spark, tmp_path):
+    """Chunks late, repeated and out of order, over batches and a restart from the checkpoint."""
+    source, mark, out = (str(tmp_path / x) for x in ("in", "mark", "out"))
+    schema = "stream_id string, seq long, provider string, raw string, ts timestamp"
+    line = lambda text, **x: "data: " + json.dumps({"text": text, **x})
+    before = spark.conf.get(chunks.STATE_STORE[0])
+    spark.conf.set(*chunks.STATE_STORE)
+    written = []
+
+    def arrive(*rows):
+        written.extend(rows)
+        spark.createDataFrame([(s, q, "other", raw, t) for s, q, raw, t in rows], "stream_id string, seq long, provider string, raw string, t long").selectExpr("stream_id", "seq", "provider", "raw", "timestamp_seconds(1700000000 + t) as ts").coalesce(1).write.mode("append").parquet(source)
+        rows_in = spark.readStream.schema(schema).parquet(source)
+        chunks.stream_assembly(rows_in, "10 seconds", idle=60, grace=20).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return {r["stream_id"]: (r["content"], r["finished"], r["chunks"]) for r in spark.read.schema("stream_id string, content string, finished boolean, chunks long").parquet(out).collect()}
+
+    try:
+        assert arrive(("a", 2, line("c", done=True), 3), ("a", 0, line("a"), 1), ("b", 0, line("x"), 1), ("b", 0, line("x"), 1)) == {}
+        assert arrive(("a", 1, line("b"), 2), ("a", 2, line("c", done=True), 3), ("b", 5, line("z"), 9), ("a", 3, line("after"), 4)) == {}
+        assert arrive(("b", 3, line("y"), 8), ("c", 0, ": comment", 30), ("c", 1, line("1"), 31)) == {}
+        assert arrive(("d", 0, line("open"), 45)) == {"a": ("abc", True, 3)}  # the watermark is at 35, past 3 + 20
+        whole = {"a": ("abc", True, 3), "b": ("xyz", False, 3), "c": ("1", False, 1), "d": ("open!", True, 2)}
+        assert arrive(("z", 0, line("", done=True), 200), ("d", 1, line("!", done=True), 60)) == whole  # the watermark is at 190
+        got = arrive(("b", 9, line("too late"), 70), ("z", 1, line("y"), 201))
+        assert got == whole
+    finally:
+        spark.conf.set(chunks.STATE_STORE[0], before)
+    batch = spark.createDataFrame([(s, q, "other", raw) for s, q, raw, _ in set(written) if raw != line("too late")], "stream_id string, seq long, provider string, raw string")
+    want = {r["stream_id"]: (r["content"], r["finished"], r["chunks"]) for r in chunks.assemble_streams(chunks.parse_chunks(batch)).collect()}
+    assert {k: v for k, v in want.items() if k != "z"} == got
+
+
+def test_stream_rolling_rate_equals_batch(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id % 3 as account", "timestamp_seconds(1700000000 + id * 7 - (id % 5) * 11) as ts")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = chunks.stream_rolling_rate(stream, 3, "1 day").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert rows_of(spark.table("rates")) == rows_of(chunks.stream_rolling_rate(rows, 3))
+
+
 def test_stream_progress_equals_batch(spark, tmp_path):
     rows = spark.range(200).selectExpr("concat('r', id % 3) as run_id", "id % 4 = 0 as passed", "timestamp_seconds(1700000000 + id * 97) as ts")
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
