@@ -6,11 +6,11 @@ import difflib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import repair
+from . import diff_checks, repair
 
 #: What a line of a diff may begin with, lines of commit messages, the shape of file headers, and the forms in which responses give files, pairs of texts, names of files and instructions.
 ALLOWED = r"^(?:[ +\-@\\]|diff|index|new file|deleted)"
@@ -47,42 +47,63 @@ def _foreign(line: Column) -> Column:
     return line.rlike(r"[^ \t-\r]") & ~line.rlike(ALLOWED)
 
 
-def _candidate(rows: DataFrame, order: int, form: str, hundredths: Column) -> DataFrame:
-    return rows.select("response_id", F.lit(order).alias("order"), F.lit(form).alias("format"), "patch", (hundredths / 100).alias("confidence"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _no_hunk() -> Column:
-    return F.when(F.col("patch").contains("@@"), 0).otherwise(30)
+def _told(patch: Column, order: int, form: str, hundredths: Callable[[Column], Column]) -> Column:
+    """A candidate as a struct."""
+    return let(patch, lambda x: F.struct(F.lit(order).alias("order"), F.lit(form).alias("format"), x.alias("patch"), (hundredths(x) / 100).alias("confidence")))
 
 
-def extract_git_diff(responses: DataFrame) -> DataFrame:
+def _frame(responses: DataFrame, candidate: Column) -> DataFrame:
+    """Candidates of one format as rows."""
+    return responses.select("response_id", candidate.alias("c")).where("c is not null").select("response_id", "c.order", "c.format", "c.patch", "c.confidence")
+
+
+def _no_hunk(patch: Column) -> Column:
+    return F.when(patch.contains("@@"), 0).otherwise(30)
+
+
+def git_candidate() -> Column:
     """From the first git header to the first line that is neither diff nor commit message."""
     c = F.col("content")
-    text = F.substr(c, F.locate("diff --git", c))
-    rows = responses.where(c.contains("diff --git")).withColumn("patch", _until(text, lambda x: _foreign(x) & ~x.rlike(MESSAGE)))
-    return _candidate(rows, 1, "git", 95 - _no_hunk())
+    text = _until(F.substr(c, F.locate("diff --git", c)), lambda x: _foreign(x) & ~x.rlike(MESSAGE))
+    return F.when(c.contains("diff --git"), _told(text, 1, "git", lambda x: 95 - _no_hunk(x)))
 
 
-def extract_unified_diff(responses: DataFrame) -> DataFrame:
+def unified_candidate() -> Column:
     """From the first file header, where there is no git header and no fence of a diff."""
     c = F.col("content")
-    rows = responses.where(~c.contains("diff --git") & ~c.contains("```diff") & ~c.contains("```patch") & c.rlike(HEADERS))
-    rows = rows.withColumn("patch", _until(F.substr(c, F.locate("--- ", c)), _foreign))
-    count = lambda mark: (F.length("patch") - F.length(F.replace("patch", F.lit(mark), F.lit("")))) / 3
-    return _candidate(rows, 3, "unified", 90 - _no_hunk() - F.when(count("---") != count("+++"), 20).otherwise(0))
+    count = lambda x, mark: (F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))) / 3
+    sure = lambda x: 90 - _no_hunk(x) - F.when(count(x, "---") != count(x, "+++"), 20).otherwise(0)
+    return F.when(~c.contains("diff --git") & ~c.contains("```diff") & ~c.contains("```patch") & c.rlike(HEADERS), _told(_until(F.substr(c, F.locate("--- ", c)), _foreign), 3, "unified", sure))
 
 
-def extract_fenced(responses: DataFrame) -> DataFrame:
+def fenced_candidate() -> Column:
     """The first diff fence, else the first patch fence, else the first plain fence that looks like a diff."""
     c = F.col("content")
-    fence = lambda kind: F.regexp_extract(c, f"(?s)```{kind}\n(.*?)```", 1)
+    inside = lambda kind: _stripped(F.regexp_extract(c, f"(?s)```{kind}\n(.*?)```", 1), left=True)
     has = lambda kind: c.rlike(f"(?s)```{kind}\n.*?```")
     like = lambda x: x.rlike(HEADERS) | x.contains("diff --git")
+    more = lambda x: F.when(x.rlike(HEADERS), 10).when(x.contains("diff --git"), 15).otherwise(0)
     plain = F.get(F.filter(F.regexp_extract_all(c, F.lit("(?s)```\n(.*?)```"), 1), like), 0)
-    base = F.when(has("diff"), 80).when(has("patch"), 75).when(plain.isNotNull(), 60)
-    rows = responses.withColumns({"base": base, "patch": _stripped(F.when(has("diff"), fence("diff")).when(has("patch"), fence("patch")).otherwise(plain), left=True)}).where("base is not null")
-    more = F.when(F.col("base") == 60, 0).when(F.col("patch").rlike(HEADERS), 10).when(F.col("patch").contains("diff --git"), 15).otherwise(0)
-    return _candidate(rows, 2, "fenced", F.col("base") + more)
+    made = F.when(has("diff"), _told(inside("diff"), 2, "fenced", lambda x: 80 + more(x))).when(has("patch"), _told(inside("patch"), 2, "fenced", lambda x: 75 + more(x)))
+    other = let(plain, lambda x: F.when(x.isNotNull(), _told(_stripped(x, left=True), 2, "fenced", lambda _: F.lit(60))))
+    return F.when(c.contains("```"), made.otherwise(other))
+
+
+def extract_git_diff(responses: DataFrame) -> DataFrame:
+    return _frame(responses, git_candidate())
+
+
+def extract_unified_diff(responses: DataFrame) -> DataFrame:
+    return _frame(responses, unified_candidate())
+
+
+def extract_fenced(responses: DataFrame) -> DataFrame:
+    return _frame(responses, fenced_candidate())
 
 
 def detect_edit_instructions(responses: DataFrame) -> DataFrame:
@@ -93,27 +114,27 @@ def detect_edit_instructions(responses: DataFrame) -> DataFrame:
     return rows.where((F.col("path") != "") & (sum((F.col(k) for k in INSTRUCTIONS), F.lit(0)) > 0))
 
 
-def extract_search_replace(responses: DataFrame) -> DataFrame:
+def search_replace_candidate() -> Column:
     """Each pair of a searched and a replacing text as a patch of one hunk at line 1, of the first Python file that is named."""
     c = F.col("content")
-    pick = lambda p, g: F.regexp_extract_all(c, F.lit(p), g)
-    main = c.rlike(PAIR)
-    old, new = (F.when(main, pick(PAIR, g)).otherwise(pick(OTHER_PAIR, g)) for g in (1, 2))
-    rows = responses.select("response_id", F.regexp_extract(c, NAMED, 1).alias("named"), old.alias("old"), new.alias("new")).where(F.size("old") > 0)
-    own = F.regexp_extract(F.get("old", 0), OWN_NAME, 1)
-    path = F.when(F.col("named") != "", F.col("named")).when(own != "", own)
+    pairs = lambda p: F.arrays_zip(F.regexp_extract_all(c, F.lit(p), 1).alias("old"), F.regexp_extract_all(c, F.lit(p), 2).alias("new"))
     side = lambda x: F.split(_stripped(x, left=True), "\n", -1)
     led = lambda mark, lines: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(mark), x)), "\n")
-    text = lambda n: n.cast("string")
 
-    def patch(pair: Column) -> Column:
-        o, n = side(pair["old"]), side(pair["new"])
-        at = F.concat(F.lit("@@ -1,"), text(F.size(o)), F.lit(" +1,"), text(F.size(n)), F.lit(" @@"))
-        return F.concat_ws("\n", F.concat(F.lit("--- a/"), F.col("path")), F.concat(F.lit("+++ b/"), F.col("path")), at, led("-", o), led("+", n))
+    def hunk(path: Column, old: Column, new: Column) -> Column:
+        at = F.concat(F.lit("@@ -1,"), F.size(old).cast("string"), F.lit(" +1,"), F.size(new).cast("string"), F.lit(" @@"))
+        return F.concat_ws("\n", F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path), at, led("-", old), led("+", new))
 
-    rows = rows.select("response_id", "old", "new", path.isNotNull().alias("known"), F.coalesce(path, F.lit("unknown_file.py")).alias("path"))
-    rows = rows.withColumn("patch", F.array_join(F.transform(F.arrays_zip("old", "new"), patch), "\n"))
-    return _candidate(rows, 5, "search_replace", F.when(F.col("known"), 60).otherwise(40))
+    def whole(found: Column) -> Column:
+        named, own = F.nullif(F.regexp_extract(c, NAMED, 1), F.lit("")), F.nullif(F.regexp_extract(F.get(found, 0)["old"], OWN_NAME, 1), F.lit(""))
+        patch = lambda path: F.array_join(F.transform(found, lambda x: let(side(x["old"]), lambda old: let(side(x["new"]), lambda new: hunk(path, old, new)))), "\n")
+        return F.when(F.size(found) > 0, let(F.coalesce(named, own), lambda known: _told(patch(F.coalesce(known, F.lit("unknown_file.py"))), 5, "search_replace", lambda _: F.when(known.isNotNull(), 60).otherwise(40))))
+
+    return let(F.when(c.rlike(PAIR), pairs(PAIR)).otherwise(pairs(OTHER_PAIR)), whole)
+
+
+def extract_search_replace(responses: DataFrame) -> DataFrame:
+    return _frame(responses, search_replace_candidate())
 
 
 def extract_file_blocks(responses: DataFrame) -> DataFrame:
@@ -127,70 +148,101 @@ def extract_file_blocks(responses: DataFrame) -> DataFrame:
         return pd.Series([one(*x) for x in zip(path, old, new, strict=True)])
 
     part = lambda g: F.regexp_extract_all("content", F.lit(FILE_BLOCK), g)
-    blocks = responses.select("response_id", F.posexplode(F.arrays_zip(part(1).alias("path"), part(2).alias("old"), part(3).alias("new"))).alias("pos", "b"))
+    blocks = responses.where(F.col("content").contains("<file>")).select("response_id", F.posexplode(F.arrays_zip(part(1).alias("path"), part(2).alias("old"), part(3).alias("new"))).alias("pos", "b"))
     made = blocks.select("response_id", "pos", diff(F.trim("b.path"), _stripped(F.col("b.old"), True), _stripped(F.col("b.new"), True)).alias("diff")).where("diff <> ''")
     whole = made.groupBy("response_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "diff")))["diff"], "\n").alias("patch"))  # of one response
-    return _candidate(whole, 4, "file_blocks", F.lit(70))
+    return whole.select("response_id", F.lit(4).alias("order"), F.lit("file_blocks").alias("format"), "patch", F.lit(0.7).alias("confidence"))
 
 
-def normalize_patches(predictions: DataFrame) -> DataFrame:
+def normal(patch: Column) -> Column:
     """No trailing white space, no quotes around paths, a/ and b/ before them, one line feed at the end."""
 
-    def line(raw: Column) -> Column:
-        x = _stripped(raw)
-        path = F.regexp_replace(F.substr(x, F.lit(5)), '^"|"$', "")
-        led = lambda mark, side: F.concat(F.lit(f"{mark} "), F.when(path.startswith(side), path).otherwise(F.concat(F.lit(side), F.regexp_replace(path, "^/+", ""))))
-        return F.when(x.startswith("--- "), led("---", "a/")).when(x.startswith("+++ "), led("+++", "b/")).otherwise(x)
+    def headed(x: Column, mark: str, side: str) -> Column:
+        plain = F.regexp_replace(F.substr(x, F.lit(5)), '^"|"$', "")
+        return let(plain, lambda path: F.concat(F.lit(f"{mark} "), F.when(path.startswith(side), path).otherwise(F.concat(F.lit(side), F.regexp_replace(path, "^/+", "")))))
 
-    lines = F.transform(F.split("patch", "\n", -1), line)
-    return predictions.select("patch_id", F.concat(F.regexp_replace(F.array_join(lines, "\n"), r"\n+\z", ""), F.lit("\n")).alias("patch"))
+    line = lambda x: F.when(x.startswith("--- "), headed(x, "---", "a/")).when(x.startswith("+++ "), headed(x, "+++", "b/")).otherwise(x)
+    lines = F.transform(F.transform(F.split(patch, "\n", -1), lambda x: _stripped(x)), line)
+    return F.concat(F.regexp_replace(F.array_join(lines, "\n"), r"\n+\z", ""), F.lit("\n"))
+
+
+def normalize_patches(predictions: DataFrame) -> DataFrame:
+    return predictions.select("patch_id", normal(F.col("patch")).alias("patch"))
 
 
 def candidates(responses: DataFrame) -> DataFrame:
-    """Candidates of every format that yields a patch."""
-    found = extract_git_diff(responses)
-    for extract in (extract_fenced, extract_unified_diff, extract_file_blocks, extract_search_replace):
-        found = found.unionByName(extract(responses))
-    return found
+    """Candidates of every format that yields a patch: all that the text itself holds in one pass over it."""
+    found = F.array_compact(F.array(git_candidate(), fenced_candidate(), unified_candidate(), search_replace_candidate()))
+    return responses.select("response_id", F.inline(found)).unionByName(extract_file_blocks(responses))
+
+
+def _final(patch: Column, form: Column, base: Column, valid: Column, n_issues: Column, cut_off: Column) -> Column:
+    """Confidence in a candidate that was looked at."""
+    kind = F.when(form == "fenced", F.when(F.abs(base - 0.75) < 0.001, "fenced_patch").otherwise("fenced_diff")).otherwise(form)
+    at_first = F.coalesce(F.create_map(*(F.lit(x) for kv in repair.BASE.items() for x in kv))[kind], F.lit(0.5))
+    sure = repair.confidence(patch, at_first, valid, n_issues)
+    sure = F.when(cut_off, F.least(sure, F.lit(0.95))).otherwise(sure)
+    open_end = ~patch.endswith("\n") & F.element_at(F.split(patch, "\n", -1), -1).rlike("^[+ -]")
+    return F.when(open_end, F.least(sure, F.lit(0.7))).otherwise(sure)
 
 
 def extract_patches(responses: DataFrame) -> DataFrame:
     """The patch of each response: the first candidate that is valid and sure, else the one of highest confidence, the earlier on ties.
 
-    A candidate with issues or warnings is mended once (see repair.fix_hunk_counts) and looked at again; one that then
+    A candidate with issues or warnings is mended once (see repair.mended) and looked at again; one that then
     still has warnings is out of the running. Valid ones are normalised. Confidence is repair.confidence, at most 0.95
     where anything said that the patch may be cut off, and at most 0.7 for one that ends in a change without a line
     feed. issues are those that the candidate had at first. A response without a candidate has a null patch.
+
+    Lines of all candidates are laid out once; both checks and the repair come out of that layout, so there is one
+    exchange by candidate and one by response.
     """
-    c = cut(candidates(responses).where(F.col("confidence") >= LEAST).withColumn("patch_id", F.concat_ws("#", "response_id", "format")))  # each check reads them
-    before = repair.validate_extracted(c).select("patch_id", F.concat_ws(",", F.nullif("issues", F.lit("")), F.nullif("warnings", F.lit(""))).alias("issues"), F.col("warnings").contains("cut_off").alias("cut_off"), (~F.col("is_valid") | (F.col("n_warnings") > 0)).alias("odd"))
-    c = cut(c.join(before, "patch_id"))
-    mended = repair.fix_hunk_counts(c.where("odd"))
-    tried = cut(c.where("not odd").select("patch_id", "patch").unionByName(mended))
-    after = repair.validate_extracted(tried).where("n_warnings = 0").select("patch_id", "is_valid", "n_issues")
-    normal = normalize_patches(tried).withColumnRenamed("patch", "normal")
-    j = c.drop("patch").join(tried, "patch_id").join(after, "patch_id").join(normal, "patch_id")
-    j = j.withColumn("patch", F.when(F.col("is_valid"), F.col("normal")).otherwise(F.col("patch")))
-    kind = F.when(F.col("format") == "fenced", F.when(F.abs(F.col("confidence") - 0.75) < 0.001, "fenced_patch").otherwise("fenced_diff")).otherwise(F.col("format"))
-    base = F.coalesce(F.create_map(*(F.lit(x) for kv in repair.BASE.items() for x in kv))[kind], F.lit(0.5))
-    final = repair.confidence(F.col("patch"), base, F.col("is_valid"), F.col("n_issues"))
-    final = F.when(F.col("cut_off"), F.least(final, F.lit(0.95))).otherwise(final)
-    open_end = ~F.col("patch").endswith("\n") & F.element_at(F.split("patch", "\n", -1), -1).rlike("^[+ -]")
-    j = j.withColumn("final", F.when(open_end, F.least(final, F.lit(0.7))).otherwise(final))
-    early = F.col("is_valid") & (F.col("final") >= SURE)
+    some = candidates(responses).where((F.col("confidence") >= LEAST) & (F.col("patch") != "")).withColumn("patch_id", F.concat_ws("#", "response_id", "format"))
+    c = repair.mended(some, "response_id", "order", "format", "confidence").where("n_warnings_after = 0")
+    valid = F.col("n_issues_after") == 0
+    c = c.withColumn("final_patch", F.when(valid, normal(F.col("tried"))).otherwise(F.col("tried")))
+    c = c.withColumn("final", _final(F.col("final_patch"), F.col("format"), F.col("confidence"), valid, F.col("n_issues_after"), F.col("warnings").contains("cut_off")))
+    early = valid & (F.col("final") >= SURE)
     rank = F.struct((~early).alias("late"), F.when(early, F.lit(0.0)).otherwise(-F.col("final")).alias("least"), "order")
-    best = j.where(early | (F.col("final") >= LEAST)).groupBy("response_id").agg(F.min_by(F.struct("format", "patch", "final", "is_valid", "issues"), rank).alias("b"))
-    return responses.select("response_id", "instance_id", "model").join(best, "response_id", "left").select("response_id", "instance_id", "model", "b.format", "b.patch", F.col("b.final").alias("confidence"), F.coalesce("b.is_valid", F.lit(False)).alias("is_valid"), F.coalesce("b.issues", F.lit("no_patch")).alias("issues"))
+    said = F.concat_ws(",", F.nullif("issues", F.lit("")), F.nullif("warnings", F.lit("")))
+    told = F.struct("format", F.col("final_patch").alias("patch"), "final", valid.alias("is_valid"), said.alias("issues"))
+    best = c.where(early | (F.col("final") >= LEAST)).groupBy("response_id").agg(F.min_by(told, rank).alias("b"))
+    joined = responses.select("response_id", "instance_id", "model").join(best, "response_id", "left")
+    return joined.select("response_id", "instance_id", "model", "b.format", "b.patch", F.col("b.final").alias("confidence"), F.coalesce("b.is_valid", F.lit(False)).alias("is_valid"), F.coalesce("b.issues", F.lit("no_patch")).alias("issues"))
 
 
-def extraction_report(responses: DataFrame) -> DataFrame:
+def candidate_formats(responses: DataFrame) -> DataFrame:
     """Candidates of the formats that are cut out of the text, by model: how many, and the sum of their confidence."""
-    found = extract_git_diff(responses).unionByName(extract_fenced(responses)).unionByName(extract_unified_diff(responses))
-    c = found.join(responses.select("response_id", "model"), "response_id")
+    found = F.array_compact(F.array(git_candidate(), fenced_candidate(), unified_candidate()))
+    c = responses.select("model", F.inline(found))
     return c.groupBy("model", "format").agg(F.count("*").alias("n"), F.sum((F.col("confidence") * 100).cast("decimal(10,0)").cast("long")).alias("hundredths"))
 
 
+def extraction_report(extracted: DataFrame) -> DataFrame:
+    """What extract_patches() came to, by model and by format of the winners (null: no patch), with totals: n, share of the model's responses, valid, mean_confidence (in whole millionths) of those with a patch, and failed_share (no valid patch).
+
+    level tells the rows apart: 0 model and format, 1 model, 3 all.
+    """
+    sure = F.round(F.col("confidence") * 1_000_000).cast("long")
+    sums = extracted.rollup("model", "format").agg(
+        F.count("*").alias("n"), F.count_if("is_valid").alias("valid"), F.sum(sure).alias("sure"), F.count("confidence").alias("found"), F.grouping_id().alias("level"))
+    of_model = F.max(F.when(F.col("level") == 1, F.col("n"))).over(Window.partitionBy("model"))  # a row for each model and format
+    share = F.when(F.col("level") == 3, 1.0).otherwise(F.col("n") / of_model)
+    return sums.select("model", "format", "level", "n", share.alias("share"), "valid", F.expr("sure div found").alias("mean_confidence"), ((F.col("n") - F.col("valid")) / F.col("n")).alias("failed_share"))
+
+
 def emit_valid_patches(responses: DataFrame) -> DataFrame:
-    """instance_id, model, patch and reason of every response: a patch that is valid has no reason, another its issues and no patch."""
-    e = extract_patches(responses)
-    return e.select("instance_id", "model", F.when(F.col("is_valid"), F.col("patch")).alias("patch"), F.when(~F.col("is_valid"), F.col("issues")).alias("reason"))
+    """instance_id, model, patch and reason of every response: the patch where extraction and the full validator find no error, else all that they say.
+
+    Messages are check:code:line, comma-joined, in order of their lines; what was said at extraction comes first.
+    """
+    e = cut(extract_patches(responses))  # both sides of the join read it
+    found = e.where("patch is not null").select(F.col("response_id").alias("patch_id"), "patch")
+    errors = diff_checks.patch_issues(found).where("level = 'error'")
+    message = F.struct(F.coalesce("line_number", F.lit(0)).alias("line"), F.concat_ws(":", "check", "code", F.col("line_number").cast("string")).alias("text"))
+    long = e.where(F.length("patch") > diff_checks.MAX_CHARS).select("response_id", F.lit("patch:too_long").alias("errors"))  # these are not read line by line
+    said = errors.groupBy(F.col("patch_id").alias("response_id")).agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(message)), lambda m: m["text"])), ",").alias("errors"))
+    j = e.join(said.unionByName(long), "response_id", "left")
+    refused = F.concat_ws(",", F.when(~F.col("is_valid"), F.nullif("issues", F.lit(""))), "errors")
+    good = F.col("is_valid") & F.col("errors").isNull()
+    return j.select("instance_id", "model", F.when(good, F.col("patch")).alias("patch"), F.when(~good, refused).alias("reason"))

@@ -43,11 +43,12 @@ f(
 FROM (SELECT response_id, coalesce(nullif(regexp_extract(content, $${extraction.NAMED}$$, 1), ''), 'unknown_file.py') AS path, regexp_extract_all(content, $${extraction.PAIR}$$, 1) AS old, regexp_extract_all(content, $${extraction.PAIR}$$, 2) AS new FROM responses) WHERE len(old) > 0""",
 )(extraction.extract_search_replace)
 QUERIES["extract_file_blocks"] = lambda spark, sf_dir: extraction.extract_file_blocks(table(spark, sf_dir, "responses"))
-f("extraction_report", "SELECT model, format, count(*) AS n, sum(CAST(round(confidence * 100) AS BIGINT))::BIGINT AS hundredths FROM candidates JOIN responses USING (response_id) GROUP BY ALL")(extraction.extraction_report)
+f("candidate_formats", "SELECT model, format, count(*) AS n, sum(CAST(round(confidence * 100) AS BIGINT))::BIGINT AS hundredths FROM candidates JOIN responses USING (response_id) GROUP BY ALL")(extraction.candidate_formats)
 _LINE = f"""list_transform(list_transform(string_split(patch, chr(10)), lambda x: rtrim(x, {_WS})), lambda x: CASE WHEN starts_with(x, '--- ') THEN '--- ' || CASE WHEN starts_with(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), 'a/') THEN regexp_replace(substr(x, 5), '^"|"$', '', 'g') ELSE 'a/' || ltrim(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), '/') END
 WHEN starts_with(x, '+++ ') THEN '+++ ' || CASE WHEN starts_with(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), 'b/') THEN regexp_replace(substr(x, 5), '^"|"$', '', 'g') ELSE 'b/' || ltrim(regexp_replace(substr(x, 5), '^"|"$', '', 'g'), '/') END ELSE x END)"""
 q("normalize_patch", f"SELECT patch_id, rtrim(array_to_string({_LINE}, chr(10)), chr(10)) || chr(10) AS patch FROM predictions")(extraction.normalize_patches)
 QUERIES["extract_patches"] = lambda spark, sf_dir: extraction.extract_patches(table(spark, sf_dir, "responses"))
+QUERIES["extraction_report"] = lambda spark, sf_dir: extraction.extraction_report(extraction.extract_patches(table(spark, sf_dir, "responses")))
 QUERIES["emit_valid_patches"] = lambda spark, sf_dir: extraction.emit_valid_patches(table(spark, sf_dir, "responses"))
 
 _PRICES = ", ".join(f"('{p}', '{m}', {round(i * 100)}, {round(o * 100)})" for p, m, i, o in catalogue.PRICES)
