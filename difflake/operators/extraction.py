@@ -199,14 +199,15 @@ def extract_patches(responses: DataFrame) -> DataFrame:
     """
     some = candidates(responses).where((F.col("confidence") >= LEAST) & (F.col("patch") != "")).withColumn("patch_id", F.concat_ws("#", "response_id", "format"))
     c = repair.mended(some, "response_id", "order", "format", "confidence").where("n_warnings_after = 0")
-    valid = F.col("n_issues_after") == 0
-    c = c.withColumn("final_patch", F.when(valid, normal(F.col("tried"))).otherwise(F.col("tried")))
-    c = c.withColumn("final", _final(F.col("final_patch"), F.col("format"), F.col("confidence"), valid, F.col("n_issues_after"), F.col("warnings").contains("cut_off")))
-    early = valid & (F.col("final") >= SURE)
-    rank = F.struct((~early).alias("late"), F.when(early, F.lit(0.0)).otherwise(-F.col("final")).alias("least"), "order")
+    valid, cut_off = F.col("n_issues_after") == 0, F.col("warnings").contains("cut_off")
+    judged = lambda p: F.struct(p.alias("patch"), _final(p, F.col("format"), F.col("confidence"), valid, F.col("n_issues_after"), cut_off).alias("final"))
     said = F.concat_ws(",", F.nullif("issues", F.lit("")), F.nullif("warnings", F.lit("")))
-    told = F.struct("format", F.col("final_patch").alias("patch"), "final", valid.alias("is_valid"), said.alias("issues"))
-    best = c.where(early | (F.col("final") >= LEAST)).groupBy("response_id").agg(F.min_by(told, rank).alias("b"))
+    c = c.select("response_id", "order", "format", valid.alias("is_valid"), said.alias("issues"), let(F.when(valid, normal(F.col("tried"))).otherwise(F.col("tried")), judged).alias("p"))
+    sure = F.col("p.final")
+    early = F.col("is_valid") & (sure >= SURE)
+    rank = F.struct((~early).alias("late"), F.when(early, F.lit(0.0)).otherwise(-sure).alias("least"), "order")
+    told = F.struct("format", "p.patch", sure.alias("final"), "is_valid", "issues")
+    best = c.groupBy("response_id").agg(F.min_by(told, F.when(early | (sure >= LEAST), rank)).alias("b"))
     joined = responses.select("response_id", "instance_id", "model").join(best, "response_id", "left")
     return joined.select("response_id", "instance_id", "model", "b.format", "b.patch", F.col("b.final").alias("confidence"), F.coalesce("b.is_valid", F.lit(False)).alias("is_valid"), F.coalesce("b.issues", F.lit("no_patch")).alias("issues"))
 
