@@ -74,8 +74,13 @@ def build_contexts(instances: DataFrame, system_prompt: str = "") -> DataFrame:
 
 def tokens_of(text: Column) -> Column:
     """Estimated tokens, as in prompts.estimate_tokens."""
-    marks = F.length(text) - F.length(F.translate(text, "\n.,", ""))
-    return F.floor((F.length(text) * 11 + marks * 20) / 40)
+    return F.floor((F.length(text) * 11 + marks(text) * 20) / 40)
+
+
+def marks(text: Column) -> Column:
+    """Line feeds, points and commas."""
+    without = lambda c: F.length(F.replace(text, F.lit(c), F.lit("")))
+    return F.length(text) * 3 - without("\n") - without(".") - without(",")
 
 
 def total(items: Column, of) -> Column:
@@ -121,6 +126,46 @@ def detailed_prompt() -> Column:
     )
 
 
+NEWLINE_WEIGHT = 31
+
+
+def weight(text: Column | str) -> Column:
+    """What tokens_of divides by 40: weights of texts add up to the weight of the joined text."""
+    if isinstance(text, str):
+        return F.lit(len(text) * 11 + sum(text.count(c) for c in "\n.,") * 20).cast("long")
+    return (F.length(text) * 11 + marks(text) * 20).cast("long")
+
+
+def section_weights() -> Column:
+    """Weights of a context's texts as a struct: of each plain section, and of each file or hint of the others."""
+    files = {s: F.transform(s, lambda f: weight(f["content"])) for s in ("code", "tests")}
+    return F.struct(*(weight(F.col(s)).alias(s) for s in SECTIONS[:3]), *(f.alias(s) for s, f in files.items()), F.transform("hints", weight).alias("hints"))
+
+
+def tokens_by_weight(weights: Column) -> dict[str, Column]:
+    """section_token_columns() from weights."""
+    tokens = lambda n: F.floor(n / 40)
+    return {s: tokens(weights[s]) if s in SECTIONS[:3] else total(weights[s], tokens) for s in SECTIONS}
+
+
+def detailed_weight(weights: Column | None = None) -> Column:
+    """The weight of detailed_prompt(), summed over its parts: the prompt is not made."""
+    w = section_weights() if weights is None else weights
+    added = lambda s: total(w[s], lambda n: n)
+
+    def files(name: str, title: str) -> Column:
+        around = weight("#### ") + weight("\n```python\n") + weight("\n```\n")
+        names = total(F.col(name), lambda f: weight(f["name"]) + around)
+        return F.when(F.size(name) > 0, weight(title) + names + added(name) + (F.size(name) - 1) * NEWLINE_WEIGHT)
+
+    hints = weight("\n### Hints\n- ") + added("hints") + (F.size("hints") - 1) * weight("\n- ")
+    lines = [
+        weight("## Fix in ") + weight(F.col("repo")), weight("Instance: ") + weight(F.col("instance_id")), weight("Commit: ") + weight(F.col("base_commit")), weight(""), weight("### Problem"), w["problem_statement"],
+        files("tests", "\n### Failing tests\n"), files("code", "\n### Code\n"), F.when(F.size("hints") > 0, hints), weight(""), weight("Answer with a unified diff only."),
+    ]
+    return sum((F.coalesce(x + NEWLINE_WEIGHT, F.lit(0)) for x in lines), F.lit(-NEWLINE_WEIGHT).cast("long"))
+
+
 def stepwise_prompt() -> Column:
     return joined(
         F.concat(F.lit("Step 1: the problem in "), "repo"), F.col("problem_statement"), "",

@@ -96,7 +96,7 @@ FROM (SELECT x, i, contains(x, 'Traceback') AS tb FROM (SELECT unnest(l) AS x, u
     "outputs",
 )(contexts.error_context)
 q("truncate_lines", "SELECT text_id, CASE WHEN len(l) <= 4 THEN text ELSE array_to_string(l[1:2] || ['... (truncated)'] || l[len(l) - 1:], chr(10)) END AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM outputs)", "outputs")(lambda t: contexts.truncate_lines(t, 4))
-q("truncate_text", f"SELECT text_id, CASE WHEN {_T('text')} <= 50 THEN text WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 180) || chr(10) || '[... truncated ...]' END AS text FROM outputs", "outputs")(lambda t: budgets.truncate_text(t, 50, structure=False))
+q("truncate_text", f"SELECT text_id, CASE WHEN {_T('text')} <= 50 THEN text WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 180) || chr(10) || '[shortened]' END AS text FROM outputs", "outputs")(lambda t: budgets.truncate_text(t, 50, structure=False))
 _ROWS = "s AS (SELECT instance_id AS id, 'problem' AS key, problem_statement AS text FROM instances UNION ALL SELECT instance_id, 'test_patch', test_patch FROM instances UNION ALL SELECT instance_id, 'hints', hints_text FROM instances), n AS (SELECT *, " + _T("text") + " AS n, contains(key, 'test') AS test FROM s), a AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total, sum(CASE WHEN test THEN 0 ELSE n END) OVER (PARTITION BY id) AS others FROM n)"
 
 

@@ -35,23 +35,84 @@ def test_contexts_have_five_tests_and_ten_files(spark):
     assert (bare["tests"], bare["code"], bare["hints"]) == ([], [], [])
 
 
-def test_cut_text():
-    assert budgets.cut_text("abc", 10, True) == "abc" and budgets.cut_text("", 0, True) == ""
-    assert budgets.cut_text("x" * 400, 50, False) == "x" * 180 + budgets.NOTE
-    text = "import a\n" + "\n".join(f"body line {i:03d}" for i in range(100)) + "\ndef f():"
-    got = budgets.cut_text(text, 100, True).split("\n")
-    assert got[:2] == ["import a", "def f():"] and got[2] == "body line 000" and got[-1] == "body line 099"
-    assert any("lines truncated" in x for x in got) and len("\n".join(got)) <= 460
-    frame = "\n".join(f"def f{i}(): pass:" for i in range(200))
-    cut = budgets.cut_text(frame, 50, True)
-    assert cut.startswith("def f0") and len(cut) < 120
-
-
-def test_pack_prefers_tests_and_small_files():
-    files = [{"name": "b.py", "content": "x" * 400}, {"name": "a_test.py", "content": "y" * 200}, {"name": "c.py", "content": "z" * 4000}, {"name": "d.py", "content": "w" * 4100}]
-    got = budgets.pack(files, 300, False)
-    assert [f["name"] for f in got] == ["a_test.py", "b.py", "c.py"] and got[2]["content"].endswith(budgets.NOTE)
-    assert budgets.pack(files, 165, False) == [files[1], files[0]]  # four fifths are used
+def plain_tokens(text):
+    return (len(text) * 11 + sum(text.count(c) for c in "\n.,") * 20) // 40
+
+
+def plain_cut(text, tokens, structure):
+    """Fills one list of kept line numbers after the other; an independent way to what cut_text says."""
+    room = tokens * 4
+    if plain_tokens(text) <= tokens:
+        return text
+    if not structure:
+        return text if len(text) <= room else text[: max(0, room - 20)] + budgets.NOTE
+    lines = text.split("\n")
+    blank = lambda x: not x.strip(" \t\n\x0b\x0c\r")
+    bare = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
+    frame = [k for k, x in enumerate(lines) if x.lstrip(" \t\x0b\x0c\r").startswith(("import ", "from ", "class ", "def ", "@")) or bare[k].endswith(":") or (k < 10 and blank(x))]
+    body = [k for k in range(len(lines)) if k not in set(frame)]
+    cost = lambda ks: sum(len(lines[k]) + 1 for k in ks)
+    longest = lambda ks, most: max((n for n in range(len(ks) + 1) if n == 0 or cost(ks[:n]) < most), default=0)
+    top = frame if cost(frame) < room else frame[: longest(frame, room // 2)]
+    left = room - cost(top)
+    head = body[: longest(body, left // 2)] if left > 100 else []
+    rest = left - cost(head)
+    after = body[len(head) :]
+    tail = after[len(after) - longest(after[::-1], rest) :] if left > 100 and rest > 100 else []
+    gone = len(lines) - len(top) - len(head) - len(tail)
+    return "\n".join([lines[k] for k in top + head] + ([f"[{gone} lines left out]"] if gone else []) + [lines[k] for k in tail])
+
+
+def plain_pack(files, tokens, structure):
+    out, free = [], tokens
+    for f in sorted(files, key=lambda f: ("test" not in f[0].lower(), len(f[1]), f[0])):
+        if plain_tokens(f[1]) > free and free * 5 <= tokens:
+            break
+        text = f[1] if plain_tokens(f[1]) <= free else plain_cut(f[1], free, structure)
+        out.append((f[0], text))
+        free -= plain_tokens(text)
+    return out
+
+
+CODE = "import a\n" + "\n".join(f"body line {i:03d}" for i in range(100)) + "\ndef f():"
+TEXTS = ["", "abc", "x" * 400, CODE, "\n".join(f"def f{i}(): pass:" for i in range(200)), "\n\n\n" + "word, word. " * 60, "a:\n" + "long " * 200 + "\nb", "\n".join("class A: " + "y" * (i % 37) if i % 9 == 0 else "z" * (i % 53) for i in range(300)), "é:\t\n  @dec\nq" * 30]
+
+
+@pytest.mark.parametrize("structure", [False, True])
+@pytest.mark.parametrize("tokens", [0, 3, 20, 50, 100, 400])
+def test_cut_text(spark, tokens, structure):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "text_id long, text string")
+    got = {r["text_id"]: r["text"] for r in budgets.truncate_text(rows, tokens, structure).collect()}
+    for k, text in enumerate(TEXTS):
+        assert got[k] == plain_cut(text, tokens, structure), (k, tokens)
+
+
+@pytest.mark.parametrize("structure", [False, True])
+@pytest.mark.parametrize("tokens", [0, 60, 165, 300, 900])
+def test_pack_prefers_tests_and_small_files(spark, tokens, structure):
+    some = [("b.py", "x" * 400), ("a_test.py", "y" * 200), ("c.py", "z" * 4000), ("d.py", "w" * 4100), ("e.py", CODE)]
+    rows = [("some", some), ("none", []), ("same", [("t.py", "q"), ("t.py", "q")]), ("texts", [(f"m{k}", t) for k, t in enumerate(TEXTS)])]
+    table = spark.createDataFrame(rows, "instance_id string, code array<struct<name:string,content:string>>")
+    got = {r["instance_id"]: [(f["name"], f["content"]) for f in r["code"]] for r in budgets.pack_files(table, tokens, structure).collect()}
+    assert got == {k: plain_pack(files, tokens, structure) for k, files in rows}
+    if tokens == 165 and not structure:
+        assert got["some"] == [some[1], some[0]]  # four fifths are used
+
+
+def test_weights_add_up_to_the_prompt(spark):
+    from difflake.plans.contexts import instances_with_files
+
+    c = contexts.build_contexts(instances_with_files(spark, "/root/testdata/sf0.001"), "You mend code.")
+    both = c.select(F.floor(contexts.detailed_weight() / 40).alias("sum"), contexts.tokens_of(contexts.detailed_prompt()).alias("text")).collect()
+    assert len(both) > 100 and all(r["sum"] == r["text"] for r in both)
+
+
+def test_no_python_in_budgets(spark):
+    from difflake.plans.registry import QUERIES
+
+    for name in ("pack_files", "fit_contexts", "truncate_text"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "InPandas" not in plan and (name != "fit_contexts" or "Exchange" not in plan)
 
 
 @pytest.mark.parametrize("keep_tests", [False, True])
