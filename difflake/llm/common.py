@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,22 @@ def _shared_folder(df: DataFrame) -> Iterator[tuple[DataFrame, str]]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
+_OWNER: list = [None, lambda: None]
+
+
+def working(owner: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Says in a worker process which operator's task it runs now. What the one before remembered is dropped, and free memory goes back to the system: workers outlive stages."""
+    if _OWNER[0] == owner:
+        return
+    _OWNER[1]()
+    _OWNER[:] = [owner, clear]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder."""
     with _shared_folder(df) as (fresh, _):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, lower_word_bytes, shingle_hashes, stored, take, unpack_row, with_row, word_hashes
+from .common import components, cut, discard, lower_word_bytes, shingle_hashes, stored, take, unpack_row, with_row, word_hashes, working
 
 #: Sizes of a band grow by this factor. A segment value of more sets than HOT, and one of no shingles, is left out where the others suffice. Members on a side of a tile, and rows of a bucket of smaller values, in the last step.
 GROWTH, HOT, TILE, BUCKET = 1.25, 64, 2048, 8192
@@ -81,6 +81,7 @@ def sketch(shingles: np.ndarray, high: int) -> np.ndarray:
 
 def _sketched(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("ngram_join")
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
@@ -98,6 +99,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """id and the sorted shingle hashes of each text, eight bytes each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("ngram_join")
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(text, words).tobytes() for text in pdf["text"]]})
 
@@ -182,6 +184,7 @@ def _near(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({c: F.lit(0).cast("long") for c in ("key", "root", "main")}))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        working("ngram_join")
         has = pdf["bits"].notna()
         own, out = pdf[has], []
         for number, part in pdf[~has].groupby("band", sort=False):
@@ -225,6 +228,7 @@ def _tiles(cross: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     both = dealt.withColumns({"n": F.lit(0).cast("long"), "bits": F.lit(None).cast("array<long>")}).unionByName(sketches.withColumns({"key": F.lit(0).cast("long"), "root": F.lit(0).cast("long"), "asks": F.lit(False)}))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        working("ngram_join")
         has = pdf["bits"].notna()
         out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
         for number, part in pdf[~has].groupby("band", sort=False):

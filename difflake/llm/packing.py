@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import take, working
 
 #: Tokens of a window; tokens of a piece of what is left of a document after its whole windows; pieces packed at a time.
 WINDOW, GRAIN, CHUNK = 1024, 256, 8192
@@ -151,6 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("packing", _ENCODERS.clear)
         encode, part = encoder(tokenizer_path).batch, TaskContext.get().partitionId()
         sequence, rows, kept = part << 40, [], []
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from bisect import bisect_left
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, cut, first_by_hash, take
+from .common import WORDS, cut, first_by_hash, take, working
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,29 +41,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_CLASS = str.maketrans({c: k for some, k in (("0123456789", "d"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "u"), ("abcdefghijklmnopqrstuvwxyz", "l")) for c in some})
+_DIGITS, _HEXA = re.compile("d+"), re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
+
+
 def token_type(token: str) -> tuple[int, ...]:
-    """Shape of a token: character classes, length, digits, variety, key word, closing sign."""
+    """Shape of a token: character classes, length, digits, changes between digits and others, variety, hex (2: in groups), key word, closing sign, mixture; changes of case, dots, other separators, and whether it opens as a path or an address."""
     core = max(_CORE.findall(token), key=len, default="")
-    digits, upper, lower = sum("0" <= c <= "9" for c in core), sum("A" <= c <= "Z" for c in core), sum("a" <= c <= "z" for c in core)
-    hexa = bool(core) and all(c in "0123456789abcdef" for c in core)
-    size = sum(len(core) >= x for x in (4, 8, 12, 16, 24, 32))
+    kinds, n = core.translate(_CLASS), len(core)
+    digits, upper, lower = kinds.count("d"), kinds.count("u"), kinds.count("l")
+    size = sum(n >= x for x in (4, 8, 12, 16, 24, 32))
     classes = (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0)
-    switches = sum((a.isdigit() != b.isdigit()) for a, b in zip(core, core[1:], strict=False))
-    variety = sum(len(set(core)) >= x for x in (6, 10, 14))
+    switches = 2 * len(_DIGITS.findall(kinds)) - (kinds[:1] == "d") - (kinds[-1:] == "d") if digits else 0
+    letters = len(set(core))
     key = 1 if _KEYWORD.search(token) else 2 if core.startswith("AKIA") else 0
-    return (classes, size, min(3, digits // 3), min(3, switches // 2), variety, int(hexa and digits > 0), key, int(token[-1:] in "=:") + 2 * int(not core), 2 * int(upper > 1 and digits > 1) + int(token != core))
+    cases = kinds.count("ul") + kinds.count("lu") if upper and lower else 0
+    slash, joints = "/" in core, core.count("-") + core.count("_")
+    hexa = 0 if not digits else 1 if _HEXA.match(core) else 2 if joints > 1 and _HEXA.match(core.replace("-", "")) else 0
+    return (
+        classes, size, min(3, digits // 3), min(3, switches // 2), (letters >= 6) + (letters >= 10) + (letters >= 14), hexa, key,
+        int(token[-1:] in "=:") + 2 * int(not core), 2 * int(upper > 1 and digits > 1) + int(token != core),
+        min(3, cases // 3), min(3, core.count(".")), 3 if slash else min(2, joints), int("://" in token or token[:1] in "/~\\" or token[:4] == "www."),
+    )
 
 
 #: Values of each part of a token's type, and where its features begin.
-_CARD = (8, 7, 4, 4, 4, 2, 3, 4, 4)
+_CARD = (8, 7, 4, 4, 4, 3, 3, 4, 4, 4, 4, 4, 2)
 _AT = np.concatenate([[0], np.cumsum(_CARD)])
-N_TYPE = int(_AT[-1]) + 8 * 7 * 4  # and classes x size x digits together
+N_TYPE = int(_AT[-1]) + 8 * 7 * 4 + 7 * 4 * 4 * 4  # and classes x size x digits together, and size x switches x cases x separators
 N_FILE = 6
 
 
 def type_features(t: tuple[int, ...]) -> np.ndarray:
     joint = (t[0] * 7 + t[1]) * 4 + t[2]
-    return np.append(_AT[:-1] + np.array(t), _AT[-1] + joint)
+    other = ((t[1] * 4 + t[3]) * 4 + t[9]) * 4 + t[11]
+    return np.append(_AT[:-1] + np.array(t), [_AT[-1] + joint, _AT[-1] + 8 * 7 * 4 + other])
+
+
+#: Features of a token's type.
+WIDTH = len(_CARD) + 2
 
 
 def file_features(n_tokens: int, n_key: int, n_digit: int) -> np.ndarray:
@@ -104,8 +121,8 @@ def _log_z(e: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return tag, pair, z
 
 
-def fit_field(feats: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: int = 50, rate: float = 0.2, decay: float = 1e-3) -> Field:
-    """Conditional likelihood by Adam. feats: sequences x tokens x features, files: sequences x features, tags: sequences x tokens."""
+def fit_field(feats: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: int = 90, rate: float = 0.2, decay: float = 3e-5, least: float = 1e-4) -> Field:
+    """Conditional likelihood by Adam, until ten rounds lower the mean loss by less than least. feats: sequences x tokens x features, files: sequences x features, tags: sequences x tokens."""
     field = Field()
     if not len(feats):
         field.file[:, O] = 4
@@ -115,22 +132,29 @@ def fit_field(feats: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: in
     mom, var = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
     gold = np.eye(3)[tags]
     gold_pair = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+    losses: list[float] = []
 
-    def back(delta: np.ndarray, f: np.ndarray) -> np.ndarray:
+    table, types = np.unique(feats.reshape(-1, width), axis=0, return_inverse=True)  # few types make up all tokens
+    types = types.reshape(n, length)
+
+    def back(delta: np.ndarray, some: np.ndarray) -> np.ndarray:
+        by_type = np.stack([np.bincount(some.ravel(), delta[..., s].ravel(), len(table)) for s in range(3)], 1)
         g = np.zeros((N_TYPE, 3))
-        for s in range(3):
-            g[:, s] = np.bincount(f.ravel(), np.repeat(delta[..., s].ravel(), width), N_TYPE)
+        np.add.at(g, table.ravel(), np.repeat(by_type, width, 0))
         return g
 
     for t in range(1, rounds + 1):
-        parts = [field.unit[k][feats].sum(2) for k in range(4)]
+        parts = [field.unit[k][table].sum(1)[types] for k in range(4)]
         e = parts[0] + field.file[files].sum(1)[:, None]
         e[:, 1:] += parts[1][:, :-1]
         e[:, 2:] += parts[2][:, :-2]
         e[:, :-1] += parts[3][:, 1:]
-        tag, pair, _ = _log_z(e, field.step)
+        tag, pair, z = _log_z(e, field.step)
+        losses.append(float(z.mean() - ((e * gold).sum() + (field.step * gold_pair).sum()) / n))
+        if t > 30 and min(losses[:-10]) - min(losses[-10:]) < least:
+            break
         delta = (tag - gold) / n
-        unit = np.stack([back(delta, feats), back(delta[:, 1:], feats[:, :-1]), back(delta[:, 2:], feats[:, :-2]), back(delta[:, :-1], feats[:, 1:])])
+        unit = np.stack([back(delta, types), back(delta[:, 1:], types[:, :-1]), back(delta[:, 2:], types[:, :-2]), back(delta[:, :-1], types[:, 1:])])
         file = np.zeros_like(field.file)
         for k in range(files.shape[1]):
             np.add.at(file, files[:, k], delta.sum(1))
@@ -139,7 +163,7 @@ def fit_field(feats: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: in
             g = g + decay * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            p -= rate * 0.98**t * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return field
 
 
@@ -191,12 +215,15 @@ class Typer:
     """Types of tokens, remembered by token."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.number: dict[tuple[int, ...], int] = {}
         self.feats: list[np.ndarray] = []
         self.key: list[bool] = []
         self.digit: list[bool] = []
-        self.table = np.empty((0, len(_CARD) + 1), np.int64)
+        self.table = np.empty((0, WIDTH), np.int64)
 
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
         if len(self.of) > 700_000:
@@ -230,12 +257,77 @@ def worker_typer() -> Typer:
     return _TYPER
 
 
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+class Draws:
+    """Values to train on, drawn anew for each text by a hash of it: secrets of many shapes, and what only looks like them."""
+
+    def __init__(self, text: str):
+        self.rng = np.random.default_rng(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+    def some(self, letters: str, low: int, high: int) -> str:
+        return "".join(letters[i] for i in self.rng.integers(0, len(letters), int(self.rng.integers(low, high + 1))))
+
+    def around(self, value: str) -> bytes:
+        """The value as a token: bare as a rule, else with signs around it."""
+        k = int(self.rng.integers(0, 12))
+        a, b = (('"', '"'), ("'", "',"), ("", ","), ("", "."), ("(", ")"), ("`", "`"))[k] if k < 6 else ("", "")
+        return f"{a}{value}{b}".encode()
+
+    def secret(self) -> bytes:
+        """Letters and digits of 16 to 64 in one case or both, base64, a prefix and a key, three parts with dots."""
+        k = int(self.rng.integers(0, 6))
+        if k == 0:
+            v = self.some(_ALNUM[26:] if self.rng.random() < 0.6 else _ALNUM[:26] + _ALNUM[52:], 16, 48)
+        elif k < 3:
+            v = self.some(_ALNUM, 16, 64)
+        elif k == 3:
+            v = base64.b64encode(self.rng.bytes(int(self.rng.choice([16, 24, 32, 48, 64])))).decode()
+        elif k == 4:
+            v = self.some(_ALNUM[26:52], 2, 4) + str(self.rng.choice(["-", "_", "."])) + self.some(_ALNUM, 22, 44)
+        else:
+            v = ".".join((self.some(_ALNUM, 12, 30), self.some(_ALNUM + "-_", 20, 70), self.some(_ALNUM + "-_", 16, 44)))
+        return self.around(v)
+
+    def look_alike(self) -> bytes:
+        """Addresses, paths, UUIDs, numbers with dashes, versions, times, mail addresses, names in code, file names, long words."""
+        r, low = self.rng, _ALNUM[26:52]
+        word = lambda a=3, b=10: self.some(low, a, b)
+        number = lambda a=1, b=5: self.some("0123456789", a, b)
+        hexa = lambda n: self.some("0123456789abcdef", n, n)
+        title = lambda: word().capitalize()
+        k = int(r.integers(0, 17))
+        v = (
+            lambda: f"https://{word()}.{word(2, 3)}/" + "/".join(word() for _ in range(int(r.integers(1, 5)))),
+            lambda: f"http://www.{word()}.com/{word()}/{number(2, 8)}/{title()}_{title()}?id={number(3, 7)}&{word(2, 4)}={word()}",
+            lambda: "/" + "/".join(word() for _ in range(int(r.integers(2, 6)))) + f"/{word()}{number(1, 3)}.{word(2, 4)}",
+            lambda: "/".join(word() for _ in range(int(r.integers(2, 5)))) + f"/{title()}{title()}{number(0, 2)}.py",
+            lambda: "-".join(hexa(n) for n in (8, 4, 4, 4, 12)),
+            lambda: "-".join(hexa(n) for n in (8, 4, 4, 4, 12)).upper(),
+            lambda: "-".join(number(2, 5) for _ in range(int(r.integers(3, 6)))),
+            lambda: f"{word()}-{number(1, 2)}.{number(1, 2)}.{number(1, 3)}-{word(2, 5)}{number(1, 2)}.tar.gz",
+            lambda: f"20{number(2, 2)}-{number(2, 2)}-{number(2, 2)}T{number(2, 2)}:{number(2, 2)}:{number(2, 2)}.{number(3, 6)}Z",
+            lambda: f"{word()}.{word()}{number(0, 3)}@{word()}.{word(2, 3)}",
+            lambda: word(2, 7) + "".join(title() for _ in range(int(r.integers(1, 5)))) + number(0, 2),
+            lambda: "_".join(word() for _ in range(int(r.integers(3, 6)))) + str(r.choice(["", "_1", "_v2"])),
+            lambda: "-".join(hexa(n) for n in (8, 4, 4, 4, 12)),
+            lambda: "-".join(hexa(n) for n in (8, 4, 4, 4, 12)),
+            lambda: f"{word()}{r.choice(['_', '-'])}{word()}-{number(1, 2)}.{number(1, 2)}.{number(1, 2)}-{word(2, 3)}{number(1, 2)}-{word(3, 6)}-{word(2, 4)}.{word(3, 3)}",
+            lambda: f"{word()}-{number(1, 2)}.{number(1, 2)}.{number(1, 2)}.{word(2, 3)}",
+            lambda: self.some(low, 12, 40) if r.random() < 0.5 else f"{title()}-{word(6, 14)}-{word(4, 12)}",
+        )[k]()
+        return self.around(v)
+
+
 def training_windows(text: str, typer: Typer) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
     """Whether it holds a secret, features, file features and tags of windows: around every base match's value, and of two places elsewhere.
 
     A window around a value comes as it is and masked: key words become plain words and of a value's first token only
-    the value stays. So the field also learns what secrets look like where no base pattern names them. Beyond the
-    text's ends stand empty tokens.
+    the value stays. So the field also learns what secrets look like where no base pattern names them. A corpus tends
+    to hold secrets of one shape, so windows also come with drawn values in the middle (see Draws): secrets, tagged as
+    such, and look-alikes, tagged outside; those between plain words, at every place. Beyond the text's ends stand
+    empty tokens.
     """
     spans = [m.span() for m in WORDS.finditer(text)]
     if not spans:
@@ -246,6 +338,7 @@ def training_windows(text: str, typer: Typer) -> Iterator[tuple[bool, np.ndarray
     tokens = [text[a:b].encode("utf-8", "surrogatepass") for a, b in spans]
     file = typer.file(typer(tokens))
     first = {int(np.searchsorted(ends, lo, "right")): (lo, hi) for lo, hi in reversed(values)}
+    draws = Draws(text)
 
     def masked(i: int) -> bytes:
         if i in first:
@@ -253,21 +346,33 @@ def training_windows(text: str, typer: Typer) -> Iterator[tuple[bool, np.ndarray
             return text[max(lo, spans[i][0]) : min(hi, spans[i][1])].encode("utf-8", "surrogatepass")
         return b"word" if _KEYWORD.search(text, *spans[i]) else tokens[i]
 
-    outside = {len(tokens) // 3, 2 * len(tokens) // 3}
-    for c in [*np.flatnonzero(tags == B).tolist(), *sorted(outside)]:
+    def window(c: int, way, middle: bytes | None = None, tag: int = O) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
         at = range(c - AROUND, c + AROUND + 1)
         y = np.array([tags[i] if 0 <= i < len(tokens) else O for i in at])
-        ways = [lambda i: tokens[i]] + ([masked] if tags[c] == B else [])
-        for way in ways:
-            types = typer([way(i) if 0 <= i < len(tokens) else b"" for i in at])
-            yield bool(tags[c] == B), typer.table[types], file, y
+        some = [way(i) if 0 <= i < len(tokens) else b"" for i in at]
+        if middle is not None:
+            some[AROUND] = middle
+            y[AROUND] = tag
+        types = typer(some)  # may make the table longer
+        return bool(y[AROUND] == B), typer.table[types], file, y
+
+    outside = {len(tokens) // 3, 2 * len(tokens) // 3}
+    for c in [*np.flatnonzero(tags == B).tolist(), *sorted(outside)]:
+        yield window(c, lambda i: tokens[i])
+        if tags[c] == B:
+            yield window(c, masked)
+        single = c + 1 >= len(tags) or tags[c + 1] != I
+        if tags[c] != I and single:
+            for _ in range(2):
+                yield window(c, masked, draws.secret(), B)
+                yield window(c, masked, draws.look_alike(), O)
 
 
 def fit_secrets(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Fits the field on windows of at most sample documents, three fourths of which hold a base match, first by a hash of the id.
 
-    Texts are cut into windows where they are stored, whole and of any length; at most windows of them, three fourths
-    with a secret, first by a hash of what they hold, come to the driver.
+    Texts are cut into windows where they are stored, whole and of any length; at most windows of them, half of
+    them with a secret, first by a hash of what they hold, come to the driver.
     """
     texts = take(docs, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     some = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
@@ -287,10 +392,10 @@ def fit_secrets(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, i
     cuts = keyed.join(F.broadcast(chosen), "h").select("text").mapInArrow(cut_up, "h long, hit boolean, feats binary, file binary, tags binary")  # sample rows at most
     cuts = cut(cuts)
     take_ = lambda hit, n: first_by_hash(cuts.where(F.col("hit") == hit), n, "h", "feats", "tags")
-    rows = take_(True, windows - windows // 4).union(take_(False, windows // 4)).toArrow().sort_by([("h", "ascending"), ("feats", "ascending"), ("tags", "ascending")])  # bounded by windows
+    rows = take_(True, windows - windows // 2).union(take_(False, windows // 2)).toArrow().sort_by([("h", "ascending"), ("feats", "ascending"), ("tags", "ascending")])  # bounded by windows
     array = lambda name: np.frombuffer(b"".join(rows[name].to_pylist()), kind).astype(np.int64).reshape(rows.num_rows, -1)
     length = 2 * AROUND + 1
-    return fit_field(array("feats").reshape(rows.num_rows, length, len(_CARD) + 1) if rows.num_rows else np.empty((0, length, len(_CARD) + 1), np.int64), array("file"), array("tags"))
+    return fit_field(array("feats").reshape(rows.num_rows, length, WIDTH) if rows.num_rows else np.empty((0, length, WIDTH), np.int64), array("file"), array("tags"))
 
 
 def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,6 +409,7 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("secrets", _TYPER.clear)
         field, typer = shared.value, worker_typer()
         units = np.empty((0, 4, 3))
         for pdf in batches:

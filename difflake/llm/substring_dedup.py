@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, lower_word_bytes, mix, shingle_hashes, stored, take, word_hashes
+from .merkle import numbered
 
 #: 5 bands of 2 minima: paragraphs of similarity 0.8 collide with probability 0.994, of 0.9 with 0.9998.
 BANDS, ROWS, SHINGLE = 5, 2, 5
@@ -361,12 +362,23 @@ def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id and text of every document, without the passages that repeat earlier ones."""
-    gone = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).where("removed")
-    gone = cut(gone.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")))
-    slim = take(docs, id_col, text_col).join(gone.withColumnRenamed(id_col, "i"), F.col(id_col).eqNullSafe(F.col("i")), "left")
-    cutting = F.aggregate("gone", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), lambda acc, g: F.struct(F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (g["start"] - acc["at"]).cast("int"))).alias("text"), g["end"].alias("at")), lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))))
-    return slim.select(id_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(cutting).alias(text_col))
+    """id and text of every row, without the passages that repeat earlier ones.
+
+    Rows that repeat an id with other texts are documents of their own: each loses its own passages only. Rows that
+    repeat id and text are one document, and all come out alike. Null texts stay null. Ids are cast to long.
+    """
+    slim = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = slim.withColumns({"last": F.col("id").isNull(), "k": F.xxhash64("id", F.coalesce("text", F.lit("")))})
+    rows = cut(numbered(slim.dropDuplicates(["id", "k"]), "row", "last", "id", "k"))  # numbers stand for (id, text), in the order of ids
+    gone = repeated_passages(rows.select(F.col("row").alias("id"), "text"), id_col="id", text_col="text", **options).where("removed")
+    gone = gone.groupBy(F.col("id").alias("row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))  # a document's own
+    gone = gone.join(rows.select("row", F.col("id").alias("of"), F.col("k").alias("own")), "row").drop("row")
+    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    step = lambda acc, g: F.struct(F.concat(acc["text"], piece(acc["at"], g["start"])).alias("text"), F.greatest(acc["at"], g["end"]).alias("at"))
+    left = F.aggregate("gone", start, step, lambda acc: F.concat(acc["text"], piece(acc["at"], F.length("text").cast("long"))))
+    joined = slim.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("k") == F.col("own")), "left")
+    return joined.select(F.col("id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias(text_col))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, take
+from .common import stored, take, working
 from .packing import _Codes, _printable
 
 #: Characters of texts that are aligned at a time; characters of chunks that a worker remembers, some 40 bytes for each.
@@ -243,6 +243,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("token_alignment", _PAIRS.clear)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         pair = pair_of(path_a, path_b)
         for batch in batches:
