@@ -127,12 +127,12 @@ def unify_responses(raw: DataFrame) -> DataFrame:
     return r.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 
-def load_predictions(lines: DataFrame, max_bytes: int = 5 * 1024 * 1024) -> DataFrame:
-    """JSON lines to predictions, with the reason why a line is not one: instance_id, patch, reason. Blank lines are left out."""
+def load_predictions(lines: DataFrame, max_bytes: int = 5 * 1024 * 1024, *more: str) -> DataFrame:
+    """JSON lines to predictions, with the reason why a line is not one: further columns, line_no, instance_id, patch, reason. Blank lines are left out."""
     j = F.from_json("value", "instance_id string, patch string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    r = lines.where(F.col("value").rlike(r"[^ \t-\r]")).select("line_no", j.alias("j")).select("line_no", "j.*")
+    r = lines.where(F.col("value").rlike(r"[^ \t-\r]")).select(*more, "line_no", j.alias("j")).select(*more, "line_no", "j.*")
     reason = F.when(F.col("_corrupt").isNotNull(), "bad_json").when(F.col("instance_id").isNull() | F.col("patch").isNull(), "missing_key").when(F.octet_length("patch") > max_bytes, "too_large")
-    return r.select("line_no", "instance_id", "patch", reason.alias("reason"))
+    return r.select(*more, "line_no", "instance_id", "patch", reason.alias("reason"))
 
 
 def build_phases(logs: DataFrame) -> DataFrame:

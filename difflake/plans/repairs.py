@@ -66,7 +66,7 @@ q(
 )
 q(
     "harness_report_summary",
-    "SELECT folder, 'test.' || n || '.json' AS name, CASE WHEN n % 4 = 0 THEN 'Harness report available' ELSE 'Instances completed: ' || total || '; Instances resolved: ' || done END AS summary FROM (SELECT run_id AS folder, max(CAST(day AS BIGINT)) AS n, arg_max(total, CAST(day AS BIGINT)) AS total, arg_max(done, CAST(day AS BIGINT)) AS done FROM harness_days GROUP BY 1)",
+    "SELECT folder, 'test.' || n || '.json' AS name, CASE WHEN n % 4 = 0 THEN 'A report without counters' ELSE 'Instances completed: ' || total || '; Instances resolved: ' || done END AS summary FROM (SELECT run_id AS folder, max(CAST(day AS BIGINT)) AS n, arg_max(total, CAST(day AS BIGINT)) AS total, arg_max(done, CAST(day AS BIGINT)) AS done FROM harness_days GROUP BY 1)",
     "harness_days",
 )(lambda d: files.harness_report_summary(d.select(F.col("run_id").alias("folder"), F.format_string("test.%d.json", F.col("day").cast("long")).alias("name"), F.col("day").cast("long").alias("modified"), F.expr("CASE WHEN day % 4 = 0 THEN 'no json' ELSE concat('{\"instancesResolved\":', done, ',\"INSTANCES completed\":', total, ',\"other\":1}') END").alias("report"))))
 q("load_instances", "SELECT instance_id, coalesce(CASE WHEN patch = '' THEN NULL ELSE patch END, '') AS patch, '' AS repo, '' AS base_commit, '' AS problem_statement FROM predictions")(lambda x: files.load_instances(x.select("instance_id", F.expr("nullif(patch, '')").alias("diff"))))
@@ -84,13 +84,14 @@ def _fresh(spark: SparkSession) -> str:
 
 
 def _reports(results: DataFrame) -> DataFrame:
-    """Written and read again."""
+    """Written in parts of 50 instances and read again: counts of the headers, sums over the parts."""
     spark, path = results.sparkSession, _fresh(results.sparkSession)
-    files.write_run_report(results, path)
-    counts = "summary struct<total:bigint,resolved:bigint,failed:bigint,patch_failed:bigint,timeout:bigint,error:bigint>, instances array<struct<instance_id:string,status:string,attempts:bigint,flaky:boolean,error_message:string>>, run_id string"
+    files.write_run_report(results, path, 50)
+    headers, parts = files.read_run_report(spark, path)
     i = F.col("instances")
-    r = spark.read.schema(counts).json(path)
-    return r.select("run_id", "summary.total", "summary.resolved", "summary.timeout", F.size(F.filter(i, lambda x: x["flaky"])).cast("long").alias("flaky"), F.aggregate(i, F.lit(0).cast("long"), lambda acc, x: acc + x["attempts"]).alias("attempts"), F.get(i, 0)["instance_id"].alias("first_id"))
+    parts = parts.select("run_id", "first_id", F.size(F.filter(i, lambda x: x["flaky"])).cast("long").alias("flaky"), F.aggregate(i, F.lit(0).cast("long"), lambda acc, x: acc + x["attempts"]).alias("attempts"))
+    sums = parts.groupBy("run_id").agg(F.sum("flaky").alias("flaky"), F.sum("attempts").alias("attempts"), F.min("first_id").alias("first_id"))
+    return headers.join(sums, "run_id").select("run_id", "summary.total", "summary.resolved", "summary.timeout", "flaky", "attempts", "first_id")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,3 +143,64 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["stream_predictions"] = _stream
 SQL["stream_predictions"] = SQL["validate_predictions"]
 q("stream_progress", "SELECT *, passed * 100 / (passed + failed) AS share FROM (SELECT run_id, time_bucket(INTERVAL '1 hour', ts) AS start, count_if(passed)::BIGINT AS passed, count_if(NOT passed)::BIGINT AS failed FROM results GROUP BY ALL)", "results")(ch.stream_progress)
+
+
+def _in_blocks(spark: SparkSession, bytes_: int = 8192) -> SparkSession:
+    """A session that cuts files into blocks of so many bytes."""
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_))
+    small.conf.set("spark.sql.files.openCostInBytes", "1")
+    return small
+
+
+def _prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction lines in four files of many blocks, read by path."""
+    path = _fresh(spark)
+    lines = table(spark, sf_dir, "prediction_lines").select(F.expr("line_no % 4").alias("file"), "line_no", "value")
+    lines.repartition("file").sortWithinPartitions("file", "line_no").drop("line_no").write.partitionBy("file").text(path)
+    read = files.read_predictions(_in_blocks(spark), path)
+    return read.select(F.regexp_extract("path", r"file=(\d+)/", 1).cast("int").alias("file"), "line_no", "instance_id", "patch", "reason")
+
+
+QUERIES["read_predictions"] = _prediction_files
+SQL["read_predictions"] = ctes("prediction_lines") + """, l AS (SELECT *, (line_no % 4)::INTEGER AS file, row_number() OVER (PARTITION BY line_no % 4 ORDER BY line_no) AS nr FROM prediction_lines)
+SELECT file, nr AS line_no, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.instance_id') END AS instance_id, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.patch') END AS patch, CASE WHEN NOT json_valid(value) THEN 'bad_json' WHEN line_no % 7 = 2 THEN 'missing_key' END AS reason FROM l WHERE value <> ' '"""
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of each source in one file of many blocks, read by path."""
+    path = _fresh(spark)
+    logs = table(spark, sf_dir, "logs").select(F.split_part("instance_id", F.lit("__"), F.lit(1)).alias("source"), "instance_id", "content")
+    logs.repartition("source").sortWithinPartitions("source", "instance_id").drop("instance_id").write.partitionBy("source").text(path)
+    lines = files.read_log_lines(_in_blocks(spark, 65536), path, r"source=([^/]+)/")
+    return lines.select(F.col("instance_id").alias("source"), "line_no", F.md5("line").alias("line"))
+
+
+QUERIES["read_log_lines"] = _log_files
+SQL["read_log_lines"] = ctes("logs") + """SELECT source, line_no, md5(line) AS line FROM (SELECT source, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (
+SELECT split_part(instance_id, '__', 1) AS source, string_split(string_agg(content, chr(10) ORDER BY instance_id), chr(10)) AS l FROM logs GROUP BY 1))"""
+
+
+def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each prediction's patch, read by path; empty patches have none."""
+    path = _fresh(spark)
+    rows = table(spark, sf_dir, "predictions").where("patch <> ''")
+    rows.select("instance_id", F.regexp_replace("patch", r"\n\z", "").alias("patch")).write.partitionBy("instance_id").text(path)
+    read = files.load_patch_dir(spark, path, "*.txt", r"instance_id=([^/]+)/")
+    return read.select("instance_id", F.md5(F.concat(F.regexp_replace("patch", r"\n+\z", ""), F.lit("\n"))).alias("patch"))
+
+
+QUERIES["load_patch_dir"] = _patch_files
+SQL["load_patch_dir"] = ctes("predictions") + "SELECT instance_id, md5(regexp_replace(patch, '\n+$', '') || chr(10)) AS patch FROM predictions WHERE patch <> ''"
+
+
+def _summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of each run's results, read by path: failed ids, and how often each."""
+    path = _fresh(spark)
+    r = table(spark, sf_dir, "results")
+    r.groupBy("run_id").agg(F.to_json(F.collect_list(F.struct("instance_id", "passed", "error"))).alias("value")).write.partitionBy("run_id").text(path)
+    return files.load_run_summaries(spark, path, "*.txt").groupBy("instance_id").agg(F.count("*").alias("n"))
+
+
+QUERIES["load_run_summaries"] = _summary_files
+SQL["load_run_summaries"] = ctes("results") + "SELECT instance_id, count(*) AS n FROM results WHERE NOT passed GROUP BY 1"

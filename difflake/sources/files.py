@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ranges import numbered
+from ..operators import generation
+
 RESULT = "instance_id string, passed boolean, error string"
 BATCH = "successful array<struct<instance_id:string,model:string,attempts:int,cost:double,success:boolean,truncated:boolean,patch:string,error:string>>, failed array<string>, skipped array<string>, stats struct<total_instances:bigint,completed:bigint,failed:bigint,skipped:bigint,total_cost:double>"
 
@@ -16,10 +20,41 @@ def _file_name() -> F.Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def load_patch_dir(spark: SparkSession, path: str) -> DataFrame:
-    """instance_id (the file's stem) and patch of every *.patch file that is not empty: Spark reads no empty files, and an empty patch counts as missing anyway."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.patch").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.patch\z", 1).alias("instance_id"), F.decode("content", "utf-8").alias("patch"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 1) and value of every line of the text files at path, however many blocks a file is read in.
+
+    Within a block lines come in order in one task; the lines of a file's earlier blocks are counted and added, one row
+    for each block. So large files are split as usual, and no file is read as a whole by one task. Files are read twice.
+    Compressed files cannot be split and are one block.
+    """
+    m = F.monotonically_increasing_id().alias("m")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), m)
+    blocks = lines.groupBy("path", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(blocks, ["path", "block"]).select("path", (F.col("m") + F.col("shift") + 1).alias("line_no"), "value")
+
+
+def read_predictions(spark: SparkSession, path: str, max_bytes: int = 5 * 1024 * 1024) -> DataFrame:
+    """generation.load_predictions() of JSON-lines files: path, line_no, instance_id, patch, and reason for a line that is no prediction."""
+    return generation.load_predictions(numbered_lines(spark, path), max_bytes, "path")
+
+
+def quarantine(predictions: DataFrame, good: str, bad: str) -> None:
+    """Writes predictions without a reason to good as Parquet, and where the others stand, and why they are refused, to bad."""
+    predictions.where("reason is null").drop("reason").write.mode("errorifexists").parquet(good)
+    predictions.where("reason is not null").select("path", "line_no", "instance_id", "reason").write.mode("errorifexists").parquet(bad)
+
+
+def read_log_lines(spark: SparkSession, path: str, id_from: str = r"([^/]+)/[^/]+\z") -> DataFrame:
+    """path, instance_id (taken from the path: the folder's name), line_no and line of log files."""
+    return numbered_lines(spark, path).select("path", F.regexp_extract("path", id_from, 1).alias("instance_id"), "line_no", F.col("value").alias("line"))
+
+
+def load_patch_dir(spark: SparkSession, path: str, names: str = "*.patch", id_from: str = r"([^/]+)\.patch\z") -> DataFrame:
+    """instance_id (the file's stem) and patch of every *.patch file that is not empty: Spark reads no empty files, and an empty patch counts as missing anyway. Other layouts have other names, and ids elsewhere in the path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", id_from, 1).alias("instance_id"), F.decode("content", "utf-8").alias("patch"))
 
 
 def load_instances(rows: DataFrame) -> DataFrame:
@@ -46,10 +81,10 @@ def load_generation_results(spark: SparkSession, path: str) -> DataFrame:
     return good.unionByName(other[0], allowMissingColumns=True).unionByName(other[1], allowMissingColumns=True)
 
 
-def load_run_summaries(spark: SparkSession, path: str) -> DataFrame:
+def load_run_summaries(spark: SparkSession, path: str, names: str = "summary.json") -> DataFrame:
     """Ids of failed instances: of all summary.json files under path; if these name none, the folders that hold a file FAILED. Files that are no JSON are passed over."""
     read = lambda name: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    told = read("summary.json").schema(RESULT).option("multiLine", True).json(path).where("not passed and instance_id is not null").select("instance_id")
+    told = read(names).schema(RESULT).option("multiLine", True).json(path).where("not passed and instance_id is not null").select("instance_id")
     # markers are empty, and Spark reads no empty files: their paths are in the file index, which the driver has of any read
     paths = [(p.rsplit("/", 2)[-2],) for p in read("FAILED").format("binaryFile").load(path).inputFiles()] if told.isEmpty() else []
     return told.unionByName(spark.createDataFrame(paths, "instance_id string"))
@@ -62,21 +97,41 @@ def write_predictions(predictions: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def run_report(results: DataFrame) -> DataFrame:
-    """One document per run: summary counts and the instances by id. Instances of a run are an array, so runs are to be of a size that a report is read at."""
+STATES = ("resolved", "failed", "patch_failed", "timeout", "error")
+#: What a report is made of, as it is read again: a header for each run and its parts.
+COUNTS = "total bigint, " + ", ".join(f"{s} bigint" for s in STATES)
+HEADER = f"run_id string, summary struct<{COUNTS.replace(' ', ':').replace(',:', ', ')}>, parts bigint"
+PART = "run_id string, part bigint, first_id string, last_id string, instances array<struct<instance_id:string,status:string,attempts:bigint,flaky:boolean,error_message:string>>"
+
+
+def run_report(results: DataFrame, per_part: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(headers, parts) of the report of each run. A header has the summary counts and the number of parts; a part has the instances of a range of ids, so many at most, in order.
+
+    Instances are numbered over ranges, so a run of any size is many tasks' work and no row grows with it.
+    """
     by = F.struct("ts", "seq")
     last = results.groupBy("run_id", "instance_id").agg(F.max_by("passed", by).alias("passed"), F.max_by("error", by).alias("error_message"), F.count("*").alias("attempts"), F.bool_or(~F.col("passed")).alias("ever_failed"))
     e = F.lower("error_message")
     status = F.when(F.col("passed"), "resolved").when(e.contains("patch does not apply"), "patch_failed").when(e.contains("timed out"), "timeout").when(e.contains("docker"), "error").otherwise("failed")
-    rows = last.withColumns({"status": status, "flaky": F.col("passed") & F.col("ever_failed")})
-    counts = F.struct(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("resolved", "failed", "patch_failed", "timeout", "error")))
+    rows = last.select("run_id", "instance_id", status.alias("status"), "attempts", (F.col("passed") & F.col("ever_failed")).alias("flaky"), "error_message")
+    rows = numbered(rows, "pos", ["run_id"], "instance_id").withColumn("part", F.expr(f"pos div {per_part}"))
     instances = F.array_sort(F.collect_list(F.struct("instance_id", "status", "attempts", "flaky", "error_message")))
-    return rows.groupBy("run_id").agg(counts.alias("summary"), instances.alias("instances"))
+    counts = [F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATES)]
+    parts = cut(rows.groupBy("run_id", "part").agg(F.min("instance_id").alias("first_id"), F.max("instance_id").alias("last_id"), instances.alias("instances"), *counts))
+    names = ("total", *STATES)
+    headers = parts.groupBy("run_id").agg(F.struct(*(F.sum(n).alias(n) for n in names)).alias("summary"), F.count("*").alias("parts"))
+    return headers, parts.drop(*names)
+
+
+def write_run_report(results: DataFrame, path: str, per_part: int = 10_000) -> None:
+    """run_report as JSON: headers and parts, each with a folder for each run."""
+    for name, rows in zip(("headers", "parts"), run_report(results, per_part), strict=True):
+        rows.write.mode("errorifexists").partitionBy("run_id").json(f"{path}/{name}")
 
 
-def write_run_report(results: DataFrame, path: str) -> None:
-    """run_report as JSON, a folder for each run."""
-    run_report(results).write.mode("errorifexists").partitionBy("run_id").json(path)
+def read_run_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, parts) as they were written."""
+    return tuple(spark.read.schema(kind).json(f"{path}/{name}") for name, kind in (("headers", HEADER), ("parts", PART)))
 
 
 #: Counters of a harness report.
@@ -94,7 +149,7 @@ def harness_report_summary(reports: DataFrame) -> DataFrame:
 
     rows = newest.withColumn("e", F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))
     text = F.array_join(F.array_compact(F.array(*map(named, COUNTERS))), "; ")
-    return rows.select("folder", F.col("r.name").alias("name"), F.when(text == "", "Harness report available").otherwise(text).alias("summary"))
+    return rows.select("folder", F.col("r.name").alias("name"), F.when(text == "", "A report without counters").otherwise(text).alias("summary"))
 
 
 def provider_requests(requests: DataFrame) -> DataFrame:

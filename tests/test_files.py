@@ -56,4 +56,40 @@ def test_write_predictions(spark, tmp_path):
 def test_harness_report_summary(spark):
     rows = [("f", "test.1.json", 1, '{"Instances resolved": 9}'), ("f", "test.2.json", 5, '{"instancesresolved": 3, "INSTANCES COMPLETED": 4, "x": 1}'), ("g", "test.3.json", 1, "no json")]
     got = {r["folder"]: r["summary"] for r in files.harness_report_summary(spark.createDataFrame(rows, "folder string, name string, modified long, report string")).collect()}
-    assert got == {"f": "Instances completed: 4; Instances resolved: 3", "g": "Harness report available"}
+    assert got == {"f": "Instances completed: 4; Instances resolved: 3", "g": "A report without counters"}
+
+
+def test_lines_of_split_files_have_their_numbers(spark, tmp_path):
+    """Files cut into blocks that end inside lines and on line ends; blank lines, long lines, no line end at the end, an empty file."""
+    texts = {"a": "".join(f"{k} {'x' * (k % 90)}\n" for k in range(3000)), "b": "one\n\n\n" + "y" * 50_000 + "\nlast", "c": "", "d": "".join(f"{k:07d}\n" for k in range(2048))}
+    for name, text in texts.items():
+        put(tmp_path / f"{name}.txt", text)
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    small.conf.set("spark.sql.files.openCostInBytes", "1")
+    lines = files.numbered_lines(small, str(tmp_path))
+    assert lines.select("path").rdd.getNumPartitions() >= 1
+    got = sorted((r["path"].rsplit("/", 1)[1][0], r["line_no"], r["value"]) for r in lines.collect())
+    want = [(name, k, line) for name, text in texts.items() for k, line in enumerate(text.removesuffix("\n").split("\n") if text else [], 1)]
+    assert got == want
+
+
+def test_bad_lines_go_to_quarantine_with_their_numbers(spark, tmp_path):
+    rows = ['{"instance_id": "a", "patch": "p"}', "", "{broken", '{"instance_id": "b"}', '{"instance_id": "c", "patch": "' + "z" * 50 + '"}', '{"instance_id": "d", "patch": ""}']
+    put(tmp_path / "in" / "p.jsonl", "\n".join(rows))
+    files.quarantine(files.read_predictions(spark, str(tmp_path / "in"), 40), str(tmp_path / "good"), str(tmp_path / "bad"))
+    assert sorted((r["line_no"], r["instance_id"]) for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [(1, "a"), (6, "d")]
+    assert sorted((r["line_no"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [(3, "bad_json"), (4, "missing_key"), (5, "too_large")]
+
+
+def test_run_reports_in_parts(spark, tmp_path):
+    rows = [("r", f"i{k:04d}", k % 3 == 0, None if k % 3 == 0 else "timed out", k) for k in range(250)] + [("s", "one", True, None, 1), ("s", "one", False, "docker", 0)]
+    results = spark.createDataFrame(rows, "run_id string, instance_id string, passed boolean, error string, seq long").selectExpr("*", "timestamp_seconds(seq) as ts")
+    files.write_run_report(results, str(tmp_path / "out"), 100)
+    headers, parts = files.read_run_report(spark, str(tmp_path / "out"))
+    got = {r["run_id"]: (r["summary"]["total"], r["summary"]["resolved"], r["summary"]["timeout"], r["parts"]) for r in headers.collect()}
+    assert got == {"r": (250, 84, 166, 3), "s": (1, 1, 0, 1)}
+    of_r = sorted((r["part"], r["first_id"], r["last_id"], [i["instance_id"] for i in r["instances"]]) for r in parts.where("run_id = 'r'").collect())
+    assert [p[:3] for p in of_r] == [(0, "i0000", "i0099"), (1, "i0100", "i0199"), (2, "i0200", "i0249")] and of_r[1][3] == [f"i{k:04d}" for k in range(100, 200)]
+    only = parts.where("run_id = 's'").first()["instances"][0]
+    assert (only["status"], only["attempts"], only["flaky"]) == ("resolved", 2, True)
