@@ -61,7 +61,9 @@ r("ensemble_agreement", 'SELECT instance_id, count_if(passed)::BIGINT AS solved_
 r("instance_sets", """, x AS (SELECT instance_id FROM bm WHERE passed AND model = 'model0'), y AS (SELECT instance_id FROM bm WHERE passed AND model = 'model1')
 SELECT 'both' AS "set", instance_id FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION ALL SELECT 'either', instance_id FROM (SELECT * FROM x UNION SELECT * FROM y) UNION ALL SELECT 'first_only', instance_id FROM (SELECT * FROM x EXCEPT SELECT * FROM y)""")(lambda x: evaluation.instance_sets(x, "model0", "model1"))
 _SETS = "CASE seq % 3 WHEN 0 THEN 'lite' WHEN 1 THEN 'verified' ELSE 'custom' END"
-r("duration_stats", f"SELECT run_id, {_SETS} AS test_set, avg(seconds) AS mean, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95, max(seconds) AS longest FROM results GROUP BY ALL")(lambda x: evaluation.duration_stats(x.withColumn("test_set", F.expr(_SETS)), "run_id", "test_set"))
+r("duration_stats", f"SELECT run_id, {_SETS} AS test_set, avg(seconds) AS mean, round(quantile_cont(seconds, 0.5), 6) AS p50, round(quantile_cont(seconds, 0.95), 6) AS p95, max(seconds) AS longest FROM results GROUP BY ALL")(
+    lambda x: evaluation.duration_stats(x.withColumn("test_set", F.expr(_SETS)), "run_id", "test_set").withColumns({p: F.round(p, 6) for p in ("p50", "p95")})  # engines interpolate in other orders
+)
 r("duration_rollup", f"SELECT run_id, {_SETS} AS test_set, count(*) AS n, avg(seconds) AS mean, quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.95) AS p95, max(seconds) AS longest FROM results GROUP BY ALL")(
     lambda x: evaluation.duration_rollup(evaluation.duration_sketches(x.withColumns({"test_set": F.expr(_SETS), "day": F.to_date("ts")}), "run_id", "test_set", "day"), "run_id", "test_set")
 )
