@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from difflake.operators import extraction
+from difflake.operators import diff_checks, extraction
 from difflake.plans import registry
 from difflake.plans.tables import table
 from difflake.streaming import replay
@@ -56,4 +56,5 @@ def test_extract_patches_takes_one_of_each_response(spark):
     kinds = {(int(r["response_id"][1:]) % 8, r["format"]) for r in got}
     assert (0, "fenced") in kinds and (1, "git") in kinds and (4, "unified") in kinds and (5, "file_blocks") in kinds and (6, "search_replace") in kinds and (7, None) in kinds
     valid = extraction.emit_valid_patches(responses).where("reason is null and patch is not null").count()
-    assert valid == sum(r["is_valid"] for r in got) > 0
+    extracted = extraction.extract_patches(responses).where("is_valid").selectExpr("response_id as patch_id", "'r' as run_id", "instance_id", "patch")
+    assert valid == diff_checks.validate_patches(extracted).where("is_valid").count() > 0  # the full validator has the last word
