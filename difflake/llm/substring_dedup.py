@@ -16,9 +16,9 @@ from .merkle import numbered
 
 #: 5 bands of 2 minima: paragraphs of similarity 0.8 collide with probability 0.994, of 0.9 with 0.9998.
 BANDS, ROWS, SHINGLE = 5, 2, 5
-#: Words of a paragraph, and of a reported passage of neighbouring repeated paragraphs, at least.
+#: Words of a paragraph, and of a run that is looked up and of a reported passage, at least, where no others are named.
 MIN_WORDS, MIN_RUN = 10, 25
-#: Of so many runs of MIN_RUN words that follow each other, one at least is looked up.
+#: Of so many runs of words that follow each other, one at least is looked up.
 WINDOW = 12
 #: Members of a band whose pairs are joined as such, at most, and rows and columns of a tile of larger bands.
 HOT, TILE = 64, 512
@@ -33,7 +33,7 @@ class Cut:
     words nearby only, and a passage is cut alike wherever it stands.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, min_words: int = MIN_WORDS):
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.concatenate([[False], (cp != 32) & ((cp < 9) | (cp > 13)), [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -49,7 +49,7 @@ class Cut:
             own = mix(np.add.reduceat(self.hashes, np.concatenate([[0], stops[:-1] + 1])))
             stops = stops[(own % np.uint64(3) == 0) | line[stops] | (stops == n - 1)]
         self.first, self.stop = np.concatenate([[0], stops[:-1] + 1]).astype(np.int64)[: len(stops)], stops + 1
-        long = self.stop - self.first >= MIN_WORDS
+        long = self.stop - self.first >= min_words
         self.first, self.stop = self.first[long], self.stop[long]
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
@@ -74,31 +74,31 @@ def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(x[: -(n - span)], x[n - span :]) if n > span else x
 
 
-def winnow(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions and hashes of the chosen runs of MIN_RUN words: those that are the least of WINDOW neighbours.
+def winnow(hashes: np.ndarray, min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the chosen runs of min_run words: those that are the least of WINDOW neighbours.
 
-    The choice depends on the words nearby only. So two texts with MIN_RUN + WINDOW - 1 words in common share a chosen
+    The choice depends on the words nearby only. So two texts with min_run + WINDOW - 1 words in common share a chosen
     run, and chosen runs cover the common words but for WINDOW - 1 at either end at most.
     """
-    if len(hashes) < MIN_RUN:
+    if len(hashes) < min_run:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    runs = _sliding(hashes, MIN_RUN, lambda a, b: mix(a * _PAIR + b))
+    runs = _sliding(hashes, min_run, lambda a, b: mix(a * _PAIR + b))
     n = min(WINDOW, len(runs))
     least, edge = _sliding(runs, n, np.minimum), np.zeros(n - 1, np.uint64)
     at = np.flatnonzero(runs == _sliding(np.concatenate([edge, least, edge]), n, np.maximum))
-    return _thinned(at, runs[at])
+    return _thinned(at, runs[at], min_run)
 
 
-def _thinned(at: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _thinned(at: np.ndarray, runs: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
     """Without equal runs that overlap, as in a text of one word, where the others cover the same words."""
     if len(np.unique(runs)) == len(runs):
         return at, runs
     kept, last, waits = [], {}, {}
     for i, (p, x) in enumerate(zip(at.tolist(), runs.tolist(), strict=True)):
-        if x in waits and p > last[x] + MIN_RUN:
+        if x in waits and p > last[x] + min_run:
             kept.append(waits.pop(x))
             last[x] = int(at[kept[-1]])
-        if x in last and p <= last[x] + MIN_RUN:
+        if x in last and p <= last[x] + min_run:
             waits[x] = i
         else:
             kept.append(i)
@@ -107,7 +107,7 @@ def _thinned(at: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[kept], runs[kept]
 
 
-def _paragraph_rows(docs: DataFrame) -> DataFrame:
+def _paragraph_rows(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """id, k, pos, start, end, n_words, node, bands, of every paragraph and every chosen run of words.
 
     pos counts the words before it, node is a hash of its words. bands are hashes of minima (shingle hashes are mixed,
@@ -119,10 +119,10 @@ def _paragraph_rows(docs: DataFrame) -> DataFrame:
             doc, spans, nodes, bands_ = [np.empty(0, np.int64)], [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             run_doc, run_spans, run_nodes = [np.empty(0, np.int64)], [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
             for n, text in enumerate(batch.column(2).to_pylist()):
-                t = Cut(text)
-                at, hashes = winnow(t.hashes)
+                t = Cut(text, min_words)
+                at, hashes = winnow(t.hashes, min_run)
                 run_doc.append(np.full(len(at), n))
-                run_spans.append(np.stack([at, t.starts[at], t.ends[at + MIN_RUN - 1], np.full(len(at), MIN_RUN)], 1))
+                run_spans.append(np.stack([at, t.starts[at], t.ends[at + min_run - 1], np.full(len(at), min_run)], 1))
                 run_nodes.append(hashes.view(np.int64))
                 if not len(t.first):
                     continue
@@ -144,14 +144,14 @@ def _paragraph_rows(docs: DataFrame) -> DataFrame:
     return docs.select("id", "k", "text").mapInArrow(run, "id long, k long, pos int, start long, end long, n_words int, node long, bands array<long>, run boolean")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """node and its sorted distinct shingle hashes, of the paragraphs named by wanted: k and nodes, each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets = [], []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = Cut(text)
+                t = Cut(text, min_words)
                 sh, at = t.shingles()
                 stop, asked = [*at[1:].tolist(), len(sh)], set(asked)
                 for i, node in enumerate(t.nodes().tolist()):
@@ -245,7 +245,7 @@ def _tiles(cross: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.repartition("band", "r", "c").sortWithinPartitions("band", "r", "c").mapInPandas(run, "a long, b long").distinct()
 
 
-def _passages(hits: list[tuple]) -> Iterator[tuple]:
+def _passages(hits: list[tuple], min_run: int) -> Iterator[tuple]:
     """start, end, n_words, clusters, first_ids, removed of a document's passages, of its hits (pos, stop, start, end, later, cluster, first_id).
 
     Hits that touch are one passage; what later hits cover is removed, the rest of it stays.
@@ -258,7 +258,7 @@ def _passages(hits: list[tuple]) -> Iterator[tuple]:
             stop, end, j = max(stop, hits[j][1]), max(end, hits[j][3]), j + 1
         group, first = hits[i:j], hits[i]
         i = j
-        if stop - first[0] < MIN_RUN:
+        if stop - first[0] < min_run:
             continue
         gone: list[list[int]] = []
         for pos, s, a, b, later, *_ in group:
@@ -287,14 +287,14 @@ def _passages(hits: list[tuple]) -> Iterator[tuple]:
             yield a, b, s - p, [h[5] for h in of], list(dict.fromkeys(h[6] for h in of)), removed
 
 
-def _passage_rows(hits: DataFrame) -> DataFrame:
+def _passage_rows(hits: DataFrame, min_run: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column(1)
             offsets, fields = parts.offsets.to_numpy() - parts.offsets[0].as_py(), [c.to_pylist() for c in parts.flatten().flatten()]
             of, rows = [], []
             for n, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                found = list(_passages(list(zip(*(f[a:b] for f in fields), strict=True))))
+                found = list(_passages(list(zip(*(f[a:b] for f in fields), strict=True)), min_run))
                 of += [n] * len(found)
                 rows += found
             start, end, n_words, clusters, first_ids, removed = zip(*rows, strict=True) if rows else ((),) * 6
@@ -305,7 +305,7 @@ def _passage_rows(hits: DataFrame) -> DataFrame:
     return parts.select("id", "parts").mapInArrow(run, "id long, start long, end long, n_words long, clusters array<long>, first_ids array<long>, removed boolean")
 
 
-def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
+def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction, min_words: int = MIN_WORDS) -> DataFrame:
     """node and root, the smallest node that it reaches over links, of the paragraphs among rows that link with others."""
     band = rows.select("node", F.explode("bands").alias("band"))
     shared = cut(band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
@@ -314,7 +314,7 @@ def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction) ->
     pairs = cut(pairs.where("a < b").distinct())
     nodes = kept.select("node").distinct()
     wanted = rows.where("not run").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("node").alias("nodes"))  # a document's own
-    sets = stored(_sets(docs, wanted))
+    sets = stored(_sets(docs, wanted, min_words))
     links = cut(_verified(pairs, sets, threshold))
     label = components(links)
     cross = _crossing(kept, label)
@@ -327,38 +327,47 @@ def paragraph_clusters(docs: DataFrame, rows: DataFrame, threshold: Fraction) ->
     return label
 
 
-def repeated_passages(docs: DataFrame, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(
+    docs: DataFrame,
+    threshold: Fraction = Fraction(4, 5),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    min_run: int = MIN_RUN,
+) -> DataFrame:
     """One row per passage that repeats: id, start, end (code points), n_words, clusters, first_ids, removed.
 
-    Runs of 25 words that winnow() chooses are looked up by their hash, so exact repeats of 36 words or more are found
-    wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs (see
-    Cut). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the largest of
+    Runs of min_run words that winnow() chooses are looked up by their hash, so exact repeats of min_run + 11 words or
+    more are found wherever they stand, but for 11 words at either end at most. For near copies, texts are cut into paragraphs of
+    min_words words or more, which are 5 at least (see Cut). MinHash bands bring similar paragraphs together; each is first compared with the smallest and the largest of
     its band, exactly, by the Jaccard similarity of its 5-word shingles, which is to be threshold or more.
     Where a band's paragraphs are not of one component then, those outside the main one meet all: as distinct pairs in
     bands of at most 64, else in tiles. Components are clusters, and equal paragraphs are one node from the start. Of each
     cluster and each run that of the smallest (id, position) stays. Runs and paragraphs that repeat and touch are one
-    passage, reported with 25 words or more in all, in one row for each part that stays or goes: removed is true for
+    passage, reported with min_run words or more in all, in one row for each part that stays or goes: removed is true for
     what later copies cover, other than a run that overlaps its own first copy. clusters lists the numbers of the
     part's runs and paragraphs and first_ids the documents of those that stay.
     A null or empty text has no paragraphs. A null id comes last; an id that is no number is an error in ANSI mode, else
     null. Rows that repeat id and text are one document. An
     empty table gives an empty result; other columns do not matter.
     """
+    if min_words < SHINGLE or min_run < 1:
+        raise ValueError(f"min_words has to be {SHINGLE} or more, min_run 1 or more")
     slim = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     slim = slim.withColumn("k", F.xxhash64("id", "text"))
-    every = stored(_paragraph_rows(slim))
+    every = stored(_paragraph_rows(slim, min_words, min_run))
     plain, runs = every.where("not run").drop("bands"), every.where("run").drop("bands")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k", "pos")
-    label = paragraph_clusters(slim, every, threshold)
+    label = paragraph_clusters(slim, every, threshold, min_words)
     rooted = plain.join(label, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root", "node")
     again = cut(runs.groupBy("node").count().where("count > 1").select("node"))
     rooted = stored(rooted.unionByName(runs.join(again, "node").withColumnRenamed("node", "cluster")))
     discard(every)
     first = cut(rooted.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").drop("final"))
     hits = rooted.join(first, "cluster").distinct()
-    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k")) & F.col("run") & (F.col("pos") < F.col("first.pos") + MIN_RUN)
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k")) & F.col("run") & (F.col("pos") < F.col("first.pos") + min_run)
     hits = hits.select("id", "k", "pos", "start", "end", "n_words", "cluster", ((place > F.col("first")) & ~own).alias("later"), F.col("first.id").alias("first_id"))
-    return _passage_rows(hits).withColumnRenamed("id", id_col)
+    return _passage_rows(hits, min_run).withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
