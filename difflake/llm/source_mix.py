@@ -66,8 +66,14 @@ def pivotal(size: np.ndarray, prob: np.ndarray, draw: Callable[[int, int], float
     return prob, held
 
 
-def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies (0 to cap).
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, source and size (words) of every row."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return take(docs, id_col, text_col, source_col).select(F.col(id_col).alias("id"), size.alias("size"), F.col(source_col).alias("source"))
+
+
+def unit_copies(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """rows: (id, size, source). One row per unit of them (see mix_copies): id, size, source, m (rows of the unit), source_size, target, copies.
 
     A document's expected copies are its source's target over its source's size. Whole copies are certain; the
     fractions are settled by pivotal rounding, weighted by size so that each step keeps the words of its pair: in
@@ -75,10 +81,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets meet, until one per source is left, which is rounded at random. So a source's words differ from its
     target by less than its last open document. Draws are hashes of ids and sizes: reruns and other partitionings agree.
     A null or blank text has size 0 and no copies to settle (the whole ones only); a null source is a source of its own, the last one.
-    Rows that agree in id, source and size are one unit: they get the same copies. Null ids are such an id. An empty
-    table gives an empty result.
     """
-    rows = take(docs, id_col, text_col, source_col).select(F.col(id_col).alias("id"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"))
     units = cut(rows.groupBy("id", "source", "size").agg(F.count("*").alias("m")))
     per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
     targets = cut(source_targets(per_source, weights, cap).join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
@@ -116,7 +119,24 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    return every.select(F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i"), "*").select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", F.col("copies").cast("long").alias("copies"))
+    return every.select("id", "size", "source", "m", "source_size", "target", F.col("copies").cast("long").alias("copies"))
+
+
+def _with_units(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """rows, which have id_, size_ and source_, with their units' other columns. A unit of very many rows is a skewed join key: its rows are split."""
+    same = F.col("id_").eqNullSafe(F.col("id")) & F.col("source_").eqNullSafe(F.col("source")) & (F.col("size_") == F.col("size"))
+    return rows.join(units, same)
+
+
+def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies (0 to cap).
+
+    Options are those of unit_copies: weights, cap and seed. Rows that agree in id, source and size are one unit: they
+    get the same copies. Null ids are such an id. An empty table gives an empty result.
+    """
+    rows = cut(_sized(docs, id_col, text_col, source_col))
+    joined = _with_units(rows.toDF("id_", "size_", "source_"), cut(unit_copies(rows, **options)))
+    return joined.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -124,9 +144,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     size = F.coalesce(F.regexp_count("text_", F.lit(WORD)), F.lit(0)).cast("long")
     rows = with_row(docs, id_=id_col, text_=text_col, source_=source_col).select("row_", "id_", "source_", size.alias("size_"))
-    copies = mix_copies(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col("size").alias("z"), "copies").where("copies > 0").distinct()
-    copies = cut(copies)
-    joined = rows.join(copies, rows["id_"].eqNullSafe(copies["i"]) & rows["source_"].eqNullSafe(copies["s"]) & (rows["size_"] == copies["z"]))
+    copies = cut(unit_copies(_sized(docs, id_col, text_col, source_col), **options).select("id", "source", "size", "copies").where("copies > 0"))
+    joined = _with_units(rows, copies)
     return unpack_row(joined.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), names)
 
 
