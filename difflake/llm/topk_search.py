@@ -15,6 +15,8 @@ from .common import cut, take
 BLOCK_COMPONENTS, BLOCK, QUERY_BLOCK, BATCH = 1 << 19, 8192, 8192, 256
 #: The lists are read to an eighth; then, by the queries that cannot stop there, to the end.
 DEPTHS = (8, 1)
+#: Whole numbers up to here are exact in a double.
+EXACT = 2.0**53
 
 
 class Lists:
@@ -110,12 +112,13 @@ def top_k_search(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: i
     k best are ranked again. Ties go to the smaller id. Rows with a null id, a null or empty vector, or a null or
     non-finite component take no part; vectors of another length than the query's are padded with zeros. Rows that
     repeat an id are candidates for other queries once for each different vector, and a repeated query row is one
-    query for each different vector. Scores must fit 53 bits, which is checked. An id that is no number is an error in
+    query for each different vector. Scores must fit 53 bits, else it is an error, however large components are. An id that is no number is an error in
     ANSI mode, else null. An empty table gives an empty result.
     """
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = take(vectors, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & ok)
-    rows = cut(rows.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")).distinct())
+    scaled = lambda x: F.greatest(F.lit(-EXACT), F.least(F.lit(EXACT), F.lit(float(scale)) * x.cast("double")))  # noqa: E731 (beyond that it is refused below)
+    rows = cut(rows.select("id", F.transform("v", lambda x: F.floor(scaled(x))).alias("v")).distinct())
     queries = rows.where(F.col("id") % query_every == 0)
     n_rows, width, most = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if (width or 0) * (most or 0) ** 2 >= 1 << 53:
