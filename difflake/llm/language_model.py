@@ -350,6 +350,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words not seen. The base is add-one smoothing. Counts cover all training texts: those of the most frequent words
     go to every task, the others are joined by word. Every training text is learnt from, in tasks whose weights are averaged.
     A null or empty text has the end only. A null id, and an id that is no number, counts as null and is learnt from.
+    How texts fall into tasks follows from how the table's files are split, so scores of tables that are laid out
+    otherwise differ a little (reruns on the same files agree); where a table has fewer splits than tasks, later texts
+    of a task are learnt at the lowest rate.
     Rows that repeat id and text get equal scores and count as often as they come. With no training rows counts are
     zero. An empty table gives an empty result. Texts of any length are one row's work.
     """
