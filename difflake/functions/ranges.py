@@ -20,9 +20,13 @@ def before(sums: DataFrame, key: list[str], value: Column) -> Column:
 
 
 def numbered(df: DataFrame, name: str, key: list[str], *order: str) -> DataFrame:
-    """df with each row's number from 0 among those of its key, in the named order. A key with most of the rows is many tasks' work."""
+    """df with each row's number from 0 among those of its key, in the named order. A key with most of the rows is many tasks' work; null is a key too."""
     parts = ranged(df, *key, *order)
     offsets = parts.groupBy(*key, "part").agg(F.count("*").alias("n"))
-    offsets = offsets.select(*key, "part", before(offsets, key, F.col("n")).alias("offset"))
+    offsets = offsets.select(*(F.col(c).alias(f"{c}_of") for c in key), F.col("part").alias("part_of"), before(offsets, key, F.col("n")).alias("offset"))
     within = F.row_number().over(Window.partitionBy(*key, "part").orderBy(*order))
-    return parts.join(offsets, [*key, "part"]).withColumn(name, F.col("offset") + within - 1).drop("part", "offset")
+    same = F.col("part") == F.col("part_of")
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    joined = parts.withColumn("within", within).join(offsets, same)
+    return joined.select(*(F.col(c) for c in df.columns), (F.col("offset") + F.col("within") - 1).alias(name))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.ranges import numbered
 
 #: Limits of patterns and ids.
 MAX_PATTERN, MAX_ID, MAX_SAMPLE = 1000, 200, 10_000
@@ -108,7 +109,11 @@ def dataset_info(instances: DataFrame) -> DataFrame:
 
 
 def interleave_by_repo(instances: DataFrame) -> DataFrame:
-    """Turns: the first instance of each repository, the second of each, ...; repositories in first-seen order."""
-    nth = F.row_number().over(Window.partitionBy("repo").orderBy("doc_id"))
-    first = F.min("doc_id").over(Window.partitionBy("repo"))
-    return instances.select("instance_id", "repo", nth.alias("turn"), first.alias("repo_first"))
+    """Turns: the first instance of each repository, the second of each, ...; repositories in first-seen order.
+
+    A repository of any size is numbered over ranges of its ids; null is a repository too.
+    """
+    rows = numbered(instances.select("instance_id", "repo", "doc_id"), "nth", ["repo"], "doc_id")
+    first = rows.where("nth = 0").select(F.col("repo").alias("of"), F.col("doc_id").alias("repo_first"))
+    joined = rows.join(first, F.col("repo").eqNullSafe(F.col("of")))
+    return joined.select("instance_id", "repo", (F.col("nth") + 1).cast("int").alias("turn"), "repo_first")

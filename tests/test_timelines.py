@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from difflake.functions import ranges
-from difflake.operators import evaluation, generation, timelines
+from difflake.operators import evaluation, generation, selection, timelines
 
 START = datetime(2024, 1, 1)
 
@@ -128,3 +128,17 @@ def test_content_so_far(spark):
     texts = spark.createDataFrame([("s", "".join(f"<{k}>" for k in range(50))), ("t", "éxy")], "stream_id string, content string")
     got = {(r["stream_id"], r["seq"]): r["content"] for r in generation.content_so_far(ends, texts).collect()}
     assert got == {("s", k): "".join(f"<{j}>" for j in range(k + 1)) for k in range(50)} | {("t", 0): "é", ("t", 2): "éxy", ("t", 4): "éxy"}
+
+
+def test_turns_of_a_repository_with_most_rows(spark):
+    """Numbers over ranges equal those of one sorted list; no task holds the large repository, and null is one too."""
+    repos = ["big" if i % 10 else (None, "a", "b")[i // 10 % 3] for i in range(6000)]
+    rows = [(f"x{i}", r, (i * 7919) % 6000) for i, r in enumerate(repos)]
+    got = selection.interleave_by_repo(spark.createDataFrame(rows, "instance_id string, repo string, doc_id long"))
+    want = {}
+    for name in set(repos):
+        own = sorted((d, i) for i, r, d in rows if r == name)
+        want |= {i: (name, n, own[0][0]) for n, (_, i) in enumerate(own, 1)}
+    assert {r["instance_id"]: (r["repo"], r["turn"], r["repo_first"]) for r in got.collect()} == want
+    parts = ranges.ranged(spark.createDataFrame(rows, "instance_id string, repo string, doc_id long"), "repo", "doc_id")
+    assert parts.where("repo = 'big'").select("part").distinct().count() > 1
