@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
-def ranged(df: DataFrame, *order: str) -> DataFrame:
+def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
     """df with `part`, the range of the named order that a row is in. Ranges are drawn once and written, so every reader sees the same."""
     return cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
 

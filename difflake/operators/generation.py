@@ -81,6 +81,25 @@ def content_so_far(ends: DataFrame, texts: DataFrame) -> DataFrame:
     return ends.join(texts, "stream_id").select("stream_id", "seq", F.substr("content", F.lit(1), F.col("content_end").cast("int")).alias("content"))
 
 
+def running_text(parsed: DataFrame) -> DataFrame:
+    """The whole content of a stream so far at each chunk: stream_id, seq, content. Null is a stream too, a null seq comes last, chunks of one seq go by their text.
+
+    Chunks are dealt to ranges of (stream, seq), so a long stream is many tasks' work. A stream's chunks of a range are
+    one row, to which the text of the stream's ranges before it is joined (merged, as such texts can be too large to
+    send whole); contents are made of the two at the very end, so only what is returned grows with the square of the
+    chunks.
+    """
+    parts = ranged(parsed.select(F.struct("stream_id").alias("stream"), "seq", "delta"), "stream", F.col("seq").asc_nulls_last())
+    chunks = F.array_sort(F.collect_list(F.struct(F.col("seq").isNull().alias("last"), "seq", "delta")))
+    own = parts.groupBy("stream", "part").agg(chunks.alias("chunks")).select("stream", "part", F.col("chunks.seq").alias("seqs"), F.col("chunks.delta").alias("deltas"))
+    wide = parts.groupBy("stream").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").select("stream")
+    so_far = Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    text = own.join(F.broadcast(wide), "stream", "left_semi").select("stream", "part", F.array_join("deltas", "").alias("text"))  # fewer streams than ranges
+    before = text.select("stream", "part", F.array_join(F.collect_list("text").over(so_far), "").alias("earlier"))
+    rows = own.join(before.hint("merge"), ["stream", "part"], "left").select("stream", "deltas", F.coalesce("earlier", F.lit("")).alias("earlier"), F.posexplode("seqs").alias("pos", "seq"))
+    return rows.select("stream.stream_id", "seq", F.concat("earlier", F.array_join(F.slice("deltas", 1, F.col("pos") + 1), "")).alias("content"))
+
+
 def rate_limit_headers(calls: DataFrame, *more: str) -> DataFrame:
     """Limits, what is left of them and when they are full again, by either family of header names; numbers that are not whole are null. Further columns of the calls may be kept."""
     h = calls.select("call_id", "provider", *more, F.from_json("headers", "map<string,string>").alias("h"))

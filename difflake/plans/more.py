@@ -86,7 +86,7 @@ FROM (SELECT path, unnest(range(1, len(x) + 1)) AS line_no, lower(unnest(x)) AS
     "build_logs",
 )(generation.build_phases)
 q("log_success", "SELECT path, contains(tail, 'ran successfully, 0 failed') OR contains(tail, 'all instances run.') AS passed FROM (SELECT path, lower(array_to_string(l[greatest(1, len(l) - 199):], chr(10))) AS tail FROM (SELECT *, string_split(content, chr(10)) AS l FROM logs))", "logs")(generation.log_success)
-q("running_content", "SELECT stream_id, seq, (sum(length(delta)) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS content_end FROM parsed", "chunks", more=_PARSED)(lambda x: generation.running_content(ch.parse_chunks(x)))
+q("running_content", "SELECT stream_id, seq, string_agg(delta, '') OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS content FROM parsed", "chunks", more=_PARSED)(lambda x: generation.running_text(ch.parse_chunks(x)))
 _HEAD = "TRY_CAST(coalesce(json_extract_string(headers, '$.\"x-ratelimit-{w}-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-{w}\"')) AS BIGINT) AS {o}_{w}"
 _RESET = "coalesce(json_extract_string(headers, '$.\"x-ratelimit-reset-{o}\"'), json_extract_string(headers, '$.\"anthropic-ratelimit-{o}-reset\"')) AS {o}_reset"
 q("rate_limit_headers", "SELECT call_id, provider, " + ", ".join(_RESET.format(o=o) for o in ("requests", "tokens")) + ", " + ", ".join(_HEAD.format(o=o, w=w) for o in ("requests", "tokens") for w in ("limit", "remaining")) + " FROM limit_headers", "limit_headers")(generation.rate_limit_headers)

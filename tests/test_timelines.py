@@ -3,11 +3,13 @@
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 
 from difflake.functions import ranges
 from difflake.operators import evaluation, generation, selection, timelines
+from difflake.plans import registry
 
 START = datetime(2024, 1, 1)
 
@@ -130,6 +132,38 @@ def test_content_so_far(spark):
     assert got == {("s", k): "".join(f"<{j}>" for j in range(k + 1)) for k in range(50)} | {("t", 0): "é", ("t", 2): "éxy", ("t", 4): "éxy"}
 
 
+def test_running_text_of_streams_of_any_size(spark):
+    """Each chunk has the whole text so far: of a stream with most rows, of null streams, with null and repeated seqs, whatever the order of the rows."""
+    rows = [("big", k * 7919 % 600, f"<{k * 7919 % 600}>é😀"[: k % 9]) for k in range(600)] + [(None, 3, "c"), (None, 1, "ab"), (None, None, "zz"), ("s", 2, "y"), ("s", 2, "xxx"), ("s", 2, "y"), ("s", 1, ""), ("t", 5, "one")]
+    parsed = spark.createDataFrame(rows, "stream_id string, seq long, delta string").repartition(3)
+    want = []
+    for name in {r[0] for r in rows}:
+        text = ""
+        for _, seq, delta in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+            text += delta
+            want.append((name, seq, text))
+    got = generation.running_text(parsed)
+    assert got.columns == ["stream_id", "seq", "content"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    parts = ranges.ranged(parsed, "stream_id", "seq")
+    assert parts.where("stream_id = 'big'").select("part").distinct().count() > 1
+
+
+def test_running_content_returns_texts(spark):
+    """The query, and the SQL that it is checked against, give the text at each chunk and not where it ends."""
+    sf = "/root/testdata/sf0.001"
+    want, texts = {}, defaultdict(str)
+    for r in sorted(registry.QUERIES["parse_chunks"](spark, sf).collect(), key=lambda r: (r["stream_id"], r["seq"])):
+        texts[r["stream_id"]] += r["delta"]
+        want[r["stream_id"], r["seq"]] = texts[r["stream_id"]]
+    got = registry.QUERIES["running_content"](spark, sf)
+    assert got.columns == ["stream_id", "seq", "content"]
+    assert {(r["stream_id"], r["seq"]): r["content"] for r in got.collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    assert {(s, k): c for s, k, c in con.execute(registry.ORACLE_SQL["running_content"]).fetchall()} == want
+
+
 def test_turns_of_a_repository_with_most_rows(spark):
     """Numbers over ranges equal those of one sorted list; no task holds the large repository, and null is one too."""
     repos = ["big" if i % 10 else (None, "a", "b")[i // 10 % 3] for i in range(6000)]
