@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
+from array import array
 from bisect import insort
 from collections.abc import Iterator
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,19 @@ from .common import take, working
 
 #: Tokens of a window; tokens of a piece of what is left of a document after its whole windows; pieces packed at a time.
 WINDOW, GRAIN, CHUNK = 1024, 256, 8192
-#: The letters of the plain characters; a text with other characters is left to the tokenizer itself.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ]")
-_PIECES = re.compile(rf" ?[{_LETTER}]+|'[sdmt]|'ll|'ve|'re| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: Characters of texts that are encoded at a time.
+_SLICE = 2_000_000
+#: Classes of bytes; the odd ones are no part of plain characters (tab, line ends, printable ASCII, U+00C0 to U+024F). Texts with other characters are left to the tokenizer itself.
+_SPACE, _WHITE, _LETTER, _DIGIT, _SIGN, _ODD = range(6)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[[*b"\t\n\r"]] = _WHITE
+_CLASS[0x20] = _SPACE
+_CLASS[[*b"0123456789"]] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:0xC0] = _CLASS[0xC3:0xCA] = _LETTER
+_ID = attrgetter("id")
 #: Pieces that a worker remembers: some 200 bytes each, which it keeps between stages.
-_CACHE = 300_000
+_CACHE = 400_000
 
 
 def _printable() -> dict[int, str]:
@@ -33,23 +42,66 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character, of valid UTF-8."""
+    kind = _CLASS[data]
+    wide = np.flatnonzero(data >= 0xC0)
+    lead, second = data[wide], data[wide + 1]
+    signs = wide[(lead == 0xC3) & ((second == 0x97) | (second == 0xB7))]  # the signs of multiplication and division
+    kind[signs] = kind[signs + 1] = _SIGN
+    kind[wide[(lead == 0xC9) & (second >= 0x90)]] = _ODD
+    return kind
+
+
+def _starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the pieces of byte-level BPE start in plain texts that each end with a zero byte; that is a piece of its own.
+
+    As this pattern cuts: '(s|d|m|t|ll|ve|re), ` ?letters`, ` ?digits`, ` ?signs`, white space but for its last
+    character if more follows, white space.
+    """
+    white, ends = kind <= _WHITE, kind == _ODD
+    start = np.ones(len(data), bool)
+    start[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE) & ~(white[1:] & white[:-1]) | ends[1:]
+    start[:-1] |= white[:-1] & ~(white[1:] | ends[1:])
+    at = np.flatnonzero(data == 0x27)
+    at = at[start[at]]
+    one, two = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    short, long = np.isin(one, [*b"sdmt"]), (one == 0x6C) & (two == 0x6C) | np.isin(one, [*b"vr"]) & (two == 0x65)
+    start[at[short | long] + 1] = False
+    start[at[short] + 2] = start[at[long] + 3] = True
+    return start
+
+
 class _Codes(dict):
     """Numbers for pieces; new ones are noted."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece) -> int:
         self.new.append(piece)
         self[piece] = n = len(self)
         return n
 
 
+def slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of so many characters at most, or of one text."""
+    lo = n = 0
+    for k, t in enumerate(texts):
+        if n and n + len(t) > chars:
+            yield lo, k
+            lo, n = k, 0
+        n += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 class Encoder:
     """Token ids of whole texts.
 
     A byte-level BPE tokenizer that changes no text beforehand works on pieces of text one by one, so each piece is
-    encoded once and looked up later. Texts that hold a token added to the vocabulary, and all texts of any other
+    encoded once, and the different ones of some texts are looked up later. Texts that hold a token added to the vocabulary, and all texts of any other
     kind of tokenizer, are left to the tokenizer.
     """
 
@@ -65,34 +117,71 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.code = _Codes()
-        self.flat, self.ends, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.code = _Codes({b"\0": 0})  # ends a text, and is no token
+        self.flat = np.empty(0, np.uint32)
+        self.ends, self.count, self.uses = np.zeros((3, 1), np.int64)
+
+    def _forget(self) -> None:
+        """Forgets the pieces that were not met again, or all if that leaves too many."""
+        keep = np.flatnonzero(self.uses[1:] > 1) + 1
+        if len(keep) > _CACHE // 2:
+            keep = keep[:0]
+        pieces, flat, count = list(self.code), self._ids(keep), self.count[keep]
+        self._clear()
+        self.code.update((pieces[k], n) for n, k in enumerate(keep.tolist(), 1))
+        self._add(flat, count)
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.count[numbers]
+        return self.flat[np.repeat(self.ends[numbers] - np.cumsum(n), n) + np.arange(n.sum())]
+
+    def _add(self, flat: np.ndarray, count: np.ndarray) -> None:
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(count)])
+        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros_like(count)])
 
     def _learn(self) -> None:
         bpe, alphabet = self.tokenizer.model, self.alphabet
-        ids = [[t.id for t in bpe.tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in self.code.new]
+        ids, count = array("I"), np.empty(len(self.code.new), np.int64)
+        for k, p in enumerate(self.code.new):
+            tokens = bpe.tokenize(p.decode("latin-1").translate(alphabet))
+            ids.extend(map(_ID, tokens))
+            count[k] = len(tokens)
         self.code.new.clear()
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(count)])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.uint32)])
+        self._add(np.asarray(ids, np.uint32), count)
+
+    def _by_pieces(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of each text; None for those with characters that are not plain."""
+        if not texts:
+            return []
+        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+        kind = _classes(data)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        odd = np.flatnonzero(kind == _ODD)
+        if len(odd) > len(texts):
+            left = set(np.searchsorted(ends, np.setdiff1d(odd, ends, assume_unique=True)).tolist())
+            plain = iter(self._by_pieces([t for i, t in enumerate(texts) if i not in left]))
+            return [None if i in left else next(plain) for i in range(len(texts))]
+        at = np.flatnonzero(_starts(data, kind))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        _, stops, flat = pieces.dictionary.buffers()
+        flat, stops = flat.to_pybytes(), np.frombuffer(stops, np.int64, len(pieces.dictionary) + 1).tolist()
+        number = np.fromiter((self.code[flat[i:j]] for i, j in pairwise(stops)), np.int64, len(stops) - 1)
+        if self.code.new:
+            self._learn()
+        self.uses[number] += 1
+        c = number[pieces.indices.to_numpy()]
+        return np.split(self._ids(c), np.cumsum(self.count[c])[np.searchsorted(at, ends)])[:-1]
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
         if len(self.code) > _CACHE:
-            self._clear()
-        find, number = _PIECES.findall, self.code.__getitem__
-        codes = [None if not self.by_pieces or any(m in t for m in self.marks) or _OTHER.search(t) else np.fromiter(map(number, find(t)), np.int64) for t in texts]
-        if self.code.new:
-            self._learn()
-        for text, c in zip(texts, codes, strict=True):
-            if c is None:
-                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            elif not len(c):
-                yield np.empty(0, np.uint32)
-            else:
-                n = self.count[c]
-                yield self.flat[np.repeat(self.ends[c] - np.cumsum(n), n) + np.arange(n.sum())]
+            self._forget()
+        whole = [not self.by_pieces or any(m in t for m in self.marks) for t in texts]
+        plain = iter(self._by_pieces([t.encode() for t, w in zip(texts, whole, strict=True) if not w]))
+        for text, w in zip(texts, whole, strict=True):
+            ids = None if w else next(plain)
+            yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if ids is None else ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -131,13 +220,15 @@ def _difference(sizes: list[int], m: int) -> list[list[int]]:
 
 
 def partition(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
-    """Items by window. The number of windows starts at the least possible and rises while one holds more than its capacity."""
-    m = max(1, -(-sum(sizes) // capacity))
+    """Items by window. The number of windows starts at the least possible and rises while one holds more than its capacity: by what the fullest is above the mean, within 0.2 and 1 %."""
+    total = sum(sizes)
+    m = max(1, -(-total // capacity))
     while True:
         windows = _difference(sizes, m)
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
+        most = max((sum(sizes[i] for i in w) for w in windows), default=0)
+        if most <= capacity:
             return windows
-        m += max(1, m // 500)
+        m += max(1, m // 500, min(m // 100, int(total / max(1, capacity - most + total / m)) + 1 - m))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, chunk: int = CHUNK, end_id: int = 0) -> DataFrame:
@@ -174,8 +265,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(texts), 256):
-                for d, tokens in zip(ids[lo : lo + 256], encode(texts[lo : lo + 256]), strict=True):
+            for lo, hi in slices(texts, _SLICE):
+                for d, tokens in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     total = len(tokens)
                     full = total - total % window

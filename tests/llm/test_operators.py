@@ -166,6 +166,37 @@ def test_packing_with_another_tokenizer(spark):
         assert np.frombuffer(b"".join(x for _, x in sorted(pieces[r["doc_id"]])), "<u4").tolist() == [*tok.encode(r["text"], add_special_tokens=False).ids, 0]
 
 
+def test_packing_looks_pieces_up_once_a_slice():
+    """The work in Python goes with the different pieces of a slice of texts, not with all pieces."""
+    looked = []
+
+    class Noted(packing._Codes):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.code, known = Noted(), encoder.code
+    encoder.code.update(known)
+    texts = ["the same few words, again and again\n" * 500] * 4
+    got = [x.tolist() for x in encoder.batch(texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < len(looked) <= 20
+
+
+def test_packing_encoder_equals_the_tokenizer(monkeypatch):
+    """On drawn texts: contractions, runs of white space, signs and letters of several bytes, characters that are not plain; few pieces are remembered."""
+    monkeypatch.setattr(packing, "_CACHE", 60)
+    encoder, rng = packing.Encoder(packing.default_tokenizer()), np.random.default_rng(8)
+    parts = ["'", "'s", "'ll", "'re", "'ve", "'d", "'x", "s", "l", "ll", " ", "  ", "\n", "\t", "\r", "a", "Z", "é", "×", "÷", "ɏ", "Ø", "0", "9", "-", ".", " the", "<|endoftext|>", "\xa0", "½", "世", "ɐ", "\x00", "\x7f", "😀"]
+    for r in range(600):
+        some = parts[: 27 if r % 3 else len(parts)]
+        texts = ["".join(rng.choice(some, rng.integers(0, 40))) for _ in range(rng.integers(1, 12))]
+        want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.batch(texts)] == want
+    assert list(encoder.batch([])) == []
+
+
 def test_packing_pads_little(spark):
     rows = packing.packed_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(2)).groupBy("sequence_id").sum("length").collect()
     used = [r["sum(length)"] for r in rows]
