@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.ranges import ranged
 
 #: Fixed value: the limit of a model that no rule knows.
 DEFAULT_LIMIT = 4096
@@ -36,18 +36,20 @@ def cost_rollup(usage: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def budget_cutoff(usage: DataFrame, models: DataFrame, budget_e8: int) -> DataFrame:
-    """Calls of each run, in time order, while the cost so far is within the budget.
+    """Calls of each run, in time order, while the cost so far is within the budget. A call without a cost adds none, but before a run's first cost there is no sum. Calls of one time and id come by cost, unknown last.
 
     A run is cut into ranges of time; sums of the ranges before are added, so a large run is many tasks' work.
     """
-    order = ["run_id", "ts", "call_id"]
-    parts = cut(usage_cost(usage, models).select(*order, "cost_e8").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # ranges are drawn once
-    sums = parts.groupBy("run_id", "part").agg(F.sum("cost_e8").alias("sum"))
+    order = [F.asc_nulls_last(c) for c in ("ts", "call_id", "cost_e8")]
+    parts = ranged(usage_cost(usage, models).select("run_id", "ts", "call_id", "cost_e8"), "run_id", *order)
+    sums = parts.groupBy("run_id", "part").agg(F.sum("cost_e8").alias("sum"), F.sum(F.least("cost_e8", F.lit(0))).alias("low"))
     earlier = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("run_id", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset")).where(F.col("offset") <= budget_e8)  # a row for each run and partition
-    so_far = F.sum("cost_e8").over(Window.partitionBy("run_id", "part").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = parts.join(offsets, ["run_id", "part"]).withColumn("spent_e8", so_far + F.col("offset"))
-    return rows.where(F.col("spent_e8") <= budget_e8).select("run_id", "call_id", "spent_e8")
+    offsets = sums.select(F.col("run_id").alias("run_of"), F.col("part").alias("part_of"), F.sum("sum").over(earlier).alias("offset"), "low")  # a row for each run and partition
+    offsets = offsets.where(F.coalesce("offset", F.lit(0)) + F.col("low") <= budget_e8)  # in the others no sum is as low
+    so_far = F.sum("cost_e8").over(Window.partitionBy("run_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.join(offsets, (F.col("part") == F.col("part_of")) & F.col("run_id").eqNullSafe(F.col("run_of"))).withColumn("so_far", so_far)
+    spent = F.coalesce(F.col("so_far") + F.col("offset"), "so_far", "offset")
+    return rows.withColumn("spent_e8", spent).where(F.col("spent_e8") <= budget_e8).select("run_id", "call_id", "spent_e8")
 
 
 def cost_warnings(usage: DataFrame, models: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 from difflake.functions import ranges
-from difflake.operators import evaluation, generation, selection, timelines
-from difflake.plans import registry
+from difflake.operators import costs, evaluation, generation, selection, timelines
+from difflake.plans import registry, tables
 
 START = datetime(2024, 1, 1)
 
@@ -139,6 +139,30 @@ def test_durations_roll_up_exactly(spark):
     assert len(registry.QUERIES["duration_rollup"](spark, "/root/testdata/sf0.001").columns) == 7
 
 
+def test_budget_over_ranges_without_costs(spark):
+    """Running costs equal those of one sorted list: of ranges that begin with calls of unknown cost, with refunds, calls alike in time and id, a null run and null times."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for run, n in (("big", 5000), (None, 400), ("free", 30)):
+        for i in range(n):
+            model = "gpt-4o" if i % 7 == 3 and run != "free" else "local-7b"
+            tokens = int(rng.integers(-40, 60)) if run == "big" else 2
+            rows.append((f"c{i % 900 // 2}", run, "p", model, None if i % 50 == 7 else START + timedelta(hours=i % 300), tokens, 0, 1))
+    usage = spark.createDataFrame(rows, "call_id string, run_id string, provider string, model string, ts timestamp_ntz, prompt_tokens long, completion_tokens long, latency_ms long").repartition(5)
+    want = []
+    for run in ("big", None, "free"):
+        spent = None
+        key = lambda r: (r[4] is None, r[4] or START, r[0], r[3] == "local-7b", r[5])
+        for r in sorted((r for r in rows if r[1] == run), key=key):
+            spent = spent if r[3] == "local-7b" else (spent or 0) + 500 * r[5]
+            if spent is not None and spent <= 100_000:
+                want.append((run, r[0], spent))
+    models = tables.table(spark, "", "models")
+    got = [tuple(r) for r in costs.budget_cutoff(usage, models, 100_000).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r[0] for r in got} == {"big", None}
+    assert ranges.ranged(usage, "run_id", "ts").where("run_id = 'big'").select("part").distinct().count() > 1
+
+
 def test_content_so_far(spark):
     rows = [("s", k, f"<{k}>") for k in range(50)] + [("t", 0, "é"), ("t", 4, ""), ("t", 2, "xy")]
     parsed = spark.createDataFrame(rows, "stream_id string, seq long, delta string").repartition(3)
