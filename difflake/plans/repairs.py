@@ -184,10 +184,9 @@ SELECT split_part(instance_id, '__', 1) AS source, string_split(string_agg(conte
 def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each prediction's patch, read by path; empty patches have none."""
     path = _fresh(spark)
-    rows = table(spark, sf_dir, "predictions").where("patch <> ''")
-    rows.select("instance_id", F.regexp_replace("patch", r"\n\z", "").alias("patch")).write.partitionBy("instance_id").text(path)
-    read = files.load_patch_dir(spark, path, "*.txt", r"instance_id=([^/]+)/")
-    return read.select("instance_id", F.md5(F.concat(F.regexp_replace("patch", r"\n+\z", ""), F.lit("\n"))).alias("patch"))
+    files.write_patch_dir(table(spark, sf_dir, "predictions").where("patch <> ''"), path)
+    read = files.load_patch_dir(_in_blocks(spark, 2 << 20), path)
+    return read.select(files.patch_id(F.col("instance_id")).alias("instance_id"), F.md5(F.concat(F.regexp_replace("patch", r"\n+\z", ""), F.lit("\n"))).alias("patch"))
 
 
 QUERIES["load_patch_dir"] = _patch_files

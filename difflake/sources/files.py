@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +64,42 @@ def load_patch_dir(spark: SparkSession, path: str, names: str = "*.patch", id_fr
     return files.select(F.regexp_extract("path", id_from, 1).alias("instance_id"), F.decode("content", "utf-8").alias("patch"))
 
 
+def _patch_name(instance_id: str | None) -> str:
+    """A file's stem for an id: quoted, and never one that begins like a hidden file's; % stands for null, %% for an empty id."""
+    name = "%" if instance_id is None else quote(instance_id, safe="") or "%%"
+    return f"%{ord(name[0]):02X}{name[1:]}" if name[:1] in ("_", ".") else name
+
+
+def patch_id(stem: F.Column) -> F.Column:
+    """The id of a file that write_patch_dir() wrote, from its stem."""
+    return F.when(stem == "%%", "").when(stem != "%", F.url_decode(stem))
+
+
+def write_patch_dir(patches: DataFrame, path: str) -> int:
+    """Writes each row's patch, as it is, to a file of its own; returns their number. A file is <task>-<k>/<quoted id>.patch under path, k being how often the task has had the id before.
+
+    Tasks write through pyarrow, so it has to reach path: Spark's writers take as long for one file as this for hundreds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pafs.FileSystem.from_uri(path)
+        part, seen, made = TaskContext.get().partitionId(), Counter(), set()
+        for batch in batches:
+            for i, patch in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                folder = f"{top}/{part}-{seen[i]}"
+                seen[i] += 1
+                if folder not in made:
+                    made.add(folder)
+                    store.create_dir(folder)
+                with store.open_output_stream(f"{folder}/{_patch_name(i)}.patch") as out:
+                    out.write(patch)
+            yield pa.record_batch({"n": [len(batch)]})
+
+    store, top = pafs.FileSystem.from_uri(path)
+    store.create_dir(top)  # it is there even without a patch
+    return patches.select("instance_id", "patch").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def load_instances(rows: DataFrame) -> DataFrame:
     """The five fields of an instance, empty where null or absent; patch is read from diff only where the table has no column patch."""
     from_ = {"patch": "diff"} if "patch" not in rows.columns and "diff" in rows.columns else {}

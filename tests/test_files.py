@@ -1,7 +1,13 @@
 """Readers and writers over real files."""
 
 import json
+import time
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from difflake.plans import registry
 from difflake.sources import files
 
 
@@ -18,6 +24,36 @@ def test_load_patch_dir(spark, tmp_path):
     assert got == {"b__x-2": "diff --git a/x b/x\n+é\n"}
 
 
+def test_write_patch_dir(spark, tmp_path):
+    """Each row has its own file, with its bytes as they are: rows of one id, of null, and ids that are no file names."""
+    rows = [("a__x-1", "one\r\n"), ("a__x-1", "two"), ("a__x-1", "two"), (None, "é\n\n"), ("__hidden", "h"), (".dot", "d"), ("up/../n: 50%+", "s"), ("%", "p"), ("", "e")]
+    path = tmp_path / "patches"
+    table = spark.createDataFrame(rows, "instance_id string, patch string").coalesce(1)
+    assert files.write_patch_dir(table, str(path)) == len(rows) == len(list(path.rglob("*.patch")))
+    read = files.load_patch_dir(spark, str(path))
+    got = [(i, p) for i, p in read.select(files.patch_id(read["instance_id"]), "patch").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows))
+    assert files.write_patch_dir(table.where("false"), str(tmp_path / "none")) == 0 and files.load_patch_dir(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_load_patch_dir_query_on_many_odd_rows(spark, tmp_path):
+    """The query equals its SQL on null, empty and odd sources and repeated ids, and 2,500 files take seconds (half a minute and more with a folder for each)."""
+    sources = ["src1", None, "", "a/b", ".x", "c: 1%"]
+    n = 3200
+    ids, texts = [i // 2 * 2 if i % 64 < 2 else i for i in range(n)], [None if i % 97 == 5 else f"line {i}\n\ncafé\n" for i in range(n)]
+    docs = {"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["en"] * n, "source": ["src1" if i % 64 < 2 else sources[i % 6] for i in range(n)], "n_chars": pa.array([len(t or "") for t in texts], pa.int64())}
+    pq.write_table(pa.table(docs), tmp_path / "documents.parquet")
+    began = time.perf_counter()
+    got = [tuple(r) for r in registry.QUERIES["load_patch_dir"](spark, str(tmp_path)).select("instance_id", "patch").collect()]
+    took = time.perf_counter() - began
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(registry.ORACLE_SQL["load_patch_dir"]).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert len(want) > 2500 and len({i for i, _ in want}) < len(want)
+    assert took < 30
+
+
 def test_load_instances(spark):
     rows = spark.createDataFrame([("i", None, "d", 3)], "instance_id string, repo string, diff string, more int")
     assert files.load_instances(rows).collect() == [("i", "d", "", "", "")]
